@@ -379,8 +379,9 @@ def _(t: Tables):
         store, totals, flow_name="demo", step_name="totals", name="totals", run_id="run-1"
     )
     record = store.frame(outputs.ARTIFACTS).where(F.col("artifact_table") == saved)
-    return store.frame(saved).join(record.select("display_name")).select(
-        "display_name", "l_orderkey", "l_linenumber", "l_partkey", "total"
+    return store.frame(saved).select(
+        record.select("display_name").scalar().alias("display_name"),
+        "l_orderkey", "l_linenumber", "l_partkey", "total",
     )
 
 
@@ -559,10 +560,9 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    highest = t.supplier.agg(F.coalesce(F.max("s_suppkey"), F.lit(0)).alias("highest"))
-    # One row by construction.
-    return t.customer.join(F.broadcast(highest)).select(
-        (F.col("c_custkey") + F.col("highest")).alias("party_key"), F.col("c_name").alias("name")
+    highest = t.supplier.agg(F.coalesce(F.max("s_suppkey"), F.lit(0))).scalar()
+    return t.customer.select(
+        (F.col("c_custkey") + highest).alias("party_key"), F.col("c_name").alias("name")
     )
 
 
