@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.sortkeys import SortKey, quoted
 from millrace.operators.filters import ColumnFilter, filter_rows
@@ -104,8 +103,5 @@ def search_distinct(
     label = F.coalesce(F.col("value").cast("string"), F.lit("(blank)"))
     # One value more than asked for tells whether the list is complete. The list is short by
     # definition and is kept, so the dataset is scanned once.
-    listed = values.limit(limit + 1).select(label.alias("label"), "value").collect()
-    kept = df.sparkSession.createDataFrame(
-        listed[:limit], T.StructType([T.StructField("label", T.StringType()), values.schema[0]])
-    )
-    return DistinctValues(kept, len(listed) > limit)
+    listed = values.limit(limit + 1).select("value", label.alias("label")).toArrow()
+    return DistinctValues(df.sparkSession.createDataFrame(listed[:limit]), len(listed) > limit)

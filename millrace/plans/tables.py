@@ -10,6 +10,7 @@ from millrace.operators import joins, per_source
 from millrace.plans.registry import Tables, query
 from millrace.plans.steps import StepChain
 from millrace.plans.warehouse import dimension_snapshot
+from millrace.session import local_frame
 from millrace.sources import files, outputs
 from millrace.sources.tables import Warehouse
 
@@ -95,9 +96,9 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    listed = t.spark.createDataFrame([(0, 7), (1, 3), (2, 11)], "place int, c_nationkey int")
+    listed = local_frame(t.spark, {"place": [0, 1, 2], "c_nationkey": [7, 3, 11]})
     found = joins.inner_join_null_safe(t.customer, listed, ["c_nationkey"])
-    return found.select("c_custkey", "c_nationkey", "place").orderBy("place")
+    return found.select("c_custkey", "c_nationkey", F.col("place").cast("int")).orderBy("place")
 
 
 @query(

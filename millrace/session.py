@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -50,6 +51,14 @@ def local_session(cpus: str = "*", app_name: str = "millrace", **settings: str)
     return configure(spark)
 
 
+def local_frame(spark: SparkSession, columns: dict[str, list | pa.Array]) -> DataFrame:
+    """A small frame from driver values, whose exact size the optimizer knows.
+
+    That lets Spark decide by itself whether a lookup is small enough to broadcast.
+    """
+    return spark.createDataFrame(pa.table(columns))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this application."""
     root = spark.conf.get(CHECKPOINT_SETTING, None)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import MirrorPaths
 from millrace.functions.sortkeys import ColumnLike, as_column
+from millrace.session import local_frame
 from millrace.sources.tables import Warehouse
 
 
@@ -78,16 +80,20 @@ def save_debug_frame(
     """Keep an intermediate frame and one row about it in the ``artifacts`` table."""
     table = f"debug_frames.f_{uuid.uuid4().hex}"
     path = warehouse.write(table, df)
-    record = (
-        workspace_id, flow_name, step_name, run_id, source_path, "dataframe", table, path,
-        f"{flow_name} / {step_name or 'Step'} / {name}",
-        {str(key): str(value) for key, value in (info or {}).items()},
-    )
-    columns = (
-        "workspace_id string, flow_name string, step_name string, run_id string, "
-        "source_path string, artifact_kind string, artifact_table string, artifact_path string, "
-        "display_name string, info map<string,string>"
-    )
-    row = warehouse.spark.createDataFrame([record], columns)
+    facts = {
+        "workspace_id": workspace_id,
+        "flow_name": flow_name,
+        "step_name": step_name,
+        "run_id": run_id,
+        "source_path": source_path,
+        "artifact_kind": "dataframe",
+        "artifact_table": table,
+        "artifact_path": path,
+        "display_name": f"{flow_name} / {step_name or 'Step'} / {name}",
+    }
+    columns = {key: pa.array([value], pa.string()) for key, value in facts.items()}
+    extra = [(str(key), str(value)) for key, value in (info or {}).items()]
+    columns["info"] = pa.array([extra], pa.map_(pa.string(), pa.string()))
+    row = local_frame(warehouse.spark, columns)
     warehouse.evolve_append(ARTIFACTS, row.withColumn("saved_at_utc", F.current_timestamp()))
     return table

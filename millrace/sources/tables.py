@@ -16,6 +16,7 @@ import json
 import uuid
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from millrace.operators.joins import (
     null_safe_join,
 )
 from millrace.operators.schema import non_null_counts
+from millrace.session import local_frame
 
 
 def _columns(names: Iterable[str]) -> list[Column]:
@@ -208,13 +210,9 @@ class Warehouse:
         values = list(dict.fromkeys(is_in))
         if not values:
             return rows.select(*_columns(wanted)).limit(0)
-        listed = [(place, value) for place, value in enumerate(values)]
-        if any(value is not None for value in values):
-            lookup = self.spark.createDataFrame(listed, ["__place", "__value"])
-        else:
-            empty = T.StructType([T.StructField("__place", T.LongType()),
-                                  T.StructField("__value", schema[name].dataType)])
-            lookup = self.spark.createDataFrame(listed, empty)
+        lookup = local_frame(
+            self.spark, {"__place": list(range(len(values))), "__value": values}
+        )
         lookup = lookup.withColumn("__value", F.col("__value").cast(schema[name].dataType))
         match = rows[quoted(name)].eqNullSafe(lookup["__value"])
         return (
@@ -512,8 +510,12 @@ class Warehouse:
                 # Even-sized files, whatever pieces the table was written in.
                 kept = frame.drop(*dropped).hint("rebalance")
                 self.write(name, kept, partition_by=parts)
-            report.append((name, len(dropped), dropped))
-        return self.spark.createDataFrame(
-            report,
-            "table string, dropped_column_count bigint, dropped_columns array<string>",
+            report.append(dropped)
+        return local_frame(
+            self.spark,
+            {
+                "table": pa.array(names, pa.string()),
+                "dropped_column_count": pa.array([len(part) for part in report], pa.int64()),
+                "dropped_columns": pa.array(report, pa.list_(pa.string())),
+            },
         )
