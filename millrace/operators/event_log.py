@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.paths import source_label
 from millrace.functions.sortkeys import sort_keys
+from millrace.operators.joins import one_row_per_key
 from millrace.operators.ordered import ROWS_PER_CHUNK, OrderedGroups
 
 # The two message forms, and the states a run or step can be in.
@@ -187,10 +188,13 @@ def run_error(entries: DataFrame, step_runs: DataFrame, runs: DataFrame) -> Data
     """Error title and text of log entries: the failed step's own, else the run's."""
     failed = (
         step_runs.where(F.col("status") == "failed")
-        .groupBy(F.col("run_id"), F.col("step_label").alias("step_name"))
+        .groupBy(F.struct("run_id", F.col("step_label").alias("step_name")).alias("__step"))
         .agg(F.min_by(F.struct("error_text"), "id").alias("step_error"))
+        .select("__step.*", "step_error")
+    )
+    texts = one_row_per_key(
+        runs.select("run_id", F.col("error_text").alias("run_error_text")), ["run_id"]
     )
-    texts = runs.groupBy("run_id").agg(F.max("error_text").alias("run_error_text"))
     found = F.col("step_error").isNotNull()
     return (
         entries.join(failed, ["run_id", "step_name"], "left")

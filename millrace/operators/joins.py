@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
 
@@ -36,3 +37,18 @@ def anti_join_null_safe(
 def inner_join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """The rows of ``left`` with the columns ``right`` has for their key."""
     return null_safe_join(left, right, on, "inner")
+
+
+def one_row_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for every key, ready to be the small side of a join on that key.
+
+    Grouping by a struct of the key keeps the join from reusing this shuffle. With a shuffle
+    of its own on both sides the join can split the partition of a hot key; joined straight
+    to an aggregation it could not. The second shuffle moves one row per key only.
+    """
+    rest = [name for name in df.columns if name not in keys]
+    rows = df.groupBy(F.struct(*map(quoted, keys)).alias("__key"))
+    if not rest:
+        return rows.agg(F.lit(1).alias("__one")).select("__key.*")
+    first = F.first(F.struct(*map(quoted, rest))).alias("__rest")
+    return rows.agg(first).select("__key.*", "__rest.*")

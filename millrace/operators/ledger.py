@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.joins import one_row_per_key
 from millrace.sources.tables import Warehouse
 
 
@@ -111,8 +112,9 @@ def prune_history(tables: Tables, cutoff: str) -> Tables:
     runs = tables["runs"]
     old = F.coalesce("finished_at_utc", "started_at_utc") < F.lit(cutoff)
     removed = runs.where(old).select("run_id")
-    gone = removed.distinct().select(
-        F.col("run_id").alias("last_success_run_id"), F.lit(True).alias("__gone")
+    gone = one_row_per_key(
+        removed.select(F.col("run_id").alias("last_success_run_id"), F.lit(True).alias("__gone")),
+        ["last_success_run_id"],
     )
     states = tables["file_state"]
     kept = (

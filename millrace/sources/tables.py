@@ -28,6 +28,7 @@ from millrace.operators.joins import (
     anti_join_null_safe,
     inner_join_null_safe,
     null_safe_join,
+    one_row_per_key,
 )
 from millrace.operators.schema import non_null_counts
 from millrace.session import local_frame
@@ -437,7 +438,7 @@ class Warehouse:
         if missing:
             raise ValueError(f"Columns are not in the incoming rows: {missing}")
         mapping = self.frame(table).select(*_columns([*names, key_column]))
-        joined = df.join(mapping.dropDuplicates(names), names, "left")
+        joined = df.join(one_row_per_key(mapping, names), names, "left")
         order = [*df.columns, key_column]
         return joined.select(*_columns([c for c in order if not (drop_key and c in names)]))
 
@@ -460,8 +461,8 @@ class Warehouse:
                 raise ValueError("The key column cannot be selected as a natural column.")
         if not wanted:
             raise ValueError("There is no natural column to select.")
-        mapping = self.frame(table).select(*_columns([key, *wanted])).dropDuplicates([key])
-        joined = df.join(mapping, key, "left")
+        mapping = self.frame(table).select(*_columns([key, *wanted]))
+        joined = df.join(one_row_per_key(mapping, [key]), key, "left")
         order = [*[c for c in df.columns if not (drop_key and c == key)], *wanted]
         return joined.select(*_columns(order))
 
