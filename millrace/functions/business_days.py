@@ -81,17 +81,14 @@ def _count_at_most(values: list[int], bound: Column) -> Column:
     low, high = values[0], values[-1]
     if high - low > _TABLE_SPAN:
         return F.size(F.filter(_literal_ints(values), lambda item: item <= bound))
-    table, position = [], 0
+    # Entry 0 stands for everything before the first value, the last for all from the last on.
+    table, position = [0], 0
     for day in range(low, high + 1):
         while position < len(values) and values[position] <= day:
             position += 1
         table.append(position)
-    inside = F.get(_literal_ints(table), (bound - low).cast("int"))
-    return (
-        F.when(bound < low, F.lit(0))
-        .when(bound >= high, F.lit(len(values)))
-        .otherwise(inside)
-    )
+    place = F.least(F.greatest(bound - (low - 1), F.lit(0)), F.lit(len(table) - 1))
+    return F.get(_literal_ints(table), place.cast("int"))
 
 
 class BusinessCalendar:
@@ -116,8 +113,9 @@ class BusinessCalendar:
         """Business days strictly before the day number ``day``."""
         shifted = day + _EPOCH_SHIFT
         weekday = F.pmod(shifted, F.lit(7))
-        weeks = ((shifted - weekday) / 7).cast("bigint")
-        allowed = weeks * len(self._weekdays) + F.get(_literal_ints(self._before), weekday)
+        allowed = F.floor(shifted / 7) * len(self._weekdays) + F.get(
+            _literal_ints(self._before), weekday
+        )
         return allowed - _count_at_most(self._closed, day - 1)
 
     def _day_at(self, index: Column) -> Column:
@@ -126,35 +124,32 @@ class BusinessCalendar:
         thresholds = [self._weekday_count(day) - i for i, day in enumerate(self._closed)]
         number = index + _count_at_most(thresholds, index)
         size = len(self._weekdays)
-        slot = F.pmod(number, F.lit(size))
-        weeks = ((number - slot) / size).cast("bigint")
-        day = weeks * 7 + F.get(_literal_ints(self._weekdays), slot.cast("int")) - _EPOCH_SHIFT
-        return F.date_from_unix_date(day.cast("int"))
+        slot = F.pmod(number, F.lit(size)).cast("int")
+        day = F.floor(number / size) * 7 + F.get(_literal_ints(self._weekdays), slot)
+        return F.date_from_unix_date((day - _EPOCH_SHIFT).cast("int"))
 
     def is_business_day(self, day: DateLike) -> Column:
         number = F.unix_date(as_date(day))
         weekday = F.pmod(number + _EPOCH_SHIFT, F.lit(7))
         allowed = F.get(F.array(*[F.lit(flag) for flag in self.mask]), weekday)
-        if not self._closed:
-            return allowed
-        closed_today = _count_at_most(self._closed, number) > _count_at_most(
-            self._closed, number - 1
-        )
-        return allowed & ~closed_today
+        return allowed & ~number.isin(self._closed) if self._closed else allowed
+
+    # The index of the day after a day counts that day in, the index of the day itself does
+    # not. Choosing between the two with a 0/1 shift covers both directions of a span or an
+    # offset in one expression, small enough for the JVM to compile; nulls pass through.
 
     def networkdays(
         self, start: DateLike, end: DateLike, *, count_first_day: bool = False
     ) -> Column:
         """Signed count of business days, both ends included."""
         start, end = as_date(start), as_date(end)
-        first = F.unix_date(F.least(start, end))
-        last = F.unix_date(F.greatest(start, end))
-        sign = F.when(start <= end, F.lit(1)).otherwise(F.lit(-1))
-        size = self._index(last + 1) - self._index(first)
+        forward = (start <= end).cast("int")
+        size = self._index(F.unix_date(end) + forward) - self._index(
+            F.unix_date(start) + 1 - forward
+        )
         if count_first_day:
-            size = size + F.when(self.is_business_day(start), F.lit(0)).otherwise(F.lit(1))
-        # least and greatest skip nulls, so the null rule is spelled out.
-        return F.when(start.isNotNull() & end.isNotNull(), (sign * size).cast("bigint"))
+            size = size + F.when(self.is_business_day(start), 0).otherwise(2 * forward - 1)
+        return size.cast("bigint")
 
     def workday(
         self, start: DateLike, days: Column | str | int, *, count_first_day: bool = False
@@ -166,19 +161,13 @@ class BusinessCalendar:
         elif not isinstance(days, Column):
             days = F.lit(days)
         days = days.cast("bigint")
-        here = self._index(F.unix_date(start))
-        open_today = self.is_business_day(start)
-        forward = days > 0
-        if count_first_day:
-            # The start is day one, so every move is one shorter; from a closed start the
-            # first business day met is day two.
-            step = F.when(
-                forward, days - F.when(open_today, F.lit(1)).otherwise(F.lit(2))
-            ).otherwise(days + 1)
-            stays = (days == 0) | (~open_today & (F.abs(days) == 1))
-            return F.when(stays, start).otherwise(self._day_at(here + step))
-        step = F.when(forward & ~open_today, days - 1).otherwise(days)
-        return self._day_at(here + step)
+        forward = (days > 0).cast("int")
+        here = self._index(F.unix_date(start) + forward)
+        if not count_first_day:
+            return self._day_at(here + days - forward)
+        # The start is day one, on a closed day too, so every move is one shorter.
+        moved = self._day_at(here + days + 1 - 3 * forward)
+        return F.when(F.abs(days) <= 1, start).otherwise(moved)
 
     def next_business_day(self, day: DateLike) -> Column:
         """The day itself when it is a business day, else the next one."""
@@ -186,9 +175,7 @@ class BusinessCalendar:
 
     def previous_business_day(self, day: DateLike) -> Column:
         """The day itself when it is a business day, else the one before."""
-        day = as_date(day)
-        earlier = self._day_at(self._index(F.unix_date(day)) - 1)
-        return F.when(self.is_business_day(day), day).otherwise(earlier)
+        return self._day_at(self._index(F.unix_date(as_date(day)) + 1) - 1)
 
 
 def networkdays(start, end, *, holidays=None, count_first_day=False, mask=None) -> Column:
