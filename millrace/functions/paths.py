@@ -24,7 +24,7 @@ def normalised_extensions(extensions) -> tuple[str, ...]:
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
 def file_suffix(path: Column) -> Column:

@@ -99,3 +99,22 @@ def comparable_key(df: DataFrame, keys: Sequence[SortKey]) -> Column:
         parts.append(F.when(key.column.isNull(), null_rank).otherwise(value_rank))
         parts += _backwards(key.column, kind) if key.descending else [key.column]
     return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(field.dataType) for field in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.NullType))
+
+
+def tie_breaker(df: DataFrame) -> Column:
+    """A hash of the whole row, the last sort column of a distributed sort.
+
+    Range partitioning keeps equal sort keys together, so without it a sort on a column with
+    a hot value sends all rows of that value to one task. Being a function of the row alone,
+    it is the same when a lost task runs again.
+    """
+    columns = [F.col(quoted(f.name)) for f in df.schema if _hashable(f.dataType)]
+    return F.xxhash64(*columns) if columns else F.lit(0).cast("bigint")

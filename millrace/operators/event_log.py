@@ -8,6 +8,8 @@ a large share of the log is no burden for one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from millrace.functions.paths import source_label
 from millrace.functions.sortkeys import sort_keys
 from millrace.operators.joins import one_row_per_key
 from millrace.operators.ordered import ROWS_PER_CHUNK, OrderedGroups
+from millrace.operators.preview import top_k
 
 # The two message forms, and the states a run or step can be in.
 STEP_MESSAGE = (
@@ -35,46 +38,73 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (last - first) / F.lit(1e6)
 
 
+# Separates the groups of a match; messages that hold it themselves take a slower path.
+_MARK = "\x01"
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """The groups of the first match as an array, or an array of one where none matches."""
+    shown = _MARK.join(f"${i}" for i in range(1, count + 1))
+    quick = F.split(F.regexp_replace(text, rf"(?s)^.*?(?-s:{pattern}).*$", shown), _MARK)
+    slow = F.when(
+        text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i + 1) for i in range(count)])
+    ).otherwise(F.array(text))
+    return F.when(text.contains(_MARK), slow).otherwise(quick)
+
+
 def parse_event(message: Column) -> Column:
     """A struct with the event in a log message, NULL where it holds none."""
 
-    def event(pattern: str, run: int, flow: int, step: int | None, source: int) -> Column:
-        def group(i: int) -> Column:
-            return F.regexp_extract(message, pattern, i)
-
-        elapsed = group(source + 2)
+    def event(found: Column, step: bool) -> Column:
+        rest = 3 if step else 2
+        elapsed = found[rest + 2]
         return F.struct(
-            group(run).alias("run_id"),
-            group(flow).alias("flow_name"),
-            (F.lit(None).cast("string") if step is None else group(step)).alias("step_name"),
-            source_label(group(source)).alias("source_label"),
-            group(source + 1).alias("status"),
+            found[0].alias("run_id"),
+            found[1].alias("flow_name"),
+            (found[2] if step else F.lit(None).cast("string")).alias("step_name"),
+            source_label(found[rest]).alias("source_label"),
+            found[rest + 1].alias("status"),
             F.when(elapsed != "", elapsed.cast("double")).alias("elapsed_seconds"),
         )
 
-    return F.when(message.rlike(STEP_MESSAGE), event(STEP_MESSAGE, 1, 2, 3, 4)).when(
-        message.rlike(FLOW_MESSAGE), event(FLOW_MESSAGE, 1, 2, None, 3)
+    def of_run() -> Column:
+        return _with(
+            _groups(message, FLOW_MESSAGE, 5),
+            lambda found: F.when(F.size(found) == 5, event(found, False)),
+        )
+
+    return _with(
+        _groups(message, STEP_MESSAGE, 6),
+        lambda found: F.when(F.size(found) == 6, event(found, True)).otherwise(of_run()),
     )
 
 
 def short_line(message: Column) -> Column:
     """A log message as one compact line."""
-    gap = F.lit("  ")
-
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(message, pattern, i)
-
-    step = F.concat(
-        group(STEP_LINE, 1), gap, group(STEP_LINE, 2), gap, group(STEP_LINE, 4), gap,
-        source_label(group(STEP_LINE, 3)),
-    )
-    flow = F.concat(
-        group(FLOW_LINE, 1), gap, group(FLOW_LINE, 3), gap, source_label(group(FLOW_LINE, 2))
-    )
+    gap = "  "
     # Every other path in the text shrinks to its last component.
     names_only = F.regexp_replace(message, r"/(?=[^ ])[^ ]*?([^ /]*)/*(?= |\z)", "$1")
-    return F.when(message.rlike(STEP_LINE), step).when(message.rlike(FLOW_LINE), flow).otherwise(
-        names_only
+
+    def of_run() -> Column:
+        return _with(
+            _groups(message, FLOW_LINE, 3),
+            lambda found: F.when(
+                F.size(found) == 3,
+                F.concat_ws(gap, found[0], found[2], source_label(found[1])),
+            ).otherwise(names_only),
+        )
+
+    return _with(
+        _groups(message, STEP_LINE, 4),
+        lambda found: F.when(
+            F.size(found) == 4,
+            F.concat_ws(gap, found[0], found[1], found[3], source_label(found[2])),
+        ).otherwise(of_run()),
     )
 
 
@@ -224,14 +254,14 @@ def fingerprint_dedupe(entries: DataFrame) -> DataFrame:
     return first.select("__first.*", *identity)
 
 
-def _newest(runs: DataFrame, order: Column, limit: int) -> DataFrame:
-    return runs if limit < 0 else runs.orderBy(order.desc()).limit(limit)
+def _newest(rows: DataFrame, order: str, limit: int) -> DataFrame:
+    return rows if limit < 0 else top_k(rows, [(order, True)], limit)
 
 
 def run_summary(runs: DataFrame, limit: int = 50) -> DataFrame:
     """The newest runs of ``run_status`` with start, end, state and error, oldest first."""
     ended = F.col("status").isin(TERMINAL)
-    newest = _newest(runs, F.col("first_seq"), limit)
+    newest = _newest(runs, "first_seq", limit)
     return newest.orderBy("first_seq").select(
         "flow_name",
         "run_id",
@@ -247,7 +277,7 @@ def run_summary(runs: DataFrame, limit: int = 50) -> DataFrame:
 def run_logs(entries: DataFrame, run_id: str, limit: int = 500) -> DataFrame:
     """The last log entries of one run with their level, oldest first."""
     mine = entries.where(F.col("run_id") == run_id)
-    return _newest(mine, F.col("seq"), limit).orderBy("seq").select(
+    return _newest(mine, "seq", limit).orderBy("seq").select(
         "seq",
         "run_id",
         "flow_name",

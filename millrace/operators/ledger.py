@@ -7,6 +7,7 @@ frames; storing them is the caller's choice (see ``checkpoint_tables``).
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.joins import one_row_per_key
+from millrace.operators.preview import top_k
 from millrace.sources.tables import Warehouse
 
 
@@ -91,7 +93,7 @@ def log_tail(
         rows = rows.where(F.col("id") > after_id)
     if limit is None:
         return rows.orderBy("created_at_utc", "id")
-    return rows.orderBy(F.col("id").desc()).limit(max(int(limit), 0)).orderBy("id")
+    return top_k(rows, [("id", True)], max(int(limit), 0)).orderBy("id")
 
 
 # -- upkeep ------------------------------------------------------------------------------
@@ -241,10 +243,15 @@ def checkpoint_tables(
 ) -> str:
     """Store the four tables under one generation id, which is returned."""
     generation = generation or uuid.uuid4().hex
-    for name in SCHEMAS:
-        warehouse.write(
+
+    def store(name: str) -> str:
+        return warehouse.write(
             f"{prefix}.{name}", tables[name].withColumn(GENERATION, F.lit(generation))
         )
+
+    # Four independent jobs that share the cluster.
+    with ThreadPoolExecutor(len(SCHEMAS)) as pool:
+        list(pool.map(store, SCHEMAS))
     return generation
 
 

@@ -21,7 +21,8 @@ def surrogate_numbering(
 
     Rows are range-partitioned and sorted inside their partition, so a row's number is its
     position there plus the sizes of the partitions before it. Only those sizes, one per
-    partition, meet in a single task.
+    partition, meet in a single task. Equal keys share a partition: where many rows may be
+    equal, ``keys`` ends with a tie breaker.
     """
     order = [key.expression() for key in keys]
     placed = materialise(

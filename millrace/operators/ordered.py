@@ -26,6 +26,7 @@ from millrace.functions.sortkeys import (
     comparable_key,
     quoted,
     sort_keys,
+    tie_breaker,
 )
 from millrace.operators.joins import null_safe_join
 from millrace.session import materialise
@@ -151,6 +152,7 @@ class OrderedGroups:
             max(2, int(chunks)),
             *[column.asc_nulls_first() for column in self._columns(self.by)],
             *[key.expression() for key in self.keys],
+            tie_breaker(df),
         ).withColumn("__chunk", F.spark_partition_id())
         self.chunk = ["__chunk"]
         self._added.append("__chunk")

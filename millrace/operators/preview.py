@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.sortkeys import SortKey, quoted
+from millrace.functions.sortkeys import SortKey, quoted, tie_breaker
 from millrace.operators.filters import ColumnFilter, filter_rows
+from millrace.operators.numbering import surrogate_numbering
 
 # Preview sizes and the length of a list of distinct values.
 PREVIEW_ROWS = 200
@@ -20,21 +21,35 @@ DISTINCT_VALUES = 500
 SortColumns = Sequence[tuple[str, bool]]
 
 
-def _order(columns: SortColumns, nulls_last: bool = False) -> list:
-    return [
-        SortKey(F.col(quoted(name)), descending, nulls_last).expression()
-        for name, descending in columns
-    ]
+# Up to this many rows the best rows of all tasks may meet in one task.
+TOP_K_IN_ONE_TASK = 10_000
+
+
+def _keys(columns: SortColumns) -> list[SortKey]:
+    return [SortKey(F.col(quoted(name)), descending) for name, descending in columns]
 
 
 def multi_sort(df: DataFrame, columns: SortColumns) -> DataFrame:
     """Sort by (column, descending) pairs; NULLs come first in both directions."""
-    return df.orderBy(*_order(columns)) if columns else df
+    if not columns:
+        return df
+    return df.orderBy(*[key.expression() for key in _keys(columns)], tie_breaker(df))
 
 
 def top_k(df: DataFrame, columns: SortColumns, k: int) -> DataFrame:
-    """The first ``k`` rows of ``multi_sort``; each task keeps only its own best ``k``."""
-    return multi_sort(df, columns).limit(k)
+    """The first ``k`` rows in the order of ``multi_sort``.
+
+    For a small ``k`` each task keeps its own best rows and one task merges them. A large
+    ``k`` would bring most of the dataset to that task, so the rows are numbered in a
+    distributed sort instead.
+    """
+    if not columns:
+        return df.limit(k)
+    if k <= TOP_K_IN_ONE_TASK:
+        return df.orderBy(*[key.expression() for key in _keys(columns)]).limit(k)
+    keys = [*_keys(columns), SortKey(tie_breaker(df))]
+    numbered = surrogate_numbering(df, "__rank", keys)
+    return numbered.where(F.col("__rank") <= k).orderBy("__rank").drop("__rank")
 
 
 def head(df: DataFrame, n: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.sortkeys import SortKey, as_list, quoted
+from millrace.functions.sortkeys import SortKey, as_list, quoted, tie_breaker
 from millrace.operators.numbering import surrogate_numbering
 from millrace.operators.joins import (
     anti_join_null_safe,
@@ -216,9 +216,8 @@ class Warehouse:
         )
         lookup = lookup.withColumn("__value", F.col("__value").cast(schema[name].dataType))
         match = rows[quoted(name)].eqNullSafe(lookup["__value"])
-        return (
-            rows.join(lookup, match, "inner").orderBy("__place").select(*_columns(wanted))
-        )
+        found = rows.join(lookup, match, "inner")
+        return found.orderBy("__place", tie_breaker(rows)).select(*_columns(wanted))
 
     # -- writing ------------------------------------------------------------------------
 
@@ -234,10 +233,11 @@ class Warehouse:
         return df.withColumns({name: F.col(quoted(name)).cast("string") for name in empty})
 
     def _write_new(self, df: DataFrame, path: str, parts: list[str], mode: str = "error"):
-        writer = df.write.mode(mode)
-        if parts:
-            writer = writer.partitionBy(*parts)
-        writer.parquet(path)
+        if not parts:
+            df.write.mode(mode).parquet(path)
+            return
+        # Few files per partition, and several tasks for a partition that holds much.
+        df.hint("rebalance", *_columns(parts)).write.mode(mode).partitionBy(*parts).parquet(path)
 
     def write(self, table: str, df: DataFrame, *, partition_by: Sequence[str] = ()) -> str:
         """Replace a table with exactly these rows and columns; returns the data folder.

@@ -150,3 +150,30 @@ def test_distinct_values(spark):
     assert ([r.label for r in listed.values.collect()], listed.truncated) == (["(blank)", "Ab"], True)
     others = [flt.NumberFilter("n", (("2", "3"),)), flt.TextFilter("s", (("equals", "zzz"),))]
     assert preview.search_distinct(df, "s", filters=others).values.count() == 2
+
+
+@pytest.mark.parametrize("columns", [[("s", True)], [("s", False), ("n", True)], []])
+def test_a_large_top_k_is_a_distributed_sort(spark, monkeypatch, columns):
+    df = spark.range(3000, numPartitions=6).selectExpr(
+        "id AS n", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 > 0 THEN string(id % 20) END AS s"
+    )
+    small = preview.top_k(df, columns, 1500)
+    monkeypatch.setattr(preview, "TOP_K_IN_ONE_TASK", 100)
+    large = preview.top_k(df, columns, 1500)
+    assert large.columns == df.columns
+    kept = [[r.s for r in part.collect()] for part in (small, large)]
+    if columns:
+        assert kept[0] == kept[1]
+    assert len(kept[1]) == 1500
+
+
+def test_a_sort_on_a_hot_value_uses_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(6000, numPartitions=6).selectExpr("id", "'same' AS s", "map('k', id) AS m")
+        sorted_rows = preview.multi_sort(df, [("s", False)])
+        sizes = sorted_rows.groupBy(F.spark_partition_id()).count().collect()
+        parts = sorted_rows.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 1 and sum(r["count"] for r in sizes) == 6000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
