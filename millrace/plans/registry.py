@@ -22,7 +22,11 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        # Kept, so that the footer of a table is read once per query.
+        frame = self.__dict__[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return frame
 
     def scratch(self, label: str) -> str:
         return scratch_path(self.spark, label)

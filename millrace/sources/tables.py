@@ -31,7 +31,7 @@ from millrace.operators.joins import (
     one_row_per_key,
 )
 from millrace.operators.schema import non_null_counts
-from millrace.session import local_frame
+from millrace.session import local_frame, materialise
 
 
 def _columns(names: Iterable[str]) -> list[Column]:
@@ -411,21 +411,23 @@ class Warehouse:
         if not key or key in names:
             raise ValueError(f"Not usable as key column: {key_column!r}")
         order = [SortKey(column, nulls_last=True) for column in _columns(names)]
-        incoming = self._storable(df).distinct()
-        fresh = not self.exists(table)
-        if fresh:
-            numbered = surrogate_numbering(incoming, key, order)
-            self.write(table, numbered.select(F.col(quoted(key)), *_columns(names)))
-        else:
-            stored = self.frame(table)
-            kinds = {n: self.schema(table)[n].dataType for n in names}
-            incoming = incoming.select(*[F.col(quoted(n)).cast(kinds[n]).alias(n) for n in names])
+        stored = self.frame(table) if self.exists(table) else None
+        rows = self._storable(df)
+        if stored is not None:
+            rows = self._aligned(rows, stored.select(*_columns(names)).schema)
+        # Stored once: the input may be a large fact table, its combinations are read below
+        # for the new ones and for the mapping.
+        incoming = materialise(rows.distinct(), "dimension-input")
+        new, highest = incoming, 0
+        if stored is not None:
             new = anti_join_null_safe(incoming, stored, names)
             highest = stored.agg(F.max(F.col(quoted(key)))).first()[0] or 0
+        if stored is None or not new.isEmpty():
             numbered = surrogate_numbering(new, key, order, start_after=highest)
             self.evolve_append(table, numbered.select(F.col(quoted(key)), *_columns(names)))
-        stored = self.frame(table).select(*_columns(names), F.col(quoted(key)))
-        mapping = stored if fresh else inner_join_null_safe(incoming, stored, names)
+        mapping = self.frame(table).select(*_columns(names), F.col(quoted(key)))
+        if stored is not None:
+            mapping = inner_join_null_safe(incoming, mapping, names)
         return mapping.orderBy(*[part.expression() for part in order])
 
     def attach_dimension(
