@@ -13,7 +13,8 @@ large share of the rows. Two ways around it are used here:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,59 +51,62 @@ def _named_groups(df: DataFrame, by) -> tuple[DataFrame, list[str], list[str]]:
     return df, names, added
 
 
-def _propagate(df, name, value, by, sort_by, where, descending, nulls_last, ignore_nulls, pick):
-    value = as_column(value)
-    keys = sort_keys(sort_by, descending, nulls_last)
+@dataclass(frozen=True)
+class Pick:
+    """Which row of an ordered group a value is taken from.
+
+    ``where`` limits the candidate rows; NULL values are no candidates unless
+    ``ignore_nulls`` is off.
+    """
+
+    value: ColumnLike
+    sort_by: ColumnLike | Sequence[ColumnLike]
+    where: Column | None = None
+    descending: bool | Sequence[bool] = False
+    nulls_last: bool = False
+    ignore_nulls: bool = True
+    first: bool = False
+
+    def aggregate(self, df: DataFrame) -> Column:
+        value = as_column(self.value)
+        keys = sort_keys(self.sort_by, self.descending, self.nulls_last)
+        candidate = F.lit(True) if self.where is None else self.where
+        if self.ignore_nulls:
+            candidate = candidate & value.isNotNull()
+        order = F.when(candidate, comparable_key(df, keys))
+        # The struct keeps a null value that is the picked row's own apart from "no row".
+        return (F.min_by if self.first else F.max_by)(F.struct(value.alias("value")), order)
+
+
+def propagate(df: DataFrame, picks: Mapping[str, Pick], *, by) -> DataFrame:
+    """Put one picked value per column on all rows of its group.
+
+    All columns share one aggregation and one join. A group without a candidate gets NULL.
+    """
     framed, groups, added = _named_groups(df, by)
-    candidate = F.lit(True) if where is None else where
-    if ignore_nulls:
-        candidate = candidate & value.isNotNull()
-    order = F.when(candidate, comparable_key(df, keys))
-    # The struct keeps a null value that is the picked row's own apart from "no row".
     picked = framed.groupBy(*[F.col(quoted(g)) for g in groups]).agg(
-        pick(F.struct(value.alias("value")), order).alias("__picked")
+        *[pick.aggregate(df).alias(f"__pick_{i}") for i, pick in enumerate(picks.values())]
     )
     joined = null_safe_join(framed, picked, groups, "left")
-    return joined.withColumn(name, F.col("__picked.value")).drop("__picked", *added)
+    values = {name: F.col(f"__pick_{i}.value") for i, name in enumerate(picks)}
+    return joined.withColumns(values).drop(*[f"__pick_{i}" for i in range(len(picks))], *added)
 
 
 def propagate_last_value(
-    df: DataFrame,
-    name: str,
-    value: ColumnLike,
-    *,
-    by,
-    sort_by,
-    where: Column | None = None,
-    descending=False,
-    nulls_last: bool = False,
-    ignore_nulls: bool = True,
+    df: DataFrame, name: str, value: ColumnLike, *, by, sort_by, **options
 ) -> DataFrame:
     """Put the last ``value`` of each ordered group on all rows of the group.
 
-    ``where`` limits the rows the value may come from; a group without such a row gets NULL.
+    The options are those of ``Pick``.
     """
-    return _propagate(
-        df, name, value, by, sort_by, where, descending, nulls_last, ignore_nulls, F.max_by
-    )
+    return propagate(df, {name: Pick(value, sort_by, **options)}, by=by)
 
 
 def propagate_first_value(
-    df: DataFrame,
-    name: str,
-    value: ColumnLike,
-    *,
-    by,
-    sort_by,
-    where: Column | None = None,
-    descending=False,
-    nulls_last: bool = False,
-    ignore_nulls: bool = True,
+    df: DataFrame, name: str, value: ColumnLike, *, by, sort_by, **options
 ) -> DataFrame:
     """Put the first ``value`` of each ordered group on all rows of the group."""
-    return _propagate(
-        df, name, value, by, sort_by, where, descending, nulls_last, ignore_nulls, F.min_by
-    )
+    return propagate(df, {name: Pick(value, sort_by, first=True, **options)}, by=by)
 
 
 _COMBINE = {

@@ -443,15 +443,18 @@ def gappy(t: Tables):
 )
 def _(t: Tables):
     order = ["ts", "event_id"]
-    rows = gappy(t)
-    rows = ordered.propagate_last_value(rows, "last_amount", "amount", by="user_id", sort_by=order)
-    rows = ordered.propagate_last_value(
-        rows, "last_purchase_at", "ts", by="user_id", sort_by=order,
-        where=F.col("event_type") == "purchase",
-    )
-    rows = ordered.propagate_last_value(
-        rows, "smallest_amount", "amount", by="user_id", sort_by=["rank_key", "event_id"],
-        descending=True, ignore_nulls=False,
+    rows = ordered.propagate(
+        gappy(t),
+        {
+            "last_amount": ordered.Pick("amount", order),
+            "last_purchase_at": ordered.Pick(
+                "ts", order, where=F.col("event_type") == "purchase"
+            ),
+            "smallest_amount": ordered.Pick(
+                "amount", ["rank_key", "event_id"], descending=True, ignore_nulls=False
+            ),
+        },
+        by="user_id",
     )
     return rows.select("event_id", "user_id", "last_amount", "last_purchase_at", "smallest_amount")
 

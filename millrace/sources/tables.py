@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -312,10 +311,15 @@ class Warehouse:
         self._write_new(self._aligned(df, schema), path, state["partition_by"], "append")
         self._publish(table, state["version"], schema, state["partition_by"])
 
-    def _overwrite_partitions(self, table: str, state: dict, df: DataFrame) -> None:
+    def _overwrite_partitions(
+        self, table: str, state: dict, df: DataFrame, *, one_slice: bool = False
+    ) -> None:
         path = f"{self._home(table)}/{state['version']}"
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            *state["partition_by"]
+        parts = state["partition_by"]
+        # The rows of one slice need no shuffle to end up in one partition folder.
+        spread = df if one_slice else df.hint("rebalance", *_columns(parts))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            *parts
         ).parquet(path)
 
     def _drop_partition(self, table: str, column: str, value: str) -> None:
@@ -360,7 +364,7 @@ class Warehouse:
         if df.isEmpty():
             self._drop_partition(table, column, key)
         else:
-            self._overwrite_partitions(table, state, rows)
+            self._overwrite_partitions(table, state, rows, one_slice=True)
         self._publish(table, state["version"], schema, state["partition_by"])
         return tagged
 
@@ -371,28 +375,25 @@ class Warehouse:
             raise ValueError("The column name must not be empty.")
         if name not in df.columns:
             raise ValueError(f"Column {name!r} is not in the incoming rows.")
-        # Read three times below; on disk where memory is short.
-        incoming = self._storable(df).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if incoming.isEmpty():
-                raise ValueError("There are no incoming rows.")
-            state = self._state(table)
-            if state is None:
-                self.write(table, incoming, partition_by=())
-                return df
-            schema = self._widened(T.StructType.fromJson(state["schema"]), incoming.schema)
-            rows = self._aligned(incoming, schema)
-            if state["partition_by"] == [name]:
-                self._overwrite_partitions(table, state, rows)
-                self._publish(table, state["version"], schema, state["partition_by"])
-                return df
-            stored = self._aligned(self.frame(table), schema)
-            values = rows.select(F.col(quoted(name))).distinct()
-            kept = null_safe_join(stored, values, [name], "left_anti")
-            self.write(table, kept.unionByName(rows), partition_by=state["partition_by"])
-            return df
-        finally:
-            incoming.unpersist()
+        # Read several times below, and the same rows each time, also if executors are lost.
+        incoming = materialise(self._storable(df), "incoming")
+        if incoming.isEmpty():
+            raise ValueError("There are no incoming rows.")
+        state = self._state(table)
+        if state is None:
+            self.write(table, incoming)
+            return incoming
+        schema = self._widened(T.StructType.fromJson(state["schema"]), incoming.schema)
+        rows = self._aligned(incoming, schema)
+        if state["partition_by"] == [name]:
+            self._overwrite_partitions(table, state, rows)
+            self._publish(table, state["version"], schema, state["partition_by"])
+            return incoming
+        stored = self._aligned(self.frame(table), schema)
+        values = rows.select(F.col(quoted(name))).distinct()
+        kept = null_safe_join(stored, values, [name], "left_anti")
+        self.write(table, kept.unionByName(rows), partition_by=state["partition_by"])
+        return incoming
 
     # -- dimensions ---------------------------------------------------------------------
 
