@@ -365,6 +365,16 @@ def ledger_summary(runs: DataFrame, logged: DataFrame | None = None) -> DataFram
     )
 
 
+def run_groups(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """All runs: from the log where it knows them, from the ledger otherwise."""
+    logged = run_status(events)
+    known = [
+        "flow_name", "run_id", "source_label", "status", "elapsed_seconds", "summary_line",
+        F.coalesce("summary_created_at", "first_created_at").cast("timestamp").alias("created_at"),
+    ]
+    return logged.select(*known).unionByName(ledger_summary(runs, logged))
+
+
 def latest_outputs(
     step_runs: DataFrame,
     operations: DataFrame | None = None,

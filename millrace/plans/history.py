@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import event_log, ledger
+from millrace.plans.incremental import STATE_TABLE, refresh_sources
 from millrace.plans.registry import Tables, query
 from millrace.sources import files
 from millrace.sources.tables import Warehouse
@@ -356,6 +357,72 @@ def _(t: Tables):
     return files.settled_files(polls, settle=1)
 
 
+@query(
+    "watch_step",
+    f"""
+    WITH {STATES}, {LISTING},
+    state AS (
+        SELECT '/in/' || c_custkey || '.csv' AS path, c_custkey * 1000 AS mtime_ns, c_nationkey::BIGINT AS size_bytes,
+               (c_custkey % 3)::BIGINT AS stable_polls,
+               CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 1000 END AS told_mtime_ns,
+               CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::BIGINT END AS told_size_bytes
+        FROM customer WHERE c_nationkey <> 6
+    ),
+    counted AS (
+        SELECT l.source_path AS path, l.mtime_ns, l.size_bytes,
+               CASE WHEN s.mtime_ns = l.mtime_ns AND s.size_bytes = l.size_bytes
+                    THEN s.stable_polls + 1 ELSE 0 END AS stable_polls, s.told_mtime_ns, s.told_size_bytes
+        FROM listing l LEFT JOIN state s ON s.path = l.source_path
+    ),
+    marked AS (
+        SELECT *, stable_polls >= 2 AND (told_mtime_ns IS DISTINCT FROM mtime_ns
+                  OR told_size_bytes IS DISTINCT FROM size_bytes) AS settled FROM counted
+    )
+    SELECT path, mtime_ns, size_bytes, stable_polls,
+           CASE WHEN settled THEN mtime_ns ELSE told_mtime_ns END AS told_mtime_ns,
+           CASE WHEN settled THEN size_bytes ELSE told_size_bytes END AS told_size_bytes, settled
+    FROM marked
+    """,
+)
+def _(t: Tables):
+    key, size = F.col("c_custkey"), F.col("c_nationkey").cast("bigint")
+    told = key % 2 == 0
+    state = t.customer.where("c_nationkey <> 6").select(
+        joined("/in/", key, ".csv").alias("path"), (key * 1000).alias("mtime_ns"),
+        size.alias("size_bytes"), (key % 3).alias("stable_polls"),
+        F.when(told, key * 1000).alias("told_mtime_ns"), F.when(told, size).alias("told_size_bytes"),
+    )
+    return files.watch_step(state, listing(t).withColumnRenamed("source_path", "path"), settle=2)
+
+
+@query(
+    "refresh_sources",
+    """
+    SELECT doc_id, lang, n_chars, (SELECT count(DISTINCT lang || '/' || source) FROM documents)::BIGINT AS known_files,
+           (SELECT count(DISTINCT lang || '/' || source) FROM documents WHERE lang <> 'en')::BIGINT AS second_files
+    FROM documents
+    """,
+)
+def _(t: Tables):
+    """Two refreshes of a folder; the second one finds only the files added since."""
+    store, root = Warehouse(t.spark, t.scratch("warehouse")), t.scratch("source-files")
+    rows = t.documents.select("doc_id", "n_chars", "lang", "source").withColumn("language", F.col("lang"))
+    # One file per language and source.
+    whole = rows.repartition("language", "source")
+
+    def read(paths):
+        return t.spark.read.schema("doc_id bigint, n_chars bigint, lang string").parquet(*paths)
+
+    for batch in (whole.where("lang = 'en'"), whole.where("lang <> 'en'")):
+        batch.write.mode("append").partitionBy("language", "source").parquet(root)
+        done = refresh_sources(store, root, "fact", flow_name="documents", read=read)
+    known = store.frame(STATE_TABLE).agg(F.count(F.lit(1))).scalar()
+    second = done.agg(F.count(F.lit(1))).scalar()
+    return store.frame("fact").select(
+        "doc_id", "lang", "n_chars", known.alias("known_files"), second.alias("second_files")
+    )
+
+
 @query(
     "upsert_file_state",
     f"""
@@ -939,3 +1006,34 @@ def _(t: Tables):
 def _(t: Tables):
     rows = event_log.ledger_summary(run_rows(t), step_rows(t))
     return rows.drop("created_at")
+
+
+@query(
+    "run_groups",
+    f"""
+    WITH {RUN_STATUS},
+    ledger AS (
+        SELECT 'run-' || (o_custkey % 400) AS run_id, max('flow-' || (o_custkey % 5)) AS flow_name,
+               max('/in/' || o_custkey || '.csv') AS source_path,
+               CASE WHEN count(*) % 2 = 0 THEN 'success' ELSE 'odd' END AS status
+        FROM orders GROUP BY 1
+    )
+    SELECT flow_name, run_id, source_label, status, elapsed_seconds, summary_line FROM run_status
+    UNION ALL
+    SELECT flow_name, run_id, source_path[5:], CASE status WHEN 'success' THEN status ELSE 'started' END, NULL,
+           flow_name || '  ' || CASE status WHEN 'success' THEN status ELSE 'started' END || '  ' || source_path[5:]
+    FROM ledger WHERE run_id NOT IN (SELECT run_id FROM run_status)
+    """,
+)
+def _(t: Tables):
+    even = F.count(F.lit(1)) % 2 == 0
+    buyer = F.col("o_custkey")
+    runs = t.orders.groupBy(joined("run-", buyer % 400).alias("run_id")).agg(
+        F.max(joined("flow-", buyer % 5)).alias("flow_name"),
+        F.max(joined("/in/", buyer, ".csv")).alias("source_path"),
+        F.when(even, "success").otherwise("odd").alias("status"),
+        F.lit("2024-01-01T00:00:00+00:00").alias("started_at_utc"),
+        F.lit(None).cast("string").alias("finished_at_utc"),
+        F.lit(None).cast("string").alias("error_text"),
+    )
+    return event_log.run_groups(events_log(t), runs).drop("created_at")

@@ -245,6 +245,51 @@ def settled_files(
     )
 
 
+def start_watch(listing: DataFrame) -> DataFrame:
+    """The state before the first poll: what is there counts as known.
+
+    ``listing`` has ``path``, ``mtime_ns`` and ``size_bytes``.
+    """
+    return listing.select(
+        "path", "mtime_ns", "size_bytes",
+        F.lit(0).cast("bigint").alias("stable_polls"),
+        F.col("mtime_ns").alias("told_mtime_ns"),
+        F.col("size_bytes").alias("told_size_bytes"),
+        F.lit(False).alias("settled"),
+    )
+
+
+def watch_step(state: DataFrame, listing: DataFrame, settle: int = 1) -> DataFrame:
+    """One poll: the next state, in which ``settled`` marks the files to process now.
+
+    The same rule as ``settled_files``, carried from poll to poll instead of read from their
+    history. Store the result before the next poll.
+    """
+    if settle < 0:
+        raise ValueError("settle must not be negative.")
+    before = state.select(
+        "path", "stable_polls", "told_mtime_ns", "told_size_bytes",
+        F.struct("mtime_ns", "size_bytes").alias("__before"),
+    )
+    signature = F.struct("mtime_ns", "size_bytes")
+    told = F.struct(
+        F.col("told_mtime_ns").alias("mtime_ns"), F.col("told_size_bytes").alias("size_bytes")
+    )
+    calm = F.when(F.col("__before").eqNullSafe(signature), F.col("stable_polls") + 1).otherwise(0)
+    joined = listing.select("path", "mtime_ns", "size_bytes").join(before, "path", "left")
+    counted = joined.withColumn("stable_polls", calm.cast("bigint")).withColumn(
+        "settled", (F.col("stable_polls") >= settle) & ~told.eqNullSafe(signature)
+    )
+    return counted.select(
+        "path", "mtime_ns", "size_bytes", "stable_polls",
+        *[
+            F.when(F.col("settled"), F.col(name)).otherwise(F.col(f"told_{name}")).alias(f"told_{name}")
+            for name in ("mtime_ns", "size_bytes")
+        ],
+        "settled",
+    )
+
+
 def dedupe_queue(jobs: DataFrame) -> DataFrame:
     """At most one queued job per flow and source, with its batch signatures merged.
 

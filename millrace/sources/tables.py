@@ -311,26 +311,21 @@ class Warehouse:
         self._write_new(self._aligned(df, schema), path, state["partition_by"], "append")
         self._publish(table, state["version"], schema, state["partition_by"])
 
-    def _overwrite_partitions(
-        self, table: str, state: dict, df: DataFrame, *, one_slice: bool = False
-    ) -> None:
+    def _overwrite_partitions(self, table: str, state: dict, df: DataFrame) -> None:
         path = f"{self._home(table)}/{state['version']}"
         parts = state["partition_by"]
-        # The rows of one slice need no shuffle to end up in one partition folder.
-        spread = df if one_slice else df.hint("rebalance", *_columns(parts))
+        spread = df.hint("rebalance", *_columns(parts))
         spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             *parts
         ).parquet(path)
 
-    def _drop_partition(self, table: str, column: str, value: str) -> None:
-        # The folder names come from Spark itself, pruned to the one partition.
-        files = (
-            self.frame(table).where(F.col(quoted(column)) == F.lit(value))
-            .select(F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1).alias("folder"))
-            .distinct()
-        )
-        for row in files.collect():
-            uri = self.spark._jvm.java.net.URI(row["folder"])
+    def _drop_partitions(self, table: str, column: str, keys: DataFrame) -> None:
+        """Remove the partition folders of some keys."""
+        # The folder names come from Spark itself; only the partition column is read.
+        folder = F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1)
+        found = self.frame(table).select(column, folder.alias("__folder"))
+        for row in found.join(keys, column, "left_semi").select("__folder").distinct().collect():
+            uri = self.spark._jvm.java.net.URI(row["__folder"])
             path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -348,25 +343,40 @@ class Warehouse:
         if column in df.columns:
             raise ValueError(f"Column {column!r} exists already.")
         tagged = self._storable(df).withColumn(column, F.lit(key))
+        self._replace_slices(table, tagged, local_frame(self.spark, {column: [key]}), column)
+        return tagged
+
+    def replace_files(
+        self, table: str, df: DataFrame, keys: DataFrame, *, file_hash_column: str = "file_key"
+    ) -> None:
+        """Replace the slices of many source files in one job.
+
+        ``df`` carries the file key of every row. ``keys`` has the keys of all files that were
+        read, so a file without rows loses its slice.
+        """
+        column = str(file_hash_column).strip()
+        if column not in df.columns or column not in keys.columns:
+            raise ValueError(f"Rows and keys need the column {column!r}.")
+        self._replace_slices(table, self._storable(df), keys.select(column).distinct(), column)
+
+    def _replace_slices(self, table: str, df: DataFrame, keys: DataFrame, column: str) -> None:
         state = self._state(table)
         if state is None:
-            self.write(table, tagged, partition_by=[column])
-            return tagged
-        schema = self._widened(T.StructType.fromJson(state["schema"]), tagged.schema)
-        rows = self._aligned(tagged, schema)
+            self.write(table, df, partition_by=[column])
+            return
+        schema = self._widened(T.StructType.fromJson(state["schema"]), df.schema)
+        rows = self._aligned(df, schema)
         if state["partition_by"] != [column]:
             stored = self._aligned(self.frame(table), schema)
-            others = ~F.coalesce(F.col(quoted(column)) == F.lit(key), F.lit(False))
-            self.write(
-                table, stored.where(others).unionByName(rows), partition_by=state["partition_by"]
-            )
-            return tagged
-        if df.isEmpty():
-            self._drop_partition(table, column, key)
-        else:
-            self._overwrite_partitions(table, state, rows, one_slice=True)
+            # A row without a key belongs to no file and stays.
+            kept = stored.join(keys, column, "left_anti").select(*_columns(schema.names))
+            self.write(table, kept.unionByName(rows), partition_by=state["partition_by"])
+            return
+        # Written rows replace their partitions; keys without rows are removed after that.
+        self._overwrite_partitions(table, state, rows)
+        written = rows.select(column).distinct()
+        self._drop_partitions(table, column, keys.join(written, column, "left_anti"))
         self._publish(table, state["version"], schema, state["partition_by"])
-        return tagged
 
     def replace_rows_by_values(self, table: str, df: DataFrame, *, column: str) -> DataFrame:
         """Replace all rows whose ``column`` holds one of the incoming values, NULL included."""

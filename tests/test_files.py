@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import MirrorPaths, is_temporary_file, normalised_extensions
+from millrace.plans.incremental import refresh_sources
 from millrace.sources import files
 
 
@@ -131,6 +132,50 @@ def test_settled_files_against_a_watch_loop(spark, settle, chunk):
         files.settled_files(df, -1)
 
 
+@pytest.mark.parametrize("settle", [0, 2])
+def test_watching_poll_by_poll_against_a_watch_loop(spark, settle):
+    pick = random.Random(settle)
+    polls = [{f"p{i}": (pick.choice([1, 1, 2]), 7) for i in range(8) if pick.random() < 0.85} for _ in range(8)]
+
+    def listing(number):
+        rows = [(path, *signature) for path, signature in polls[number].items()]
+        return spark.createDataFrame(rows, "path string, mtime_ns bigint, size_bytes bigint")
+
+    state, found = files.start_watch(listing(0)), set()
+    for number in range(1, len(polls)):
+        state = files.watch_step(state, listing(number), settle)
+        rows = state.collect()
+        found |= {(r.path, number, r.mtime_ns, r.size_bytes) for r in rows if r.settled}
+        state = spark.createDataFrame(rows, state.schema)
+    assert found == watch_model(polls, settle)
+
+
+def test_refreshing_changed_files_only(spark, warehouse, folder):
+    reads = []
+
+    def read(paths):
+        reads.append(sorted(p.rsplit("/", 1)[1] for p in paths))
+        return spark.read.schema("id bigint").csv(paths, header=True)
+
+    def refresh():
+        refresh_sources(warehouse, folder, "fact", flow_name="f", read=read, extensions="csv",
+                        transform=lambda rows: rows.withColumn("twice", F.col("id") * 2))
+        return sorted((r.id, r.twice) for r in warehouse.frame("fact").collect())
+
+    assert refresh() == [(1, 2)] * 4
+    with open(os.path.join(folder, "a.csv"), "a") as out:
+        out.write("5\n")
+    assert refresh() == [(1, 2)] * 4 + [(5, 10)]
+    with open(os.path.join(folder, "a.csv"), "w") as out:
+        out.write("id\n")
+    assert refresh() == [(1, 2)] * 3
+    os.remove(os.path.join(folder, "b.CSV"))
+    assert refresh() == [(1, 2)] * 3
+    assert reads == [["a.csv", "b.CSV", "e.csv", "f.csv"], ["a.csv"], ["a.csv"]]
+    states = warehouse.frame("ledger.file_state").collect()
+    assert sorted(r.source_path.rsplit("/", 1)[1] for r in states) == ["a.csv", "e.csv", "f.csv"]
+
+
 def test_queue(spark):
     jobs = spark.createDataFrame(
         [(1, "f", "a", None, None, None), (2, "f", None, "x", 1, 1), (3, "f", "a", None, None, None),
