@@ -50,5 +50,5 @@ def one_row_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = df.groupBy(F.struct(*map(quoted, keys)).alias("__key"))
     if not rest:
         return rows.agg(F.lit(1).alias("__one")).select("__key.*")
-    first = F.first(F.struct(*map(quoted, rest))).alias("__rest")
-    return rows.agg(first).select("__key.*", "__rest.*")
+    firsts = [F.first(quoted(name)).alias(name) for name in rest]
+    return rows.agg(*firsts).select("__key.*", *map(quoted, rest))

@@ -32,7 +32,9 @@ from millrace.functions.sortkeys import (
 from millrace.operators.joins import null_safe_join
 from millrace.session import materialise
 
-ROWS_PER_CHUNK = 5_000_000
+# Rows of one group that a task may sort and scan: a few gigabytes, which a sort can spill.
+# At a trillion rows this makes a hundred thousand chunks.
+ROWS_PER_CHUNK = 10_000_000
 
 
 def _named_groups(df: DataFrame, by) -> tuple[DataFrame, list[str], list[str]]:

@@ -215,8 +215,10 @@ class Warehouse:
         )
         lookup = lookup.withColumn("__value", F.col("__value").cast(schema[name].dataType))
         match = rows[quoted(name)].eqNullSafe(lookup["__value"])
-        found = rows.join(lookup, match, "inner")
-        return found.orderBy("__place", tie_breaker(rows)).select(*_columns(wanted))
+        found = rows.join(lookup, match, "inner").select("__place", *_columns(wanted))
+        # Only the selected columns are read, also for the tie breaker.
+        ties = tie_breaker(found.select(*_columns(wanted)))
+        return found.orderBy("__place", ties).select(*_columns(wanted))
 
     # -- writing ------------------------------------------------------------------------
 

@@ -89,6 +89,34 @@ def test_an_empty_file_removes_its_slice(spark, warehouse):
     assert warehouse.frame("flat").count() == 0
 
 
+def test_a_table_may_start_with_an_empty_file(spark, warehouse):
+    warehouse.replace_rows_by_file("t", claims(spark), file_hash="a")
+    assert rows(warehouse.frame("t")) == []
+    warehouse.replace_rows_by_file("t", claims(spark, (1, 10)), file_hash="b")
+    assert rows(warehouse.frame("t")) == [(1, 10, "b")]
+
+
+def test_replacing_many_files_at_once(spark, warehouse):
+    kind = "claim_id bigint, file_key string"
+    warehouse.write("flat", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], kind))
+    warehouse.write("t", warehouse.frame("flat"), partition_by=["file_key"])
+    keys = spark.createDataFrame([("a",), ("b",), ("d",)], "file_key string")
+    new = spark.createDataFrame([(10, "a"), (11, "a"), (40, "d")], kind)
+    for table in ("flat", "t"):
+        warehouse.replace_files(table, new, keys)
+        got = rows(warehouse.frame(table).select("claim_id", "file_key"))
+        assert got == [(10, "a"), (11, "a"), (3, "c"), (4, None), (40, "d")]
+    with pytest.raises(ValueError):
+        warehouse.replace_files("t", new.drop("file_key"), keys)
+
+
+def test_reading_by_value_reads_selected_columns_only(spark, warehouse):
+    warehouse.write("t", claims(spark, (1, 10)).withColumn("text", F.lit("long")))
+    found = warehouse.read_rows_by_values("t", column="claim_id", is_in=[1], select=["amount"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<claim_id:bigint,amount:bigint>" in plan
+
+
 def test_a_new_column_widens_the_table(spark, warehouse):
     warehouse.replace_rows_by_file("fact", claims(spark, (1, 10)), file_hash="a")
     wide = claims(spark, (2, 20)).withColumn("group", F.lit("g"))
