@@ -293,8 +293,9 @@ def run_logs(entries: DataFrame, run_id: str, limit: int = 500) -> DataFrame:
 def step_tracker(step_runs: DataFrame, operations: DataFrame | None = None) -> DataFrame:
     """The latest state of every step, and whether it is the one its flow touched last.
 
-    ``operations`` (``flow_name``, ``step_label``) limits the steps to those a flow still
-    has. A successful step shows as idle with its elapsed time.
+    ``operations`` (``flow_name``, ``step_label``) names the steps the flows have now: others
+    are left out and those without a run are idle. A successful step shows as idle with its
+    elapsed time.
     """
     status = F.lower(F.trim("status"))
     rows = step_runs.where(status.isin("started", *TERMINAL))
@@ -318,7 +319,7 @@ def step_tracker(step_runs: DataFrame, operations: DataFrame | None = None) -> D
         .when(F.col("__state.status") == "success", "idle")
         .otherwise(F.col("__state.status"))
     )
-    return latest.join(touched, "flow_name").select(
+    tracked = latest.join(touched, "flow_name").select(
         "flow_name",
         "step_label",
         shown.alias("state"),
@@ -328,6 +329,16 @@ def step_tracker(step_runs: DataFrame, operations: DataFrame | None = None) -> D
         F.when(running, F.col("__state.started_at_utc")).alias("started_at_utc"),
         (F.col("last_id") == F.col("__touched")).alias("is_current"),
     )
+    if operations is None:
+        return tracked
+    # Steps that never ran are idle.
+    listed = operations.select("flow_name", "step_label").distinct()
+    return listed.join(tracked, ["flow_name", "step_label"], "left").withColumns(
+        {
+            "state": F.coalesce("state", F.lit("idle")),
+            "is_current": F.coalesce("is_current", F.lit(False)),
+        }
+    )
 
 
 def latest_run(runs: DataFrame) -> DataFrame:

@@ -502,10 +502,13 @@ class Warehouse:
 
     # -- maintenance --------------------------------------------------------------------
 
-    def drop_null_columns(self, tables: str | Sequence[str] | None = None) -> DataFrame:
+    def drop_null_columns(
+        self, tables: str | Sequence[str] | None = None, *, compact_files: bool = False
+    ) -> DataFrame:
         """Rewrite tables without their all-NULL columns; one report row per table.
 
         The first column stays where all are empty, and a one-column table is left alone.
+        ``compact_files`` rewrites the other tables too, into evenly sized files.
         """
         known = self.tables()
         names = known if tables is None else clean_names(tables, "tables")
@@ -521,7 +524,7 @@ class Warehouse:
                 dropped = [c for c in frame.columns if counts[c] == 0]
                 if len(dropped) == len(frame.columns):
                     dropped = dropped[1:]
-            if dropped:
+            if dropped or compact_files:
                 parts = [c for c in state["partition_by"] if c not in dropped]
                 # Even-sized files, whatever pieces the table was written in.
                 kept = frame.drop(*dropped).hint("rebalance")

@@ -197,12 +197,17 @@ def steps(spark):
 
 
 def test_step_tracker(spark):
-    known = spark.createDataFrame([("f", "read"), ("f", "write"), ("g", "read")], "flow_name string, step_label string")
+    known = spark.createDataFrame(
+        [("f", "read"), ("f", "write"), ("g", "read"), ("g", "never")], "flow_name string, step_label string"
+    )
     got = {
         (r.flow_name, r.step_label): (r.state, r.elapsed_seconds, r.is_current)
         for r in el.step_tracker(steps(spark), known).collect()
     }
-    assert got == {("f", "read"): ("idle", 4.0, True), ("f", "write"): ("failed", 0.0, False), ("g", "read"): ("running", None, True)}
+    assert got == {
+        ("f", "read"): ("idle", 4.0, True), ("f", "write"): ("failed", 0.0, False),
+        ("g", "read"): ("running", None, True), ("g", "never"): ("idle", None, False),
+    }
     everything = {r.step_label: r.elapsed_seconds for r in el.step_tracker(steps(spark)).where("flow_name = 'f'").collect()}
     assert everything["old"] == 0.0
 

@@ -262,3 +262,7 @@ def test_dropping_null_columns(spark, warehouse):
     assert warehouse.frame("c").columns == ["x"] and warehouse.frame("c").count() == 2
     with pytest.raises(ValueError):
         warehouse.drop_null_columns(["nope"])
+    for i in range(4):
+        warehouse.evolve_append("d", spark.range(i, i + 1).select(F.lit("x").alias("only")))
+    warehouse.drop_null_columns("d", compact_files=True)
+    assert warehouse.frame("d").count() == 6 and len(warehouse.frame("d").inputFiles()) == 1
