@@ -321,13 +321,16 @@ class Warehouse:
             *parts
         ).parquet(path)
 
-    def _drop_partitions(self, table: str, column: str, keys: DataFrame) -> None:
+    def _drop_partitions(self, table: str, column: str, keys: Sequence[str]) -> None:
         """Remove the partition folders of some keys."""
-        # The folder names come from Spark itself; only the partition column is read.
+        if not keys:
+            return
+        # The folder names come from Spark itself. Literal keys prune the scan to their
+        # partitions, and no column of the files is read.
         folder = F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1)
-        found = self.frame(table).select(column, folder.alias("__folder"))
-        for row in found.join(keys, column, "left_semi").select("__folder").distinct().collect():
-            uri = self.spark._jvm.java.net.URI(row["__folder"])
+        found = self.frame(table).where(F.col(quoted(column)).isin(list(keys)))
+        for row in found.select(folder.alias("folder")).distinct().collect():
+            uri = self.spark._jvm.java.net.URI(row["folder"])
             path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -345,7 +348,8 @@ class Warehouse:
         if column in df.columns:
             raise ValueError(f"Column {column!r} exists already.")
         tagged = self._storable(df).withColumn(column, F.lit(key))
-        self._replace_slices(table, tagged, local_frame(self.spark, {column: [key]}), column)
+        keys = local_frame(self.spark, {column: [key]})
+        self._replace_slices(table, tagged, keys, column, one_key=True)
         return tagged
 
     def replace_files(
@@ -361,7 +365,9 @@ class Warehouse:
             raise ValueError(f"Rows and keys need the column {column!r}.")
         self._replace_slices(table, self._storable(df), keys.select(column).distinct(), column)
 
-    def _replace_slices(self, table: str, df: DataFrame, keys: DataFrame, column: str) -> None:
+    def _replace_slices(
+        self, table: str, df: DataFrame, keys: DataFrame, column: str, one_key: bool = False
+    ) -> None:
         state = self._state(table)
         if state is None:
             self.write(table, df, partition_by=[column])
@@ -374,10 +380,19 @@ class Warehouse:
             kept = stored.join(keys, column, "left_anti").select(*_columns(schema.names))
             self.write(table, kept.unionByName(rows), partition_by=state["partition_by"])
             return
-        # Written rows replace their partitions; keys without rows are removed after that.
-        self._overwrite_partitions(table, state, rows)
-        written = rows.select(column).distinct()
-        self._drop_partitions(table, column, keys.join(written, column, "left_anti"))
+        if one_key:
+            # One row is enough to tell whether the slice is replaced or removed.
+            if df.isEmpty():
+                self._drop_partitions(table, column, [row[0] for row in keys.collect()])
+            else:
+                self._overwrite_partitions(table, state, rows)
+        else:
+            # Written rows replace their partitions; keys without rows are removed after that.
+            self._overwrite_partitions(table, state, rows)
+            written = rows.select(column).distinct()
+            empty = keys.join(written, column, "left_anti")
+            # File keys, not data: changed files that turned out to have no rows.
+            self._drop_partitions(table, column, [row[0] for row in empty.collect()])
         self._publish(table, state["version"], schema, state["partition_by"])
 
     def replace_rows_by_values(self, table: str, df: DataFrame, *, column: str) -> DataFrame:

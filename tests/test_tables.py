@@ -96,6 +96,14 @@ def test_a_table_may_start_with_an_empty_file(spark, warehouse):
     assert rows(warehouse.frame("t")) == [(1, 10, "b")]
 
 
+def test_removing_a_slice_reads_its_partition_only(spark, warehouse):
+    for key in "abc":
+        warehouse.replace_rows_by_file("t", claims(spark, (1, 10)), file_hash=key)
+    pruned = warehouse.frame("t").where(F.col("file_key").isin(["a"])).select(F.input_file_name())
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(file_key" in plan and "ReadSchema: struct<>" in plan
+
+
 def test_replacing_many_files_at_once(spark, warehouse):
     kind = "claim_id bigint, file_key string"
     warehouse.write("flat", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], kind))
