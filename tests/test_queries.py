@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from millrace.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("MILLRACE_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = (
@@ -34,19 +35,20 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
-    frame = entry_points.queries()[name](spark, FOLDER)
+    frame = QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
     got = sorted(tuple(plain(row[c]) for c in columns) for row in frame.collect())
-    cursor = sql.execute(entry_points.oracle_sql()[name])
+    cursor = sql.execute(ORACLES[name])
     names = [item[0] for item in cursor.description]
     expected = sorted(tuple(plain(row[names.index(c)]) for c in columns) for row in cursor.fetchall())
     assert sorted(names) == columns
