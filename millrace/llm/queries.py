@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe import encode_documents
 from millrace.llm.common import prepare
+from millrace.llm.fingerprints import fingerprint_documents
 from millrace.llm.mixing import SEED, mixing_plan
+from millrace.llm.toxicity import THRESHOLD, checksum, score_documents, train, training_sample
 from millrace.llm.urls import judge_urls
 
 QUERIES = {}
@@ -107,3 +110,33 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "target",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+@query("op7_document_fingerprints")
+def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learnt = docs.filter(checksum("doc_id") % 3 != 1)
+    model = train(training_sample(learnt, table(spark, folder, "labels")))
+    return score_documents(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (checksum("id") % 3 == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_bpe_codec")
+def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode_documents(table(spark, folder, "documents"), vocabulary_path(), digest=True)
+    return encoded.withColumnRenamed("id", "doc_id")
