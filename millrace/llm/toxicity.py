@@ -7,8 +7,8 @@ of labelled documents. A misspelling that was never seen shares most of its n-gr
 word it stands for, and with them its vector.
 
 A document's score is that of its most toxic window, so long texts do not dilute a passage.
-Training follows: windows first carry their document's label; later only the window of a toxic
-document that the model finds most toxic does.
+Training follows: windows first carry their document's label; then the model starts anew with,
+of a toxic document, only the windows that the first one finds toxic, one at least.
 
 Scoring runs in tasks over all whole texts, with the averaged product of table and softmax as a
 vector of bounded size.
@@ -34,15 +34,19 @@ from millrace.functions.sortkeys import quoted
 from millrace.llm.common import Words, mix64, prepare, steps, texts
 
 #: Rows of the embedding table, numbers of a row, and lengths of the n-grams in bytes.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 DIMENSIONS = 8
-GRAMS = (4, 5)
+GRAMS = (3, 4)
 #: Words of a window and distance of window starts.
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 8, 4
 #: The bound of the training sample, in documents and in words of them.
 TRAIN_DOCUMENTS = 5_000
 TRAIN_WORDS = 3_000_000
-EPOCHS = (4, 4)
+RATE, DECAY, STEP = 0.5, 1e-4, 0.05
+#: Documents that a table row must have been seen in to count.
+LEAST_DOCUMENTS = 4
+WINDOWS_PER_STEP = 512
+PHASES = (2, 4)
 THRESHOLD = 0.7
 
 _MARK = np.uint64(0x9AE16A3B2F90404F)
@@ -88,13 +92,13 @@ def subwords(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return rows, first
 
 
-def windows(first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(first_word: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, end and text of each window; a text without words has none."""
     many = np.diff(first_word)
-    count = np.where(many > 0, 1 + np.maximum(many - WINDOW + STRIDE - 1, 0) // STRIDE, 0)
+    count = np.where(many > 0, 1 + np.maximum(many - WINDOW + stride - 1, 0) // stride, 0)
     owner = np.repeat(np.arange(len(many)), count)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    start = first_word[owner] + number * STRIDE
+    start = first_word[owner] + number * stride
     return start, np.minimum(start + WINDOW, first_word[owner + 1]), owner
 
 
@@ -130,58 +134,66 @@ def fit(rows: np.ndarray, bounds: np.ndarray, owner: np.ndarray, label: np.ndarr
     share = float(label.mean()) if len(label) else 0.0
     if not len(owner) or share in (0.0, 1.0):
         edge = np.clip(share, 1e-6, 1 - 1e-6)
-        return Model(np.zeros(BUCKETS), float(np.log(edge / (1 - edge))))
-    rng = np.random.default_rng(seed)
-    table = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
-    softmax = rng.uniform(-0.5, 0.5, (2, DIMENSIONS)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    # One step size per table row and per softmax weight, from the squares seen so far.
-    seen_table = np.full(BUCKETS, 1e-6, np.float32)
-    seen_softmax, seen_bias = np.full_like(softmax, 1e-3), np.full_like(bias, 1e-3)
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(edge / (1 - edge))))
     truth = label[owner].astype(np.float32)
     size = np.diff(bounds)
     chosen = np.arange(len(owner))
-    per_step = 512
-    for phase, epochs in enumerate(EPOCHS):
+    for phase, epochs in enumerate(PHASES):
         if phase:
-            difference = softmax[1] - softmax[0]
-            value = (table @ difference)[rows]
-            logit = np.add.reduceat(value, bounds[:-1]) / size
+            logit = np.concatenate(
+                [
+                    np.add.reduceat(weights[rows[bounds[i] : bounds[min(i + 4096, len(size))]]], bounds[i : i + 4096][: len(size) - i] - bounds[i])
+                    for i in range(0, len(size), 4096)
+                ]
+            ) / size + bias
             order = np.lexsort((-logit, owner))
             top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
-            chosen = np.union1d(np.flatnonzero(truth == 0), top)
-        for epoch in range(epochs):
-            rate = 0.3 / (1 + epoch)
-            order = rng.permutation(chosen)
-            for at in range(0, len(order), per_step):
-                batch = np.sort(order[at : at + per_step])
-                many = size[batch]
-                place = np.repeat(bounds[batch] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                index = rows[place]
-                window = np.repeat(np.arange(len(batch)), many)
-                starts = np.cumsum(many) - many
-                mean = np.add.reduceat(table[index], starts, axis=0) / many[:, None].astype(np.float32)
-                p = _sigmoid(mean @ (softmax[1] - softmax[0]) + bias[1] - bias[0])
-                error = np.stack([truth[batch] - p, p - truth[batch]], 1)  # of labels 0 and 1
-                pull = (error @ softmax) / many[:, None].astype(np.float32)
-                grad_softmax = error.T @ mean / len(batch)
-                grad_bias = error.mean(0)
-                touched, inverse = np.unique(index, return_inverse=True)
-                change = np.empty((len(touched), DIMENSIONS), np.float32)
-                for d in range(DIMENSIONS):
-                    change[:, d] = np.bincount(inverse, weights=pull[window, d], minlength=len(touched))
-                seen_table[touched] += (change**2).mean(1)
-                table[touched] -= rate * change / np.sqrt(seen_table[touched])[:, None]
-                seen_softmax += grad_softmax**2
-                seen_bias += grad_bias**2
-                softmax -= rate * grad_softmax / np.sqrt(seen_softmax)
-                bias -= rate * grad_bias / np.sqrt(seen_bias)
-    weights = (table @ (softmax[1] - softmax[0])).astype(np.float64)
-    # Rows that no training window touched keep their random start: they tell nothing.
-    known = np.zeros(BUCKETS, bool)
-    known[rows] = True
-    weights[~known] = 0.0
-    return Model(weights, float(bias[1] - bias[0]))
+            chosen = np.union1d(np.flatnonzero((truth == 0) | (logit > 0)), top)
+        weights, bias = _descend(rows, bounds, truth, chosen, epochs, seed + phase)
+    # Rows that hardly any document touches tell more about those than about the label.
+    documents = np.zeros(BUCKETS, np.int32)
+    limits = np.append(bounds[np.flatnonzero(np.diff(owner, prepend=-1))], bounds[-1])
+    for a, b in zip(limits[:-1], limits[1:], strict=True):
+        documents[np.unique(rows[a:b])] += 1
+    weights[documents < LEAST_DOCUMENTS] = 0.0
+    return Model(weights.astype(np.float32), bias)
+
+
+def _descend(
+    rows: np.ndarray, bounds: np.ndarray, truth: np.ndarray, chosen: np.ndarray, epochs: int, seed: int
+) -> tuple[np.ndarray, float]:
+    """Embeddings and softmax trained together on the chosen windows, from a fresh start.
+
+    Returns what each table row adds to the toxic logit, and the bias. A table row moves with
+    the number of windows that it is in, so n-grams of a few windows stay near zero.
+    """
+    rng = np.random.default_rng(seed)
+    table = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
+    softmax = rng.uniform(-1, 1, (2, DIMENSIONS)).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    size = np.diff(bounds)
+    for epoch in range(epochs):
+        rate = RATE / (1 + epoch)
+        order = rng.permutation(chosen)
+        for at in range(0, len(order), WINDOWS_PER_STEP):
+            batch = np.sort(order[at : at + WINDOWS_PER_STEP])
+            many = size[batch]
+            starts = np.cumsum(many) - many
+            place = np.repeat(bounds[batch] - starts, many) + np.arange(many.sum())
+            touched, index = np.unique(rows[place], return_inverse=True)
+            vectors = table[touched]
+            share = (1.0 / many).astype(np.float32)[:, None]
+            mean = np.add.reduceat(vectors[index], starts, axis=0) * share
+            p = _sigmoid(mean @ (softmax[1] - softmax[0]) + bias[1] - bias[0])
+            error = np.stack([truth[batch] - p, p - truth[batch]], 1)  # of labels 0 and 1
+            pull = np.repeat(error @ softmax, many, axis=0)
+            change = np.stack(
+                [np.bincount(index, pull[:, d], len(touched)) for d in range(DIMENSIONS)], 1
+            ).astype(np.float32)
+            table[touched] = vectors * (1 - rate * DECAY) - rate * STEP * change
+            softmax -= rate * (error.T @ mean / len(batch) + DECAY * softmax)
+            bias -= rate * error.mean(0)
+    return table @ (softmax[1] - softmax[0]), float(bias[1] - bias[0])
 
 
 def checksum(id_column: str) -> Column:
@@ -218,7 +230,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             a, b = words.first[i], words.first[i + 1]
             out.append(
-                (rows[first[a] : first[b]].astype("<u4").tobytes(), np.diff(first[a : b + 1]).astype("<u4").tobytes())
+                (rows[first[a] : first[b]].astype(np.int32).tobytes(), np.diff(first[a : b + 1]).astype("<u4").tobytes())
             )
         yield pa.RecordBatch.from_arrays(
             [
@@ -246,20 +258,20 @@ def train(sample: DataFrame, most_words: int = TRAIN_WORDS) -> Model:
     for row in fetched.toLocalIterator():
         if total >= most_words:
             break
-        rows = np.frombuffer(row["rows"], "<u4")
+        rows = np.frombuffer(row["rows"], np.int32)
         per_word = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
         total += len(per_word)
         first = np.concatenate([[0], np.cumsum(per_word)])
-        start, end, _ = windows(np.array([0, len(per_word)]))
+        start, end, _ = windows(np.array([0, len(per_word)]), WINDOW)
         for a, b in zip(first[start], first[end], strict=True):
             all_rows.append(rows[a:b])
             all_sizes.append(b - a)
             owner.append(n)
         label.append(row["label"] > 0)
         n += 1
-    rows = np.concatenate(all_rows) if all_rows else np.zeros(0, np.uint32)
+    rows = np.concatenate(all_rows) if all_rows else np.zeros(0, np.int32)
     bounds = np.concatenate([[0], np.cumsum(all_sizes)]).astype(np.int64)
-    return fit(rows.astype(np.int32), bounds, np.array(owner, np.int64), np.array(label, np.float64))
+    return fit(rows, bounds, np.array(owner, np.int64), np.array(label, np.float64))
 
 
 def score_documents(
