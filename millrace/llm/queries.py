@@ -9,6 +9,7 @@ from millrace.llm.bpe import encode_documents
 from millrace.llm.common import prepare
 from millrace.llm.fingerprints import fingerprint_documents
 from millrace.llm.mixing import SEED, mixing_plan
+from millrace.llm.ngram_join import similar_documents
 from millrace.llm.toxicity import THRESHOLD, checksum, score_documents, train, training_sample
 from millrace.llm.urls import judge_urls
 
@@ -140,3 +141,8 @@ def vocabulary_path() -> str:
 def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode_documents(table(spark, folder, "documents"), vocabulary_path(), digest=True)
     return encoded.withColumnRenamed("id", "doc_id")
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_documents(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
