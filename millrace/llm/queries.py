@@ -10,6 +10,7 @@ from millrace.llm.common import prepare
 from millrace.llm.fingerprints import fingerprint_documents
 from millrace.llm.mixing import SEED, mixing_plan
 from millrace.llm.ngram_join import similar_documents
+from millrace.llm.suffix_dedup import repeated_bytes
 from millrace.llm.toxicity import THRESHOLD, checksum, score_documents, train, training_sample
 from millrace.llm.urls import judge_urls
 
@@ -146,3 +147,8 @@ def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
