@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import encode_documents
 from millrace.llm.common import prepare
 from millrace.llm.fingerprints import fingerprint_documents
+from millrace.llm.katz import katz_scores
 from millrace.llm.mixing import SEED, mixing_plan
 from millrace.llm.ngram_join import similar_documents
 from millrace.llm.suffix_dedup import repeated_bytes
@@ -152,3 +153,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_bytes(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_katz_backoff")
+def op4_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    scores = katz_scores(table(spark, folder, "documents"), checksum("doc_id") % 10 != 0)
+    return scores.withColumnRenamed("id", "doc_id")
