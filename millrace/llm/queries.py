@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_documents
 from millrace.llm.common import prepare
+from millrace.llm.embedding_dedup import near_duplicates
 from millrace.llm.fingerprints import fingerprint_documents
 from millrace.llm.katz import katz_scores
 from millrace.llm.mixing import SEED, mixing_plan
@@ -159,3 +160,8 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     scores = katz_scores(table(spark, folder, "documents"), checksum("doc_id") % 10 != 0)
     return scores.withColumnRenamed("id", "doc_id")
+
+
+@query("op3_embedding_near_dedup")
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
