@@ -10,6 +10,7 @@ from millrace.llm.common import prepare
 from millrace.llm.embedding_dedup import near_duplicates
 from millrace.llm.fingerprints import fingerprint_documents
 from millrace.llm.katz import katz_scores
+from millrace.llm.licenses import TEMPLATES, scan_licenses
 from millrace.llm.mixing import SEED, mixing_plan
 from millrace.llm.ngram_join import similar_documents
 from millrace.llm.suffix_dedup import repeated_bytes
@@ -165,3 +166,48 @@ def op4_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_embedding_near_dedup")
 def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _template_rows() -> str:
+    quote = "'"
+    return ", ".join(
+        "(" + ", ".join(quote + part.replace(quote, quote * 2) + quote for part in pair) + ")"
+        for pair in TEMPLATES.items()
+    )
+
+
+@query(
+    "op9_license_scans",
+    rf"""
+    WITH templates(license, unit) AS (VALUES {_template_rows()}),
+    cut AS (
+        SELECT DISTINCT doc_id, text,
+               unnest(list_distinct([text] || string_split_regex(text, '\n[ \t\r\n]*\n') || string_split(text, chr(10)))) AS unit
+        FROM documents WHERE text IS NOT NULL),
+    every AS (
+        SELECT doc_id, text, NULL AS license, unit FROM cut
+        UNION ALL SELECT NULL, NULL, license, unit FROM templates),
+    clean AS (
+        SELECT DISTINCT doc_id, text, license,
+               trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^a-z0-9]+', ' ', 'g')) AS unit
+        FROM every),
+    words AS (SELECT *, string_split(unit, ' ') AS w FROM clean),
+    grams AS (
+        SELECT doc_id, text, license, unit,
+               list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+        FROM words WHERE len(w) > 1),
+    pairs AS (
+        SELECT u.doc_id, u.text, t.license,
+               2.0::DOUBLE * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice
+        FROM grams u JOIN grams t ON u.license IS NULL AND t.license IS NOT NULL
+             AND 2 * least(len(u.g), len(t.g)) >= 0.8 * (len(u.g) + len(t.g))),
+    best AS (
+        SELECT doc_id, text, first(license ORDER BY dice DESC, license) AS license, max(dice) AS dice, count(*) AS n_matches
+        FROM pairs WHERE dice >= 0.8::DOUBLE GROUP BY doc_id, text)
+    SELECT d.doc_id, license, dice, coalesce(n_matches, 0) AS n_matches
+    FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id AND d.text = b.text
+    """,
+)
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
