@@ -32,17 +32,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.sortkeys import quoted
 from millrace.llm.common import Words, components, mix64, prepare, steps, stored, texts
+from millrace.operators.joins import null_safe_join
 
 SHINGLE = 5
 #: The threshold as a fraction of integers, so that no rounding decides.
 THRESHOLD = (4, 5)
 #: Groups of the rarity order (one total each, a fixed four megabytes) and of the points.
 RARITY_BITS = 20
-GROUPS = 32
+GROUPS = 256
+#: The highest coordinate that is kept: a point that reaches it is never left out.
+MOST = 65535
 #: Entries that a task sorts at a time, entries of a bucket, members of a block of a cell.
 ENTRIES_PER_SORT = 1 << 20
 ENTRIES_PER_BUCKET = 400_000
@@ -165,10 +169,10 @@ def _points(totals):
         for batch, data, offsets in steps(batches):
             out = []
             for found in shingle_sets(data, offsets):
-                point = np.bincount((found & _U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                point = np.minimum(np.bincount((found & _U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), MOST)
                 cells = mix64(prefix(found, totals.value) ^ _CELL) if len(found) else found
                 signs = found.sum(dtype=np.uint64), (mix64(found ^ _U64(77))).sum(dtype=np.uint64)
-                out.append((len(found), *np.array(signs, np.uint64).view(np.int64).tolist(), point.astype("<u4").tobytes(), cells.tobytes()))
+                out.append((len(found), *np.array(signs, np.uint64).view(np.int64).tolist(), point.astype("<u2").tobytes(), cells.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]],
@@ -273,9 +277,16 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- bound and verification -----------------------------------------------------------------
 
 
-def least_sum(a: Column, b: Column) -> Column:
-    """Sum of the smaller coordinates of two points given as arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+def points_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS)
+
+
+def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most that the sets of points, or of nodes by their upper corners, can overlap."""
+    total = np.minimum(a, b).sum(-1, dtype=np.int64)
+    if (a == MOST).any() and (b == MOST).any():
+        total[((a == MOST).any(-1) & (b == MOST).any(-1))] = np.iinfo(np.int64).max
+    return total
 
 
 def _within_reach(pairs: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +294,8 @@ def _within_reach(pairs: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pairs:
         if not batch.num_rows:
             continue
-        points = [
-            np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-            for name in ("point_a", "point_b")
-        ]
         sizes = [batch.column(name).to_numpy() for name in ("n_a", "n_b")]
-        good = np.minimum(*points).sum(1) >= needed(*sizes)
+        good = reach(points_of(batch.column("point_a")), points_of(batch.column("point_b"))) >= needed(*sizes)
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
@@ -344,7 +351,8 @@ def verified(pairs: DataFrame, points: DataFrame, rows: DataFrame, label: str) -
 
 
 def tree_pairs(sizes: np.ndarray, points: np.ndarray, group: np.ndarray, side: np.ndarray | None = None):
-    """Index pairs of points of different groups that the bounds let through.
+    """Index pairs of points of different groups that the bounds let through, with the bound
+    as a multiple of the overlap needed.
 
     Points are packed into leaves by size and first coordinates; leaf corners are compared
     first, then the points of leaves that may hold a link. ``side``, if given, are the blocks
@@ -362,55 +370,73 @@ def tree_pairs(sizes: np.ndarray, points: np.ndarray, group: np.ndarray, side: n
         # Leaves are in the order of size: those from i on, as far as sizes may go together.
         last = int(np.searchsorted(p * low, q * high[i], side="right"))
         others = np.arange(i, max(last, i + 1))
-        reach = np.minimum(corner[others], corner[i]).sum(1) >= needed(low[i], low[others])
+        possible = reach(corner[others], corner[i][None]) >= needed(low[i], low[others])
         alone = (same_low[i] == same_high[i]) & (same_low[others] == same_high[others]) & (same_low[others] == same_low[i])
-        for j in others[reach & ~alone]:
+        for j in others[possible & ~alone]:
             x, y = np.arange(cuts[i], min(cuts[i] + LEAF, n)), np.arange(cuts[j], min(cuts[j] + LEAF, n))
-            overlap = np.minimum(ordered[x][:, None, :], ordered[y][None, :, :]).sum(2)
-            good = (overlap >= needed(size[x][:, None], size[y][None, :])) & (kind[x][:, None] != kind[y][None, :])
+            most = reach(ordered[x][:, None, :], ordered[y][None, :, :])
+            good = (most >= needed(size[x][:, None], size[y][None, :])) & (kind[x][:, None] != kind[y][None, :])
             if i == j:
                 good &= x[:, None] < y[None, :]
             if side is not None:
                 good &= side[order][x][:, None] != side[order][y][None, :]
             a, b = np.nonzero(good)
             if len(a):
-                yield order[x[a]], order[y[b]]
+                yield order[x[a]], order[y[b]], most[a, b] / needed(size[x[a]], size[y[b]])
+
 
+def _cell_pairs(best: bool):
+    """Rows come sorted by cell and block pair: ``key, i, j, block, id, n, group, point``.
 
-def _cell_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell and block pair: ``key, i, j, block, id, n, group, point``."""
+    With ``best`` only the most promising pair of any two components is given.
+    """
 
     def close(at, held):
         ids, sizes, groups = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
         points, blocks = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
         side = blocks if at[1] != at[2] else None
-        for a, b in tree_pairs(sizes, points, groups, side):
-            x, y = ids[a], ids[b]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
-            )
+        found = list(tree_pairs(sizes, points, groups, side))
+        if not found:
+            return
+        a, b, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+        if best:
+            low, high = np.minimum(groups[a], groups[b]), np.maximum(groups[a], groups[b])
+            order = np.lexsort((-score, high, low))
+            new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+            a, b = a[order[new]], b[order[new]]
+        x, y = ids[a], ids[b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
+        )
 
-    at, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(name).to_numpy() for name in ("key", "i", "j")], 1)
-        ids, n, group, block = (batch.column(name).to_numpy() for name in ("id", "n", "component_id", "block"))
-        points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-        for start, end in zip(cut, np.append(cut[1:], len(ids)), strict=True):
-            here = tuple(keys[start].tolist())
-            if here != at and held:
-                yield from close(at, held)
-                held = []
-            at = here
-            held.append((ids[start:end], n[start:end], group[start:end], points[start:end], block[start:end]))
-    if held:
-        yield from close(at, held)
-
-
-def across_components(stars: DataFrame, group: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of one cell but different components that the bounds let through."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(name).to_numpy() for name in ("key", "i", "j")], 1)
+            ids, n, group, block = (batch.column(name).to_numpy() for name in ("id", "n", "component_id", "block"))
+            points = points_of(batch.column("point"))
+            cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+            for start, end in zip(cut, np.append(cut[1:], len(ids)), strict=True):
+                here = tuple(keys[start].tolist())
+                if here != at and held:
+                    yield from close(at, held)
+                    held = []
+                at = here
+                held.append((ids[start:end], n[start:end], group[start:end], points[start:end], block[start:end]))
+        if held:
+            yield from close(at, held)
+
+    return run
+
+
+def across_components(stars: DataFrame, group: DataFrame, points: DataFrame, best: bool) -> DataFrame:
+    """Pairs of one cell but different components that the bounds let through.
+
+    With ``best`` one pair for any two components of a cell: most components that belong
+    together do so by many links, and one is enough to join them.
+    """
     marked = stars.join(group.toDF("a", "group_a"), "a", "left").join(group.toDF("b", "group_b"), "b", "left")
     split = marked.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("key").distinct()
     inside = stars.join(split, "key", "left_semi")
@@ -441,7 +467,7 @@ def across_components(stars: DataFrame, group: DataFrame, points: DataFrame) ->
         placed.select("key", "i", "j", "block", "id", "n", "component_id", "point")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_cell_pairs, "a long, b long")
+        .mapInArrow(_cell_pairs(best), "a long, b long")
         .distinct()
     )
 
@@ -470,9 +496,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     standing = stored(standing.select("id", "n", "point"), "standing")
     pairs = stored(stars.select("a", "b").distinct(), "pairs")
     links = verified(pairs, standing, rows, "star")
-    group = stored(components(links, "star"), "groups")
-    more = across_components(stars, group, standing).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(more, standing, rows, "cross"))
+    for label, best in (("best", True), ("cross", False)):
+        group = stored(components(links, label), "groups")
+        more = across_components(stars, group, standing, best).join(pairs, ["a", "b"], "left_anti")
+        more = stored(more, "pairs")
+        links = links.unionByName(verified(more, standing, rows, label))
+        pairs = pairs.unionByName(more)
     # Rows that share an id are one document, whichever classes they are in.
     several = points.filter("n > 0").groupBy("id").agg(F.count_distinct(*signs).alias("k")).filter("k > 1")
     joined = points.join(several.select("id"), "id", "left_semi").join(classes, signs)
@@ -490,3 +519,16 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
             F.nullif(F.coalesce("component_id", "id"), F.lit(_NO_ID)).alias("component_id"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component, the smallest id of each.
+
+    Documents without shingles are components of their own. Of rows with the same id and text
+    one stays.
+    """
+    found = similar_documents(docs, id_column, text_column)
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(id_column)).distinct()
+    same_type = docs.schema[id_column].dataType
+    kept = kept.withColumn(id_column, F.col(quoted(id_column)).cast(same_type))
+    return null_safe_join(docs, kept, [id_column], "left_semi").dropDuplicates([id_column, text_column])
