@@ -253,7 +253,7 @@ DIGEST = pa.schema(
 )
 
 
-def _encoded(content, digest: bool):
+def _encoded(content, digest: bool, decode: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
         names = {i: str(i) for i in vocabulary.tokens}
@@ -264,7 +264,7 @@ def _encoded(content, digest: bool):
                 rows = []
                 for text in part.column("text").to_pylist():
                     ids = vocabulary.encode(text)
-                    decoded = vocabulary.decode(ids)
+                    decoded = vocabulary.decode(ids) if decode or digest else None
                     if digest:
                         joined = " ".join(map(names.__getitem__, ids))
                         rows.append(
@@ -291,9 +291,12 @@ def encode_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     digest: bool = False,
+    decode: bool = True,
 ) -> DataFrame:
     """``(id, n_tokens, ids, decoded)`` per document, or digests of the last two.
 
+    Without ``decode`` the decoded text is null.
+
     With ``digest`` the ids in decimal, joined by a space, and the decoded text are hashed where
     they are made, so that long results need not travel.
     """
@@ -305,7 +308,7 @@ def encode_documents(
         if digest
         else "id long, n_tokens long, ids array<int>, decoded string"
     )
-    return texts(docs, id_column, text_column).mapInArrow(_encoded(content, digest), schema)
+    return texts(docs, id_column, text_column).mapInArrow(_encoded(content, digest, decode), schema)
 
 
 def decode_documents(

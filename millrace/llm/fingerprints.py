@@ -110,14 +110,8 @@ def code_points(text: str) -> np.ndarray:
 
 def longest_common_prefix(a: str, b: str) -> int:
     """How many code points two texts share at their start, by binary search."""
-    return PrefixHashes(np.concatenate([code_points(a), code_points(b)])).longest_common_extension(
-        0, len(a)
-    ) if min(len(a), len(b)) == 0 else min(
-        PrefixHashes(np.concatenate([code_points(a), code_points(b)])).longest_common_extension(
-            0, len(a)
-        ),
-        len(a),
-    )
+    hashes = PrefixHashes(np.concatenate([code_points(a), code_points(b)]))
+    return min(hashes.longest_common_extension(0, len(a)), len(a))
 
 
 def fingerprints(batch: Sequence[str]) -> list[str]:

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.sortkeys import quoted
 from millrace.llm.common import _BYTE, mix64, prepare, span_hashes, steps, stored, texts
 
 LENGTH = 50
@@ -460,11 +461,17 @@ def _cut(with_kept: bool):
     return run
 
 
-def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The documents with what is removed of each: ``id, sign, text, copy, starts, ends``."""
-    spark = prepare(docs.sparkSession)
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = texts(docs, id_column, text_column).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    rows = rows.withColumn("sign", F.xxhash64("text"))
+    return rows.withColumn("sign", F.xxhash64("text"))
+
+
+def removals(rows: DataFrame) -> DataFrame:
+    """What goes of the rows ``(id, text, sign)``: ``id, sign, copy, starts, ends``.
+
+    ``copy`` marks rows that are equal to one with a smaller id; the others have spans.
+    """
+    spark = prepare(rows.sparkSession)
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = rows.select(
         "id", "sign", F.xxhash64(F.lit(3), "text").alias("second"), F.octet_length("text").cast("bigint").alias("size")
@@ -509,8 +516,12 @@ def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         ),
         "spans",
     )
-    known = marks.filter("copy").select("id", "sign", "copy").join(spans, ["id", "sign"], "full")
-    return rows.join(known, ["id", "sign"], "left").select(
+    return marks.filter("copy").select("id", "sign", "copy").join(spans, ["id", "sign"], "full")
+
+
+def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    rows = _rows(docs, id_column, text_column)
+    return rows.join(removals(rows), ["id", "sign"], "left").select(
         "id", "sign", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "ends"
     )
 
@@ -526,3 +537,43 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``(id, n_bytes, n_removed, spans, kept)`` per document: what went, and the bytes left."""
     found = _marked(docs, id_column, text_column).mapInArrow(_cut(True), _RESULT)
     return found.drop("sign").withColumn("id", F.nullif("id", F.lit(_NO_ID)))
+
+
+def _strip(columns: list[str], text_column: str):
+    """Documents with their marks to documents with shorter texts. A character that loses one
+    of its bytes goes whole; a null text stays null."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_left = []
+            for text, copy, starts, ends in zip(
+                *[batch.column(c).to_pylist() for c in (text_column, "__copy", "__starts", "__ends")], strict=True
+            ):
+                if text is not None and (copy or starts):
+                    data = text.encode()
+                    if copy:
+                        text = "" if len(data) >= LENGTH else text
+                    else:
+                        a, b = merged(np.array(starts, np.int64), np.array(ends, np.int64))
+                        edges = zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)
+                        text = "".join(data[x:y].decode("utf-8", "ignore") for x, y in edges)
+                texts_left.append(text)
+            kept = pa.array(texts_left, batch.schema.field(text_column).type)
+            yield pa.RecordBatch.from_arrays(
+                [kept if c == text_column else batch.column(c) for c in columns], names=columns
+            )
+
+    return run
+
+
+def strip_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with the repeated strings cut out of their texts; all rows and columns stay."""
+    marks = removals(_rows(docs, id_column, text_column)).toDF("__id", "__sign", "__copy", "__starts", "__ends")
+    text = F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit(""))
+    keyed = docs.withColumns(
+        {
+            "__id": F.coalesce(F.col(quoted(id_column)).cast("bigint"), F.lit(_NO_ID)),
+            "__sign": F.xxhash64(text),
+        }
+    )
+    return keyed.join(marks, ["__id", "__sign"], "left").mapInArrow(_strip(docs.columns, text_column), docs.schema)
