@@ -1,13 +1,16 @@
-"""Named parquet tables below one root folder, with all-or-nothing replacement.
-
-A table is a folder that holds version folders of parquet files and one small JSON
-document, ``_current``, with the version in use, the schema and the partition columns. A
-replacement writes a new version folder and then renames a new document over the old one,
-so a reader sees the old table or the new one. The stored schema makes reading cheap (no
-footer is opened to infer it) and lets older files miss the columns added later.
-
-Slices of a partitioned table are replaced with Spark's dynamic partition overwrite, which
-touches only the partitions in question.
+"""Named parquet tables below one root folder; every change is all or nothing.
+
+A table is a folder of parquet segments and small numbered JSON documents. The document with the
+highest number is the table: it lists the schema and the segments in use. A change writes new
+segments beside the old ones and then publishes the next number, which fails if someone else
+has published that number meanwhile (``ConcurrentChange``). So a reader sees the table before
+or after a change, a frame made earlier can still be read until ``vacuum``, and no update is
+lost. The stored schema makes reading cheap (no footer is opened to infer it) and lets older
+segments miss the columns added later.
+
+A table with slice columns keeps its rows in a fixed number of buckets by a hash of those
+columns, which stay ordinary columns of the files, so NULL and empty text remain apart.
+Replacing slices rewrites the buckets they fall in and no others.
 """
 
 from __future__ import annotations
@@ -44,6 +47,17 @@ def clean_names(value, what: str) -> list[str]:
     return names
 
 
+#: How often an update starts anew that another one has overtaken.
+WRITE_ATTEMPTS = 5
+#: Buckets of a table with slice columns.
+BUCKETS = 64
+_BUCKET = "__bucket"
+
+
+class ConcurrentChange(RuntimeError):
+    """Another change of the table was published since its state was read."""
+
+
 class Folder:
     """The few file operations needed, on whichever file system Spark is configured for."""
 
@@ -72,6 +86,23 @@ class Folder:
             item.getPath().getName() for item in system.listStatus(target) if item.isDirectory()
         )
 
+    def files(self, path: str) -> list[str]:
+        target, system = self._on(path)
+        if not system.exists(target):
+            return []
+        return sorted(
+            item.getPath().getName() for item in system.listStatus(target) if item.isFile()
+        )
+
+    def listed(self, path: str) -> list[tuple[str, int, int]]:
+        """Path, modification time in milliseconds and size of the files in a folder."""
+        target, system = self._on(path)
+        return [
+            (item.getPath().toString(), item.getModificationTime(), item.getLen())
+            for item in system.listStatus(target)
+            if item.isFile() and not item.getPath().getName().startswith(("_", "."))
+        ]
+
     def read_text(self, path: str) -> str:
         target, system = self._on(path)
         stream = system.open(target)
@@ -81,7 +112,7 @@ class Folder:
             stream.close()
 
     def write_text(self, path: str, text: str) -> None:
-        """Write a small file beside its target, then rename it over the target."""
+        """Write a small file beside its target, then rename it; the target must not exist."""
         part = f"{path}.{uuid.uuid4().hex}.part"
         target, system = self._on(part)
         stream = system.create(target, True)
@@ -89,13 +120,20 @@ class Folder:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
+        final = self._jvm.org.apache.hadoop.fs.Path(path)
         options = self._jvm.org.apache.hadoop.fs.Options.Rename
-        rename = self._jvm.java.lang.reflect.Array.newInstance(options.OVERWRITE.getClass(), 1)
-        rename[0] = options.OVERWRITE
+        rename = self._jvm.java.lang.reflect.Array.newInstance(options.NONE.getClass(), 1)
+        rename[0] = options.NONE
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             target.toUri(), self._conf
         )
-        context.rename(target, self._jvm.org.apache.hadoop.fs.Path(path), rename)
+        try:
+            context.rename(target, final, rename)
+        except Exception as error:
+            system.delete(target, False)
+            if system.exists(final):
+                raise FileExistsError(path) from error
+            raise
 
 
 class Warehouse:
@@ -117,9 +155,18 @@ class Warehouse:
     def _home(self, table: str) -> str:
         return "/".join([self.folder.path, *self._parts(table)])
 
+    def _states(self, table: str) -> list[str]:
+        return [
+            name
+            for name in self.folder.files(self._home(table))
+            if name.startswith("_state-") and name.endswith(".json")
+        ]
+
     def _state(self, table: str) -> dict | None:
-        pointer = f"{self._home(table)}/_current"
-        return json.loads(self.folder.read_text(pointer)) if self.folder.exists(pointer) else None
+        numbered = self._states(table)
+        if not numbered:
+            return None
+        return json.loads(self.folder.read_text(f"{self._home(table)}/{numbered[-1]}"))
 
     def _known(self, table: str) -> dict:
         state = self._state(table)
@@ -141,7 +188,7 @@ class Warehouse:
             for parts in level:
                 for name in self.folder.children("/".join([self.folder.path, *parts])):
                     inner = [*parts, name]
-                    if self.folder.exists("/".join([self.folder.path, *inner, "_current"])):
+                    if self._states(".".join(inner)):
                         found.append(".".join(inner))
                     elif not name.startswith(("_", ".")):
                         deeper.append(inner)
@@ -150,13 +197,22 @@ class Warehouse:
 
     # -- reading ------------------------------------------------------------------------
 
+    def _read(self, table: str, state: dict, buckets: Iterable[str] | None = None) -> DataFrame:
+        """The rows of a state, of some buckets if they are named."""
+        schema = T.StructType.fromJson(state["schema"])
+        paths = sorted(
+            f"{self._home(table)}/{segment}" + (f"/{_BUCKET}={bucket}" if bucket else "")
+            for bucket, segments in state["segments"].items()
+            if buckets is None or bucket in buckets
+            for segment in segments
+        )
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths).select(*_columns(schema.names))
+
     def frame(self, table: str) -> DataFrame:
         """All rows of a table, as stored when this is called."""
-        state = self._known(table)
-        schema = T.StructType.fromJson(state["schema"])
-        version = f"{self._home(table)}/{state['version']}"
-        rows = self.spark.read.schema(schema).parquet(version)
-        return rows.select(*_columns(schema.names))
+        return self._read(table, self._known(table))
 
     def _selected(self, table: str, select) -> list[str]:
         names = self.schema(table).names
@@ -222,10 +278,20 @@ class Warehouse:
 
     # -- writing ------------------------------------------------------------------------
 
-    def _publish(self, table: str, version: str, schema: T.StructType, parts: list[str]) -> str:
-        state = {"version": version, "schema": schema.jsonValue(), "partition_by": parts}
-        self.folder.write_text(f"{self._home(table)}/_current", json.dumps(state))
-        return f"{self._home(table)}/{version}"
+    def _publish(
+        self, table: str, base: dict | None, schema: T.StructType, parts: Sequence[str],
+        segments: dict[str, list[str]],
+    ) -> None:
+        """Make this the table, unless it is no longer in the state ``base``."""
+        number = (base["number"] if base else 0) + 1
+        state = {
+            "number": number, "schema": schema.jsonValue(), "partition_by": list(parts),
+            "segments": segments,
+        }
+        try:
+            self.folder.write_text(f"{self._home(table)}/_state-{number:012d}.json", json.dumps(state))
+        except FileExistsError as error:
+            raise ConcurrentChange(f"Table {table!r} was changed meanwhile.") from error
 
     @staticmethod
     def _storable(df: DataFrame) -> DataFrame:
@@ -233,37 +299,58 @@ class Warehouse:
         empty = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
         return df.withColumns({name: F.col(quoted(name)).cast("string") for name in empty})
 
-    def _write_new(self, df: DataFrame, path: str, parts: list[str], mode: str = "error"):
-        if not parts:
-            df.write.mode(mode).parquet(path)
-            return
-        # Few files per partition, and several tasks for a partition that holds much.
-        df.hint("rebalance", *_columns(parts)).write.mode(mode).partitionBy(*parts).parquet(path)
+    def _bucket(self, parts: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(*_columns(parts)), F.lit(BUCKETS)).cast("int")
+
+    def _write_segment(self, table: str, df: DataFrame, parts: Sequence[str]) -> dict[str, list[str]]:
+        """Write rows to a new segment; returns it by bucket. Nothing refers to it yet."""
+        segment = f"v-{uuid.uuid4().hex}"
+        path = f"{self._home(table)}/{segment}"
+        try:
+            if not parts:
+                df.write.parquet(path)
+                return {"": [segment]}
+            # Few files per bucket, and several tasks for a bucket that holds much.
+            placed = df.withColumn(_BUCKET, self._bucket(parts)).hint("rebalance", _BUCKET)
+            placed.write.partitionBy(_BUCKET).parquet(path)
+        except Exception:
+            self.folder.delete(path)
+            raise
+        written = [name.partition("=")[2] for name in self.folder.children(path) if "=" in name]
+        return {bucket: [segment] for bucket in written}
+
+    def _change(
+        self, table: str, base: dict | None, schema: T.StructType, parts: Sequence[str], df: DataFrame,
+        merge=lambda written: written,
+    ) -> str:
+        """Write rows, publish what ``merge`` makes of their segment; returns its folder."""
+        written = self._write_segment(table, df, parts)
+        folder = next((f"{self._home(table)}/{s[0]}" for s in written.values()), self._home(table))
+        try:
+            self._publish(table, base, schema, parts, merge(written))
+        except Exception:
+            if written:
+                self.folder.delete(folder)
+            raise
+        return folder
 
     def write(self, table: str, df: DataFrame, *, partition_by: Sequence[str] = ()) -> str:
         """Replace a table with exactly these rows and columns; returns the data folder.
 
         If writing fails the old table stays and the unfinished folder is removed.
         """
-        df, parts = self._storable(df), list(partition_by)
+        df = self._storable(df)
         if not df.columns:
             raise ValueError("A table needs at least one column.")
-        version = f"v-{uuid.uuid4().hex}"
-        path = f"{self._home(table)}/{version}"
-        try:
-            self._write_new(df, path, parts)
-            return self._publish(table, version, df.schema, parts)
-        except Exception:
-            self.folder.delete(path)
-            raise
+        return self._change(table, self._state(table), df.schema, list(partition_by), df)
 
     def vacuum(self, table: str) -> int:
-        """Remove the folders of versions that are not in use; returns how many."""
-        current = self._known(table)["version"]
-        old = [name for name in self.folder.children(self._home(table))
-               if name.startswith("v-") and name != current]
-        for name in old:
-            self.folder.delete(f"{self._home(table)}/{name}")
+        """Remove the segments and documents that are not in use; returns how many segments."""
+        home, state = self._home(table), self._known(table)
+        used = {segment for segments in state["segments"].values() for segment in segments}
+        old = [n for n in self.folder.children(home) if n.startswith("v-") and n not in used]
+        for name in [*old, *self._states(table)[:-1]]:
+            self.folder.delete(f"{home}/{name}")
         return len(old)
 
     @staticmethod
@@ -303,43 +390,27 @@ class Warehouse:
 
     def evolve_append(self, table: str, df: DataFrame) -> None:
         """Append rows by column name, creating or widening the table."""
-        state = self._state(table)
+        self._append(table, self._state(table), df)
+
+    def _append(self, table: str, state: dict | None, df: DataFrame) -> None:
         df = self._storable(df)
         if state is None:
-            self.write(table, df)
+            self._change(table, None, df.schema, [], df)
             return
         schema = self._widened(T.StructType.fromJson(state["schema"]), df.schema)
-        path = f"{self._home(table)}/{state['version']}"
-        self._write_new(self._aligned(df, schema), path, state["partition_by"], "append")
-        self._publish(table, state["version"], schema, state["partition_by"])
-
-    def _overwrite_partitions(self, table: str, state: dict, df: DataFrame) -> None:
-        path = f"{self._home(table)}/{state['version']}"
-        parts = state["partition_by"]
-        spread = df.hint("rebalance", *_columns(parts))
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            *parts
-        ).parquet(path)
-
-    def _drop_partitions(self, table: str, column: str, keys: Sequence[str]) -> None:
-        """Remove the partition folders of some keys."""
-        if not keys:
-            return
-        # The folder names come from Spark itself. Literal keys prune the scan to their
-        # partitions, and no column of the files is read.
-        folder = F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1)
-        found = self.frame(table).where(F.col(quoted(column)).isin(list(keys)))
-        for row in found.select(folder.alias("folder")).distinct().collect():
-            uri = self.spark._jvm.java.net.URI(row["folder"])
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+        def merge(written):
+            buckets = {**state["segments"], **written}
+            return {b: [*state["segments"].get(b, []), *written.get(b, [])] for b in buckets}
+
+        self._change(table, state, schema, state["partition_by"], self._aligned(df, schema), merge)
 
     def replace_rows_by_file(
         self, table: str, df: DataFrame, *, file_hash: str, file_hash_column: str = "file_key"
     ) -> DataFrame:
         """Replace the rows of one source file; no rows in ``df`` means none are left.
 
-        A table made here is partitioned by the key column, so only the slice is written.
+        A table made here has the key column as its slice column, so only one bucket is written.
         Returns the incoming rows with their key.
         """
         key, column = str(file_hash).strip(), str(file_hash_column).strip()
@@ -349,7 +420,7 @@ class Warehouse:
             raise ValueError(f"Column {column!r} exists already.")
         tagged = self._storable(df).withColumn(column, F.lit(key))
         keys = local_frame(self.spark, {column: [key]})
-        self._replace_slices(table, tagged, keys, column, one_key=True)
+        self._replace_slices(table, tagged, keys, column)
         return tagged
 
     def replace_files(
@@ -365,38 +436,38 @@ class Warehouse:
             raise ValueError(f"Rows and keys need the column {column!r}.")
         self._replace_slices(table, self._storable(df), keys.select(column).distinct(), column)
 
-    def _replace_slices(
-        self, table: str, df: DataFrame, keys: DataFrame, column: str, one_key: bool = False
-    ) -> None:
+    def _replace_slices(self, table: str, df: DataFrame, keys: DataFrame, column: str) -> None:
+        """Put the rows of ``df`` in the place of those with one of ``keys``, NULL included.
+
+        ``df`` is evaluated once. Of ``keys`` the driver sees which buckets they fall in.
+        """
         state = self._state(table)
         if state is None:
             self.write(table, df, partition_by=[column])
             return
         schema = self._widened(T.StructType.fromJson(state["schema"]), df.schema)
-        rows = self._aligned(df, schema)
-        if state["partition_by"] != [column]:
-            stored = self._aligned(self.frame(table), schema)
-            # A row without a key belongs to no file and stays.
-            kept = stored.join(keys, column, "left_anti").select(*_columns(schema.names))
-            self.write(table, kept.unionByName(rows), partition_by=state["partition_by"])
+        rows, parts = self._aligned(df, schema), state["partition_by"]
+        keys = keys.select(F.col(quoted(column)).cast(schema[column].dataType).alias(column))
+        if parts != [column]:
+            kept = null_safe_join(self._aligned(self.frame(table), schema), keys, [column], "left_anti")
+            self._change(table, state, schema, parts, kept.unionByName(rows))
             return
-        if one_key:
-            # One row is enough to tell whether the slice is replaced or removed.
-            if df.isEmpty():
-                self._drop_partitions(table, column, [row[0] for row in keys.collect()])
-            else:
-                self._overwrite_partitions(table, state, rows)
-        else:
-            # Written rows replace their partitions; keys without rows are removed after that.
-            self._overwrite_partitions(table, state, rows)
-            written = rows.select(column).distinct()
-            empty = keys.join(written, column, "left_anti")
-            # File keys, not data: changed files that turned out to have no rows.
-            self._drop_partitions(table, column, [row[0] for row in empty.collect()])
-        self._publish(table, state["version"], schema, state["partition_by"])
+        touched = {str(r[0]) for r in keys.select(self._bucket(parts)).distinct().collect()}
+        stored = self._aligned(self._read(table, state, touched), schema)
+        kept = null_safe_join(stored, keys, [column], "left_anti")
+
+        def merge(written):
+            # A touched bucket without rows is gone; the others stay as they are.
+            old = {b: segments for b, segments in state["segments"].items() if b not in touched}
+            return {b: [*old.get(b, []), *written.get(b, [])] for b in {**old, **written}}
+
+        self._change(table, state, schema, parts, kept.unionByName(rows), merge)
 
     def replace_rows_by_values(self, table: str, df: DataFrame, *, column: str) -> DataFrame:
-        """Replace all rows whose ``column`` holds one of the incoming values, NULL included."""
+        """Replace all rows whose ``column`` holds one of the incoming values, NULL included.
+
+        A table made here has that column as its slice column.
+        """
         name = str(column).strip()
         if not name:
             raise ValueError("The column name must not be empty.")
@@ -406,20 +477,7 @@ class Warehouse:
         incoming = materialise(self._storable(df), "incoming")
         if incoming.isEmpty():
             raise ValueError("There are no incoming rows.")
-        state = self._state(table)
-        if state is None:
-            self.write(table, incoming)
-            return incoming
-        schema = self._widened(T.StructType.fromJson(state["schema"]), incoming.schema)
-        rows = self._aligned(incoming, schema)
-        if state["partition_by"] == [name]:
-            self._overwrite_partitions(table, state, rows)
-            self._publish(table, state["version"], schema, state["partition_by"])
-            return incoming
-        stored = self._aligned(self.frame(table), schema)
-        values = rows.select(F.col(quoted(name))).distinct()
-        kept = null_safe_join(stored, values, [name], "left_anti")
-        self.write(table, kept.unionByName(rows), partition_by=state["partition_by"])
+        self._replace_slices(table, incoming, incoming.select(F.col(quoted(name))).distinct(), name)
         return incoming
 
     # -- dimensions ---------------------------------------------------------------------
@@ -439,7 +497,17 @@ class Warehouse:
         if not key or key in names:
             raise ValueError(f"Not usable as key column: {key_column!r}")
         order = [SortKey(column, nulls_last=True) for column in _columns(names)]
-        stored = self.frame(table) if self.exists(table) else None
+        for attempt in range(WRITE_ATTEMPTS):
+            try:
+                return self._extend_dimension(table, df, key, names, order)
+            except ConcurrentChange:
+                # Someone else numbered combinations meanwhile: theirs are looked up anew.
+                if attempt + 1 == WRITE_ATTEMPTS:
+                    raise
+
+    def _extend_dimension(self, table: str, df: DataFrame, key: str, names, order) -> DataFrame:
+        state = self._state(table)
+        stored = None if state is None else self._read(table, state)
         rows = self._storable(df)
         if stored is not None:
             rows = self._aligned(rows, stored.select(*_columns(names)).schema)
@@ -448,11 +516,11 @@ class Warehouse:
         incoming = materialise(rows.distinct(), "dimension-input")
         new, highest = incoming, 0
         if stored is not None:
-            new = anti_join_null_safe(incoming, stored, names)
+            new = materialise(anti_join_null_safe(incoming, stored, names), "dimension-new")
             highest = stored.agg(F.max(F.col(quoted(key)))).first()[0] or 0
         if stored is None or not new.isEmpty():
             numbered = surrogate_numbering(new, key, order, start_after=highest)
-            self.evolve_append(table, numbered.select(F.col(quoted(key)), *_columns(names)))
+            self._append(table, state, numbered.select(F.col(quoted(key)), *_columns(names)))
         mapping = self.frame(table).select(*_columns(names), F.col(quoted(key)))
         if stored is not None:
             mapping = inner_join_null_safe(incoming, mapping, names)
@@ -542,7 +610,8 @@ class Warehouse:
             if dropped or compact_files:
                 parts = [c for c in state["partition_by"] if c not in dropped]
                 # Even-sized files, whatever pieces the table was written in.
-                kept = frame.drop(*dropped).hint("rebalance")
+                kept = frame.drop(*dropped)
+                kept = kept if parts else kept.hint("rebalance")
                 self.write(name, kept, partition_by=parts)
             report.append(dropped)
         return local_frame(

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import ConcurrentChange
+
 
 def rows(df, *order):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(str(v) for v in r))
@@ -96,12 +98,60 @@ def test_a_table_may_start_with_an_empty_file(spark, warehouse):
     assert rows(warehouse.frame("t")) == [(1, 10, "b")]
 
 
-def test_removing_a_slice_reads_its_partition_only(spark, warehouse):
-    for key in "abc":
+def test_replacing_a_slice_leaves_other_buckets_alone(spark, warehouse):
+    for key in "abcdefgh":
         warehouse.replace_rows_by_file("t", claims(spark, (1, 10)), file_hash=key)
-    pruned = warehouse.frame("t").where(F.col("file_key").isin(["a"])).select(F.input_file_name())
-    plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(file_key" in plan and "ReadSchema: struct<>" in plan
+    before = warehouse._known("t")["segments"]
+    warehouse.replace_rows_by_file("t", claims(spark, (2, 20)), file_hash="c")
+    after = warehouse._known("t")["segments"]
+    assert sum(before.get(b) != after.get(b) for b in {*before, *after}) == 1
+    assert warehouse.frame("t").count() == 8
+
+
+@pytest.mark.parametrize("partition_by", [[], ["s"], ["n"]])
+def test_null_and_empty_text_stay_apart(spark, warehouse, partition_by):
+    kind = "s string, n bigint"
+    warehouse.write("t", spark.createDataFrame([("", 1), (None, 2), ("x", 3)], kind), partition_by=partition_by)
+    for value, number in (("", 10), (None, 20), ("x", 30)):
+        warehouse.replace_rows_by_values("t", spark.createDataFrame([(value, number)], kind), column="s")
+        assert warehouse.frame("t").count() == 3
+    assert {(r.s, r.n) for r in warehouse.frame("t").collect()} == {("", 10), (None, 20), ("x", 30)}
+
+
+def test_a_frame_made_before_a_change_can_still_be_read(spark, warehouse):
+    warehouse.replace_rows_by_file("t", claims(spark, (1, 10)), file_hash="a")
+    before = warehouse.frame("t")
+    warehouse.replace_rows_by_file("t", claims(spark, (2, 20)), file_hash="a")
+    warehouse.evolve_append("t", claims(spark, (3, 30)))
+    assert rows(before) == [(1, 10, "a")]
+
+
+def test_a_change_that_was_overtaken_is_refused(spark, warehouse):
+    warehouse.write("t", claims(spark, (1, 10)))
+    state = warehouse._state("t")
+    warehouse.evolve_append("t", claims(spark, (2, 20)))
+    with pytest.raises(ConcurrentChange):
+        warehouse._append("t", state, claims(spark, (3, 30)))
+    assert rows(warehouse.frame("t")) == [(1, 10), (2, 20)]
+    assert warehouse.vacuum("t") == 0
+
+
+def test_two_dimension_builds_give_no_key_twice(spark, warehouse, monkeypatch):
+    build = warehouse.build_dimension
+    build("dim", spark.createDataFrame([("a",)], "name string"), key_column="key")
+    append, other = warehouse._append, []
+
+    def overtaken(table, state, df):
+        if not other:  # the second build comes between reading and publishing
+            other.append(1)
+            build("dim", spark.createDataFrame([("b",), ("c",)], "name string"), key_column="key")
+        return append(table, state, df)
+
+    monkeypatch.setattr(warehouse, "_append", overtaken)
+    build("dim", spark.createDataFrame([("c",), ("d",)], "name string"), key_column="key")
+    found = [(r["name"], r["key"]) for r in warehouse.frame("dim").collect()]
+    assert sorted(n for n, _ in found) == ["a", "b", "c", "d"]
+    assert sorted(k for _, k in found) == [1, 2, 3, 4]
 
 
 def test_replacing_many_files_at_once(spark, warehouse):
@@ -207,11 +257,20 @@ def test_a_failure_before_the_switch_leaves_the_old_table(spark, warehouse, monk
     def fail(*_):
         raise RuntimeError("switch failed")
 
+    warehouse.replace_rows_by_file("s", claims(spark, (1, 10)), file_hash="a")
     with monkeypatch.context() as patch:
         patch.setattr(warehouse.folder, "write_text", fail)
-        with pytest.raises(RuntimeError):
-            warehouse.write("t", claims(spark, (2, 20)))
+        for attempt in (
+            lambda: warehouse.write("t", claims(spark, (2, 20))),
+            lambda: warehouse.evolve_append("t", claims(spark, (2, 20))),
+            lambda: warehouse.replace_rows_by_values("t", claims(spark, (1, 20)), column="claim_id"),
+            lambda: warehouse.replace_rows_by_file("s", claims(spark, (2, 20)), file_hash="a"),
+            lambda: warehouse.build_dimension("t", claims(spark, (2, 20)).select("claim_id"), key_column="amount"),
+        ):
+            with pytest.raises(RuntimeError):
+                attempt()
     assert rows(warehouse.frame("t")) == [(1, 10)]
+    assert rows(warehouse.frame("s")) == [(1, 10, "a")]
 
 
 def test_vacuum_removes_old_versions_only(spark, warehouse):
