@@ -5,23 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import SortKey, quoted, tie_breaker
 from millrace.operators.filters import ColumnFilter, filter_rows
 from millrace.operators.numbering import surrogate_numbering
 
-# Preview sizes and the length of a list of distinct values.
-PREVIEW_ROWS = 200
-PREVIEW_ROWS_MIN = 1
-PREVIEW_ROWS_MAX = 500_000
-DISTINCT_VALUES = 500
-
 SortColumns = Sequence[tuple[str, bool]]
 
-
-# Up to this many rows the best rows of all tasks may meet in one task.
+# Up to this many rows the best rows of all tasks may meet in one task. The order, ties
+# included, is the same on both sides of it: it decides where rows are sorted, not which.
 TOP_K_IN_ONE_TASK = 10_000
 
 
@@ -39,15 +33,16 @@ def multi_sort(df: DataFrame, columns: SortColumns) -> DataFrame:
 def top_k(df: DataFrame, columns: SortColumns, k: int) -> DataFrame:
     """The first ``k`` rows in the order of ``multi_sort``.
 
-    For a small ``k`` each task keeps its own best rows and one task merges them. A large
+    Ties go by a hash of the row, so the first rows of a larger ``k`` are those of a smaller
+    one. For a small ``k`` each task keeps its own best rows and one task merges them. A large
     ``k`` would bring most of the dataset to that task, so the rows are numbered in a
     distributed sort instead.
     """
     if not columns:
-        return df.limit(k)
-    if k <= TOP_K_IN_ONE_TASK:
-        return df.orderBy(*[key.expression() for key in _keys(columns)]).limit(k)
+        return head(df, k)
     keys = [*_keys(columns), SortKey(tie_breaker(df))]
+    if k <= TOP_K_IN_ONE_TASK:
+        return df.orderBy(*[key.expression() for key in keys]).limit(k)
     numbered = surrogate_numbering(df, "__rank", keys)
     return numbered.where(F.col("__rank") <= k).orderBy("__rank").drop("__rank")
 
@@ -72,18 +67,26 @@ def filtered_preview(
     df: DataFrame,
     filters: Sequence[ColumnFilter] = (),
     sort: SortColumns = (),
-    limit: int = PREVIEW_ROWS,
+    limit: int | None = None,
 ) -> Preview:
-    """The first rows that pass the filters, and how many there are in all."""
-    limit = max(PREVIEW_ROWS_MIN, min(int(limit), PREVIEW_ROWS_MAX))
+    """The rows that pass the filters, the first ``limit`` if given, and how many there are.
+
+    A preview has one row at least.
+    """
     matching = filter_rows(df, *filters)
-    return Preview(top_k(matching, sort, limit), row_count(matching), len(df.columns))
+    rows = multi_sort(matching, sort) if limit is None else top_k(matching, sort, max(1, int(limit)))
+    return Preview(rows, row_count(matching), len(df.columns))
 
 
 @dataclass(frozen=True)
 class DistinctValues:
+    """``values`` has ``value, label, more``: ``more`` says that there are others."""
+
     values: DataFrame
-    truncated: bool
+
+    @property
+    def truncated(self) -> bool:
+        return not self.values.where("more").isEmpty()
 
 
 def distinct_values(
@@ -110,13 +113,19 @@ def distinct_values(
 
 
 def search_distinct(
-    df: DataFrame, column: str, *, limit: int = DISTINCT_VALUES, **options
+    df: DataFrame, column: str, *, limit: int | None = None, **options
 ) -> DistinctValues:
-    """At most ``limit`` distinct values with labels, and whether there are more."""
-    limit = max(1, limit)
+    """Distinct values with labels, the first ``limit`` if given, as a lazy frame."""
     values = distinct_values(df, column, **options)
     label = F.coalesce(F.col("value").cast("string"), F.lit("(blank)"))
-    # One value more than asked for tells whether the list is complete. The list is short by
-    # definition and is kept, so the dataset is scanned once.
-    listed = values.limit(limit + 1).select("value", label.alias("label")).toArrow()
-    return DistinctValues(df.sparkSession.createDataFrame(listed[:limit]), len(listed) > limit)
+    if limit is None:
+        return DistinctValues(values.select("value", label.alias("label"), F.lit(False).alias("more")))
+    limit = max(1, int(limit))
+    # One value more than asked for tells whether there are others. A limit meets in one task;
+    # its rows are numbered there, and no other row reaches the window.
+    listed = values.limit(limit + 1).withColumn("__place", F.monotonically_increasing_id())
+    many = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    listed = listed.withColumn("more", many > limit)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__place"))
+    first = listed.withColumn("__place", place).where(F.col("__place") <= limit)
+    return DistinctValues(first.select("value", label.alias("label"), "more"))
