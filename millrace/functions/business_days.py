@@ -27,8 +27,8 @@ DateLike = Column | str | date | datetime
 DEFAULT_MASK = (True, True, True, True, True, False, False)
 # 1970-01-01 was a Thursday, three days after a Monday.
 _EPOCH_SHIFT = 3
-# Up to this many days between first and last entry a count is one array read.
-_TABLE_SPAN = 60_000
+# Days of a block of the lookup tables.
+_BLOCK = 64
 
 
 def week_mask(mask: Iterable[bool] | None) -> tuple[bool, ...]:
@@ -75,20 +75,38 @@ def _literal_ints(values: list[int]) -> Column:
 
 
 def _count_at_most(values: list[int], bound: Column) -> Column:
-    """How many of the sorted ``values`` are <= ``bound``."""
+    """How many of the sorted ``values`` are <= ``bound``.
+
+    Two lookups, whatever the list: the values before the bound's block of days, and, in the
+    blocks that hold values, those up to the day. Blocks without values take one entry each,
+    so a stray date far from the others costs little.
+    """
     if not values:
         return F.lit(0)
-    low, high = values[0], values[-1]
-    if high - low > _TABLE_SPAN:
-        return F.size(F.filter(_literal_ints(values), lambda item: item <= bound))
-    # Entry 0 stands for everything before the first value, the last for all from the last on.
-    table, position = [0], 0
-    for day in range(low, high + 1):
-        while position < len(values) and values[position] <= day:
-            position += 1
-        table.append(position)
-    place = F.least(F.greatest(bound - (low - 1), F.lit(0)), F.lit(len(table) - 1))
-    return F.get(_literal_ints(table), place.cast("int"))
+    low = values[0]
+    blocks = (values[-1] - low) // _BLOCK + 1
+    before, start, inside, position = [], [], [], 0
+    for block in range(blocks):
+        first = low + block * _BLOCK
+        before.append(position)
+        if position == len(values) or values[position] >= first + _BLOCK:
+            start.append(-1)
+            continue
+        start.append(len(inside))
+        here = position
+        for day in range(first, first + _BLOCK):
+            while here < len(values) and values[here] <= day:
+                here += 1
+            inside.append(here - position)
+        position = here
+    before.append(len(values))
+    start.append(-1)
+    place = bound - low
+    block = F.least(F.floor(place / _BLOCK), F.lit(blocks)).cast("int")
+    table = F.get(_literal_ints(start), block)
+    within = F.get(_literal_ints(inside), (table + F.pmod(place, F.lit(_BLOCK))).cast("int"))
+    counted = F.get(_literal_ints(before), block) + F.when(table >= 0, within).otherwise(0)
+    return F.when(place < 0, 0).otherwise(counted)
 
 
 class BusinessCalendar:

@@ -101,8 +101,6 @@ def test_invalid_holidays(holiday, error):
 @pytest.mark.parametrize("seed", range(4))
 def test_against_numpy(spark, seed, monkeypatch):
     random.seed(seed)
-    # One of the seeds takes the path for holiday lists that span very many years.
-    monkeypatch.setattr(bd, "_TABLE_SPAN", 0 if seed == 3 else 60_000)
     mask = [random.random() < 0.6 for _ in range(7)]
     mask[random.randrange(7)] = True
     first = date(1960, 1, 1)
