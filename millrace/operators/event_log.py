@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions.paths import source_label
 from millrace.functions.sortkeys import sort_keys
 from millrace.operators.joins import one_row_per_key
-from millrace.operators.ordered import ROWS_PER_CHUNK, OrderedGroups
+from millrace.operators.ordered import OrderedGroups
 from millrace.operators.preview import top_k
 
 # The two message forms, and the states a run or step can be in.
@@ -175,31 +175,40 @@ def run_status(events: DataFrame) -> DataFrame:
     )
 
 
-def step_status(events: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def step_status(events: DataFrame, *, chunks: int | None = None) -> DataFrame:
     """The step rows of every run: an end replaces the latest matching open start.
 
     Starts and ends of one step and source nest like brackets. With the number of open
     starts after each event (never below zero), a start was left open when that number does
-    not fall below its own level later on. Ends, open starts and other rows remain.
+    not fall below its own level later on. Ends, open starts and other rows remain;
+    ``first_seq`` is their place in the run, for an end that of its start.
     """
     step = ["run_id", "flow_name", "step_name", "source_label"]
     started = F.col("status") == "started"
     change = F.when(started, 1).when(F.col("status").isin(TERMINAL), -1).otherwise(0)
     rows = events.where(F.col("run_id").isNotNull() & F.col("step_name").isNotNull())
-    groups = OrderedGroups(rows, step, sort_keys("seq"), rows_per_chunk)
+    groups = OrderedGroups(rows, step, sort_keys("seq"), chunks)
     groups.with_column("__change", change.cast("bigint"))
     groups.with_running("__sum", F.col("__change"))
     groups.with_running("__lowest", F.col("__sum"), "min")
     groups.with_column("__open", F.col("__sum") - F.least(F.lit(0), F.col("__lowest")))
     groups.with_running("__later", F.col("__open"), "min", backwards=True, exclusive=True)
     left_open = F.col("__later").isNull() | (F.col("__later") >= F.col("__open"))
+    # An end takes the place of the start it closes: the latest one of the level above it.
+    # Where nothing was open before an end, it closes nothing and has a place of its own.
+    groups.with_previous("__before", F.col("__open"))
+    level = F.when(started, F.col("__open")).otherwise(F.col("__open") + 1)
+    groups.with_column("__level", level)
+    groups.with_running("__start", F.when(started, F.col("seq")), "max", within=["__level"])
+    closes = F.col("status").isin(TERMINAL) & (F.col("__before.value") > 0)
+    groups.with_column("first_seq", F.when(closes, F.col("__start")).otherwise(F.col("seq")))
     kept = groups.rows().where(~started | left_open)
-    return kept.select(*step, "seq", "status", "elapsed_seconds", "created_at")
+    return kept.select(*step, "first_seq", "seq", "status", "elapsed_seconds", "created_at")
 
 
-def run_rollup(events: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> dict[str, DataFrame]:
+def run_rollup(events: DataFrame, *, chunks: int | None = None) -> dict[str, DataFrame]:
     """Event log to one row per run and one row per step."""
-    return {"runs": run_status(events), "steps": step_status(events, rows_per_chunk=rows_per_chunk)}
+    return {"runs": run_status(events), "steps": step_status(events, chunks=chunks)}
 
 
 def run_duration(runs: DataFrame, now: Column) -> DataFrame:
@@ -257,12 +266,12 @@ def fingerprint_dedupe(entries: DataFrame) -> DataFrame:
     return first.select("__first.*", *identity)
 
 
-def _newest(rows: DataFrame, order: str, limit: int) -> DataFrame:
-    return rows if limit < 0 else top_k(rows, [(order, True)], limit)
+def _newest(rows: DataFrame, order: str, limit: int | None) -> DataFrame:
+    return rows if limit is None or limit < 0 else top_k(rows, [(order, True)], limit)
 
 
-def run_summary(runs: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest runs of ``run_status`` with start, end, state and error, oldest first."""
+def run_summary(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The runs of ``run_status``, the newest ``limit`` if given, with start, end, state and error, oldest first."""
     ended = F.col("status").isin(TERMINAL)
     newest = _newest(runs, "first_seq", limit)
     return newest.orderBy("first_seq").select(
@@ -277,8 +286,8 @@ def run_summary(runs: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
-def run_logs(entries: DataFrame, run_id: str, limit: int = 500) -> DataFrame:
-    """The last log entries of one run with their level, oldest first."""
+def run_logs(entries: DataFrame, run_id: str, limit: int | None = None) -> DataFrame:
+    """The log entries of one run, the last ``limit`` if given, with their level, oldest first."""
     mine = entries.where(F.col("run_id") == run_id)
     return _newest(mine, "seq", limit).orderBy("seq").select(
         "seq",

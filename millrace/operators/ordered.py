@@ -5,10 +5,9 @@ large share of the rows. Two ways around it are used here:
 
 * first and last values are found by aggregation (``max_by`` over a comparable sort key),
   which combines before the shuffle, and are joined back to the rows;
-* running values are computed with an ordinary window as long as the largest group stays
-  below a bound. Above it the rows are range-partitioned by group and order, so a hot
-  group is spread over many chunks; each chunk is scanned on its own and receives what
-  the chunks before it add up to.
+* for running values the rows are stored once and range-partitioned by group and order, so a
+  hot group is spread over many chunks; each chunk is scanned on its own and receives what
+  the chunks before it add up to. This is the way at every size.
 """
 
 from __future__ import annotations
@@ -32,10 +31,6 @@ from millrace.functions.sortkeys import (
 from millrace.operators.joins import null_safe_join
 from millrace.session import materialise
 
-# Rows of one group that a task may sort and scan: a few gigabytes, which a sort can spill.
-# At a trillion rows this makes a hundred thousand chunks.
-ROWS_PER_CHUNK = 10_000_000
-
 
 def _named_groups(df: DataFrame, by) -> tuple[DataFrame, list[str], list[str]]:
     """Group columns by name; expressions become helper columns that are dropped later."""
@@ -130,7 +125,7 @@ class OrderedGroups:
         df: DataFrame,
         by,
         keys: Sequence[SortKey],
-        rows_per_chunk: int = ROWS_PER_CHUNK,
+        chunks: int | None = None,
     ) -> None:
         df, self.by, self._added = _named_groups(df, by)
         # Sort columns are stored under their own names, so that every step can use them
@@ -142,28 +137,25 @@ class OrderedGroups:
             SortKey(F.col(name), key.descending, key.nulls_last)
             for name, key in zip(order, keys)
         ]
-        self.chunk: list[str] = []
-        sizes = (
-            df.groupBy(*self._columns(self.by))
-            .count()
-            .agg(F.max("count").alias("largest"), F.sum("count").alias("total"))
-            .first()
-        )
-        if (sizes["largest"] or 0) > rows_per_chunk:
-            df = self._split(df, -(-sizes["total"] // rows_per_chunk))
-        self.df = df
-
-    def _split(self, df: DataFrame, chunks: int) -> DataFrame:
-        ranged = df.repartitionByRange(
-            max(2, int(chunks)),
+        self.chunk = ["__chunk"]
+        # Rows of equal order take theirs from a hash of the row, so that all columns, and any
+        # rerun, see one order.
+        df = df.withColumn("__tie", tie_breaker(df))
+        self.keys.append(SortKey(F.col("__tie")))
+        self._added += ["__tie", "__chunk"]
+        self.df = self._split(df, chunks)
+
+    def _split(self, df: DataFrame, chunks: int | None) -> DataFrame:
+        spark = df.sparkSession
+        count = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Stored before it is sampled: the input is evaluated once.
+        ranged = materialise(df, "ordered-rows").repartitionByRange(
+            max(2, count),
             *[column.asc_nulls_first() for column in self._columns(self.by)],
             *[key.expression() for key in self.keys],
-            tie_breaker(df),
-        ).withColumn("__chunk", F.spark_partition_id())
-        self.chunk = ["__chunk"]
-        self._added.append("__chunk")
+        )
         # Range bounds come from a sample; the stored copy makes the chunks final.
-        return materialise(ranged, "ordered-chunks")
+        return materialise(ranged.withColumn("__chunk", F.spark_partition_id()), "ordered-chunks")
 
     @staticmethod
     def _columns(names: Sequence[str]) -> list[Column]:
@@ -184,9 +176,6 @@ class OrderedGroups:
         """The previous row's ``value`` as a struct; NULL on the first row of a group."""
         boxed = F.struct(value.alias("value"))
         local = F.lag(boxed).over(self._window())
-        if not self.chunk:
-            self.df = self.df.withColumn(name, local)
-            return self
         totals = self.df.groupBy(*self._columns([*self.by, *self.chunk])).agg(
             F.max_by(boxed, comparable_key(self.df, self.keys)).alias("__total")
         )
@@ -209,9 +198,6 @@ class OrderedGroups:
         function, combine = _COMBINE[how]
         rows = Window.unboundedPreceding, (-1 if exclusive else Window.currentRow)
         local = function(value).over(self._window(within, backwards).rowsBetween(*rows))
-        if not self.chunk:
-            self.df = self.df.withColumn(name, local)
-            return self
         groups = [*self.by, *within]
         totals = self.df.groupBy(*self._columns([*groups, *self.chunk])).agg(
             function(value).alias("__total")
@@ -247,7 +233,7 @@ def visit_counter(
     sort_by,
     descending=False,
     nulls_last: bool = False,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Number the contiguous runs of each value inside each ordered group.
 
@@ -255,7 +241,7 @@ def visit_counter(
     """
     keys = sort_keys(sort_by, descending, nulls_last)
     groups = OrderedGroups(
-        df.withColumn("__value", as_column(value)), by, keys, rows_per_chunk
+        df.withColumn("__value", as_column(value)), by, keys, chunks
     )
     current = F.col("__value")
     groups.with_previous("__previous", current)
@@ -274,7 +260,7 @@ def running_total(
     sort_by,
     descending=False,
     nulls_last: bool = False,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` in each ordered group.
 
@@ -282,7 +268,7 @@ def running_total(
     """
     keys = sort_keys(sort_by, descending, nulls_last)
     groups = OrderedGroups(
-        df.withColumn("__value", as_column(value)), by, keys, rows_per_chunk
+        df.withColumn("__value", as_column(value)), by, keys, chunks
     )
     groups.with_running("__total_so_far", F.col("__value"))
     groups.with_column(

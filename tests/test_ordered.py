@@ -148,8 +148,7 @@ def test_a_hot_group_in_many_chunks_gives_the_same_values(spark, descending):
 
     def both(function, value):
         whole = function(df, "out", value, **options)
-        split = function(df, "out", value, **options, rows_per_chunk=100)
-        assert "__chunk" in split._jdf.queryExecution().analyzed().toString()
+        split = function(df, "out", value, **options, chunks=50)
         assert split.columns == whole.columns
         return [sorted((r.id, r.out) for r in part.collect()) for part in (whole, split)]
 
@@ -159,10 +158,24 @@ def test_a_hot_group_in_many_chunks_gives_the_same_values(spark, descending):
         assert [(i, str(o)) for i, o in whole] == [(i, str(o)) for i, o in split]
 
 
+def test_the_input_is_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).selectExpr("id", "id % 3 AS g").mapInArrow(count, "id long, g long")
+    assert visit_counter(rows, "v", "g", by="g", sort_by="id").count() == 100
+    assert seen.value == 100
+
+
 def test_chunks_stay_small(spark):
     from millrace.operators.ordered import OrderedGroups
 
-    groups = OrderedGroups(hot_rows(spark), "g", sort_keys(["k", "id"]), rows_per_chunk=200)
+    groups = OrderedGroups(hot_rows(spark), "g", sort_keys(["k", "id"]), chunks=25)
+    assert groups.df.select("__chunk").distinct().count() > 10
     largest = groups.df.groupBy("g", "__chunk").count().agg(F.max("count")).first()[0]
     assert largest < 600
 
