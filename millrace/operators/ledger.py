@@ -24,6 +24,7 @@ def _schema(**fields: str) -> T.StructType:
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields.items()])
 
 
+# The columns of the four stored tables.
 SCHEMAS = {
     "runs": _schema(
         run_id="string", flow_name="string", group_name="string", source_path="string",

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.paths import source_key
 from millrace.operators.ledger import SCHEMAS, upsert_file_state
-from millrace.session import materialise
+from millrace.session import local_frame, materialise
 from millrace.sources import files
-from millrace.sources.tables import Warehouse
+from millrace.sources.tables import ConcurrentChange, Warehouse
 
 FILE_KEY = "file_key"
 STATE_TABLE = "ledger.file_state"
@@ -21,6 +23,11 @@ def _plain(path):
     return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
 
 
+def _without_scheme(path):
+    # Roots and listed paths differ in their scheme prefix (file:/x, file:///x, /x).
+    return F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+
+
 def refresh_sources(
     warehouse: Warehouse,
     root: str,
@@ -35,9 +42,11 @@ def refresh_sources(
     """Read the new and changed files below ``root`` and replace their slices of ``table``.
 
     ``read`` opens a list of files as one frame and ``transform`` shapes its rows; every row
-    carries its ``file_key``, which ``transform`` has to keep. All files go through one job. The ledger
-    of file states is written last, so an interrupted refresh is simply done again. Returns
-    the signatures of the files that were processed.
+    carries its ``file_key``, which ``transform`` has to keep. All files go through one job; if
+    it fails, halves of them are tried, so that a file that cannot be read is recorded as failed
+    with its error and the others are finished. The ledger of file states is written last, so an
+    interrupted refresh is simply done again. Returns the signatures of the files that were
+    processed.
     """
     spark = warehouse.spark
     listing = files.candidate_files(spark, root, extensions=extensions)
@@ -56,21 +65,46 @@ def refresh_sources(
     stale = materialise(files.stale_sources(signatures, states, flow_name), "stale")
     # Names of changed files, which Spark needs as a list to plan the scan anyway.
     paths = [row["source_path"] for row in stale.select("source_path").collect()]
+    failed: dict[str, str] = {}
+
+    def process(chosen: list[str]) -> None:
+        # The key is a function of the path, so rows need no lookup to get theirs.
+        path = _without_scheme(_plain(F.col("_metadata.file_path")))
+        below = F.substring(path, F.length(base) + 2, F.length(path))
+        rows = read(chosen).withColumn(FILE_KEY, source_key(below))
+        keys = stale.where(F.col("source_path").isin(chosen)) if len(chosen) < len(paths) else stale
+        try:
+            warehouse.replace_files(table, transform(rows), keys.select(FILE_KEY), file_hash_column=FILE_KEY)
+        except ConcurrentChange:
+            raise
+        except Exception as error:
+            if len(chosen) == 1:
+                failed[chosen[0]] = str(error)
+                return
+            process(chosen[: len(chosen) // 2])
+            process(chosen[len(chosen) // 2 :])
+
+    base = _without_scheme(F.lit(root.rstrip("/")))
     if paths:
-        keys = stale.select("source_path", FILE_KEY)
-        rows = read(paths).withColumn("source_path", _plain(F.col("_metadata.file_path")))
-        keyed = rows.join(keys, "source_path").drop("source_path")
-        warehouse.replace_files(table, transform(keyed), keys, file_hash_column=FILE_KEY)
-    finished = stale.select(
+        process(paths)
+    # One entry for each file that failed.
+    errors = local_frame(
+        spark,
+        {
+            "source_path": pa.array(list(failed), pa.string()),
+            "error_text": pa.array(list(failed.values()), pa.string()),
+        },
+    )
+    finished = stale.join(errors, "source_path", "left").select(
         F.lit(1).cast("bigint").alias("seq"),
         F.lit(flow_name).alias("flow_name"),
         "source_path", "mtime_ns", "size_bytes",
-        F.lit("success").alias("status"),
+        F.when(F.col("error_text").isNull(), "success").otherwise("failed").alias("status"),
         F.lit(run_id).cast("string").alias("run_id"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS+00:00").alias(
             "finished_at_utc"
         ),
-        F.lit(None).cast("string").alias("error_text"),
+        "error_text",
     )
     kept = files.prune_missing(states, signatures, flow_name)
     warehouse.write(STATE_TABLE, upsert_file_state(kept, finished))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,9 @@ from millrace.functions.paths import (
 )
 from millrace.functions.sortkeys import sort_keys
 from millrace.operators.joins import null_safe_join
-from millrace.operators.ordered import ROWS_PER_CHUNK, OrderedGroups
+from millrace.operators.ordered import OrderedGroups
 from millrace.operators.unions import common_type
+from millrace.session import local_frame
 from millrace.sources.tables import Folder
 
 MANIFEST = T.StructType(
@@ -38,12 +40,40 @@ MANIFEST = T.StructType(
 )
 
 
-def _listing(spark: SparkSession, root: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    # The content column is not selected, so no file is read.
-    files = reader.load(root).select(
-        "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes")
-    )
+def _any_case(extension: str) -> str:
+    """A file name pattern for an extension in any case."""
+    letters = [f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension.lstrip(".")]
+    return "*." + "".join(letters)
+
+
+def _top_level(spark: SparkSession, root: str) -> DataFrame:
+    """The files of one folder, without what is below it."""
+    found = Folder(spark, root).listed(root)
+    return local_frame(
+        spark,
+        {
+            "path": pa.array([path for path, _, _ in found], pa.string()),
+            "millis": pa.array([millis for _, millis, _ in found], pa.int64()),
+            "size_bytes": pa.array([size for _, _, size in found], pa.int64()),
+        },
+    ).select("path", F.timestamp_millis("millis").alias("modified_at"), "size_bytes")
+
+
+def _listing(
+    spark: SparkSession, root: str, recursive: bool = True, extensions: Sequence[str] = ()
+) -> DataFrame:
+    if recursive:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if extensions:
+            reader = reader.option(
+                "pathGlobFilter", "{" + ",".join(map(_any_case, extensions)) + "}"
+            )
+        # The content column is not selected, so no file is read.
+        files = reader.load(root).select(
+            "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes")
+        )
+    else:
+        files = _top_level(spark, root)
     # Roots and listed paths differ in their scheme prefix (file:/x, file:///x, /x).
     plain = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
@@ -68,9 +98,7 @@ def collect_files(
     allowed = normalised_extensions(extensions)
     if not Folder(spark, root).exists(root):
         return spark.createDataFrame([], MANIFEST)
-    files = _listing(spark, root).where(F.lower("suffix").isin(list(allowed)))
-    if not recursive:
-        files = files.where(~F.col("relative_path").contains("/"))
+    files = _listing(spark, root, recursive, allowed).where(F.lower("suffix").isin(list(allowed)))
     return files.orderBy("path")
 
 
@@ -87,11 +115,10 @@ def candidate_files(
         if allow_missing:
             return spark.createDataFrame([], MANIFEST)
         raise ValueError(f"Input root not found: {root}")
-    files = _listing(spark, root).where(~is_temporary_file(F.col("path")))
+    allowed = () if extensions is None else normalised_extensions(extensions)
+    files = _listing(spark, root, recursive, allowed).where(~is_temporary_file(F.col("path")))
     if extensions is not None:
-        files = files.where(F.lower("suffix").isin(list(normalised_extensions(extensions))))
-    if not recursive:
-        files = files.where(~F.col("relative_path").contains("/"))
+        files = files.where(F.lower("suffix").isin(list(allowed)))
     return files.orderBy(F.lower("path"), "path")
 
 
@@ -204,7 +231,7 @@ def missing_paths(ledger: DataFrame, signatures: DataFrame, flow_name: str) -> D
 
 
 def settled_files(
-    snapshots: DataFrame, settle: int = 1, *, rows_per_chunk: int = ROWS_PER_CHUNK
+    snapshots: DataFrame, settle: int = 1, *, chunks: int | None = None
 ) -> DataFrame:
     """When each changed file had been unchanged for ``settle`` polls in a row.
 
@@ -219,7 +246,7 @@ def settled_files(
     signature = F.struct("mtime_ns", "size_bytes")
     # A run is a stretch of polls in which the file was there with one signature; a visit is
     # a stretch in which it was there at all.
-    polls = OrderedGroups(snapshots, "path", sort_keys("poll_no"), rows_per_chunk)
+    polls = OrderedGroups(snapshots, "path", sort_keys("poll_no"), chunks)
     polls.with_previous("__before", F.struct(poll.alias("poll"), signature.alias("signature")))
     before = F.col("__before.value")
     gap = F.col("__before").isNull() | (before["poll"] != poll - 1)
@@ -233,7 +260,7 @@ def settled_files(
     )
     at_start = F.col("first_poll") == 0
     runs = runs.where(at_start | (F.col("polls") > settle))
-    settled = OrderedGroups(runs, ["path", "__visit"], sort_keys("__run"), rows_per_chunk)
+    settled = OrderedGroups(runs, ["path", "__visit"], sort_keys("__run"), chunks)
     settled.with_previous("__last", signature)
     news = ~at_start & ~(
         F.col("__last").isNotNull() & F.col("__last.value").eqNullSafe(signature)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.paths import MirrorPaths
 from millrace.functions.sortkeys import ColumnLike, as_column
-from millrace.session import local_frame
-from millrace.sources.tables import Warehouse
+from millrace.session import local_frame, materialise
+from millrace.sources.tables import Folder, Warehouse
 
 
 def mirror_write(
@@ -27,7 +27,8 @@ def mirror_write(
 
     ``layout`` is ``suffix`` (source path with ``.parquet``), ``file`` (a sibling called
     ``name``), ``namespaced`` (``name`` in a folder per source) or ``root`` (one ``name``
-    for all). The rows of one source sit in the partition folder ``mirror_path=<place>``.
+    for all). The rows of one source sit in the partition folder ``mirror_path=<place>``. Only
+    the places that get rows are replaced; the outputs of other sources stay.
     """
     paths = MirrorPaths("", as_column(relative_path))
     if layout != "suffix" and not name:
@@ -40,25 +41,34 @@ def mirror_write(
     }[layout]()
     placed = df.withColumn("mirror_path", place)
     # Few files per source, yet a hot source is still written by several tasks.
-    placed.hint("rebalance", "mirror_path").write.mode("overwrite").partitionBy(
-        "mirror_path"
-    ).parquet(root)
+    placed.hint("rebalance", "mirror_path").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("mirror_path").parquet(root)
     return root
 
 
 def multi_output(df: DataFrame, outputs: Mapping[str, Column], root: str) -> str:
     """Write several filtered outputs of one frame with a single scan.
 
-    A row goes to every output whose condition holds; output ``x`` is ``output=x``.
+    A row goes to every output whose condition holds; output ``x`` is ``output=x``. The named
+    outputs are replaced, also by nothing; others below ``root`` stay.
     """
     if not outputs:
         raise ValueError("There are no outputs.")
     names = F.array_compact(
         F.array(*[F.when(condition, F.lit(name)) for name, condition in outputs.items()])
     )
-    df.withColumn("output", F.explode(names)).write.mode("overwrite").partitionBy(
-        "output"
-    ).parquet(root)
+    # An output that gets no row is not replaced by the write, so what was there goes first.
+    # Few files per output, and several tasks for one that gets most rows.
+    split = materialise(df.withColumn("output", F.explode(names)), "outputs")
+    filled = {row[0] for row in split.select("output").distinct().collect()}
+    split.hint("rebalance", "output").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("output").parquet(root)
+    folder = Folder(df.sparkSession, root)
+    for name in outputs:
+        if name not in filled:
+            folder.delete(f"{folder.path}/output={name}")
     return root
 
 

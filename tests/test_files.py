@@ -118,7 +118,7 @@ def watch_model(polls, settle):
     return found
 
 
-@pytest.mark.parametrize("settle, chunk", [(0, 10**6), (1, 10**6), (2, 10**6), (1, 15)])
+@pytest.mark.parametrize("settle, chunk", [(0, None), (1, None), (2, None), (1, 15)])
 def test_settled_files_against_a_watch_loop(spark, settle, chunk):
     pick = random.Random(settle)
     polls = [
@@ -126,7 +126,7 @@ def test_settled_files_against_a_watch_loop(spark, settle, chunk):
     ]
     rows = [(path, n, *sig) for n, listing in enumerate(polls) for path, sig in listing.items()]
     df = spark.createDataFrame(rows, "path string, poll_no bigint, mtime_ns bigint, size_bytes bigint")
-    got = files.settled_files(df, settle, rows_per_chunk=chunk).collect()
+    got = files.settled_files(df, settle, chunks=chunk).collect()
     assert sorted(map(tuple, got)) == sorted(watch_model(polls, settle))
     with pytest.raises(ValueError):
         files.settled_files(df, -1)
@@ -176,6 +176,23 @@ def test_refreshing_changed_files_only(spark, warehouse, folder):
     assert sorted(r.source_path.rsplit("/", 1)[1] for r in states) == ["a.csv", "e.csv", "f.csv"]
 
 
+def test_a_file_that_cannot_be_read_is_recorded_and_the_others_are_done(spark, warehouse, folder):
+    def read(paths):
+        return spark.read.schema("id bigint").csv(paths, header=True)
+
+    def shape(rows):
+        bad = F.col("_metadata.file_name") == "e.csv"
+        return rows.withColumn("id", F.when(bad, F.raise_error(F.lit("broken file"))).otherwise(F.col("id")))
+
+    refresh_sources(warehouse, folder, "fact", flow_name="f", read=read, extensions="csv", transform=shape)
+    states = {r.source_path.rsplit("/", 1)[1]: r for r in warehouse.frame("ledger.file_state").collect()}
+    assert {n: r.last_status for n, r in states.items()} == {
+        "a.csv": "success", "b.CSV": "success", "e.csv": "failed", "f.csv": "success"
+    }
+    assert "broken file" in states["e.csv"].last_error_text
+    assert warehouse.frame("fact").count() == 3
+
+
 def test_queue(spark):
     jobs = spark.createDataFrame(
         [(1, "f", "a", None, None, None), (2, "f", None, "x", 1, 1), (3, "f", "a", None, None, None),
