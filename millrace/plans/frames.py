@@ -58,20 +58,20 @@ def _(t: Tables):
 @query(
     "table_schema",
     """
-    SELECT o_orderkey AS claim_id, o_orderdate::DATE AS received, o_orderpriority AS priority,
-           o_custkey::VARCHAR AS member
+    SELECT o_orderkey AS order_no, o_orderdate::DATE AS ordered_on, o_orderpriority AS urgency,
+           o_custkey::VARCHAR AS buyer
     FROM orders
     """,
 )
 def _(t: Tables):
     recipe = schema.TableSchema(
-        columns=("claim_id", "received", "priority", "member"),
+        columns=("order_no", "ordered_on", "urgency", "buyer"),
         dtypes={"o_orderkey": "bigint", "o_orderdate": "date"},
         rename={
-            "o_orderkey": "claim_id",
-            "o_orderdate": "received",
-            "o_orderpriority": "priority",
-            "o_custkey": "member",
+            "o_orderkey": "order_no",
+            "o_orderdate": "ordered_on",
+            "o_orderpriority": "urgency",
+            "o_custkey": "buyer",
         },
         drop=("o_totalprice", "not_there"),
     )
@@ -104,17 +104,17 @@ def _(t: Tables):
 @query(
     "normalize_column_names",
     """
-    SELECT o_orderkey AS "claim#id", o_custkey AS member_id, o_orderstatus AS step_to,
-           o_totalprice AS "folder/name"
+    SELECT o_orderkey AS "order#no", o_custkey AS buyer_no, o_orderstatus AS current_state,
+           o_totalprice AS "price/total"
     FROM orders
     """,
 )
 def _(t: Tables):
     messy = t.orders.select(
-        F.col("o_orderkey").alias("Claim # Id"),
-        F.col("o_custkey").alias("Member _ Id"),
-        F.col("o_orderstatus").alias("  Step   To  "),
-        F.col("o_totalprice").alias("Folder / Name"),
+        F.col("o_orderkey").alias("Order # No"),
+        F.col("o_custkey").alias("Buyer _ No"),
+        F.col("o_orderstatus").alias("  Current   State  "),
+        F.col("o_totalprice").alias("Price / Total"),
     )
     return schema.normalize_column_names(messy)
 
@@ -340,9 +340,10 @@ def _(t: Tables):
 @query(
     "search_distinct",
     """
-    SELECT DISTINCT p_name AS value, p_name AS label FROM part
-    WHERE p_size >= 10 AND contains(lower(p_name), 'wid')
-    ORDER BY 1 LIMIT 500
+    WITH found AS (
+        SELECT DISTINCT p_name AS value FROM part WHERE p_size >= 10 AND contains(lower(p_name), 'wid'))
+    SELECT value, value AS label, (SELECT count(*) FROM found) > 5 AS more FROM found
+    ORDER BY 1 LIMIT 5
     """,
 )
 def _(t: Tables):
@@ -356,6 +357,7 @@ def _(t: Tables):
         ],
         search=" WID ",
         descending=False,
+        limit=5,
     )
     return found.values
 
@@ -651,6 +653,7 @@ def _(t: Tables):
             flt.TextFilter("o_orderstatus", (("not_equals", "P"),)),
         ],
         [("o_totalprice", True), ("o_orderkey", False)],
+        limit=200,
     )
     return found.rows.withColumns(
         {
@@ -660,9 +663,36 @@ def _(t: Tables):
     )
 
 
-@query("head", "SELECT least(count(*), 1000) AS shown FROM lineitem")
+@query(
+    "top_k_with_ties",
+    """
+    SELECT l_returnflag, count(*) AS rows_of_flag FROM (
+        SELECT l_returnflag FROM lineitem ORDER BY l_returnflag LIMIT 10001)
+    GROUP BY l_returnflag
+    """,
+)
+def _(t: Tables):
+    """A few sort values and a limit beyond what one task sorts; it has the rows of a smaller one."""
+    rows = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+    larger = preview.top_k(rows, [("l_returnflag", False)], 10_001)
+    smaller = preview.top_k(rows, [("l_returnflag", False)], 5_000)
+    # Rows of the smaller result that the larger one lacks would change the counts.
+    both = larger.withColumn("more", F.lit(0)).unionByName(
+        smaller.exceptAll(larger).withColumn("more", F.lit(1))
+    )
+    return both.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows_of_flag"))
+
+
+@query(
+    "head",
+    "SELECT least(count(*), 1000) AS shown, least(count(*), 1000) AS of_the_table FROM lineitem",
+)
 def _(t: Tables):
-    return preview.head(t.lineitem, 1000).agg(F.count(F.lit(1)).alias("shown"))
+    """So many rows, all of them rows of the table."""
+    shown = preview.head(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), 1000)
+    known = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").distinct().withColumn("known", F.lit(1))
+    found = shown.join(known, ["l_orderkey", "l_linenumber", "l_partkey"], "left")
+    return found.agg(F.count(F.lit(1)).alias("shown"), F.count("known").alias("of_the_table"))
 
 
 @query(

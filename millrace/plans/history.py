@@ -791,8 +791,10 @@ STEP_STATUS = f"""
                                     ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM moves
     ),
     depths AS (
-        SELECT *, s - least(0, min(s) OVER (PARTITION BY run_id, flow_name, step_name, source_label
-                                            ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS depth FROM sums
+        SELECT *, coalesce(lag(depth) OVER (PARTITION BY run_id, flow_name, step_name, source_label ORDER BY seq), 0)
+                  AS depth_before
+        FROM (SELECT *, s - least(0, min(s) OVER (PARTITION BY run_id, flow_name, step_name, source_label
+                                                  ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS depth FROM sums)
     ),
     step_status AS (
         SELECT d.* FROM depths d
@@ -808,8 +810,14 @@ STEP_STATUS = f"""
     "step_status",
     f"""
     WITH {STEP_STATUS}
-    SELECT run_id, flow_name, step_name, source_label, seq, status, elapsed_seconds, created_at
-    FROM step_status
+    SELECT run_id, flow_name, step_name, source_label,
+           CASE WHEN change = -1 AND depth_before > 0 THEN (
+               SELECT max(o.seq) FROM depths o
+               WHERE o.run_id = s.run_id AND o.flow_name = s.flow_name AND o.step_name = s.step_name
+                 AND o.source_label = s.source_label AND o.seq < s.seq AND o.status = 'started'
+                 AND o.depth = s.depth + 1) ELSE seq END AS first_seq,
+           seq, status, elapsed_seconds, created_at
+    FROM step_status s
     """,
 )
 def _(t: Tables):
@@ -935,7 +943,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    return event_log.run_summary(event_log.run_status(events_log(t)))
+    return event_log.run_summary(event_log.run_status(events_log(t)), limit=50)
 
 
 @query(
@@ -948,7 +956,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    return event_log.run_logs(events_log(t), "run-8")
+    return event_log.run_logs(events_log(t), "run-8", limit=500)
 
 
 @query(

@@ -12,7 +12,7 @@ from millrace.plans.steps import StepChain
 from millrace.plans.warehouse import dimension_snapshot
 from millrace.session import local_frame
 from millrace.sources import files, outputs
-from millrace.sources.tables import Warehouse
+from millrace.sources.tables import Folder, Warehouse
 
 
 def warehouse(t: Tables) -> Warehouse:
@@ -141,21 +141,56 @@ def _(t: Tables):
     )
 
 
-@query("collect_files", "SELECT DISTINCT 'source=' || source AS folder, '.parquet' AS suffix FROM documents")
+@query(
+    "collect_files",
+    """
+    SELECT DISTINCT 'all' AS levels, 'source=' || source AS folder, '.parquet' AS suffix, true AS has_size
+    FROM documents
+    UNION ALL SELECT * FROM (VALUES
+        ('all', '', '.PARQUET', true), ('all', '', '.parquet', true),
+        ('top', '', '.PARQUET', true), ('top', '', '.parquet', true))
+    """,
+)
 def _(t: Tables):
+    """All levels and the top one, with files of other kinds beside those asked for."""
     root = _split(t, t.documents.select("doc_id", "source"), "source")
-    found = files.collect_files(t.spark, ["PARQUET"], root=root, recursive=True)
+    for name in ("one.parquet", "TWO.PARQUET", "three.txt", "four"):
+        Folder(t.spark, root).write_text(f"{root}/{name}", "text")
     folder = F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1)
-    return found.select(folder.alias("folder"), "suffix").distinct()
+    found = [
+        files.collect_files(t.spark, ["PARQUET"], root=root, recursive=recursive).select(
+            F.lit("all" if recursive else "top").alias("levels"), folder.alias("folder"), "suffix",
+            (F.col("size_bytes") > 0).alias("has_size"),
+        )
+        for recursive in (True, False)
+    ]
+    return found[0].unionByName(found[1]).distinct()
 
 
-@query("candidate_files", "SELECT DISTINCT 'lang=' || lang || '/source=' || source AS folder FROM documents")
+@query(
+    "candidate_files",
+    """
+    SELECT DISTINCT 'all' AS levels, 'lang=' || lang || '/source=' || source AS folder, NULL AS name
+    FROM documents
+    UNION ALL SELECT * FROM (VALUES ('all', '', 'kept.parquet'), ('top', '', 'kept.parquet'))
+    """,
+)
 def _(t: Tables):
+    """All levels and the top one; temporary files are left out of both."""
     root = _split(t, t.documents.select("doc_id", "lang", "source"), "lang", "source")
-    found = files.candidate_files(t.spark, root, extensions=".parquet")
-    return found.select(
-        F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1).alias("folder")
-    ).distinct()
+    for name in ("kept.parquet", "~$kept.parquet", "kept.parquet.part", "kept.tmp", "kept.parquet~"):
+        Folder(t.spark, root).write_text(f"{root}/{name}", "text")
+    folder = F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1)
+    found = [
+        files.candidate_files(t.spark, root, extensions=extensions, recursive=recursive).select(
+            F.lit("all" if recursive else "top").alias("levels"), folder.alias("folder"),
+            F.when(folder == "", F.col("name")).alias("name"),
+        )
+        for recursive, extensions in ((True, ".parquet"), (False, None))
+    ]
+    listed = found[0].unionByName(found[1]).distinct()
+    # Spark marks a finished write with a file of its own.
+    return listed.where("name IS NULL OR name <> '_SUCCESS'")
 
 
 @query(
@@ -179,7 +214,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     root = t.scratch("source-files")
-    kinds = ["click", "error", "purchase", "signup", "view"]
+    kinds = [row[0] for row in t.events.select("event_type").distinct().collect()]
     for kind in kinds:
         # One kind of file lacks a column.
         rows = t.events.where(F.col("event_type") == kind).select("event_type", "event_id", "user_id", "value")
@@ -338,7 +373,11 @@ def _(t: Tables):
 def _(t: Tables):
     relative = F.concat(F.concat_ws("/", "lang", "source"), F.lit(".csv"))
     rows = t.documents.select("doc_id", "n_chars", relative.alias("relative_path"))
-    root = outputs.mirror_write(rows, t.scratch("mirror"), "relative_path")
+    # English sources come a second time, on their own; the others keep their outputs.
+    english = F.col("relative_path").startswith("en/")
+    stale = rows.withColumn("n_chars", F.when(english, 0).otherwise(F.col("n_chars")))
+    root = outputs.mirror_write(stale, t.scratch("mirror"), "relative_path")
+    outputs.mirror_write(rows.where(english), root, "relative_path")
     return t.spark.read.parquet(root).groupBy("mirror_path").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("n_chars").alias("chars")
     )
@@ -353,14 +392,18 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    root = outputs.multi_output(
+    root = t.scratch("outputs")
+    # Named outputs are replaced by the second call, also where it has no rows for one.
+    outputs.multi_output(t.orders, {"large": F.lit(True), "none": F.lit(True)}, root)
+    outputs.multi_output(
         t.orders,
         {
             "open": F.col("o_orderstatus") == "O",
             "closed": F.col("o_orderstatus") == "F",
             "large": F.col("o_totalprice") > 300000,
+            "none": F.col("o_totalprice") < 0,
         },
-        t.scratch("outputs"),
+        root,
     )
     return t.spark.read.parquet(root).select("output", "o_orderkey")
 
@@ -587,33 +630,33 @@ def _(t: Tables):
     "dimension_snapshot",
     """
     WITH docs AS (
-        SELECT DISTINCT o_orderkey AS claim_id, c_mktsegment AS workflow, o_orderstatus AS step_from,
-               o_orderpriority AS step_to, c_nationkey AS employee_id
+        SELECT DISTINCT o_orderkey AS order_no, c_mktsegment AS segment, o_orderstatus AS order_state,
+               o_orderpriority AS priority, c_nationkey AS nation_no
         FROM orders JOIN customer ON c_custkey = o_custkey
     ),
     dim AS (
-        SELECT employee_id, workflow, row_number() OVER (
-                   ORDER BY employee_id NULLS LAST, workflow NULLS LAST) AS employee_workflow_key
-        FROM (SELECT DISTINCT employee_id, workflow FROM docs)
+        SELECT nation_no, segment, row_number() OVER (
+                   ORDER BY nation_no NULLS LAST, segment NULLS LAST) AS market_key
+        FROM (SELECT DISTINCT nation_no, segment FROM docs)
     )
-    SELECT docs.*, employee_workflow_key FROM docs LEFT JOIN dim USING (employee_id, workflow)
+    SELECT docs.*, market_key FROM docs LEFT JOIN dim USING (nation_no, segment)
     """,
 )
 def _(t: Tables):
     """Stage, build the dimension, key the fact table, read it back."""
     buyers = t.customer.select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("Workflow"),
-        F.col("c_nationkey").alias("Employee ID"),
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("Segment"),
+        F.col("c_nationkey").alias("Nation No"),
     )
     rows = t.orders.join(buyers, "o_custkey").select(
-        F.col("o_orderkey").alias(" Claim  ID"), "Workflow",
-        F.col("o_orderstatus").alias("Step FROM"), F.col("o_orderpriority").alias("Step TO"),
-        "Employee ID",
+        F.col("o_orderkey").alias(" Order  No"), "Segment",
+        F.col("o_orderstatus").alias("Order STATE"), F.col("o_orderpriority").alias("Priority"),
+        "Nation No",
     )
     return dimension_snapshot(
-        warehouse(t), rows, natural=["employee_id", "workflow"],
-        key_column="employee_workflow_key", stage="stage.docs_flat",
-        dimension="mart.dim_employee_workflow", fact="mart.fact_doc",
+        warehouse(t), rows, natural=["nation_no", "segment"],
+        key_column="market_key", stage="stage.orders",
+        dimension="mart.markets", fact="mart.orders",
     )
 
 
