@@ -91,5 +91,5 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     than the tasks it was running.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
