@@ -16,8 +16,9 @@ from millrace.session import configure, materialise
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch: whole texts are long, so batches are small.
-ROWS_PER_BATCH = 256
+#: Rows and bytes of an Arrow batch, unless a single row is longer.
+ROWS_PER_BATCH = 4096
+BYTES_PER_BATCH = 4 << 20
 #: Bytes of text that one vectorised step looks at, unless a single text is longer.
 BYTES_PER_STEP = 2 << 20
 
@@ -28,6 +29,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """The session options these operators rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark
 
 

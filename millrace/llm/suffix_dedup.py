@@ -6,11 +6,13 @@ twice as long come from pairs of ranks at a growing offset, and a position leave
 rank is unique, or when the length is reached.
 
 The first round is done on a sample that no repeated string can miss: the start of each string
-is put down to the smallest 16-byte rank inside it (the leftmost one), its anchor. Equal strings
+is put down to the smallest 24-byte rank inside it (the leftmost one), its anchor. Equal strings
 have the same anchor at the same place, so one shuffle by the anchors' ranks shows which are
-unique to one document, and they leave with all strings they stand for. Those that are left,
-with the bytes around them, are shuffled by their rank once more; from there on all equal
-strings are in one task, and the rounds at offsets 8, 16 and 18 rank pairs there, exactly.
+unique to one document, and they leave with all strings they stand for. In the second round the
+rest are sorted by rank and a hash of all bytes of their strings: what a smaller id has alike
+goes as a whole, and a rank with one kind of surroundings is done. Where it has several, the
+smallest id of each is left; their bytes are shuffled by rank, all equal strings are then in one
+task, and the rounds at offsets 8, 16 and 18 sort pairs of ranks there, exactly.
 
 Copies do not weigh on one task: equal texts are one class, of which only the smallest id is
 looked at; anchors that many documents of a task share go on as one entry, and so do equal
@@ -30,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ from millrace.llm.common import _BYTE, mix64, prepare, span_hashes, steps, store
 
 LENGTH = 50
 #: Bytes of the sampled rank, and starts of it in a string of ``LENGTH``.
-SEED = 16
+SEED = 24
 REACH = LENGTH - SEED + 1
 #: Bytes of a piece of a long text, entries that a task sorts at a time, bytes of a bucket.
 PIECE = 4 << 20
@@ -172,23 +175,11 @@ def _requests(buckets: int):
 
 
 def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(id, keys)``: the ranks of a document that another one has too. Rows come by bucket."""
+    """``(id, key)``: the ranks of a document that another one has too. Rows come by bucket."""
 
     def answer(bucket, short, owner):
-        order = np.argsort(owner, kind="stable")
-        key = ((np.int64(bucket) << np.int64(32)) | short.astype(np.int64))[order]
-        owner = owner[order]
-        if len(owner):
-            start, end = _runs(owner)
-            for i in range(0, len(start), 4096):
-                part = list(zip(start[i : i + 4096], end[i : i + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(owner[start[i : i + 4096]], pa.int64()),
-                        pa.array([key[a:b].astype("<i8").tobytes() for a, b in part], pa.binary()),
-                    ],
-                    names=["id", "keys"],
-                )
+        key = (np.int64(bucket) << np.int64(32)) | short.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(key)], names=["id", "key"])
 
     def close(bucket, lone, known):
         short = np.concatenate([k for k, _ in lone])
@@ -221,106 +212,187 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(at, lone, known)
 
 
-# -- further rounds: ranks of pairs ---------------------------------------------------------
+# -- second round: equal surroundings -------------------------------------------------------
 
-_ENTRY = np.dtype([("id", "<i8"), ("sign", "<i8"), ("first", "<i8"), ("starts", "<i4"), ("key", "<u4")])
+_MARK = np.dtype([("id", "<i8"), ("sign", "<i8"), ("hash", "<u8"), ("first", "<u4"), ("key", "<u4"), ("starts", "u1")])
+_FOUND = "id long, sign long, start long, end long, key long"
 
 
-def _spans_batch(ids, signs, starts, ends) -> pa.RecordBatch:
+def _found(entry: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
+    """Strings starting at ``first`` to ``last``: removed, or with a key still open."""
+    columns = [entry["id"], entry["sign"], first, last + (LENGTH if key is None else 0)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.nulls(len(ids), pa.int32()),
-            pa.nulls(len(ids), pa.binary()),
-            pa.nulls(len(ids), pa.binary()),
-            *[pa.array(np.ascontiguousarray(c, np.int64)) for c in (ids, signs, starts, ends)],
+            *[pa.array(np.ascontiguousarray(c, np.int64)) for c in columns],
+            pa.nulls(len(entry), pa.int64()) if key is None else pa.array(key.astype(np.int64)),
         ],
-        names=["bucket", "entries", "bytes", "id", "sign", "start", "end"],
+        names=[c.split()[0] for c in _FOUND.split(", ")],
+    )
+
+
+def _by_surroundings(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by rank, surroundings and id; which have a smaller id before them in their group;
+    and where groups of equal surroundings begin, in that order."""
+    order = np.lexsort((entry["id"], entry["hash"], entry["key"]))
+    ranked = entry[order]
+    new = np.concatenate(
+        [[True], (ranked["key"][1:] != ranked["key"][:-1]) | (ranked["hash"][1:] != ranked["hash"][:-1])]
     )
+    least = ranked["id"][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    return order, ranked["id"] > least, new
 
 
 def _surroundings(buckets: int):
-    """The shared anchors of documents with the bytes of their strings, dealt by rank.
+    """The shared anchors of documents, with a hash of the bytes of their strings.
 
     Of equal surroundings in a run of documents only the smallest id's go on; the others'
-    strings are known to start in it. Those come out as spans.
+    strings are known to start in it, and go on as removed.
     """
 
-    def flush(entries: list, parts: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        entry, mark = np.concatenate(entries), np.concatenate(hashes)
-        data = np.concatenate(parts)
-        length = entry["starts"].astype(np.int64) + LENGTH - 1
-        place = np.cumsum(length) - length
-        # The smallest id first within equal surroundings.
-        order = np.lexsort((entry["id"], mark))
-        start, end = _runs(mark[order])
-        source = np.repeat(order[start], end - start)
-        later = entry["id"][order] > entry["id"][source]
-        done = entry[order[later]]
-        if len(done):
-            yield _spans_batch(
-                done["id"], done["sign"], done["first"], done["first"] + done["starts"] + LENGTH - 1
-            )
-        going = order[start]
-        # Rows with one id may have equal surroundings more than once; each needs its answer.
-        same = order[~later & (order != source)]
-        going = np.concatenate([going, same])
-        bucket = (entry["key"][going] % np.uint32(buckets)).astype(np.int64)
+    def flush(entries: list) -> Iterator[pa.RecordBatch]:
+        entry = np.concatenate(entries)
+        order, later, _ = _by_surroundings(entry)
+        bucket = (entry["key"] % np.uint32(buckets)).astype(np.int64)[order]
         by = np.argsort(bucket, kind="stable")
-        going, bucket = going[by], bucket[by]
         rows = []
-        for a, b in zip(*_runs(bucket), strict=True):
-            here = going[a:b]
-            at = np.repeat(place[here] - (np.cumsum(length[here]) - length[here]), length[here])
-            picked = data[at + np.arange(len(at))]
-            rows.append((int(bucket[a]), entry[here].tobytes(), picked.tobytes()))
-        for i in range(0, len(rows), 64):
-            part = rows[i : i + 64]
+        for a, b in _pairs(bucket[by]):
+            here = order[by[a:b]]
+            sure = later[by[a:b]]
+            rows.append((int(bucket[by[a]]), entry[here[~sure]].tobytes(), entry[here[sure]].tobytes()))
+        for i in range(0, len(rows), 16):
+            part = rows[i : i + 16]
+            kinds = (pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in part], pa.int32()),
-                    pa.array([r[1] for r in part], pa.binary()),
-                    pa.array([r[2] for r in part], pa.binary()),
-                    *[pa.nulls(len(part), pa.int64())] * 4,
-                ],
-                names=["bucket", "entries", "bytes", "id", "sign", "start", "end"],
+                [pa.array([r[k] for r in part], t) for k, t in enumerate(kinds)],
+                names=["bucket", "entries", "removed"],
             )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, parts, hashes, held = [], [], [], 0
+        entries, held = [], 0
         for batch, data, offsets in steps(batches):
             text, key, first, last = anchors(data, offsets)
             if not len(text):
                 continue
-            count = batch.num_rows
-            wanted = [np.frombuffer(b"".join(k), "<i8") for k in batch.column("keys").to_pylist()]
-            owner = np.repeat(np.arange(count), [len(w) for w in wanted])
+            keys = batch.column("keys")
+            wanted = keys.flatten().to_numpy().astype(np.uint64)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(keys).to_numpy())
             # Ranks are compared as they were sent: bucket of the first round and lower half.
-            short = (((key >> _U64(32)) % batch.column("buckets").to_numpy().astype(np.uint64)[text]) << _U64(32)) | (
-                key & _U64(0xFFFFFFFF)
+            short = (((key >> _U64(32)) % _U64(buckets)) << _U64(32)) | (key & _U64(0xFFFFFFFF))
+            pick = np.isin(
+                mix64(short) ^ mix64(text.astype(np.uint64)), mix64(wanted) ^ mix64(owner.astype(np.uint64))
             )
-            pick = np.isin(mix64(short) ^ mix64(text.astype(np.uint64)), mix64(np.concatenate(wanted).astype(np.uint64)) ^ mix64(owner.astype(np.uint64)))
             text, key, first, last = text[pick], key[pick], first[pick], last[pick]
             if not len(text):
                 continue
-            entry = np.empty(len(text), _ENTRY)
+            entry = np.empty(len(text), _MARK)
             entry["id"] = batch.column("id").to_numpy()[text]
             entry["sign"] = batch.column("sign").to_numpy()[text]
+            begin = int(first.min())
+            window = data[begin : int(last.max()) + LENGTH]
+            entry["hash"] = span_hashes(_BYTE[window], first - begin, last + LENGTH - begin)
             entry["first"] = first - offsets[text]
-            entry["starts"] = last - first + 1
             entry["key"] = (key & _U64(0xFFFFFFFF)).astype(np.uint32)
+            entry["starts"] = last - first + 1
+            entries.append(entry)
+            held += len(entry)
+            if held >= ENTRIES_PER_SORT // 2:
+                yield from flush(entries)
+                entries, held = [], 0
+        if held:
+            yield from flush(entries)
+
+    return run
+
+
+def _pairs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    start, end = _runs(values) if len(values) else ((), ())
+    return zip(start, end, strict=True)
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What equal surroundings settle, from the entries of each bucket. Rows come by bucket.
+
+    An entry whose surroundings a smaller id has is removed as a whole. Where a rank has several
+    kinds of surroundings, the smallest id of each kind stays open: its strings may still start
+    in another kind.
+    """
+
+    def close(entries):
+        entry = np.concatenate(entries)
+        order, later, new = _by_surroundings(entry)
+        ranked = entry[order]
+        first = ranked["first"].astype(np.int64)
+        last = first + ranked["starts"] - 1
+        yield _found(ranked[later], first[later], last[later], None)
+        start, end = _runs(ranked["key"])
+        several = np.repeat(np.add.reduceat(new.astype(np.int64), start) > 1, end - start)
+        still = several & ~later
+        yield _found(ranked[still], first[still], last[still], ranked["key"][still])
+
+    at, entries = None, []
+    for batch in batches:
+        for bucket, entry, removed in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+            sure = np.frombuffer(removed.as_buffer(), _MARK)
+            if len(sure):
+                first = sure["first"].astype(np.int64)
+                yield _found(sure, first, first + sure["starts"] - 1, None)
+            if bucket != at and entries:
+                yield from close(entries)
+                entries = []
+            at = bucket
+            if len(entry.as_buffer()):
+                entries.append(np.frombuffer(entry.as_buffer(), _MARK))
+    if entries:
+        yield from close(entries)
+
+
+# -- further rounds: ranks of pairs ---------------------------------------------------------
+
+_ENTRY = np.dtype([("id", "<i8"), ("sign", "<i8"), ("first", "<u4"), ("starts", "u1")])
+
+
+def _strings(buckets: int):
+    """The open strings of documents with their bytes, dealt by rank."""
+
+    def flush(entries: list, keys: list, parts: list) -> Iterator[pa.RecordBatch]:
+        entry, key, data = np.concatenate(entries), np.concatenate(keys), np.concatenate(parts)
+        length = entry["starts"].astype(np.int64) + LENGTH - 1
+        place = np.cumsum(length) - length
+        bucket = key % buckets
+        order = np.argsort(bucket, kind="stable")
+        for a, b in _pairs(bucket[order]):
+            here = order[a:b]
+            at = np.repeat(place[here] - (np.cumsum(length[here]) - length[here]), length[here])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(bucket[here[0]])], pa.int32()),
+                    pa.array([entry[here].tobytes()], pa.binary()),
+                    pa.array([data[at + np.arange(len(at))].tobytes()], pa.binary()),
+                ],
+                names=["bucket", "entries", "bytes"],
+            )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, keys, parts, held = [], [], [], 0
+        for batch, data, offsets in steps(batches):
+            count = pc.list_value_length(batch.column("firsts")).to_numpy()
+            text = np.repeat(np.arange(batch.num_rows), count)
+            first, last, key = (batch.column(c).flatten().to_numpy() for c in ("firsts", "lasts", "keys"))
+            entry = np.empty(len(text), _ENTRY)
+            entry["id"] = batch.column("id").to_numpy()[text]
+            entry["sign"] = batch.column("sign").to_numpy()[text]
+            entry["first"], entry["starts"] = first, last - first + 1
             length = last - first + LENGTH
-            at = np.repeat(first - (np.cumsum(length) - length), length)
+            at = np.repeat(offsets[text] + first - (np.cumsum(length) - length), length)
             entries.append(entry)
+            keys.append(key)
             parts.append(data[at + np.arange(len(at))])
-            begin = int(first.min())
-            window = data[begin : int(last.max()) + LENGTH]
-            hashes.append(span_hashes(_BYTE[window], first - begin, last + LENGTH - begin))
             held += len(entry)
             if held >= ENTRIES_PER_SORT // 4:
-                yield from flush(entries, parts, hashes)
-                entries, parts, hashes, held = [], [], [], 0
+                yield from flush(entries, keys, parts)
+                entries, keys, parts, held = [], [], [], 0
         if held:
-            yield from flush(entries, parts, hashes)
+            yield from flush(entries, keys, parts)
 
     return run
 
@@ -374,7 +446,7 @@ def later_starts(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.
 
 
 def _double(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of removed bytes from the entries of each bucket. Rows come by bucket."""
+    """Spans of removed bytes from the open strings of each bucket. Rows come by bucket."""
 
     def close(entries, parts):
         entry, data = np.concatenate(entries), np.concatenate(parts)
@@ -390,12 +462,12 @@ def _double(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (step[1:] != step[:-1] + 1)]))
         end = np.append(cut[1:], len(which)) - 1
         of = entry[which[cut]]
-        batch = _spans_batch(of["id"], of["sign"], of["first"] + step[cut], of["first"] + step[end] + LENGTH)
-        yield batch.select(["id", "sign", "start", "end"])
+        first = of["first"].astype(np.int64)
+        yield _found(of, first + step[cut], first + step[end], None)
 
     at, entries, parts = None, [], []
     for batch in batches:
-        for bucket, entry, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for bucket, entry, data in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
             if bucket != at and entries:
                 yield from close(entries, parts)
                 entries, parts = [], []
@@ -481,8 +553,8 @@ def removals(rows: DataFrame) -> DataFrame:
     total = marks.agg(F.sum("size")).first()[0] or 0
     marks = marks.join(classes, ["sign", "second", "size"]).select("id", "sign", (F.col("id") > F.col("least")).alias("copy"))
     marks = stored(marks.distinct(), "copies")
-    # About every eighteenth byte is an anchor, of twelve bytes in the first round.
-    buckets = max(places, int(total * 12 / 18 / BYTES_PER_BUCKET) + 1)
+    # About every fourteenth byte is an anchor, of twelve bytes in the first round.
+    buckets = max(places, int(total * 12 / 14 / BYTES_PER_BUCKET) + 1)
     shared = (
         rows.select("id", "text")
         .mapInArrow(
@@ -491,25 +563,41 @@ def removals(rows: DataFrame) -> DataFrame:
         )
         .repartition(places, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_answers, "id long, keys binary")
+        .mapInArrow(_answers, "id long, key long")
     )
     shared = stored(shared, "shared")
     wanted = (
         shared.join(marks.filter("NOT copy").select("id").distinct(), "id", "left_semi")
         .groupBy(F.struct("id").alias("k"))
-        .agg(F.collect_list("keys").alias("keys"))
+        .agg(F.collect_list("key").alias("keys"))
         .select("k.id", "keys")
     )
-    lines = rows.join(wanted, "id").withColumn("buckets", F.lit(buckets).cast("bigint"))
-    schema = "bucket int, entries binary, bytes binary, id long, sign long, start long, end long"
-    around = stored(lines.mapInArrow(_surroundings(buckets), schema), "around")
-    dealt = around.filter("bucket IS NOT NULL").select("bucket", "entries", "bytes")
-    spans = (
-        dealt.repartition(places, "bucket")
+    settled = (
+        rows.join(wanted, "id")
+        .mapInArrow(_surroundings(buckets), "bucket int, entries binary, removed binary")
+        .repartition(places, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_compare, _FOUND)
+    )
+    settled = stored(settled, "settled")
+    still = (
+        settled.filter("key IS NOT NULL")
+        .groupBy(F.struct("id", "sign").alias("k"))
+        # Lists of one group are in one order: each is taken from the same rows.
+        .agg(F.collect_list(F.struct("start", "end", "key")).alias("open"))
+        .select(
+            "k.id", "k.sign",
+            F.col("open.start").alias("firsts"), F.col("open.end").alias("lasts"), F.col("open.key").alias("keys"),
+        )
+    )
+    doubled = (
+        rows.join(still, ["id", "sign"])
+        .mapInArrow(_strings(buckets), "bucket int, entries binary, bytes binary")
+        .repartition(places, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_double, "id long, sign long, start long, end long")
-        .unionByName(around.filter("bucket IS NULL").select("id", "sign", "start", "end"))
+        .mapInArrow(_double, _FOUND)
     )
+    spans = settled.filter("key IS NULL").unionByName(doubled)
     spans = stored(
         spans.groupBy("id", "sign").agg(
             F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
