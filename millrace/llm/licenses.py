@@ -1,7 +1,7 @@
 """License scans: Dice coefficient of word bigrams against license templates.
 
-A document is looked at as a whole, by paragraphs and by lines. Each such unit is normalised
-(A-Z lowered, everything but letters and digits of ASCII a separator), its distinct word
+A document is normalised (A-Z lowered, everything but letters and digits of ASCII a separator)
+and looked at as a whole, by paragraphs and by lines. Each such unit's distinct word
 bigrams meet those of the templates in an equi-join, and the coefficient is twice the number
 shared over the sum of both numbers. Two bounds come first: a unit whose number of bigrams
 cannot reach the threshold with any template is not taken apart, and a bigram only meets
@@ -87,10 +87,26 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, _UPPER, _UPPER.lower()), "[^a-z0-9]+", " "))
 
 
+_BREAK = "\x01"
+
+
 def units_of(text: Column) -> Column:
-    """The whole text, its paragraphs and its lines, each once."""
-    parts = F.concat(F.array(text), F.split(text, "\n[ \t\r\n]*\n"), F.split(text, "\n"))
-    return F.array_distinct(parts)
+    """The whole text, its paragraphs and its lines, normalised, each once.
+
+    Paragraphs are parted by lines of white space. The text is normalised in one go, line ends
+    and marks between paragraphs being kept.
+    """
+    marked = F.translate(text, _BREAK + _UPPER, "-" + _UPPER.lower())
+    marked = F.regexp_replace(marked, "\n[ \t\r\n]*\n", f"\n{_BREAK}\n")
+    kept = F.regexp_replace(marked, f"[^a-z0-9\n{_BREAK}]+", " ")
+    lines = F.filter(
+        F.transform(F.split(kept, "\n"), lambda line: F.trim(line)), lambda line: line != ""
+    )
+    joined = F.array_join(lines, " ")
+    paragraphs = F.transform(F.split(joined, _BREAK), lambda part: F.trim(part))
+    whole = F.array(F.array_join(F.filter(paragraphs, lambda part: part != ""), " "))
+    units = F.array_distinct(F.concat(whole, paragraphs, lines))
+    return F.filter(units, lambda unit: (unit != "") & (unit != _BREAK))
 
 
 def bigrams_of(words: Column) -> Column:
@@ -134,15 +150,19 @@ def scan_licenses(
     # Of two sizes, the coefficient is at most twice the smaller over their sum.
     lowest = min(sizes, default=1) * threshold / (2 - threshold)
     highest = max(sizes, default=0) * (2 - threshold) / threshold
-    units = rows.select("row", F.explode(units_of(F.col("text"))).alias("unit")).filter("unit <> ''")
-    # Words are counted before anything is taken apart. Repeated bigrams can only make the
-    # number of distinct ones smaller than the number of words.
-    clean = units.select("row", normalised(F.col("unit")).alias("unit")).filter("unit <> ''").withColumn(
+    units = rows.select("row", F.explode(units_of(F.col("text"))).alias("unit")).withColumn(
         "words", F.length("unit") - F.length(F.translate("unit", " ", "")) + 1
     )
+    # Sizes come before anything is taken apart whole: a unit of too few words has too few
+    # bigrams, and one whose first words have too many has too many.
+    some = int(highest) + 64
+    head = bigrams_of(F.split(F.substring_index("unit", " ", some), " "))
+    fitting = units.filter(F.col("words") > lowest).withColumn("head", head).filter(F.size("head") <= highest)
     apart = (
-        clean.filter(F.col("words") > lowest)
-        .select("row", "unit", bigrams_of(F.split("unit", " ")).alias("bigrams"))
+        fitting.withColumn(
+            "bigrams",
+            F.when(F.col("words") <= some, F.col("head")).otherwise(bigrams_of(F.split("unit", " "))),
+        )
         .withColumn("n", F.size("bigrams"))
         .filter((F.col("n") >= lowest) & (F.col("n") <= highest))
         .select("row", F.xxhash64("unit").alias("unit"), "n", F.explode("bigrams").alias("bigram"))
