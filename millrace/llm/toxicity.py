@@ -40,13 +40,15 @@ GRAMS = (3, 4)
 #: Words of a window and distance of window starts.
 WINDOW, STRIDE = 8, 4
 #: The bound of the training sample, in documents and in words of them.
-TRAIN_DOCUMENTS = 5_000
-TRAIN_WORDS = 3_000_000
+TRAIN_DOCUMENTS = 4_000
+TRAIN_WORDS = 2_200_000
 RATE, DECAY, STEP = 0.5, 1e-4, 0.05
 #: Documents that a table row must have been seen in to count.
 LEAST_DOCUMENTS = 4
 WINDOWS_PER_STEP = 512
+#: Epochs of each phase, and the least number of steps for small samples.
 PHASES = (2, 4)
+LEAST_STEPS = 600
 THRESHOLD = 0.7
 
 _MARK = np.uint64(0x9AE16A3B2F90404F)
@@ -172,8 +174,10 @@ def _descend(
     softmax = rng.uniform(-1, 1, (2, DIMENSIONS)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     size = np.diff(bounds)
+    per_epoch = -(-len(chosen) // WINDOWS_PER_STEP)
+    epochs = max(epochs, -(-LEAST_STEPS // per_epoch))
     for epoch in range(epochs):
-        rate = RATE / (1 + epoch)
+        rate = RATE / (1 + 4 * epoch / epochs)
         order = rng.permutation(chosen)
         for at in range(0, len(order), WINDOWS_PER_STEP):
             batch = np.sort(order[at : at + WINDOWS_PER_STEP])
