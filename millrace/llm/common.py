@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +34,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no frame needs any more.
+
+    They stay on the executors' disks until the driver has collected the objects that stand for
+    them. Python's references go first, which the JVM hears of a little later, so it takes two
+    rounds before a large shuffle is to follow another one.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1.0)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder, read it back, and let go of what made it.
 

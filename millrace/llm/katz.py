@@ -32,12 +32,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
-from millrace.llm.common import Words, mix64, prepare, steps, stored
+from millrace.llm.common import Words, mix64, prepare, release, steps, stored
 
 LARGE = 5
 SPARE = 0.01
@@ -56,8 +57,8 @@ _START = mix64(np.array([0x57A27], np.uint64))[0]
 # -- chunks ---------------------------------------------------------------------------------
 
 _CHUNK = (
-    "chunk long, ids binary, sizes binary, train binary, low binary, high binary, vocabulary binary, "
-    "counts binary, words long, tokens long, documents long"
+    "chunk long, ids binary, sizes binary, train binary, places binary, vocabulary binary, "
+    "counts binary, words long, tokens long, documents long, length long"
 )
 
 
@@ -82,15 +83,15 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [ids.astype("<i8").tobytes()],
             [sizes.astype("<u4").tobytes()],
             [train.astype(np.uint8).tobytes()],
-            [(local & 0xFFFF).astype("<u2").tobytes()],
-            [(local >> 16).astype("<u2").tobytes()],
+            [_planes(local)],
             [vocabulary.astype("<u8").tobytes()],
-            [counts.astype("<u4").tobytes()],
+            [_planes(counts)],
             [len(vocabulary)],
             [int(counts.sum())],
             [int(train.sum())],
+            [len(tokens)],
         ]
-        kinds = [pa.int64(), *[pa.binary()] * 7, *[pa.int64()] * 3]
+        kinds = [pa.int64(), *[pa.binary()] * 6, *[pa.int64()] * 4]
         names = [c.split()[0] for c in _CHUNK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
@@ -118,9 +119,7 @@ class Chunk:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
         self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
-        self.tokens = np.frombuffer(row["low"], "<u2").astype(np.int64) | (
-            np.frombuffer(row["high"], "<u2").astype(np.int64) << 16
-        )
+        self.tokens = _counts(row["places"])
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
         self.first = np.cumsum(self.sizes) - self.sizes
 
@@ -155,9 +154,34 @@ def word_order(vocabulary: np.ndarray, buckets: int) -> tuple[np.ndarray, np.nda
     return order, bucket[order]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, lowest bytes first: all lowest bytes, then all second ones, packed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    parts = values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(parts.T).tobytes())
+
+
+def _counts(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    wide = np.zeros((parts.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = parts.T
+    return wide.view("<i8")[:, 0]
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """Six bytes of each hash: enough to tell apart the words that follow one word."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _words(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8")[:, 0]
+
+
 def _joined(answers: list[tuple[int, bytes]]) -> np.ndarray:
     """Counts from the answers of the buckets, in the order of the buckets."""
-    return np.concatenate([np.zeros(0, "<i8"), *[np.frombuffer(a, "<i8") for _, a in sorted(answers, key=lambda x: x[0])]])
+    return np.concatenate([np.zeros(0, "<i8"), *[_counts(a) for _, a in sorted(answers, key=lambda x: x[0])]])
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -169,7 +193,8 @@ def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[di
     """Rows with one value in the first column, together. They come sorted by it."""
     at, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             key = row[batch.schema.names[0]]
             if key != at and rows:
                 yield at, rows
@@ -188,7 +213,7 @@ def _ask_words(buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-                counts = np.frombuffer(row["counts"], "<u4")
+                counts = _counts(row["counts"])
                 order, bucket = word_order(vocabulary, buckets)
                 parts = [(int(bucket[a]), order[a:b]) for a, b in _runs(bucket)]
                 yield pa.RecordBatch.from_arrays(
@@ -196,7 +221,7 @@ def _ask_words(buckets: int):
                         pa.array([b for b, _ in parts], pa.int32()),
                         pa.array([row["chunk"]] * len(parts), pa.int64()),
                         pa.array([vocabulary[o].tobytes() for _, o in parts], pa.binary()),
-                        pa.array([counts[o].tobytes() for _, o in parts], pa.binary()),
+                        pa.array([_planes(counts[o]) for _, o in parts], pa.binary()),
                     ],
                     names=["bucket", "chunk", "vocabulary", "counts"],
                 )
@@ -217,7 +242,7 @@ def _answer_words(batches):
     """A row of statistics for each bucket, and the answers to the chunks."""
     for bucket, rows in _by_bucket(batches):
         words = [np.frombuffer(r["vocabulary"], "<u8") for r in rows]
-        counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
+        counts = np.concatenate([_counts(r["counts"]) for r in rows])
         distinct, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, counts, len(distinct)).astype(np.int64)
         seen = total[total > 0]
@@ -226,7 +251,7 @@ def _answer_words(batches):
 
 def _answers_batch(bucket, chunks, sizes, answers, types, statistics) -> pa.RecordBatch:
     cut = np.cumsum([0, *sizes])
-    blobs = [answers[a:b].astype("<i8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    blobs = [_planes(answers[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     nothing = [None] * len(chunks)
     return pa.RecordBatch.from_arrays(
         [
@@ -306,7 +331,7 @@ def _ask_pairs(word_buckets: int, buckets: int, documents: int):
             chunk.add_pairs(buckets)
             learnt = np.bincount(
                 chunk.pair_of[np.repeat(chunk.train, chunk.sizes)], minlength=len(chunk.pairs)
-            ).astype("<u4")
+            )
             for a, b in _runs(chunk.pair_bucket):
                 o = chunk.pair_order[a:b]
                 # Pairs are in the order of their first word: it is sent once.
@@ -317,14 +342,14 @@ def _ask_pairs(word_buckets: int, buckets: int, documents: int):
                         pa.array([int(chunk.pair_bucket[a])], pa.int32()),
                         pa.array([chunk.number], pa.int64()),
                         *[
-                            pa.array([x.tobytes()], pa.binary())
+                            pa.array([x], pa.binary())
                             for x in (
-                                chunk.h_hash[heads],
-                                chunk.counts[chunk.h[heads]].astype("<i8"),
-                                np.array(lengths, "<u4"),
-                                chunk.w_hash[o],
-                                chunk.counts[chunk.w[o]].astype("<i8"),
-                                learnt[o],
+                                chunk.h_hash[heads].tobytes(),
+                                _planes(chunk.counts[chunk.h[heads]]),
+                                _planes(np.array(lengths, np.int64)),
+                                _short(chunk.w_hash[o]),
+                                _planes(chunk.counts[chunk.w[o]]),
+                                _planes(learnt[o]),
                             )
                         ],
                     ],
@@ -347,12 +372,12 @@ def _answer_pairs(one_word: OneWord):
 
     def run(batches):
         for bucket, rows in _by_bucket(batches):
-            lengths = [np.frombuffer(r["lengths"], "<u4") for r in rows]
+            lengths = [_counts(r["lengths"]) for r in rows]
             h = np.concatenate([np.repeat(np.frombuffer(r["h"], "<u8"), n) for r, n in zip(rows, lengths, strict=True)])
-            h_count = np.concatenate([np.repeat(np.frombuffer(r["h_count"], "<i8"), n) for r, n in zip(rows, lengths, strict=True)])
-            w = np.concatenate([np.frombuffer(r["w"], "<u8") for r in rows])
-            w_count = np.concatenate([np.frombuffer(r["w_count"], "<i8") for r in rows])
-            counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(np.int64)
+            h_count = np.concatenate([np.repeat(_counts(r["h_count"]), n) for r, n in zip(rows, lengths, strict=True)])
+            w = np.concatenate([_words(r["w"]) for r in rows])
+            w_count = np.concatenate([_counts(r["w_count"]) for r in rows])
+            counts = np.concatenate([_counts(r["counts"]) for r in rows])
             order = np.lexsort((w, h))
             new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
             group = np.cumsum(new) - 1
@@ -450,7 +475,7 @@ _RESULT = (
     "base_score double, score double"
 )
 
-_ROW = ["chunk", "kind", "bucket", "answer", "ids", "sizes", "train", "low", "high", "vocabulary", "heads", "weights"]
+_ROW = ["chunk", "kind", "bucket", "answer", "ids", "sizes", "train", "places", "vocabulary", "heads", "weights"]
 
 
 def _row_of(df: DataFrame, kind: int) -> DataFrame:
@@ -496,7 +521,7 @@ def katz_scores(
         F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit("")).alias("text"),
     )
     chunks = stored(rows.mapInArrow(_chunks, _CHUNK), "chunks")
-    size = chunks.agg(F.sum("words"), F.sum("tokens"), F.sum("documents"), F.sum(F.length("low") / 2)).first()
+    size = chunks.agg(F.sum("words"), F.sum("tokens"), F.sum("documents"), F.sum("length")).first()
     if size[0] is None:
         return spark.createDataFrame([], _RESULT)
     tokens, documents = size[1], size[2]
@@ -511,6 +536,7 @@ def katz_scores(
         "words",
     )
     one_word = OneWord(tokens, *_totals(words))
+    release(spark)
 
     buckets = max(places, int(size[3] / 2 / ENTRIES_PER_BUCKET) + 1)
     word_answers = _row_of(words.filter("chunk IS NOT NULL"), 1)
@@ -525,6 +551,8 @@ def katz_scores(
         "pairs",
     )
     discounts = Discounts(_totals(pairs)[1])
+    del asked
+    release(spark)
 
     # Backoff weights: the mass left over, by the one-word mass of what was not seen.
     left = sum(F.col(f"k{r}") * float(r - discounts.kept[r]) for r in range(1, LARGE + 1))

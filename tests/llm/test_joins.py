@@ -171,6 +171,7 @@ def vectors_by_hand(rows):
         if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             return None
         v = np.array(v, float)
+        v /= np.abs(v).max()
         return v / np.linalg.norm(v)
 
     units = [unit(v) for _, v in rows]
