@@ -34,14 +34,14 @@ from millrace.functions.sortkeys import quoted
 from millrace.llm.common import Words, mix64, prepare, steps, texts
 
 #: Rows of the embedding table, numbers of a row, and lengths of the n-grams in bytes.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 DIMENSIONS = 8
 GRAMS = (3, 4)
 #: Words of a window and distance of window starts.
 WINDOW, STRIDE = 8, 4
 #: The bound of the training sample, in documents and in words of them.
-TRAIN_DOCUMENTS = 4_000
-TRAIN_WORDS = 2_200_000
+TRAIN_DOCUMENTS = 3_000
+TRAIN_WORDS = 1_500_000
 RATE, DECAY, STEP = 0.5, 1e-4, 0.05
 #: Documents that a table row must have been seen in to count.
 LEAST_DOCUMENTS = 4
@@ -258,7 +258,9 @@ def train(sample: DataFrame, most_words: int = TRAIN_WORDS) -> Model:
         .withColumn("words", F.length("sizes") / 4)
         .orderBy(F.xxhash64(F.lit(17), "id"), "id", "sizes", "rows")
     )
-    all_rows, all_sizes, owner, label, total, n = [], [], [], [], 0, 0
+    # One array that grows in place: the subwords are most of what the driver holds.
+    held, filled = np.empty(1 << 20, np.int32), 0
+    all_sizes, owner, label, total, n = [], [], [], 0, 0
     for row in fetched.toLocalIterator():
         if total >= most_words:
             break
@@ -267,15 +269,19 @@ def train(sample: DataFrame, most_words: int = TRAIN_WORDS) -> Model:
         total += len(per_word)
         first = np.concatenate([[0], np.cumsum(per_word)])
         start, end, _ = windows(np.array([0, len(per_word)]), WINDOW)
-        for a, b in zip(first[start], first[end], strict=True):
-            all_rows.append(rows[a:b])
-            all_sizes.append(b - a)
-            owner.append(n)
+        if filled + len(rows) > len(held):
+            held.resize(max(filled + len(rows), len(held) + (1 << 22)), refcheck=False)
+        # Windows follow one another without overlap, so the rows are theirs in order.
+        held[filled : filled + len(rows)] = rows
+        filled += len(rows)
+        all_sizes.append(first[end] - first[start])
+        owner.append(np.full(len(start), n))
         label.append(row["label"] > 0)
         n += 1
-    rows = np.concatenate(all_rows) if all_rows else np.zeros(0, np.int32)
-    bounds = np.concatenate([[0], np.cumsum(all_sizes)]).astype(np.int64)
-    return fit(rows, bounds, np.array(owner, np.int64), np.array(label, np.float64))
+    sizes = np.concatenate([np.zeros(0, np.int64), *all_sizes])
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    owners = np.concatenate([np.zeros(0, np.int64), *owner])
+    return fit(held[:filled], bounds, owners, np.array(label, np.float64))
 
 
 def score_documents(
