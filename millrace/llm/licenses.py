@@ -3,9 +3,12 @@
 A document is normalised (A-Z lowered, everything but letters and digits of ASCII a separator)
 and looked at as a whole, by paragraphs and by lines. Each such unit's distinct word
 bigrams meet those of the templates in an equi-join, and the coefficient is twice the number
-shared over the sum of both numbers. Two bounds come first: a unit whose number of bigrams
-cannot reach the threshold with any template is not taken apart, and a bigram only meets
-templates of a size that fits its unit's.
+shared over the sum of both numbers. A template that none of these units reaches is looked for
+in every run of consecutive words of a fitting length, so a text in several paragraphs before
+code, or a notice inside a sentence, is found as well. Three bounds come first: a document that
+does not hold the share of a template's bigrams that the threshold takes is not looked at, a unit
+whose number of bigrams cannot reach the threshold with any template is not taken apart, and a
+bigram only meets templates of a size that fits its unit's.
 
 Everything is DataFrame expressions. Templates are a parameter of a few texts; Spark sees their
 size and broadcasts their bigrams by itself while they are small.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
@@ -129,6 +132,83 @@ def template_bigrams(spark, templates: Mapping[str, str]) -> DataFrame:
     return bigrams.select("license", F.size("bigrams").alias("size"), F.explode("bigrams").alias("bigram"))
 
 
+def template_keys(known: DataFrame, threshold: float) -> DataFrame:
+    """``(key, license, need)``: hashed bigrams, and how many of them a document has to hold.
+
+    A coefficient of the threshold takes that share of a template's bigrams, however short the
+    unit is.
+    """
+    need = F.ceil(F.col("size") * (threshold / (2 - threshold)) - 1e-9).cast("int")
+    return known.select(F.xxhash64("bigram").alias("key"), "license", need.alias("need"))
+
+
+def runs_of(docs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """``(row, license, dice)``: the best run of words of each document for each template.
+
+    ``docs`` are ``(row, text)``. A run is a stretch of consecutive words, over lines and
+    paragraphs, of no more pairs of neighbours than the template's size lets reach the
+    threshold. The best one begins and ends with a pair that the template has, and with fewer
+    such pairs in reach than the threshold takes, a start is not followed.
+    """
+    words = F.split(normalised(F.col("text")), " ")
+    pairs = F.zip_with(
+        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
+        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+        lambda a, b: F.concat(a, F.lit(" "), b),
+    )
+    placed = docs.dropDuplicates(["row"]).select("row", F.posexplode(pairs).alias("pos", "bigram"))
+    known = known.withColumn("longest", F.floor(F.col("size") * ((2 - threshold) / threshold) + 1e-9).cast("int"))
+    need = F.ceil(F.col("size") * (threshold / (2 - threshold)) - 1e-9).cast("int")
+    hits = (
+        placed.join(known, "bigram")
+        .groupBy("row", "license", "size", "longest")
+        .agg(F.sort_array(F.collect_list("pos")).alias("at"))
+        .withColumn("need", need)
+    )
+    starts = F.filter(
+        "at",
+        lambda p, k: F.coalesce(F.get("at", k + F.col("need") - 1) - p < F.col("longest"), F.lit(False)),
+    )
+    hits = stored(hits.withColumn("starts", starts).filter(F.size("starts") > 0), "starts")
+    # Where each pair stood before, so that a run counts it once.
+    before = Window.partitionBy("row", "bigram").orderBy("pos")
+    texts = (
+        placed.join(hits.select("row").distinct(), "row", "left_semi")
+        .withColumn("before", F.coalesce(F.lag("pos").over(before), F.lit(-1)))
+        .groupBy(F.struct("row").alias("k"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "before"))), lambda x: x["before"]).alias("before"))
+        .select("k.row", "before")
+    )
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"))
+
+    def best_from(start: Column) -> Column:
+        def step(state: Column, item: Column) -> Column:
+            first = (item["before"] < start).cast("int")
+            n = state["n"] + first
+            both = state["both"] + F.when(item["hit"], first).otherwise(0)
+            dice = F.when(item["hit"], F.greatest(state["dice"], 2.0 * both / (n + F.col("size"))))
+            return F.struct(n.alias("n"), both.alias("both"), F.coalesce(dice, state["dice"]).alias("dice"))
+
+        return F.aggregate(F.slice("items", start + 1, F.col("longest")), none, step, lambda state: state["dice"])
+
+    # Whether the template has the pair, by place: as many noes as lie between two hits, and a yes.
+    gaps = F.zip_with(
+        "at",
+        F.slice(F.concat(F.array(F.lit(-1)), "at"), 1, F.size("at")),
+        lambda p, last: F.concat(F.array_repeat(F.lit(False), p - last - 1), F.array(F.lit(True))),
+    )
+    items = F.zip_with(
+        "before", F.flatten(gaps), lambda b, hit: F.struct(b.alias("before"), F.coalesce(hit, F.lit(False)).alias("hit"))
+    )
+    dice = F.array_max(F.transform("starts", best_from))
+    return (
+        hits.join(texts, "row")
+        .withColumn("items", items)
+        .select("row", "license", dice.alias("dice"))
+        .filter(F.col("dice") >= threshold)
+    )
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: Mapping[str, str] = TEMPLATES,
@@ -138,7 +218,8 @@ def scan_licenses(
 ) -> DataFrame:
     """``(id, license, dice, n_matches)``: the best template of each document, or null.
 
-    ``n_matches`` counts the pairs of a unit and a template that reach the threshold.
+    ``n_matches`` counts the pairs of a unit and a template that reach the threshold; a template
+    that only a run of words reaches counts once.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(
@@ -147,10 +228,28 @@ def scan_licenses(
     ).withColumn("row", F.xxhash64("id", "text"))
     known = stored(template_bigrams(spark, templates), "templates")
     sizes = [r["size"] for r in known.select("size").distinct().collect()]
+    # Only texts with enough of a template's bigrams, wherever they stand, can hold it.
+    words = F.split(normalised(F.col("text")), " ")
+    keys = F.zip_with(
+        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
+        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+        lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)),
+    )
+    able = (
+        rows.select("row", F.explode(F.array_distinct(keys)).alias("key"))
+        .join(stored(template_keys(known, threshold), "keys"), "key")
+        .groupBy("row", "license", "need")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .filter(F.col("held") >= F.col("need"))
+        .select("row", "license")
+    )
+    able = stored(able, "able")
+    some_of = able.groupBy(F.struct("row").alias("k")).agg(F.count(F.lit(1))).select("k.row")
+    likely = stored(rows.select("row", "text").join(some_of, "row", "left_semi"), "likely")
     # Of two sizes, the coefficient is at most twice the smaller over their sum.
     lowest = min(sizes, default=1) * threshold / (2 - threshold)
     highest = max(sizes, default=0) * (2 - threshold) / threshold
-    units = rows.select("row", F.explode(units_of(F.col("text"))).alias("unit")).withColumn(
+    units = likely.select("row", F.explode(units_of(F.col("text"))).alias("unit")).withColumn(
         "words", F.length("unit") - F.length(F.translate("unit", " ", "")) + 1
     )
     # Sizes come before anything is taken apart whole: a unit of too few words has too few
@@ -172,8 +271,13 @@ def scan_licenses(
     )
     counted = shared.groupBy("row", "unit", "license", "n", "size").agg(F.count_distinct("bigram").alias("both"))
     dice = 2.0 * F.col("both") / (F.col("n") + F.col("size"))
-    hits = counted.withColumn("dice", dice).filter(F.col("dice") >= threshold)
-    best = hits.groupBy(F.struct("row").alias("k")).agg(
+    hits = counted.withColumn("dice", dice).filter(F.col("dice") >= threshold).select("row", "license", "dice")
+    hits = stored(hits, "hits")
+    # Templates that no unit of a document reaches may stand in a run of its words.
+    open_pairs = stored(able.join(hits, ["row", "license"], "left_anti"), "open")
+    within = likely.join(open_pairs.select("row").distinct(), "row", "left_semi")
+    runs = runs_of(within, known, threshold).join(open_pairs, ["row", "license"], "left_semi")
+    best = hits.unionByName(runs).groupBy(F.struct("row").alias("k")).agg(
         F.min_by("license", F.struct((-F.col("dice")).alias("d"), "license")).alias("license"),
         F.max("dice").alias("dice"),
         F.count(F.lit(1)).alias("n_matches"),

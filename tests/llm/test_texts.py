@@ -125,6 +125,48 @@ def test_licenses(spark, frame_of, odd_texts):
     assert licenses.scan_licenses(frame_of([])).collect() == []
 
 
+def dice_by_hand(text, template):
+    """The best coefficient of all stretches of words."""
+    grams = lambda words: {*zip(words, words[1:])}
+    cut = lambda t: re.sub("[^a-z0-9]+", " ", t.translate(LOWER)).split()
+    words, goal, best = cut(text), grams(cut(template)), 0.0
+    for i in range(len(words)):
+        seen = set()
+        for j in range(i + 1, min(len(words), i + 1 + len(goal) * 3 // 2)):
+            seen.add((words[j - 1], words[j]))
+            best = max(best, 2 * len(seen & goal) / (len(seen) + len(goal)))
+    return best
+
+
+def test_licenses_inside_longer_texts(spark, frame_of):
+    """Texts in three paragraphs before code, and a notice that shares its line."""
+    rng = random.Random(8)
+    code = "\n\n".join("def f%d(x):\n    return x + %d\n# %s" % (k, k, " ".join(rng.choices("abcdefgh", k=30))) for k in range(40))
+    cut = {
+        "MIT text": ["The above copyright", "THE SOFTWARE IS PROVIDED"],
+        "GPL-3.0 header": ["This program is distributed", "You should have received"],
+        "Apache-2.0 header": ["Unless required by", "See the License for"],
+    }
+    rows = []
+    for name, marks in cut.items():
+        text = licenses.TEMPLATES[name]
+        for mark in marks:
+            text = text.replace(mark, "\n\n" + mark)
+        rows.append((len(rows), "Copyright 2020 A. Person\n\n" + text.replace("software", "program") + "\n\n" + code))
+    rows += [
+        (3, "This project is released under the MIT License. It has more to it than that, as all can see. " + code),
+        (4, code),
+        (5, "released under the " * 40 + code + "license the mit " * 40),
+    ]
+    found = {r["id"]: r for r in licenses.scan_licenses(frame_of(rows)).collect()}
+    # The first words of the Apache header are a notice as well, and an equal one.
+    expected = ["MIT text", "GPL-3.0 header", "Apache-2.0", "MIT"]
+    assert [found[k]["license"] for k in range(6)] == [*expected, None, None]
+    for k, name in enumerate(expected):
+        assert found[k]["dice"] == dice_by_hand(rows[k][1], licenses.TEMPLATES[name]) >= 0.8
+    assert [found[k]["n_matches"] for k in range(6)] == [1, 1, 2, 1, 0, 0]
+
+
 # -- fingerprints ---------------------------------------------------------------------------
 
 
