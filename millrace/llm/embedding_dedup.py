@@ -8,7 +8,8 @@ double precision, and links are united into components.
 
 The beam is not fixed. After a shard is built it is audited: copies of some of its vectors,
 turned until their cosine is just the threshold, must lead back to them, and the beam doubles
-until enough do or until it holds the whole shard. A query whose whole beam is above the
+until enough do. Where a beam as wide as the shard still does not find enough, as parts of the
+graph cannot be reached, queries are compared with every vector of that shard instead. A query whose whole beam is above the
 threshold is asked again with a beam twice as wide, so large groups come out whole.
 
 Equal vectors are one from the start, with the number of rows they stand for. A shard has at
@@ -45,6 +46,8 @@ FIRST_BEAM = 32
 #: The audit: turned copies asked for, and the share that must be found.
 AUDIT = 256
 AUDIT_RECALL = 0.99
+#: The beam of a shard whose graph fails its audit: every vector is compared.
+EVERY = 0
 #: Queries and expansions that one step looks at together.
 TOGETHER = 256
 AT_ONCE = 4
@@ -229,6 +232,12 @@ class Graph:
         """``(query, vector)`` of all found above the threshold; beams widen while they are full."""
         out_q, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         beam, asked = self.beam, np.arange(len(queries))
+        if beam == EVERY:
+            for start in range(0, len(asked), TOGETHER):
+                q, v = np.nonzero(queries[start : start + TOGETHER] @ self.vectors.T >= threshold)
+                out_q.append(start + q)
+                out_v.append(v)
+            return np.concatenate(out_q), np.concatenate(out_v)
         while len(asked):
             again = []
             for start in range(0, len(asked), TOGETHER):
@@ -245,7 +254,10 @@ class Graph:
         return np.concatenate(out_q), np.concatenate(out_v)
 
     def audit(self, threshold: float) -> float:
-        """Widen the beam until copies turned to the threshold lead back; the recall reached."""
+        """Widen the beam until copies turned to the threshold lead back; the recall reached.
+
+        Where no beam is wide enough, every vector will be compared, which finds all.
+        """
         n, d = self.vectors.shape
         if not n:
             return 1.0
@@ -261,8 +273,11 @@ class Graph:
         while True:
             found, _ = self.search(turned, self.beam)
             recall = float((found == asked[:, None]).any(1).mean())
-            if recall >= AUDIT_RECALL or self.beam >= n:
+            if recall >= AUDIT_RECALL:
                 return recall
+            if self.beam >= n:
+                self.beam = EVERY
+                return 1.0
             self.beam *= 2
 
 

@@ -220,3 +220,17 @@ def test_graph_recall_with_groups_wider_than_the_beam():
     q, v = graph.within(graph.vectors, 0.9)
     expected = set(zip(*np.nonzero(graph.vectors @ graph.vectors.T >= 0.9), strict=True))
     assert len(expected & set(zip(q, v, strict=True))) >= 0.99 * len(expected)
+
+
+def test_graph_with_parts_out_of_reach():
+    """A shard whose audit fails at the widest beam is compared vector by vector."""
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((600, 16))
+    points[300:] = points[:300] + 0.1 * rng.standard_normal((300, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph = embedding_dedup.Graph.build(points.astype(np.float32), rng.integers(-(2**60), 2**60, 600))
+    members, edges = graph.layers[-1]
+    graph.layers[-1] = (members, np.where(edges >= 250, -1, edges))
+    assert graph.audit(0.9) >= embedding_dedup.AUDIT_RECALL
+    found = set(zip(*graph.within(graph.vectors, 0.9), strict=True))
+    assert found == set(zip(*np.nonzero(graph.vectors @ graph.vectors.T >= 0.9), strict=True))
