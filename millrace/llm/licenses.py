@@ -22,6 +22,7 @@ rows. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,42 @@ TEMPLATES = {
     ),
 }
 
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as "
+    "published by the Free Software Foundation, either version {1} of the License, or (at your option) any later "
+    "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+    "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more "
+    "details. You should have received a copy of the GNU {0} along with this program. If not, see "
+    "<https://www.gnu.org/licenses/>."
+)
+
+#: Standard notices of the licenses in ``license_texts``.
+NOTICES = {
+    "AGPL-3.0 header": _GNU.format("Affero General Public License", "3"),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work."
+    ),
+    "GPL-2.0 header": _GNU.format("General Public License", "2"),
+    "LGPL-2.1 header": _GNU.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0 header": _GNU.format("Lesser General Public License", "3"),
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+}
+
+
+def full_texts() -> dict[str, str]:
+    """The texts kept beside this module, by names such as ``BSD-3-Clause text``."""
+    folder = Path(__file__).parent / "license_texts"
+    return {f"{p.stem} text": p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+
+
+#: What a scan looks for: notices and full texts, 33 of some 35,000 words. The first sentence of
+#: 0BSD alone is also that of ISC, so 0BSD is there by its full text only.
+LICENSES = {k: v for k, v in TEMPLATES.items() if k != "0BSD"} | NOTICES | full_texts()
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -135,11 +172,21 @@ def template_bigrams(spark, templates: Mapping[str, str]) -> DataFrame:
 def template_keys(known: DataFrame, threshold: float) -> DataFrame:
     """``(key, license, need)``: hashed bigrams, and how many of them a document has to hold.
 
-    A coefficient of the threshold takes that share of a template's bigrams, however short the
-    unit is.
+    A coefficient of the threshold takes a share of a template's bigrams, however short the
+    unit is. Of a long text only the longest bigrams stand here, which prose seldom has; as many
+    of them may be missing as of all.
     """
     need = F.ceil(F.col("size") * (threshold / (2 - threshold)) - 1e-9).cast("int")
-    return known.select(F.xxhash64("bigram").alias("key"), "license", need.alias("need"))
+    spare = F.col("size") - F.col("need")
+    used = F.when(F.col("size") < 64, F.col("size")).otherwise(spare + F.ceil(F.col("need") / 4).cast("int"))
+    order = Window.partitionBy("license").orderBy(F.length("bigram").desc(), "bigram")
+    return (
+        known.withColumn("need", need)
+        .withColumn("used", used)
+        .withColumn("place", F.row_number().over(order))
+        .filter("place <= used")
+        .select(F.xxhash64("bigram").alias("key"), "license", (F.col("used") - spare).alias("need"))
+    )
 
 
 def runs_of(docs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
@@ -165,9 +212,19 @@ def runs_of(docs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
         .agg(F.sort_array(F.collect_list("pos")).alias("at"))
         .withColumn("need", need)
     )
+    hits = stored(hits, "places")
+    # Going back over a pair that the template has never lowers the coefficient, so runs begin
+    # where such pairs do, and are longer by as many as follow one another there.
+    marked = F.transform("at", lambda p, k: F.struct(p.alias("p"), k.alias("k"), F.get("at", k - 1).alias("last")))
+    first = F.filter(marked, lambda x: F.coalesce(x["last"] != x["p"] - 1, F.lit(True)))
+    follow = F.concat(F.slice(first, 2, F.size("at")), F.array(F.struct(F.lit(0).alias("p"), F.size("at").alias("k"), F.lit(0).alias("last"))))
+    streaks = F.zip_with(
+        first,
+        follow,
+        lambda x, y: F.struct(x["p"].alias("p"), x["k"].alias("k"), (F.col("longest") + y["k"] - x["k"]).alias("reach")),
+    )
     starts = F.filter(
-        "at",
-        lambda p, k: F.coalesce(F.get("at", k + F.col("need") - 1) - p < F.col("longest"), F.lit(False)),
+        streaks, lambda x: F.coalesce(F.get("at", x["k"] + F.col("need") - 1) - x["p"] < x["reach"], F.lit(False))
     )
     hits = stored(hits.withColumn("starts", starts).filter(F.size("starts") > 0), "starts")
     # Where each pair stood before, so that a run counts it once.
@@ -181,7 +238,9 @@ def runs_of(docs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     )
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"))
 
-    def best_from(start: Column) -> Column:
+    def best_from(run: Column) -> Column:
+        start = run["p"]
+
         def step(state: Column, item: Column) -> Column:
             first = (item["before"] < start).cast("int")
             n = state["n"] + first
@@ -189,7 +248,7 @@ def runs_of(docs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
             dice = F.when(item["hit"], F.greatest(state["dice"], 2.0 * both / (n + F.col("size"))))
             return F.struct(n.alias("n"), both.alias("both"), F.coalesce(dice, state["dice"]).alias("dice"))
 
-        return F.aggregate(F.slice("items", start + 1, F.col("longest")), none, step, lambda state: state["dice"])
+        return F.aggregate(F.slice("items", start + 1, run["reach"]), none, step, lambda state: state["dice"])
 
     # Whether the template has the pair, by place: as many noes as lie between two hits, and a yes.
     gaps = F.zip_with(
@@ -201,17 +260,14 @@ def runs_of(docs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
         "before", F.flatten(gaps), lambda b, hit: F.struct(b.alias("before"), F.coalesce(hit, F.lit(False)).alias("hit"))
     )
     dice = F.array_max(F.transform("starts", best_from))
-    return (
-        hits.join(texts, "row")
-        .withColumn("items", items)
-        .select("row", "license", dice.alias("dice"))
-        .filter(F.col("dice") >= threshold)
-    )
+    # Stored, as an expression for them would be evaluated again for each start.
+    runs = stored(hits.join(texts, "row").withColumn("items", items).drop("before", "at"), "runs")
+    return runs.select("row", "license", dice.alias("dice")).filter(F.col("dice") >= threshold)
 
 
 def scan_licenses(
     docs: DataFrame,
-    templates: Mapping[str, str] = TEMPLATES,
+    templates: Mapping[str, str] = LICENSES,
     threshold: float = THRESHOLD,
     id_column: str = "doc_id",
     text_column: str = "text",

@@ -158,7 +158,7 @@ def test_licenses_inside_longer_texts(spark, frame_of):
         (4, code),
         (5, "released under the " * 40 + code + "license the mit " * 40),
     ]
-    found = {r["id"]: r for r in licenses.scan_licenses(frame_of(rows)).collect()}
+    found = {r["id"]: r for r in licenses.scan_licenses(frame_of(rows), licenses.TEMPLATES).collect()}
     # The first words of the Apache header are a notice as well, and an equal one.
     expected = ["MIT text", "GPL-3.0 header", "Apache-2.0", "MIT"]
     assert [found[k]["license"] for k in range(6)] == [*expected, None, None]
@@ -167,6 +167,29 @@ def test_licenses_inside_longer_texts(spark, frame_of):
     assert [found[k]["n_matches"] for k in range(6)] == [1, 1, 2, 1, 0, 0]
 
 
+def test_full_license_texts(spark, frame_of):
+    """Whole texts with a word changed here and there, in front of code, under their own names."""
+    texts = licenses.full_texts()
+    code = "\n\ndef f(x):\n    return x" * 20
+    rows = []
+    for k, text in enumerate(texts.values()):
+        words = text.split(" ")
+        words[40::60] = ["changed"] * len(words[40::60])
+        rows.append((k, " ".join(words) + code))
+    found = {r["id"]: r for r in licenses.scan_licenses(frame_of(rows)).collect()}
+    best = [max(licenses.LICENSES, key=lambda n, k=k: dice_by_whole(rows[k][1], licenses.LICENSES[n])) for k in range(len(rows))]
+    assert best == list(texts)
+    for k, name in enumerate(texts):
+        assert found[k]["license"] is not None and found[k]["dice"] >= 0.8, name
+        assert found[k]["license"].split(" ")[0] == name.split(" ")[0], name
+
+
+def dice_by_whole(text, template):
+    cut = lambda t: re.sub("[^a-z0-9]+", " ", t.translate(LOWER)).split()
+    a, b = ({*zip(w, w[1:])} for w in (cut(text), cut(template)))
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
 # -- fingerprints ---------------------------------------------------------------------------
 
 
