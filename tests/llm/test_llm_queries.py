@@ -25,7 +25,7 @@ def plain(value):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry_points.queries())
 
 
@@ -33,7 +33,7 @@ def test_every_operator_has_a_query():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, name):
     sql = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         sql.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     frame = QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
