@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import configure, materialise
+from millrace.session import configure, materialise, remove
 
 #: White space between words, as bytes of UTF-8 and as the body of a regular expression.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -31,32 +29,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+    # Shuffle files go when the query that made them ends; what is needed later is stored.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that no frame needs any more.
-
-    They stay on the executors' disks until the driver has collected the objects that stand for
-    them. Python's references go first, which the JVM hears of a little later, so it takes two
-    rounds before a large shuffle is to follow another one.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1.0)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder, read it back, and let go of what made it.
+    """Write ``df`` to the shared scratch folder and read it back."""
+    return materialise(df, label)
 
-    Shuffle files stay on the executors' disks until the driver has collected the objects
-    that stand for them, so the collection is asked for here, where a stage is complete.
-    """
-    kept = materialise(df, label)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return kept
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more, once their readers are stored."""
+    for frame in frames:
+        remove(frame)
 
 
 def texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

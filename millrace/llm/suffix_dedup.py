@@ -8,15 +8,22 @@ rank is unique, or when the length is reached.
 The first round is done on a sample that no repeated string can miss: the start of each string
 is put down to the smallest 24-byte rank inside it (the leftmost one), its anchor. Equal strings
 have the same anchor at the same place, so one shuffle by the anchors' ranks shows which are
-unique to one document, and they leave with all strings they stand for. In the second round the
-rest are sorted by rank and a hash of all bytes of their strings: what a smaller id has alike
-goes as a whole, and a rank with one kind of surroundings is done. Where it has several, the
-smallest id of each is left; their bytes are shuffled by rank, all equal strings are then in one
-task, and the rounds at offsets 8, 16 and 18 sort pairs of ranks there, exactly.
+unique to one text, and they leave with all strings they stand for. Then anchors are dealt by
+their rank and a hash of all bytes of their strings: what a smaller id has alike goes as a whole,
+and a rank with one kind of surroundings is done. Where it has several, the smallest id of each
+stays open.
+
+The strings of an open anchor are then told apart in rounds. They are held in cells, by how far
+before the anchor they start; all strings of a cell share its core, the bytes around the anchor.
+A round cuts each cell in two, which brings in bytes at a growing offset on one side, and ranks
+the new cores. Spark groups by rank: what one id has alone leaves, the rest are cut again, until
+a cell is a single string of ``LENGTH`` bytes and the smallest id of its rank is known. Ranks are
+two independent 64-bit hashes of the core, so a rank that many documents share is spread by
+its following bytes, combined before the shuffle, and never held by one task.
 
 Copies do not weigh on one task: equal texts are one class, of which only the smallest id is
 looked at; anchors that many documents of a task share go on as one entry, and so do equal
-surroundings. Positions, not documents, are what tasks sort.
+surroundings.
 
 Defined cases: null and empty texts have no bytes; texts under ``LENGTH`` bytes stay as they
 are and remove nothing; rows that share an id do not remove each other's bytes, and a null id
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
-from millrace.llm.common import _BYTE, mix64, prepare, span_hashes, steps, stored, texts
+from millrace.llm.common import _BYTE, discard, mix64, prepare, span_hashes, steps, stored, texts
 
 LENGTH = 50
 #: Bytes of the sampled rank, and starts of it in a string of ``LENGTH``.
@@ -70,7 +77,8 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(text, key, first, last)``: each anchor's text, rank, and first and last string start.
+    """``(text, key, first, last, place)``: each anchor's text, rank, first and last string start,
+    and where it is.
 
     Starts are places in ``data``. The strings that begin at ``first`` to ``last`` have it as
     their anchor.
@@ -105,10 +113,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         first = places[np.concatenate([[0], change + 1])]
         last = places[np.concatenate([change, [len(places) - 1]])]
         text = owner[np.searchsorted(limits[:, 1] - base, first, side="right")] if len(owner) > 1 else np.full(len(first), owner[0])
-        out.append((text, mix64(hashes[anchor[np.concatenate([[0], change + 1])]]), first + base, last + base))
+        place = anchor[np.concatenate([[0], change + 1])]
+        out.append((text, mix64(hashes[place]), first + base, last + base, place + base))
     if not out:
-        return tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64, np.int64))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +129,8 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _requests(buckets: int):
-    """Anchor ranks with their documents, dealt to buckets. What several documents of this run
-    share is known to be shared already and goes on once, without a document."""
+    """Anchor ranks with their texts, dealt to buckets. What several texts of this run share is
+    known to be shared already and goes on once, without a text. Texts go by their hash."""
 
     def flush(keys: list, ids: list) -> Iterator[pa.RecordBatch]:
         key, owner = np.concatenate(keys), np.concatenate(ids)
@@ -161,9 +170,9 @@ def _requests(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
         for batch, data, offsets in steps(batches):
-            text, key, _, _ = anchors(data, offsets)
+            text, key, _, _, _ = anchors(data, offsets)
             keys.append(key)
-            ids.append(batch.column("id").to_numpy()[text])
+            ids.append(batch.column("sign").to_numpy()[text])
             held += len(key)
             if held >= ENTRIES_PER_SORT:
                 yield from flush(keys, ids)
@@ -175,11 +184,11 @@ def _requests(buckets: int):
 
 
 def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(id, key)``: the ranks of a document that another one has too. Rows come by bucket."""
+    """``(sign, key)``: the ranks of a text that another one has too. Rows come by bucket."""
 
     def answer(bucket, short, owner):
         key = (np.int64(bucket) << np.int64(32)) | short.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(key)], names=["id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(key)], names=["sign", "key"])
 
     def close(bucket, lone, known):
         short = np.concatenate([k for k, _ in lone])
@@ -214,32 +223,33 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- second round: equal surroundings -------------------------------------------------------
 
-_MARK = np.dtype([("id", "<i8"), ("sign", "<i8"), ("hash", "<u8"), ("first", "<u4"), ("key", "<u4"), ("starts", "u1")])
-_FOUND = "id long, sign long, start long, end long, key long"
+_MARK = np.dtype(
+    [("id", "<i8"), ("sign", "<i8"), ("hash", "<u8"), ("first", "<u4"), ("key", "<u4"), ("starts", "u1"), ("before", "u1")]
+)
+_FOUND = "id long, sign long, start long, end long, key long, hash long, place long"
 
 
-def _found(entry: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
-    """Strings starting at ``first`` to ``last``: removed, or with a key still open."""
-    columns = [entry["id"], entry["sign"], first, last + (LENGTH if key is None else 0)]
-    return pa.RecordBatch.from_arrays(
-        [
-            *[pa.array(np.ascontiguousarray(c, np.int64)) for c in columns],
-            pa.nulls(len(entry), pa.int64()) if key is None else pa.array(key.astype(np.int64)),
-        ],
-        names=[c.split()[0] for c in _FOUND.split(", ")],
-    )
+def _found(entry: np.ndarray, open_: bool) -> pa.RecordBatch:
+    """The strings of some anchors: the span that goes, or first and last start where still open."""
+    first = entry["first"].astype(np.int64)
+    last = first + entry["starts"] - 1
+    columns = [entry["id"], entry["sign"], first, last + (0 if open_ else LENGTH)]
+    if open_:
+        columns += [entry["key"], entry["hash"].view(np.int64), first + entry["before"]]
+    arrays = [pa.array(np.ascontiguousarray(c, np.int64)) for c in columns]
+    arrays += [pa.nulls(len(entry), pa.int64())] * (7 - len(arrays))
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
-def _by_surroundings(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by rank, surroundings and id; which have a smaller id before them in their group;
-    and where groups of equal surroundings begin, in that order."""
+def _by_surroundings(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by rank, surroundings and id; and which have a smaller id before them in their group."""
     order = np.lexsort((entry["id"], entry["hash"], entry["key"]))
     ranked = entry[order]
     new = np.concatenate(
         [[True], (ranked["key"][1:] != ranked["key"][:-1]) | (ranked["hash"][1:] != ranked["hash"][:-1])]
     )
     least = ranked["id"][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-    return order, ranked["id"] > least, new
+    return order, ranked["id"] > least
 
 
 def _surroundings(buckets: int):
@@ -251,8 +261,8 @@ def _surroundings(buckets: int):
 
     def flush(entries: list) -> Iterator[pa.RecordBatch]:
         entry = np.concatenate(entries)
-        order, later, _ = _by_surroundings(entry)
-        bucket = (entry["key"] % np.uint32(buckets)).astype(np.int64)[order]
+        order, later = _by_surroundings(entry)
+        bucket = (entry["hash"] % _U64(buckets)).astype(np.int64)[order]
         by = np.argsort(bucket, kind="stable")
         rows = []
         for a, b in _pairs(bucket[by]):
@@ -270,7 +280,7 @@ def _surroundings(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, held = [], 0
         for batch, data, offsets in steps(batches):
-            text, key, first, last = anchors(data, offsets)
+            text, key, first, last, place = anchors(data, offsets)
             if not len(text):
                 continue
             keys = batch.column("keys")
@@ -281,7 +291,7 @@ def _surroundings(buckets: int):
             pick = np.isin(
                 mix64(short) ^ mix64(text.astype(np.uint64)), mix64(wanted) ^ mix64(owner.astype(np.uint64))
             )
-            text, key, first, last = text[pick], key[pick], first[pick], last[pick]
+            text, key, first, last, place = text[pick], key[pick], first[pick], last[pick], place[pick]
             if not len(text):
                 continue
             entry = np.empty(len(text), _MARK)
@@ -293,6 +303,7 @@ def _surroundings(buckets: int):
             entry["first"] = first - offsets[text]
             entry["key"] = (key & _U64(0xFFFFFFFF)).astype(np.uint32)
             entry["starts"] = last - first + 1
+            entry["before"] = place - first
             entries.append(entry)
             held += len(entry)
             if held >= ENTRIES_PER_SORT // 2:
@@ -312,30 +323,23 @@ def _pairs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What equal surroundings settle, from the entries of each bucket. Rows come by bucket.
 
-    An entry whose surroundings a smaller id has is removed as a whole. Where a rank has several
-    kinds of surroundings, the smallest id of each kind stays open: its strings may still start
-    in another kind.
+    An entry whose surroundings a smaller id has is removed as a whole. The smallest id of each
+    kind of surroundings stays open, as its strings may still start in another kind.
     """
 
     def close(entries):
         entry = np.concatenate(entries)
-        order, later, new = _by_surroundings(entry)
+        order, later = _by_surroundings(entry)
         ranked = entry[order]
-        first = ranked["first"].astype(np.int64)
-        last = first + ranked["starts"] - 1
-        yield _found(ranked[later], first[later], last[later], None)
-        start, end = _runs(ranked["key"])
-        several = np.repeat(np.add.reduceat(new.astype(np.int64), start) > 1, end - start)
-        still = several & ~later
-        yield _found(ranked[still], first[still], last[still], ranked["key"][still])
+        yield _found(ranked[later], False)
+        yield _found(ranked[~later], True)
 
     at, entries = None, []
     for batch in batches:
         for bucket, entry, removed in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
             sure = np.frombuffer(removed.as_buffer(), _MARK)
             if len(sure):
-                first = sure["first"].astype(np.int64)
-                yield _found(sure, first, first + sure["starts"] - 1, None)
+                yield _found(sure, False)
             if bucket != at and entries:
                 yield from close(entries)
                 entries = []
@@ -346,136 +350,93 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(entries)
 
 
-# -- further rounds: ranks of pairs ---------------------------------------------------------
-
-_ENTRY = np.dtype([("id", "<i8"), ("sign", "<i8"), ("first", "<u4"), ("starts", "u1")])
+# -- further rounds: ranks of growing cores -------------------------------------------------
 
+_CELL = "id long, sign long, place long, low int, high int, cell_low int, cell_high int, core long, second long, bytes binary"
+_CELL_NAMES = [c.split()[0] for c in _CELL.split(", ")]
+#: Codes of bytes for a second hash.
+_OTHER = mix64(_BYTE ^ _U64(0x2545F4914F6CDD1D))
 
-def _strings(buckets: int):
-    """The open strings of documents with their bytes, dealt by rank."""
-
-    def flush(entries: list, keys: list, parts: list) -> Iterator[pa.RecordBatch]:
-        entry, key, data = np.concatenate(entries), np.concatenate(keys), np.concatenate(parts)
-        length = entry["starts"].astype(np.int64) + LENGTH - 1
-        place = np.cumsum(length) - length
-        bucket = key % buckets
-        order = np.argsort(bucket, kind="stable")
-        for a, b in _pairs(bucket[order]):
-            here = order[a:b]
-            at = np.repeat(place[here] - (np.cumsum(length[here]) - length[here]), length[here])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(bucket[here[0]])], pa.int32()),
-                    pa.array([entry[here].tobytes()], pa.binary()),
-                    pa.array([data[at + np.arange(len(at))].tobytes()], pa.binary()),
-                ],
-                names=["bucket", "entries", "bytes"],
-            )
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, keys, parts, held = [], [], [], 0
-        for batch, data, offsets in steps(batches):
-            count = pc.list_value_length(batch.column("firsts")).to_numpy()
-            text = np.repeat(np.arange(batch.num_rows), count)
-            first, last, key = (batch.column(c).flatten().to_numpy() for c in ("firsts", "lasts", "keys"))
-            entry = np.empty(len(text), _ENTRY)
-            entry["id"] = batch.column("id").to_numpy()[text]
-            entry["sign"] = batch.column("sign").to_numpy()[text]
-            entry["first"], entry["starts"] = first, last - first + 1
-            length = last - first + LENGTH
-            at = np.repeat(offsets[text] + first - (np.cumsum(length) - length), length)
-            entries.append(entry)
-            keys.append(key)
-            parts.append(data[at + np.arange(len(at))])
-            held += len(entry)
-            if held >= ENTRIES_PER_SORT // 4:
-                yield from flush(entries, keys, parts)
-                entries, keys, parts, held = [], [], [], 0
-        if held:
-            yield from flush(entries, keys, parts)
 
-    return run
-
-
-def _dense(values: np.ndarray) -> np.ndarray:
-    """Ranks 0, 1, ... in the order of the values."""
-    order = np.argsort(values)
-    ordered = values[order]
-    ranks = np.empty(len(values), np.uint64)
-    ranks[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.uint64)
-    return ranks
+def _cells(columns: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Cells cut in two, with the ranks of their new cores.
 
+    ``columns``: id, sign, the anchor's place, the least and most bytes that the strings have
+    before it, and the cell's limits, the upper one excluded. ``data[at]`` is the first byte of
+    the string with most bytes before the anchor.
+    """
+    identity, sign, place, low, high, cell_low, cell_high = columns
+    middle = (cell_low + cell_high + 1) // 2
+    which = np.tile(np.arange(len(low)), 2)
+    start = (at + high)[which]
+    cell_low, cell_high = np.concatenate([cell_low, middle]), np.concatenate([middle, cell_high])
+    low, high = np.maximum(low[which], cell_low), np.minimum(high[which], cell_high - 1)
+    some = low <= high
+    which, start, low, high, cell_low, cell_high = (
+        c[some] for c in (which, start, low, high, cell_low, cell_high)
+    )
+    start -= high
+    length = high - low + LENGTH
+    core = start + high - cell_low
+    end = core + LENGTH + 1 - (cell_high - cell_low)
+    # Cores of different cells are told apart by the cell.
+    salt = mix64((cell_low * 64 + cell_high).astype(np.uint64))
+    ranks = [mix64(span_hashes(codes[data], core, end) ^ salt) for codes in (_BYTE, _OTHER)]
+    begin = np.cumsum(length) - length
+    flat = data[np.repeat(start - begin, length) + np.arange(int(length.sum()))]
+    offsets = np.append(begin, length.sum()).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            *[pa.array(c[which], pa.int64()) for c in (identity, sign, place)],
+            *[pa.array(c, pa.int32()) for c in (low, high, cell_low, cell_high)],
+            *[pa.array(r.view(np.int64)) for r in ranks],
+            pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]),
+        ],
+        names=_CELL_NAMES,
+    )
 
-def _shared(rank: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which places have a rank that another owner has too, and that a smaller owner has."""
-    order = np.lexsort((owner, rank))
-    start, end = _runs(rank[order])
-    later = owner[order] > np.repeat(owner[order[start]], end - start)
-    several, smaller = np.empty(len(rank), bool), np.empty(len(rank), bool)
-    several[order] = np.repeat(np.logical_or.reduceat(later, start), end - start)
-    smaller[order] = later
-    return several, smaller
 
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open anchors of documents as cells."""
+    for batch, data, offsets in steps(batches):
+        count = pc.list_value_length(batch.column("firsts")).to_numpy()
+        text = np.repeat(np.arange(batch.num_rows), count)
+        first, last, place = (batch.column(c).flatten().to_numpy() for c in ("firsts", "lasts", "places"))
+        every = np.zeros(len(text), np.int64)
+        columns = [batch.column(c).to_numpy()[text] for c in ("id", "sign")]
+        columns += [place, place - last, place - first, every, every + REACH]
+        yield _cells(columns, data, offsets[text] + first)
 
-def later_starts(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which of the strings of ``LENGTH`` bytes at ``starts`` also start with a smaller owner.
 
-    Ranks of 8 bytes are the bytes themselves. Sorted pairs of ranks at the offsets 8, 16 and
-    ``LENGTH - 32`` give those of 16, 32 and ``LENGTH`` bytes, and after each round only starts
-    whose rank several owners share stay.
-    """
-    found = np.zeros(len(starts), bool)
-    if not len(starts):
-        return found
-    rank = np.zeros(len(data) - 7, np.uint64)
-    for k in range(8):
-        rank <<= _U64(8)
-        rank |= data[k : k + len(rank)]
-    live = np.arange(len(starts))
-    rank = _dense(rank)
-    for offset in (8, 16):
-        rank = _dense((rank[:-offset] << _U64(32)) | rank[offset:])
-        several, _ = _shared(rank[starts[live]], owner[live])
-        live = live[several]
-        if not len(live):
-            return found
-    at = starts[live]
-    _, smaller = _shared((rank[at] << _U64(32)) | rank[at + LENGTH - 32], owner[live])
-    found[live[smaller]] = True
-    return found
-
-
-def _double(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of removed bytes from the open strings of each bucket. Rows come by bucket."""
-
-    def close(entries, parts):
-        entry, data = np.concatenate(entries), np.concatenate(parts)
-        count = entry["starts"].astype(np.int64)
-        length = count + LENGTH - 1
-        place = np.cumsum(length) - length
-        which = np.repeat(np.arange(len(entry)), count)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        found = later_starts(data, place[which] + step, entry["id"][which])
-        which, step = which[found], step[found]
-        if not len(which):
-            return
-        cut = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (step[1:] != step[:-1] + 1)]))
-        end = np.append(cut[1:], len(which)) - 1
-        of = entry[which[cut]]
-        first = of["first"].astype(np.int64)
-        yield _found(of, first + step[cut], first + step[end], None)
-
-    at, entries, parts = None, [], []
+def _smaller_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells that several ids share, cut again."""
     for batch in batches:
-        for bucket, entry, data in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
-            if bucket != at and entries:
-                yield from close(entries, parts)
-                entries, parts = [], []
-            at = bucket
-            entries.append(np.frombuffer(entry.as_buffer(), _ENTRY))
-            parts.append(np.frombuffer(data.as_buffer(), np.uint8))
-    if entries:
-        yield from close(entries, parts)
+        if not batch.num_rows:
+            continue
+        strings = batch.column("bytes")
+        offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset :][: len(strings) + 1].astype(np.int64)
+        data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        columns = [batch.column(c).to_numpy().astype(np.int64) for c in _CELL_NAMES[:7]]
+        yield _cells(columns, data, offsets[:-1] - offsets[0])
+
+
+def _told_apart(cells: DataFrame) -> DataFrame:
+    """``(id, sign, start, end)`` of the strings that start in a smaller id, from first cells."""
+    width, before = REACH, None
+    while True:
+        width = (width + 1) // 2
+        cells = stored(cells, "cells")
+        if before is not None:
+            discard(before)
+        before = cells
+        rank = F.struct("core", "second")
+        least = cells.groupBy(rank.alias("k")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        least = least.filter("least < most").select("k.core", "k.second", "least")
+        if width == 1:
+            start = F.col("place") - F.col("high")
+            ended = cells.drop("bytes").join(least, ["core", "second"]).filter("id > least")
+            return ended.select("id", "sign", start.alias("start"), (start + LENGTH).alias("end"))
+        cells = cells.join(least.drop("least"), ["core", "second"]).select(_CELL_NAMES).mapInArrow(_smaller_cells, _CELL)
 
 
 # -- documents ------------------------------------------------------------------------------
@@ -556,54 +517,52 @@ def removals(rows: DataFrame) -> DataFrame:
     # About every fourteenth byte is an anchor, of twelve bytes in the first round.
     buckets = max(places, int(total * 12 / 14 / BYTES_PER_BUCKET) + 1)
     shared = (
-        rows.select("id", "text")
+        rows.select("sign", "text")
         .mapInArrow(
             _requests(buckets),
             "bucket int, keys binary, ids binary, known binary, shared_keys binary, shared_ids binary",
         )
         .repartition(places, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_answers, "id long, key long")
+        .mapInArrow(_answers, "sign long, key long")
     )
     shared = stored(shared, "shared")
     wanted = (
-        shared.join(marks.filter("NOT copy").select("id").distinct(), "id", "left_semi")
-        .groupBy(F.struct("id").alias("k"))
+        shared.join(marks.filter("NOT copy").groupBy(F.struct("sign").alias("k")).agg(F.min("id").alias("id")).select("k.sign", "id"), "sign")
+        .groupBy(F.struct("id", "sign").alias("k"))
         .agg(F.collect_list("key").alias("keys"))
-        .select("k.id", "keys")
+        .select("k.id", "k.sign", "keys")
     )
     settled = (
-        rows.join(wanted, "id")
+        rows.join(wanted, ["id", "sign"])
         .mapInArrow(_surroundings(buckets), "bucket int, entries binary, removed binary")
         .repartition(places, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_compare, _FOUND)
     )
     settled = stored(settled, "settled")
+    discard(shared)
+    left = settled.filter("key IS NOT NULL")
+    several = left.groupBy(F.struct("key").alias("k")).agg(F.min("hash").alias("a"), F.max("hash").alias("b"))
     still = (
-        settled.filter("key IS NOT NULL")
+        left.join(several.filter("a < b").select("k.key"), "key")
         .groupBy(F.struct("id", "sign").alias("k"))
         # Lists of one group are in one order: each is taken from the same rows.
-        .agg(F.collect_list(F.struct("start", "end", "key")).alias("open"))
+        .agg(F.collect_list(F.struct("start", "end", "place")).alias("open"))
         .select(
             "k.id", "k.sign",
-            F.col("open.start").alias("firsts"), F.col("open.end").alias("lasts"), F.col("open.key").alias("keys"),
+            F.col("open.start").alias("firsts"), F.col("open.end").alias("lasts"), F.col("open.place").alias("places"),
         )
     )
-    doubled = (
-        rows.join(still, ["id", "sign"])
-        .mapInArrow(_strings(buckets), "bucket int, entries binary, bytes binary")
-        .repartition(places, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_double, _FOUND)
-    )
-    spans = settled.filter("key IS NULL").unionByName(doubled)
+    cells = rows.join(still, ["id", "sign"]).mapInArrow(_opened, _CELL)
+    spans = settled.filter("key IS NULL").select("id", "sign", "start", "end").unionByName(_told_apart(cells))
     spans = stored(
         spans.groupBy("id", "sign").agg(
             F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
         ),
         "spans",
     )
+    discard(settled)
     return marks.filter("copy").select("id", "sign", "copy").join(spans, ["id", "sign"], "full")
 
 
@@ -627,7 +586,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return found.drop("sign").withColumn("id", F.nullif("id", F.lit(_NO_ID)))
 
 
-def _strip(columns: list[str], text_column: str):
+def _strip(columns: list[str], text_column: str, marks: list[str]):
     """Documents with their marks to documents with shorter texts. A character that loses one
     of its bytes goes whole; a null text stays null."""
 
@@ -635,7 +594,7 @@ def _strip(columns: list[str], text_column: str):
         for batch in batches:
             texts_left = []
             for text, copy, starts, ends in zip(
-                *[batch.column(c).to_pylist() for c in (text_column, "__copy", "__starts", "__ends")], strict=True
+                *[batch.column(c).to_pylist() for c in (text_column, *marks)], strict=True
             ):
                 if text is not None and (copy or starts):
                     data = text.encode()
@@ -656,12 +615,17 @@ def _strip(columns: list[str], text_column: str):
 
 def strip_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the repeated strings cut out of their texts; all rows and columns stay."""
-    marks = removals(_rows(docs, id_column, text_column)).toDF("__id", "__sign", "__copy", "__starts", "__ends")
+    # Names that no column has, whatever its case.
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag += "_"
+    key, marks = [f"{tag}id", f"{tag}sign"], [f"{tag}copy", f"{tag}starts", f"{tag}ends"]
+    found = removals(_rows(docs, id_column, text_column)).toDF(*key, *marks)
     text = F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit(""))
     keyed = docs.withColumns(
         {
-            "__id": F.coalesce(F.col(quoted(id_column)).cast("bigint"), F.lit(_NO_ID)),
-            "__sign": F.xxhash64(text),
+            key[0]: F.coalesce(F.col(quoted(id_column)).cast("bigint"), F.lit(_NO_ID)),
+            key[1]: F.xxhash64(text),
         }
     )
-    return keyed.join(marks, ["__id", "__sign"], "left").mapInArrow(_strip(docs.columns, text_column), docs.schema)
+    return keyed.join(found, key, "left").mapInArrow(_strip(docs.columns, text_column, marks), docs.schema)

@@ -5,8 +5,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from millrace.llm import embedding_dedup, ngram_join, suffix_dedup
+from millrace.llm import common, embedding_dedup, ngram_join, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -151,19 +152,50 @@ def test_repeats_in_an_empty_table(frame_of):
     assert suffix_dedup.repeated_bytes(frame_of([])).collect() == []
 
 
-def test_later_starts_against_a_dictionary():
-    rng = np.random.default_rng(1)
-    data = rng.integers(0, 2, 4000).astype(np.uint8)
-    data[1000:1200] = data[100:300]
-    data[3000:3080] = data[150:230]
-    starts = np.arange(len(data) - 49)
-    owner = starts // 700
-    first = {}
-    for s, o in zip(starts.tolist(), owner.tolist(), strict=True):
-        text = data[s : s + 50].tobytes()
-        first[text] = min(first.get(text, o), o)
-    expected = [first[data[s : s + 50].tobytes()] < o for s, o in zip(starts.tolist(), owner.tolist(), strict=True)]
-    assert suffix_dedup.later_starts(data, starts, owner).tolist() == expected
+def test_rounds_with_phrases_in_every_document(spark, frame_of):
+    """Phrases shorter than a string, of many lengths, in other surroundings each time."""
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    phrases = [draw(n) for n in (24, 30, 37, 44, 47, 48, 49, 50, 51, 60, 75, 76)]
+    rows = []
+    for i in range(120):
+        parts = [piece for phrase in rng.sample(phrases, 4) for piece in (draw(rng.randint(0, 40)), phrase)]
+        rows.append((i if i % 3 else None if i % 2 else i, "".join(parts)))
+    rows += [(7, rows[20][1][:70]), (8, rows[20][1][:70]), (200, "ab" * 100), (201, "ab" * 30)]
+    found = suffix_dedup.without_repeats(frame_of(rows)).collect()
+    got = sorted(
+        (math.inf if r["id"] is None else r["id"], bytes(r["kept"]), r["n_removed"],
+         [(s["start"], s["end"]) for s in r["spans"]])
+        for r in found
+    )
+    expected = sorted(
+        (i, kept, n, [m.span() for m in re.finditer(rb"\x01+", gone)])
+        for i, kept, n, gone in removed_by_hand(rows)
+    )
+    assert got == expected and sum(r[2] for r in got) > 1_000
+
+
+def test_a_hot_phrase_is_spread(spark, monkeypatch):
+    """A phrase of 30 bytes in every document: its open strings are dealt by their cores."""
+    rng = random.Random(10)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    phrase = draw(30)
+    rows = [(i, draw(60) + phrase + draw(60)) for i in range(2_000)]
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, label: seen.append((label, kept := common.stored(df, label))) or kept)
+    monkeypatch.setattr(suffix_dedup, "discard", lambda *frames: None)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix_dedup.repeated_bytes(frame).filter("n_removed > 0").count() == 0
+    cells = next(kept for label, kept in seen if label == "cells")
+    assert cells.count() >= 2_000
+    assert cells.groupBy("core", "second").count().agg(F.max("count")).first()[0] < 20
+
+
+def test_strip_with_any_column_names(spark):
+    text = "a repeated passage of more than fifty bytes, in both of the documents"
+    frame = spark.createDataFrame([(1, text, 1, 2, 3), (2, "x" + text, 1, 2, 3)], "doc_id long, text string, __copy int, _starts int, __ENDS int")
+    left = {r["doc_id"]: r["text"] for r in suffix_dedup.strip_repeats(frame).collect()}
+    assert left == {1: text, 2: "x"}
 
 
 def vectors_by_hand(rows):
