@@ -16,8 +16,9 @@ stays open.
 The strings of an open anchor are then told apart in rounds. They are held in cells, by how far
 before the anchor they start; all strings of a cell share its core, the bytes around the anchor.
 A round cuts each cell in two, which brings in bytes at a growing offset on one side, and ranks
-the new cores. Spark groups by rank: what one id has alone leaves, the rest are cut again, until
-a cell is a single string of ``LENGTH`` bytes and the smallest id of its rank is known. Ranks are
+the new cores. Spark groups by rank: what one id has alone leaves, what the smallest id of the rank
+has alike on the whole is removed, and the rest are cut again, until a cell is a single string of
+``LENGTH`` bytes and the smallest id of its rank is known. Ranks are
 two independent 64-bit hashes of the core, so a rank that many documents share is spread by
 its following bytes, combined before the shuffle, and never held by one task.
 
@@ -352,7 +353,10 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- further rounds: ranks of growing cores -------------------------------------------------
 
-_CELL = "id long, sign long, place long, low int, high int, cell_low int, cell_high int, core long, second long, bytes binary"
+_CELL = (
+    "id long, sign long, place long, low int, high int, cell_low int, cell_high int, "
+    "core long, second long, whole long, bytes binary"
+)
 _CELL_NAMES = [c.split()[0] for c in _CELL.split(", ")]
 #: Codes of bytes for a second hash.
 _OTHER = mix64(_BYTE ^ _U64(0x2545F4914F6CDD1D))
@@ -381,7 +385,14 @@ def _cells(columns: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> pa.Re
     end = core + LENGTH + 1 - (cell_high - cell_low)
     # Cores of different cells are told apart by the cell.
     salt = mix64((cell_low * 64 + cell_high).astype(np.uint64))
-    ranks = [mix64(span_hashes(codes[data], core, end) ^ salt) for codes in (_BYTE, _OTHER)]
+    codes = _BYTE[data]
+    # Two cells are alike on the whole if their strings and the places of these are.
+    whole = span_hashes(codes, start, start + length) ^ mix64((low * 64 + high).astype(np.uint64))
+    ranks = [
+        mix64(span_hashes(codes, core, end) ^ salt),
+        mix64(span_hashes(_OTHER[data], core, end) ^ salt),
+        mix64(whole ^ salt),
+    ]
     begin = np.cumsum(length) - length
     flat = data[np.repeat(start - begin, length) + np.arange(int(length.sum()))]
     offsets = np.append(begin, length.sum()).astype(np.int32)
@@ -409,34 +420,50 @@ def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _smaller_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells that several ids share, cut again."""
+    """Cells that several ids share: cut again, or without bytes where all their strings go."""
+    names = [*_CELL_NAMES[:7]]
     for batch in batches:
+        done = batch.column("done")
+        ended, batch = batch.filter(done), batch.filter(pc.invert(done))
+        if ended.num_rows:
+            nothing = [pa.nulls(ended.num_rows, pa.int64())] * 3 + [pa.nulls(ended.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[ended.column(c) for c in names], *nothing], names=_CELL_NAMES)
         if not batch.num_rows:
             continue
         strings = batch.column("bytes")
         offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset :][: len(strings) + 1].astype(np.int64)
         data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        columns = [batch.column(c).to_numpy().astype(np.int64) for c in _CELL_NAMES[:7]]
+        columns = [batch.column(c).to_numpy().astype(np.int64) for c in names]
         yield _cells(columns, data, offsets[:-1] - offsets[0])
 
 
 def _told_apart(cells: DataFrame) -> DataFrame:
     """``(id, sign, start, end)`` of the strings that start in a smaller id, from first cells."""
-    width, before = REACH, None
+    width, before, ended = REACH, None, []
+    spans = ["id", "sign", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + LENGTH).alias("end")]
     while True:
         width = (width + 1) // 2
         cells = stored(cells, "cells")
         if before is not None:
+            ended.append(stored(cells.filter("bytes IS NULL").select(spans), "ended"))
             discard(before)
-        before = cells
-        rank = F.struct("core", "second")
-        least = cells.groupBy(rank.alias("k")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
-        least = least.filter("least < most").select("k.core", "k.second", "least")
+        before, cells = cells, cells.filter("bytes IS NOT NULL")
+        # The smallest id of a rank; those of a hot one are combined before the shuffle.
+        least = cells.groupBy(F.struct("core", "second").alias("k")).agg(
+            F.min(F.struct("id", "whole")).alias("least"), F.max("id").alias("most")
+        )
+        least = least.filter("least.id < most").select("k.core", "k.second", "least")
         if width == 1:
-            start = F.col("place") - F.col("high")
-            ended = cells.drop("bytes").join(least, ["core", "second"]).filter("id > least")
-            return ended.select("id", "sign", start.alias("start"), (start + LENGTH).alias("end"))
-        cells = cells.join(least.drop("least"), ["core", "second"]).select(_CELL_NAMES).mapInArrow(_smaller_cells, _CELL)
+            cells = cells.drop("bytes").join(least, ["core", "second"]).filter("id > least.id").select(spans)
+            for frame in ended:
+                cells = cells.unionByName(frame)
+            return cells
+        done = (F.col("id") > F.col("least.id")) & (F.col("whole") == F.col("least.whole"))
+        cells = (
+            cells.join(least, ["core", "second"])
+            .select(*_CELL_NAMES[:7], "bytes", done.alias("done"))
+            .mapInArrow(_smaller_cells, _CELL)
+        )
 
 
 # -- documents ------------------------------------------------------------------------------
