@@ -45,6 +45,14 @@ def discard(*frames: DataFrame) -> None:
         remove(frame)
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """A prefix that no column's name has, whatever its case."""
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in columns):
+        tag += "_"
+    return tag
+
+
 def texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The two columns an operator reads, under names of its own; a null text is empty."""
     return df.select(

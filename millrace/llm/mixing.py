@@ -8,7 +8,7 @@ Everything is DataFrame expressions. What meets per source is one row of sums.
 
 Defined cases: a null text has size 0; a null source is a source of its own and the last one;
 a source whose documents are all empty has target 0 and nothing of it is emitted; documents
-with the same id share their draw; an empty table gives an empty mix. Only the columns named
+with the same id share their draw, those without one draw by their text; an empty table gives an empty mix. Only the columns named
 in the call are looked at, so other columns may have any name.
 """
 
@@ -92,6 +92,10 @@ def mixing_plan(
         F.col(quoted(id_column)).alias("id"),
         F.col(quoted(source_column)).cast("string").alias("source"),
         word_count(F.col(quoted(text_column)).cast("string")).alias("size"),
+        # What the draw goes by: rows without an id are drawn apart by their texts.
+        F.coalesce(
+            F.col(quoted(id_column)).cast("string"), F.md5(F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit("")))
+        ).alias("drawn_by"),
         *([F.struct(*[F.col(quoted(c)) for c in keep]).alias("row")] if keep else []),
     )
     # Counting words is the dear part: it is done once.
@@ -102,10 +106,10 @@ def mixing_plan(
         F.col("source_size") > 0,
         F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats))),
     ).otherwise(F.lit(0.0))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.col("drawn_by"))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.withColumn("rate", rate).withColumn("copies", copies.cast("bigint"))
+    return joined.withColumn("rate", rate).withColumn("copies", copies.cast("bigint")).drop("drawn_by")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

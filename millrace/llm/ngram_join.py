@@ -21,9 +21,10 @@ No links, components or sets of all documents come to the driver, only group tot
 size.
 
 Defined cases: fewer than five words make one shingle of the whole sequence; null and empty
-texts have no shingles and link with nothing; rows that share an id are one document with the
-links of all of them, which goes for rows without an id too, and these come after all ids; an
-empty table gives no rows. Only the named columns are read, and texts are read whole.
+texts have no shingles and link with nothing; every row is judged by its own text, whatever rows
+share its id or have none; ids only name components, whose name is null if no row of it has an
+id; an empty table gives no rows. Only the named columns are read, and texts are read whole.
+Inside, a row goes by a 64-bit hash of its id and text.
 """
 
 from __future__ import annotations
@@ -36,8 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
-from millrace.llm.common import Words, components, mix64, prepare, steps, stored, texts
-from millrace.operators.joins import null_safe_join
+from millrace.llm.common import Words, components, free_prefix, mix64, prepare, steps, stored
 
 SHINGLE = 5
 #: The threshold as a fraction of integers, so that no rounding decides.
@@ -58,8 +58,6 @@ PARTNERS_PER_TASK = 64
 
 _U64 = np.uint64
 _FACTORS = mix64(np.arange(11, 11 + SHINGLE, dtype=np.uint64) * _U64(0x9E3779B97F4A7C15)) | _U64(1)
-#: Stands for a null id, above all others.
-_NO_ID = (1 << 63) - 1
 _CELL = _U64(0xA0761D6478BD642F)
 
 
@@ -161,7 +159,7 @@ def prefix(found: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return found[order[:many]]
 
 
-_POINTS = "id long, n long, sign1 long, sign2 long, point binary, cells binary"
+_POINTS = "id long, doc long, n long, sign1 long, sign2 long, point binary, cells binary"
 
 
 def _points(totals):
@@ -175,8 +173,8 @@ def _points(totals):
                 out.append((len(found), *np.array(signs, np.uint64).view(np.int64).tolist(), point.astype("<u2").tobytes(), cells.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]],
-                names=["id", "n", "sign1", "sign2", "point", "cells"],
+                [batch.column("id"), batch.column("doc"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]],
+                names=["id", "doc", "n", "sign1", "sign2", "point", "cells"],
             )
 
     return run
@@ -300,8 +298,8 @@ def _within_reach(pairs: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by hub: its own texts first, one as a rule, then its partners' texts."""
-    hub, own = None, []
+    """Rows come by hub: its own text first, then its partners' texts."""
+    hub, own = None, np.zeros(0, np.uint64)
     for batch, data, offsets in steps(batches):
         sets = shingle_sets(data, offsets)
         found = []
@@ -309,9 +307,8 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), sets, strict=True
         ):
             if b is None:
-                own = [*own, one] if hub == (a, salt) else [one]
-                hub = (a, salt)
-            elif hub == (a, salt) and any(linked(mine, one) for mine in own):
+                hub, own = (a, salt), one
+            elif hub == (a, salt) and linked(own, one):
                 found.append((a, b))
         yield pa.RecordBatch.from_arrays(
             [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"]
@@ -472,19 +469,38 @@ def across_components(stars: DataFrame, group: DataFrame, points: DataFrame, bes
     )
 
 
-def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` per document, components being those of all links."""
+def _key(id_column: str, text_column: str):
+    """What a row goes by inside."""
+    return F.xxhash64(F.col(quoted(id_column)).cast("bigint"), F.lit("|"), F.col(quoted(text_column)).cast("string"))
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows ``(id, doc, n, sign1, sign2)``, ``id`` being the row's key and ``doc`` its id;
+    and the group of each set: ``(sign1, sign2, n, group)``."""
     spark = prepare(docs.sparkSession)
-    rows = texts(docs, id_column, text_column).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
+    rows = docs.select(
+        _key(id_column, text_column).alias("id"),
+        F.col(quoted(id_column)).cast("bigint").alias("doc"),
+        F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit("")).alias("text"),
+    )
     totals = spark.sparkContext.broadcast(group_totals(rows))
     points = stored(rows.mapInArrow(_points(totals), _POINTS), "points")
-    # Documents with one set are one class, which its smallest id stands for.
+    # Documents with one set are one class, which its smallest key stands for.
     signs = ["sign1", "sign2", "n"]
     classes = stored(points.filter("n > 0").groupBy(*signs).agg(F.min("id").alias("class_id")), "classes")
     standing = points.join(classes.withColumnRenamed("class_id", "id"), ["id", *signs], "left_semi")
+    # Repeated rows have one key. Only these have to be found out before texts are sent.
+    repeated = stored(points.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id"), "repeated")
+    rows = rows.select("id", "text")
+    if not repeated.isEmpty():
+        standing = standing.dropDuplicates(["id"])
+        rows = rows.join(repeated, "id", "left_anti").unionByName(
+            rows.join(repeated, "id", "left_semi").dropDuplicates(["id"])
+        )
     entries = classes.agg(F.sum("n")).first()[0] or 0
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(places, int(entries / THRESHOLD[1] / ENTRIES_PER_BUCKET) + 1)
+    standing = stored(standing.select("id", "n", "point", "cells"), "standing")
     stars = (
         standing.select("id", "cells")
         .mapInArrow(_entries(buckets), "bucket int, keys binary, ids binary, pairs binary")
@@ -493,7 +509,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         .mapInArrow(_stars, "key long, a long, b long")
     )
     stars = stored(stars, "stars")
-    standing = stored(standing.select("id", "n", "point"), "standing")
+    standing = standing.drop("cells")
     pairs = stored(stars.select("a", "b").distinct(), "pairs")
     links = verified(pairs, standing, rows, "star")
     for label, best in (("best", True), ("cross", False)):
@@ -502,33 +518,50 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         more = stored(more, "pairs")
         links = links.unionByName(verified(more, standing, rows, label))
         pairs = pairs.unionByName(more)
-    # Rows that share an id are one document, whichever classes they are in.
-    several = points.filter("n > 0").groupBy("id").agg(F.count_distinct(*signs).alias("k")).filter("k > 1")
-    joined = points.join(several.select("id"), "id", "left_semi").join(classes, signs)
-    links = links.unionByName(joined.select(F.col("class_id").alias("a"), F.col("id").alias("b")))
-    group = components(links, "all")
-    named = classes.join(group.withColumnRenamed("id", "class_id"), "class_id", "left").select(
-        *signs, F.coalesce("component_id", "class_id").alias("component_id")
-    )
-    return (
-        points.select("id", *signs)
-        .join(named, signs, "left")
-        .select(
-            F.nullif("id", F.lit(_NO_ID)).alias("id"),
-            F.col("n").alias("n_shingles"),
-            F.nullif(F.coalesce("component_id", "id"), F.lit(_NO_ID)).alias("component_id"),
-        )
+    group = components(links, "all").withColumnsRenamed({"id": "class_id", "component_id": "group"})
+    named = classes.join(group, "class_id", "left").select(*signs, F.coalesce("group", "class_id").alias("group"))
+    return points.select("id", "doc", *signs), named
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id)`` per document, components being those of all links."""
+    points, named = _grouped(docs, id_column, text_column)
+    signs = ["sign1", "sign2", "n"]
+    named = stored(named, "named")
+    # A set's smallest id first: a group of copies is one row of the next step.
+    least = points.groupBy(F.struct(*signs).alias("k")).agg(F.min("doc").alias("doc")).select("k.*", "doc")
+    names = named.join(least, signs).groupBy(F.struct("group").alias("k")).agg(F.min("doc").alias("component_id"))
+    classes = named.join(names.select("k.group", "component_id"), "group").select(*signs, "component_id")
+    return points.join(classes, signs, "left").select(
+        F.col("doc").alias("id"),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component, the smallest id of each.
+    """One row of ``docs`` for each component: the smallest id, rows without one last.
 
-    Documents without shingles are components of their own. Of rows with the same id and text
-    one stays.
+    Documents without shingles link with nothing and stay, repeated or not. Of repeated rows of
+    one id and text the one with the smallest hash of all columns stays.
     """
-    found = similar_documents(docs, id_column, text_column)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(id_column)).distinct()
-    same_type = docs.schema[id_column].dataType
-    kept = kept.withColumn(id_column, F.col(quoted(id_column)).cast(same_type))
-    return null_safe_join(docs, kept, [id_column], "left_semi").dropDuplicates([id_column, text_column])
+    points, named = _grouped(docs, id_column, text_column)
+    signs = ["sign1", "sign2", "n"]
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "id")
+    first = points.groupBy(F.struct(*signs).alias("k")).agg(F.min(order).alias("row"))
+    first = first.select("k.*", "row").join(named, signs)
+    chosen = first.groupBy("group").agg(F.min("row").alias("row")).select("row.id")
+    alone = points.filter("n = 0").select("id").distinct().withColumn("whole", F.lit(True))
+    counts = points.join(chosen, "id", "left_semi").groupBy(F.struct("id").alias("k")).agg(F.count(F.lit(1)).alias("many"))
+    kept = stored(counts.select("k.id", (F.col("many") == 1).alias("whole")).unionByName(alone), "kept")
+    tag = free_prefix(docs.columns)
+    keyed = docs.withColumn(f"{tag}key", _key(id_column, text_column))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    names = lambda whole: kept.filter("whole" if whole else "NOT whole").select(F.col("id").alias(f"{tag}key"))
+    single = keyed.join(names(True), f"{tag}key", "left_semi").select(columns)
+    many = (
+        keyed.join(names(False), f"{tag}key", "left_semi")
+        .groupBy(f"{tag}key")
+        .agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(f"{tag}row"))
+    )
+    return single.unionByName(many.select(*[F.col(f"{tag}row")[c].alias(c) for c in docs.columns]))

@@ -70,7 +70,7 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 MIX_SQL = f"""
     sized AS (
-        SELECT doc_id, source, ROW_TO_KEEP
+        SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS drawn_by, ROW_TO_KEEP
                length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
         FROM DOCS),
     by_source AS (
@@ -96,7 +96,7 @@ MIX_SQL = f"""
     rated AS (
         SELECT sized.*, source_size, target,
                CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-               ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+               ('0x' || substr(md5('{SEED}:' || drawn_by), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
         FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
     mixed AS (
         SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
-from millrace.llm.common import _BYTE, discard, mix64, prepare, span_hashes, steps, stored, texts
+from millrace.llm.common import _BYTE, discard, free_prefix, mix64, prepare, span_hashes, steps, stored, texts
 
 LENGTH = 50
 #: Bytes of the sampled rank, and starts of it in a string of ``LENGTH``.
@@ -642,10 +642,7 @@ def _strip(columns: list[str], text_column: str, marks: list[str]):
 
 def strip_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the repeated strings cut out of their texts; all rows and columns stay."""
-    # Names that no column has, whatever its case.
-    tag = "_"
-    while any(c.lower().startswith(tag) for c in docs.columns):
-        tag += "_"
+    tag = free_prefix(docs.columns)
     key, marks = [f"{tag}id", f"{tag}sign"], [f"{tag}copy", f"{tag}starts", f"{tag}ends"]
     found = removals(_rows(docs, id_column, text_column)).toDF(*key, *marks)
     text = F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit(""))
