@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import source_label
@@ -18,6 +18,7 @@ from millrace.functions.sortkeys import sort_keys
 from millrace.operators.joins import one_row_per_key
 from millrace.operators.ordered import OrderedGroups
 from millrace.operators.preview import top_k
+from millrace.session import materialise
 
 # The two message forms, and the states a run or step can be in.
 STEP_MESSAGE = (
@@ -175,6 +176,31 @@ def run_status(events: DataFrame) -> DataFrame:
     )
 
 
+def _carried_starts(groups: OrderedGroups) -> DataFrame:
+    """``(__chunk, __opened, __after)``: how many starts are open where a chunk's first group goes
+    on, and the fewest that are open later on in its last one.
+
+    Each chunk is summed up by its balance and its lowest balance.
+    """
+    first, last = F.col("__first"), F.col("__last")
+    chunks = groups.per_chunk(
+        balance=F.max_by(F.when(last, F.col("__sum")), F.when(last, groups.order)),
+        low=F.min(F.when(last, F.col("__low"))),
+        first_low=F.min(F.when(first, F.col("__low"))),
+    )
+    # A window of a window is a step of its own.
+    before, after = groups.so_far(), groups.so_far(backwards=True)
+    chunks = chunks.withColumn("total", F.sum("balance").over(before))
+    chunks = chunks.withColumn("lowest", F.min(F.col("total") - F.col("balance") + F.col("low")).over(before))
+    open_after = F.col("total") - F.least(F.lit(0), F.col("lowest"))
+    chunks = chunks.withColumn("opened", groups.handed_on(open_after))
+    fewest = F.greatest(F.col("opened") + F.col("first_low"), F.lit(0))
+    chunks = chunks.withColumn("fewest", F.min(fewest).over(after))
+    return chunks.select(
+        "__chunk", F.col("opened").alias("__opened"), groups.handed_on(F.col("fewest"), backwards=True).alias("__after")
+    )
+
+
 def step_status(events: DataFrame, *, chunks: int | None = None) -> DataFrame:
     """The step rows of every run: an end replaces the latest matching open start.
 
@@ -185,25 +211,49 @@ def step_status(events: DataFrame, *, chunks: int | None = None) -> DataFrame:
     """
     step = ["run_id", "flow_name", "step_name", "source_label"]
     started = F.col("status") == "started"
-    change = F.when(started, 1).when(F.col("status").isin(TERMINAL), -1).otherwise(0)
+    terminal = F.col("status").isin(TERMINAL)
+    change = F.when(started, 1).when(terminal, -1).otherwise(0).cast("bigint")
     rows = events.where(F.col("run_id").isNotNull() & F.col("step_name").isNotNull())
     groups = OrderedGroups(rows, step, sort_keys("seq"), chunks)
-    groups.with_column("__change", change.cast("bigint"))
-    groups.with_running("__sum", F.col("__change"))
-    groups.with_running("__lowest", F.col("__sum"), "min")
-    groups.with_column("__open", F.col("__sum") - F.least(F.lit(0), F.col("__lowest")))
-    groups.with_running("__later", F.col("__open"), "min", backwards=True, exclusive=True)
-    left_open = F.col("__later").isNull() | (F.col("__later") >= F.col("__open"))
+    so_far = groups.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups.with_column("__sum", F.sum(change).over(so_far))
+    groups.with_column("__low", F.min("__sum").over(so_far))
+    if groups.one_chunk:
+        groups.df = groups.df.withColumns({"__opened": F.lit(0), "__after": F.lit(None).cast("bigint")})
+    else:
+        groups.df = groups.df.join(_carried_starts(groups), "__chunk")
+        groups.with_column("__opened", F.when(F.col("__first"), F.coalesce("__opened", F.lit(0))).otherwise(0))
+    groups.with_column("__open", F.col("__sum") + F.greatest(F.col("__opened"), -F.col("__low")))
+    rest = groups.window(backwards=True).rowsBetween(Window.unboundedPreceding, -1)
+    groups.with_column("__later", F.min("__open").over(rest))
+    stays = F.col("__later").isNull() | (F.col("__later") >= F.col("__open"))
+    later = F.when(F.col("__last"), F.col("__after"))
+    left_open = stays & (later.isNull() | (later >= F.col("__open")))
     # An end takes the place of the start it closes: the latest one of the level above it.
     # Where nothing was open before an end, it closes nothing and has a place of its own.
-    groups.with_previous("__before", F.col("__open"))
-    level = F.when(started, F.col("__open")).otherwise(F.col("__open") + 1)
-    groups.with_column("__level", level)
-    groups.with_running("__start", F.when(started, F.col("seq")), "max", within=["__level"])
-    closes = F.col("status").isin(TERMINAL) & (F.col("__before.value") > 0)
-    groups.with_column("first_seq", F.when(closes, F.col("__start")).otherwise(F.col("seq")))
-    kept = groups.rows().where(~started | left_open)
-    return kept.select(*step, "first_seq", "seq", "status", "elapsed_seconds", "created_at")
+    before = F.coalesce(F.lag("__open").over(groups.window()), F.col("__opened"))
+    groups.with_column("__closes", terminal & (before > 0))
+    groups.with_column("__level", F.when(started, F.col("__open")).otherwise(F.col("__open") + 1))
+    latest = groups.window(["__level"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups.with_column("__start", F.max(F.when(started, F.col("seq"))).over(latest))
+    groups.with_column("__kept", ~started | left_open)
+    own = F.when(F.col("__closes"), F.col("__start")).otherwise(F.col("seq"))
+    shown = [*step, "seq", "status", "elapsed_seconds", "created_at"]
+    columns = [*step, "first_seq", *shown[len(step) :]]
+    if groups.one_chunk:
+        return groups.with_column("first_seq", own).df.where("__kept").select(columns)
+    # The few ends whose start is in a chunk before, and the starts that a chunk leaves open.
+    groups.with_column("__asks", F.col("__closes") & F.col("__start").isNull())
+    groups.with_column("__offers", started & stays & F.col("__last"))
+    flags = ["__level", "__start", "__closes", "__asks", "__offers", "__kept"]
+    found = materialise(groups.df.where("__kept OR __offers").select(*shown, *flags), "steps")
+    across = (
+        Window.partitionBy(*step, "__level").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    offered = F.max(F.when(F.col("__offers"), F.col("seq"))).over(across)
+    asking = found.where("__asks OR __offers").withColumn("first_seq", offered).where("__asks")
+    alone = found.where("__kept AND NOT __asks").withColumn("first_seq", own)
+    return alone.select(columns).unionByName(asking.select(columns))
 
 
 def run_rollup(events: DataFrame, *, chunks: int | None = None) -> dict[str, DataFrame]:

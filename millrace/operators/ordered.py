@@ -6,8 +6,10 @@ large share of the rows. Two ways around it are used here:
 * first and last values are found by aggregation (``max_by`` over a comparable sort key),
   which combines before the shuffle, and are joined back to the rows;
 * for running values the rows are stored once and range-partitioned by group and order, so a
-  hot group is spread over many chunks; each chunk is scanned on its own and receives what
-  the chunks before it add up to. This is the way at every size.
+  hot group is spread over many chunks. Chunks are scanned on their own, all columns in one
+  exchange. Only a chunk's first group can have begun in the chunks before it, so what is handed
+  on is one row a chunk. The number of chunks follows from the stored bytes; rows that fit one
+  chunk hand nothing on, and their groups are dealt as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from millrace.functions.sortkeys import (
     tie_breaker,
 )
 from millrace.operators.joins import null_safe_join
-from millrace.session import materialise
+from millrace.session import materialise, remove, stored_bytes
 
 
 def _named_groups(df: DataFrame, by) -> tuple[DataFrame, list[str], list[str]]:
@@ -112,12 +114,20 @@ _COMBINE = {
     "max": (F.max, lambda mine, carried: F.greatest(mine, carried)),
 }
 
+#: Stored bytes of a chunk, and of a table of carries that is broadcast at most.
+CHUNK_BYTES = 64 << 20
+BROADCAST_BYTES = 4 << 20
+_SO_FAR = (Window.unboundedPreceding, Window.currentRow)
+
 
 class OrderedGroups:
     """Rows in ordered groups, ready for running values.
 
     Add columns with ``with_previous`` and ``with_running`` and read the result with
     ``rows``. The caller's columns are left alone.
+
+    ``df`` is dealt by ``__chunk``, and ``__first`` and ``__last`` tell whether a row is of its
+    chunk's first and last group.
     """
 
     def __init__(
@@ -137,50 +147,99 @@ class OrderedGroups:
             SortKey(F.col(name), key.descending, key.nulls_last)
             for name, key in zip(order, keys)
         ]
-        self.chunk = ["__chunk"]
         # Rows of equal order take theirs from a hash of the row, so that all columns, and any
         # rerun, see one order.
         df = df.withColumn("__tie", tie_breaker(df))
         self.keys.append(SortKey(F.col("__tie")))
-        self._added += ["__tie", "__chunk"]
-        self.df = self._split(df, chunks)
+        self._added += ["__tie", "__chunk", "__first", "__last"]
+        self.group = F.struct(*self._columns(self.by))
+        stored, count = self._split(df, chunks)
+        self.one_chunk = count == 1
+        self.order = comparable_key(df, [*(SortKey(c) for c in self._columns(self.by)), *self.keys])
+        # The one exchange of the rows: windows and joins by chunk need no other, and the sort is
+        # that of the groups.
+        inside = Window.partitionBy("__chunk").orderBy(
+            *[c.asc_nulls_first() for c in self._columns(self.by)], *[key.expression() for key in self.keys]
+        )
+        whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        flags = {
+            "__first": self.group.eqNullSafe(F.first(self.group).over(whole)),
+            "__last": self.group.eqNullSafe(F.last(self.group).over(whole)),
+        }
+        if self.one_chunk:
+            self.df = stored.withColumns(dict.fromkeys(flags, F.lit(True)))
+        else:
+            self.df = stored.repartition(count, "__chunk").withColumns(flags)
 
-    def _split(self, df: DataFrame, chunks: int | None) -> DataFrame:
+    def _split(self, df: DataFrame, chunks: int | None) -> tuple[DataFrame, int]:
         spark = df.sparkSession
-        count = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
         # Stored before it is sampled: the input is evaluated once.
-        ranged = materialise(df, "ordered-rows").repartitionByRange(
-            max(2, count),
+        rows = materialise(df, "ordered-rows")
+        size = stored_bytes(rows)
+        if chunks is None and size <= CHUNK_BYTES:
+            return rows.withColumn("__chunk", F.lit(0)), 1
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        count = max(2, chunks or max(least, -(-size // CHUNK_BYTES)))
+        ranged = rows.repartitionByRange(
+            count,
             *[column.asc_nulls_first() for column in self._columns(self.by)],
             *[key.expression() for key in self.keys],
         )
         # Range bounds come from a sample; the stored copy makes the chunks final.
-        return materialise(ranged.withColumn("__chunk", F.spark_partition_id()), "ordered-chunks")
+        kept = materialise(ranged.withColumn("__chunk", F.spark_partition_id()), "ordered-chunks")
+        remove(rows)
+        return kept, count
 
     @staticmethod
     def _columns(names: Sequence[str]) -> list[Column]:
         return [F.col(quoted(name)) for name in names]
 
-    def _window(self, extra: Sequence[str] = (), backwards: bool = False):
+    def window(self, extra: Sequence[str] = (), backwards: bool = False):
+        """A group's rows within one chunk."""
         keys = [key.reversed() if backwards else key for key in self.keys]
-        return Window.partitionBy(*self._columns([*self.by, *extra, *self.chunk])).orderBy(
+        return Window.partitionBy("__chunk", *self._columns([*self.by, *extra])).orderBy(
             *[key.expression() for key in keys]
         )
 
-    def _carried(self, totals: DataFrame, groups: Sequence[str], carry: Column) -> None:
-        """Join one carried value per chunk of each group back to the rows."""
-        per_chunk = totals.withColumn("__carry", carry).drop("__total")
-        self.df = null_safe_join(self.df, per_chunk, [*groups, *self.chunk], "left")
+    def per_chunk(self, **totals: Column) -> DataFrame:
+        """One row a chunk, all in one task: its ``first`` and ``last`` group and some totals."""
+        of = lambda flag: F.min(F.when(F.col(flag), self.group))
+        ends = {"first": of("__first"), "last": of("__last"), **totals}
+        return self.df.groupBy("__chunk").agg(*[c.alias(n) for n, c in ends.items()]).coalesce(1)
+
+    @staticmethod
+    def handed_on(value: Column, backwards: bool = False) -> Column:
+        """A column of ``per_chunk`` rows: ``value`` of the chunk before, if its last group goes on.
+
+        With ``backwards``, of the chunk after, if it goes on with this one's last group.
+        """
+        mine, theirs = ("last", "first") if backwards else ("first", "last")
+        chunks = Window.orderBy(F.col("__chunk").desc() if backwards else F.col("__chunk").asc())
+        continues = F.col(mine).eqNullSafe(F.lag(theirs).over(chunks)) & (F.row_number().over(chunks) > 1)
+        return F.when(continues, F.lag(value).over(chunks))
+
+    @staticmethod
+    def so_far(backwards: bool = False):
+        """The chunks up to one that end (or begin) with the same group."""
+        order = F.col("__chunk").desc() if backwards else F.col("__chunk").asc()
+        return Window.partitionBy("first" if backwards else "last").orderBy(order).rowsBetween(*_SO_FAR)
+
+    def _with_carry(self, per_chunk: DataFrame, value: Column, backwards: bool = False) -> None:
+        """Put what ``value`` hands on in ``__carry``, on the rows it is for."""
+        carry = per_chunk.withColumn("__value_so_far", value).select(
+            "__chunk", self.handed_on(F.col("__value_so_far"), backwards).alias("__carry")
+        )
+        mine = F.col("__last" if backwards else "__first")
+        self.df = self.df.join(carry, "__chunk", "left").withColumn("__carry", F.when(mine, F.col("__carry")))
 
     def with_previous(self, name: str, value: Column) -> "OrderedGroups":
         """The previous row's ``value`` as a struct; NULL on the first row of a group."""
         boxed = F.struct(value.alias("value"))
-        local = F.lag(boxed).over(self._window())
-        totals = self.df.groupBy(*self._columns([*self.by, *self.chunk])).agg(
-            F.max_by(boxed, comparable_key(self.df, self.keys)).alias("__total")
-        )
-        across = Window.partitionBy(*self._columns(self.by)).orderBy("__chunk")
-        self._carried(totals, self.by, F.lag("__total").over(across))
+        if self.one_chunk:
+            return self.with_column(name, F.lag(boxed).over(self.window()))
+        ends = self.per_chunk(total=F.max_by(boxed, self.order))
+        local = F.lag(boxed).over(self.window())
+        self._with_carry(ends, F.col("total"))
         self.df = self.df.withColumn(name, F.coalesce(local, F.col("__carry"))).drop("__carry")
         return self
 
@@ -197,23 +256,38 @@ class OrderedGroups:
         """A running sum, min or max, optionally within finer groups or from the end."""
         function, combine = _COMBINE[how]
         rows = Window.unboundedPreceding, (-1 if exclusive else Window.currentRow)
-        local = function(value).over(self._window(within, backwards).rowsBetween(*rows))
+        local = function(value).over(self.window(within, backwards).rowsBetween(*rows))
+        if self.one_chunk:
+            return self.with_column(name, local)
+        if within:
+            self._carried_within(function, value, within, backwards)
+        else:
+            edge = F.col("__first" if backwards else "__last")
+            totals = self.per_chunk(total=function(F.when(edge, value)))
+            self._with_carry(totals, function("total").over(self.so_far(backwards)), backwards)
+        carried = F.col("__carry")
+        # A chunk whose own rows gave nothing so far still has what came before it.
+        merged = F.when(local.isNull(), carried).otherwise(combine(local, carried))
+        self.df = self.df.withColumn(name, merged).drop("__carry")
+        return self
+
+    def _carried_within(self, function, value: Column, within: Sequence[str], backwards: bool) -> None:
+        """Finer groups hand on a row for each of their values, but only those of edge groups."""
         groups = [*self.by, *within]
-        totals = self.df.groupBy(*self._columns([*groups, *self.chunk])).agg(
-            function(value).alias("__total")
-        )
+        edge = self.df.filter("__first OR __last")
+        totals = edge.groupBy(*self._columns([*groups, "__chunk"])).agg(function(value).alias("__total"))
         direction = F.col("__chunk").desc() if backwards else F.col("__chunk").asc()
         across = (
             Window.partitionBy(*self._columns(groups))
             .orderBy(direction)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        self._carried(totals, groups, function("__total").over(across))
-        carried = F.col("__carry")
-        # A chunk whose own rows gave nothing so far still has what came before it.
-        merged = F.when(local.isNull(), carried).otherwise(combine(local, carried))
-        self.df = self.df.withColumn(name, merged).drop("__carry")
-        return self
+        carry = totals.withColumn("__carry", function("__total").over(across)).drop("__total")
+        carry = materialise(carry.filter("__carry IS NOT NULL"), "ordered-carry")
+        # As a rule a few values of one group a chunk; beyond that the rows are shuffled again.
+        if stored_bytes(carry) <= BROADCAST_BYTES:
+            carry = F.broadcast(carry)
+        self.df = null_safe_join(self.df, carry, [*groups, "__chunk"], "left")
 
     def with_column(self, name: str, value: Column) -> "OrderedGroups":
         self.df = self.df.withColumn(name, value)

@@ -102,3 +102,10 @@ def remove(frame: DataFrame) -> None:
     spark = frame.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_bytes(frame: DataFrame) -> int:
+    """The size of a stored copy that ``materialise`` returned."""
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
