@@ -9,6 +9,7 @@ a large share of the log is no burden for one task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,13 +21,9 @@ from millrace.operators.ordered import OrderedGroups
 from millrace.operators.preview import top_k
 from millrace.session import materialise
 
-# The two message forms, and the states a run or step can be in.
-STEP_MESSAGE = (
-    r"run=(\S+) flow=(\S+) step=(.+?) source=(.+?) status=(\S+)(?: elapsed=(\S+))?"
-)
-FLOW_MESSAGE = r"run=(\S+) flow=(\S+) source=(.+?) status=(\S+)(?: elapsed=(\S+))?"
-STEP_LINE = r"flow=(\S+) step=(.+?) source=(.+?) status=(\S+)"
-FLOW_LINE = r"flow=(\S+) source=(.+?) status=(\S+)"
+# The words of a message, ``run=.. flow=.. [step=..] source=.. status=.. [elapsed=..]``,
+# and the states a run or step can be in.
+RUN, FLOW, STEP, SOURCE, STATUS, ELAPSED = "run=", " flow=", " step=", " source=", " status=", " elapsed="
 PASSED = ["success", "finished"]
 BROKEN = ["failed", "stopped"]
 TERMINAL = ["success", "failed", "stopped"]
@@ -39,50 +36,105 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (last - first) / F.lit(1e6)
 
 
-# Separates the groups of a match; messages that hold it themselves take a slower path.
-_MARK = "\x01"
+def _token(name: str) -> str:
+    """A whole word that has ``name`` and a value in it, as group 1.
 
+    It begins where a word does, and whatever it takes it keeps, so a text is gone through once.
+    """
+    return rf"(?<!\S)(?=\S*?{name}\S)(\S++)"
+
+
+def _value(word: Column, name: str) -> Column:
+    """What follows the first ``name`` in a word."""
+    return F.substr(word, F.locate(name, word) + len(name))
+
+
+@dataclass(frozen=True)
+class _Form:
+    """One form of a message: whole words at its head, perhaps a step, a source and a status.
+
+    The leftmost head of a line is the only one to look at: had a later one all that has to
+    follow, the leftmost would have it too. The same goes for the first ``source=`` after it.
+    So no part is looked for twice, and time grows with the length of the text.
+    """
+
+    head: tuple[str, ...]  # patterns with one group each
+    step: bool
+
+    def group(self, line: Column, i: int) -> Column:
+        last = STEP if self.step else SOURCE
+        return F.regexp_extract(line, "(?s)" + "".join(self.head) + last + "(.*)", i)
+
+    def tail(self, line: Column) -> Column:
+        return self.group(line, len(self.head) + 1)
+
+    def step_name(self, line: Column) -> Column:
+        return F.substr(self.tail(line), F.lit(1), self._source_at(line) - 1)
+
+    def _source_at(self, line: Column) -> Column:
+        # A step has one letter at least.
+        return F.locate(SOURCE, self.tail(line), 2)
+
+    def after(self, line: Column) -> Column:
+        """From the source on; empty where there is none."""
+        if not self.step:
+            return self.tail(line)
+        at = self._source_at(line)
+        return F.when(at > 0, F.substr(self.tail(line), at + len(SOURCE))).otherwise("")
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    def fits(self, line: Column) -> Column:
+        return _source_length(self.after(line)) > 0
 
+    def line(self, message: Column) -> Column:
+        """The first line of a message that has this form; it stands in one line."""
+        fitting = F.filter(F.split(message, "\n"), self.fits)
+        return F.when(F.contains(message, F.lit("\n")), F.get(fitting, F.lit(0))).otherwise(message)
 
-def _groups(text: Column, pattern: str, count: int) -> Column:
-    """The groups of the first match as an array, or an array of one where none matches."""
-    shown = _MARK.join(f"${i}" for i in range(1, count + 1))
-    quick = F.split(F.regexp_replace(text, rf"(?s)^.*?(?-s:{pattern}).*$", shown), _MARK)
-    slow = F.when(
-        text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i + 1) for i in range(count)])
-    ).otherwise(F.array(text))
-    return F.when(text.contains(_MARK), slow).otherwise(quick)
+
+def _source_length(after: Column) -> Column:
+    """Of the source that a text begins with, 0 where no status follows one."""
+    return F.regexp_instr(F.substr(after, F.lit(2)), F.lit(STATUS + r"\S"))
+
+
+def _either(message: Column, with_step: _Form, without: _Form, fields) -> Column:
+    """``fields`` of the form that a message has, NULL where it has neither.
+
+    ``fields`` gets the words of the head, the step, the source and the rest from the status on.
+    Everything but the choice is computed whether or not it is needed, so that Spark computes
+    what several parts share once.
+    """
+    step_line, other_line = with_step.line(message), without.line(message)
+    is_step = F.coalesce(with_step.fits(step_line), F.lit(False))
+    pick = lambda a, b: F.when(is_step, a).otherwise(b)
+    words = [
+        pick(with_step.group(step_line, i), without.group(other_line, i)) for i in range(1, len(with_step.head) + 1)
+    ]
+    after = pick(with_step.after(step_line), without.after(other_line))
+    length = _source_length(after)
+    step = F.when(is_step, with_step.step_name(step_line))
+    shown = fields(words, step, F.substr(after, F.lit(1), length), F.substr(after, length + 1))
+    return F.get(F.array(shown), F.when(length > 0, F.lit(0)))
+
+
+_STATUS_WORD = "^" + STATUS + r"(\S++)"
 
 
 def parse_event(message: Column) -> Column:
     """A struct with the event in a log message, NULL where it holds none."""
 
-    def event(found: Column, step: bool) -> Column:
-        rest = 3 if step else 2
-        elapsed = found[rest + 2]
+    def event(words: list[Column], step: Column, source: Column, rest: Column) -> Column:
+        elapsed = F.regexp_extract(rest, _STATUS_WORD + ELAPSED + r"(\S++)", 2)
         return F.struct(
-            found[0].alias("run_id"),
-            found[1].alias("flow_name"),
-            (found[2] if step else F.lit(None).cast("string")).alias("step_name"),
-            source_label(found[rest]).alias("source_label"),
-            found[rest + 1].alias("status"),
+            _value(words[0], RUN).alias("run_id"),
+            words[1].alias("flow_name"),
+            step.alias("step_name"),
+            source_label(source).alias("source_label"),
+            F.regexp_extract(rest, _STATUS_WORD, 1).alias("status"),
             F.when(elapsed != "", elapsed.cast("double")).alias("elapsed_seconds"),
         )
 
-    def of_run() -> Column:
-        return _with(
-            _groups(message, FLOW_MESSAGE, 5),
-            lambda found: F.when(F.size(found) == 5, event(found, False)),
-        )
-
-    return _with(
-        _groups(message, STEP_MESSAGE, 6),
-        lambda found: F.when(F.size(found) == 6, event(found, True)).otherwise(of_run()),
-    )
+    head = (_token(RUN), FLOW + r"(\S++)")
+    return _either(message, _Form(head, True), _Form(head, False), event)
 
 
 def short_line(message: Column) -> Column:
@@ -91,22 +143,12 @@ def short_line(message: Column) -> Column:
     # Every other path in the text shrinks to its last component.
     names_only = F.regexp_replace(message, r"/(?=[^ ])[^ ]*?([^ /]*)/*(?= |\z)", "$1")
 
-    def of_run() -> Column:
-        return _with(
-            _groups(message, FLOW_LINE, 3),
-            lambda found: F.when(
-                F.size(found) == 3,
-                F.concat_ws(gap, found[0], found[2], source_label(found[1])),
-            ).otherwise(names_only),
-        )
+    def line(words: list[Column], step: Column, source: Column, rest: Column) -> Column:
+        status = F.regexp_extract(rest, _STATUS_WORD, 1)
+        return F.concat_ws(gap, _value(words[0], FLOW[1:]), step, status, source_label(source))
 
-    return _with(
-        _groups(message, STEP_LINE, 4),
-        lambda found: F.when(
-            F.size(found) == 4,
-            F.concat_ws(gap, found[0], found[1], found[3], source_label(found[2])),
-        ).otherwise(of_run()),
-    )
+    head = (_token(FLOW[1:]),)
+    return F.coalesce(_either(message, _Form(head, True), _Form(head, False), line), names_only)
 
 
 def typed_log(

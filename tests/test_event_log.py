@@ -1,7 +1,10 @@
 """Event-log operators against small sequential models of their rules."""
 
 import random
+import re
+import time
 from datetime import datetime, timedelta
+from pathlib import PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +245,66 @@ def test_ledger_views(spark):
         "r1": ("a.csv", "failed", 86400.0, "bad"), "r2": ("-", "started", None, "f  started  -"),
         "r4": ("x", "failed", None, "g  failed  x"),
     }
+
+
+STEP_RULE = re.compile(r"run=(\S+) flow=(\S+) step=(.+?) source=(.+?) status=(\S+)(?: elapsed=(\S+))?")
+FLOW_RULE = re.compile(r"run=(\S+) flow=(\S+) source=(.+?) status=(\S+)(?: elapsed=(\S+))?")
+STEP_SHORT = re.compile(r"flow=(\S+) step=(.+?) source=(.+?) status=(\S+)")
+FLOW_SHORT = re.compile(r"flow=(\S+) source=(.+?) status=(\S+)")
+
+
+def label(path):
+    return "-" if path in ("", "None") else PurePosixPath(path).name
+
+
+def event_model(message):
+    if found := STEP_RULE.search(message):
+        run, flow, step, source, status, elapsed = found.groups()
+    elif found := FLOW_RULE.search(message):
+        (run, flow, source, status, elapsed), step = found.groups(), None
+    else:
+        return None
+    return run, flow, step, label(source), status, elapsed and float(elapsed)
+
+
+def line_model(message):
+    if found := STEP_SHORT.search(message):
+        flow, step, source, status = found.groups()
+        return "  ".join([flow, step, status, label(source)])
+    if found := FLOW_SHORT.search(message):
+        flow, source, status = found.groups()
+        return "  ".join([flow, status, label(source)])
+    return None
+
+
+def test_messages_in_any_order_of_their_words(spark):
+    """The linear matcher finds what a backtracking search does."""
+    pick = random.Random(21)
+    words = [
+        "run=a", "run=", "xrun=b", "run=run=c", " ", " ", " ", "\n", " flow=f", " flow=", "flow=g", " step=s t", " step=",
+        " source=x", " source=", " source=d/e.csv", " status=ok", " status=", " elapsed=1.5", " elapsed=", "z", "run=a flow=f",
+        " step=s source=c.csv status=started", " source=c.csv status=success elapsed=2", "run=q flow=w step=e source=r status=t",
+    ]
+    texts = ["".join(pick.choices(words, k=pick.randint(1, 9))) for _ in range(4_000)]
+    # A number that is none is an error on either side.
+    texts = [t for t in texts if not re.search(r"elapsed=(?!1\.5(?!\S)|2(?!\S))\S", t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq int, message string")
+    rows = df.select("seq", el.parse_event(F.col("message")).alias("e"), el.short_line(F.col("message")).alias("line")).collect()
+    matched = 0
+    for r in rows:
+        expected = event_model(texts[r.seq])
+        assert (tuple(r.e) if r.e else None) == expected, texts[r.seq]
+        if (line := line_model(texts[r.seq])) is not None:
+            assert r.line == line, texts[r.seq]
+        matched += expected is not None
+    assert matched > 200
+
+
+@pytest.mark.parametrize("unit", ["run=a flow=b step=c source=d ", "run=", "run=a flow=b step=", " source=", "flow=x step=y "])
+def test_a_megabyte_without_a_status_takes_no_time(spark, unit):
+    text = unit * (1_000_000 // len(unit))
+    df = spark.createDataFrame([(text,), (text + " status=x",), (text + "\n status=x",)], "message string")
+    df.select(el.parse_event(F.lit("warm up")), el.short_line(F.lit("warm up"))).collect()
+    begin = time.perf_counter()
+    df.select(F.max(el.parse_event(F.col("message"))), F.max(F.length(el.short_line(F.col("message"))))).collect()
+    assert time.perf_counter() - begin < 6
