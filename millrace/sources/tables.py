@@ -8,9 +8,10 @@ or after a change, a frame made earlier can still be read until ``vacuum``, and
 lost. The stored schema makes reading cheap (no footer is opened to infer it) and lets older
 segments miss the columns added later.
 
-A table with slice columns keeps its rows in a fixed number of buckets by a hash of those
-columns, which stay ordinary columns of the files, so NULL and empty text remain apart.
-Replacing slices rewrites the buckets they fall in and no others.
+A table with slice columns keeps its rows in buckets by a hash of those columns, which stay
+ordinary columns of the files, so NULL and empty text remain apart. Replacing slices rewrites the
+buckets that hold them and no others. The number of buckets follows the size of the table by
+linear hashing: a change may split a few buckets, each in two, and leaves all others as they are.
 """
 
 from __future__ import annotations
@@ -49,8 +50,10 @@ def clean_names(value, what: str) -> list[str]:
 
 #: How often an update starts anew that another one has overtaken.
 WRITE_ATTEMPTS = 5
-#: Buckets of a table with slice columns.
-BUCKETS = 64
+#: Bytes of a bucket, the most buckets of a first write, the most splits of one change.
+BUCKET_BYTES = 128 << 20
+FIRST_BUCKETS = 64
+SPLITS = 8
 _BUCKET = "__bucket"
 
 
@@ -86,6 +89,14 @@ class Folder:
             item.getPath().getName() for item in system.listStatus(target) if item.isDirectory()
         )
 
+    def size(self, *paths: str) -> int:
+        """Bytes of the files below some folders."""
+        total = 0
+        for path in paths:
+            target, system = self._on(path)
+            total += system.getContentSummary(target).getLength()
+        return total
+
     def files(self, path: str) -> list[str]:
         target, system = self._on(path)
         if not system.exists(target):
@@ -197,15 +208,19 @@ class Warehouse:
 
     # -- reading ------------------------------------------------------------------------
 
+    def _paths(self, table: str, segments: dict[str, list[str]]) -> list[str]:
+        return sorted(
+            f"{self._home(table)}/{segment}" + (f"/{_BUCKET}={bucket}" if bucket else "")
+            for bucket, names in segments.items()
+            for segment in names
+        )
+
     def _read(self, table: str, state: dict, buckets: Iterable[str] | None = None) -> DataFrame:
         """The rows of a state, of some buckets if they are named."""
         schema = T.StructType.fromJson(state["schema"])
-        paths = sorted(
-            f"{self._home(table)}/{segment}" + (f"/{_BUCKET}={bucket}" if bucket else "")
-            for bucket, segments in state["segments"].items()
-            if buckets is None or bucket in buckets
-            for segment in segments
-        )
+        paths = self._paths(table, state["segments"] if buckets is None else {
+            bucket: segments for bucket, segments in state["segments"].items() if bucket in buckets
+        })
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths).select(*_columns(schema.names))
@@ -280,13 +295,13 @@ class Warehouse:
 
     def _publish(
         self, table: str, base: dict | None, schema: T.StructType, parts: Sequence[str],
-        segments: dict[str, list[str]],
+        segments: dict[str, list[str]], buckets: int, size: int,
     ) -> None:
         """Make this the table, unless it is no longer in the state ``base``."""
         number = (base["number"] if base else 0) + 1
         state = {
             "number": number, "schema": schema.jsonValue(), "partition_by": list(parts),
-            "segments": segments,
+            "segments": segments, "buckets": buckets, "bytes": size,
         }
         try:
             self.folder.write_text(f"{self._home(table)}/_state-{number:012d}.json", json.dumps(state))
@@ -299,10 +314,29 @@ class Warehouse:
         empty = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
         return df.withColumns({name: F.col(quoted(name)).cast("string") for name in empty})
 
-    def _bucket(self, parts: Sequence[str]) -> Column:
-        return F.pmod(F.xxhash64(*_columns(parts)), F.lit(BUCKETS)).cast("int")
+    @staticmethod
+    def _bucket(parts: Sequence[str], count: int) -> Column:
+        """Linear hashing: a bucket that is not there yet still is a part of the one it splits from."""
+        number = F.shiftrightunsigned(F.xxhash64(*_columns(parts)), 1)
+        level = 1 << (count.bit_length() - 1)
+        fine, coarse = number % (2 * level), number % level
+        return F.when(fine < count, fine).otherwise(coarse).cast("int")
 
-    def _write_segment(self, table: str, df: DataFrame, parts: Sequence[str]) -> dict[str, list[str]]:
+    @staticmethod
+    def _split_from(bucket: int, count: int) -> int:
+        """The bucket among the first ``count`` that holds what is to go to ``bucket``."""
+        while bucket >= count:
+            bucket -= 1 << (bucket.bit_length() - 1)
+        return bucket
+
+    def _first_buckets(self, df: DataFrame) -> int:
+        """For a first write, from what Spark expects of its size."""
+        expected = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return max(1, min(FIRST_BUCKETS, int(str(expected)) // BUCKET_BYTES))
+
+    def _write_segment(
+        self, table: str, df: DataFrame, parts: Sequence[str], buckets: int
+    ) -> dict[str, list[str]]:
         """Write rows to a new segment; returns it by bucket. Nothing refers to it yet."""
         segment = f"v-{uuid.uuid4().hex}"
         path = f"{self._home(table)}/{segment}"
@@ -311,7 +345,7 @@ class Warehouse:
                 df.write.parquet(path)
                 return {"": [segment]}
             # Few files per bucket, and several tasks for a bucket that holds much.
-            placed = df.withColumn(_BUCKET, self._bucket(parts)).hint("rebalance", _BUCKET)
+            placed = df.withColumn(_BUCKET, self._bucket(parts, buckets)).hint("rebalance", _BUCKET)
             placed.write.partitionBy(_BUCKET).parquet(path)
         except Exception:
             self.folder.delete(path)
@@ -321,13 +355,18 @@ class Warehouse:
 
     def _change(
         self, table: str, base: dict | None, schema: T.StructType, parts: Sequence[str], df: DataFrame,
-        merge=lambda written: written,
+        merge=lambda written: written, buckets: int | None = None, kept_bytes: int = 0,
     ) -> str:
-        """Write rows, publish what ``merge`` makes of their segment; returns its folder."""
-        written = self._write_segment(table, df, parts)
+        """Write rows, publish what ``merge`` makes of their segment; returns its folder.
+
+        ``kept_bytes`` is the size of the segments that ``merge`` keeps.
+        """
+        buckets = buckets or self._first_buckets(df)
+        written = self._write_segment(table, df, parts, buckets)
         folder = next((f"{self._home(table)}/{s[0]}" for s in written.values()), self._home(table))
         try:
-            self._publish(table, base, schema, parts, merge(written))
+            size = kept_bytes + (self.folder.size(folder) if written else 0)
+            self._publish(table, base, schema, parts, merge(written), buckets, size)
         except Exception:
             if written:
                 self.folder.delete(folder)
@@ -403,7 +442,8 @@ class Warehouse:
             buckets = {**state["segments"], **written}
             return {b: [*state["segments"].get(b, []), *written.get(b, [])] for b in buckets}
 
-        self._change(table, state, schema, state["partition_by"], self._aligned(df, schema), merge)
+        rows, buckets = self._aligned(df, schema), state["buckets"]
+        self._change(table, state, schema, state["partition_by"], rows, merge, buckets, state["bytes"])
 
     def replace_rows_by_file(
         self, table: str, df: DataFrame, *, file_hash: str, file_hash_column: str = "file_key"
@@ -446,22 +486,52 @@ class Warehouse:
             self.write(table, df, partition_by=[column])
             return
         schema = self._widened(T.StructType.fromJson(state["schema"]), df.schema)
-        rows, parts = self._aligned(df, schema), state["partition_by"]
+        rows, parts = self._aligned(df, schema), state["partition_by"] or [column]
         keys = keys.select(F.col(quoted(column)).cast(schema[column].dataType).alias(column))
-        if parts != [column]:
-            kept = null_safe_join(self._aligned(self.frame(table), schema), keys, [column], "left_anti")
-            self._change(table, state, schema, parts, kept.unionByName(rows))
-            return
-        touched = {str(r[0]) for r in keys.select(self._bucket(parts)).distinct().collect()}
+        count, segments = state["buckets"], state["segments"]
+        # Buckets to split, so that their number follows the size.
+        wanted = state["bytes"] // BUCKET_BYTES
+        more = min(max(count, wanted), count + SPLITS)
+        touched = {str(self._split_from(b, count)) for b in range(count, more)}
+        # Buckets that hold the slices. By another column, or before there were slices, only the
+        # rows themselves tell: their key column is read, and of what it says a name each.
+        if parts == [column]:
+            touched |= {str(r[0]) for r in keys.select(self._bucket(parts, count)).distinct().collect()}
+            unsliced = {"": segments[""]} if "" in segments else {}
+        else:
+            old = self._aligned(self._read(table, state, segments.keys() - {""}), schema)
+            held = null_safe_join(old.select(*_columns({*parts, column})), keys, [column], "left_semi")
+            touched |= {str(r[0]) for r in held.select(self._bucket(parts, count)).distinct().collect()}
+            unsliced = {"": segments.get("", [])}
+        mixed = self._holding(table, state, schema, unsliced, keys, column)
         stored = self._aligned(self._read(table, state, touched), schema)
+        if mixed:
+            taken = {**state, "segments": {"": sorted(mixed)}}
+            stored = stored.unionByName(self._aligned(self._read(table, taken), schema))
         kept = null_safe_join(stored, keys, [column], "left_anti")
 
         def merge(written):
             # A touched bucket without rows is gone; the others stay as they are.
-            old = {b: segments for b, segments in state["segments"].items() if b not in touched}
-            return {b: [*old.get(b, []), *written.get(b, [])] for b in {**old, **written}}
-
-        self._change(table, state, schema, parts, kept.unionByName(rows), merge)
+            old = {b: names for b, names in segments.items() if b not in touched}
+            if "" in old:
+                old[""] = [name for name in old[""] if name not in mixed]
+            new = {b: [*old.get(b, []), *written.get(b, [])] for b in {**old, **written}}
+            return {b: names for b, names in new.items() if names}
+
+        gone = {b: names for b, names in segments.items() if b in touched} | {"": sorted(mixed)}
+        left = state["bytes"] - self.folder.size(*self._paths(table, gone))
+        self._change(table, state, schema, parts, kept.unionByName(rows), merge, more, left)
+
+    def _holding(
+        self, table: str, state: dict, schema: T.StructType, unsliced: dict, keys: DataFrame, column: str
+    ) -> set[str]:
+        """Segments without buckets that hold rows of some slices: one name for each append."""
+        if not any(unsliced.values()):
+            return set()
+        rows = self._aligned(self._read(table, {**state, "segments": unsliced}), schema)
+        file = F.element_at(F.split(F.input_file_name(), "/"), -2).alias("segment")
+        found = null_safe_join(rows.select(F.col(quoted(column)), file), keys, [column], "left_semi")
+        return {r["segment"] for r in found.select("segment").distinct().collect()}
 
     def replace_rows_by_values(self, table: str, df: DataFrame, *, column: str) -> DataFrame:
         """Replace all rows whose ``column`` holds one of the incoming values, NULL included.

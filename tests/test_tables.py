@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.sources import tables
 from millrace.sources.tables import ConcurrentChange
 
 
@@ -333,3 +334,59 @@ def test_dropping_null_columns(spark, warehouse):
         warehouse.evolve_append("d", spark.range(i, i + 1).select(F.lit("x").alias("only")))
     warehouse.drop_null_columns("d", compact_files=True)
     assert warehouse.frame("d").count() == 6 and len(warehouse.frame("d").inputFiles()) == 1
+
+
+def test_buckets_follow_the_size_and_a_slice_costs_the_same(spark, warehouse, monkeypatch):
+    """Linear hashing: each bucket has one parent, and a table many times larger rewrites no more."""
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 4_000)
+    kind = "n bigint, text string"
+
+    def slice_of(file, version=0):
+        rows = [(i, f"{file}-{version}-{i * 7919 % 1000003}") for i in range(60)]
+        return spark.createDataFrame(rows, kind)
+
+    counts, sizes = [], []
+    for file in range(24):
+        before = warehouse._state("t")
+        warehouse.replace_rows_by_file("t", slice_of(file), file_hash=f"f{file}")
+        now = warehouse._state("t")
+        counts.append(now["buckets"])
+        old = {s for names in (before or {"segments": {}})["segments"].values() for s in names}
+        new = {s for names in now["segments"].values() for s in names} - old
+        sizes.append(warehouse.folder.size(*[f"{warehouse._home('t')}/{s}" for s in new]))
+    assert counts == sorted(counts) and counts[-1] >= 5
+    # The last writes are no larger than those of a table a quarter the size.
+    assert sum(sizes[-6:]) <= 1.6 * sum(sizes[3:9])
+    warehouse.replace_rows_by_file("t", slice_of(3, 1), file_hash="f3")
+    got = sorted((r["file_key"], r["n"], r["text"]) for r in warehouse.frame("t").collect())
+    expected = sorted((f"f{f}", i, f"{f}-{int(f == 3)}-{i * 7919 % 1000003}") for f in range(24) for i in range(60))
+    assert got == expected
+    state = warehouse._state("t")
+    assert state["bytes"] == warehouse.folder.size(*warehouse._paths("t", state["segments"]))
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 5, 8, 13])
+def test_a_split_moves_rows_of_one_bucket_only(spark, count):
+    rows = spark.range(2_000).withColumn("k", F.col("id") * 31)
+    found = rows.select(
+        tables.Warehouse._bucket(["k"], count).alias("old"), tables.Warehouse._bucket(["k"], count + 1).alias("new")
+    ).distinct().collect()
+    parent = tables.Warehouse._split_from(count, count)
+    assert {r.old for r in found} == set(range(count)) and {r.new for r in found} == set(range(count + 1))
+    assert all(r.new == r.old or (r.new == count and r.old == parent) for r in found)
+
+
+def test_an_appended_table_is_not_rewritten_for_a_slice(spark, warehouse):
+    kind = "day int, v int"
+    for day in range(5):
+        warehouse.evolve_append("t", spark.createDataFrame([(day, i) for i in range(3)], kind))
+    before = set(warehouse._state("t")["segments"][""])
+    warehouse.replace_rows_by_values("t", spark.createDataFrame([(2, 100)], kind), column="day")
+    after = warehouse._state("t")["segments"]
+    assert len(before & set(after[""])) == 4 and len(after) == 2
+    warehouse.evolve_append("t", spark.createDataFrame([(2, 101), (9, 9)], kind))
+    warehouse.replace_rows_by_values("t", spark.createDataFrame([(9, 10)], kind), column="v")
+    warehouse.replace_rows_by_values("t", spark.createDataFrame([(7, 101), (7, 2)], kind), column="v")
+    got = sorted(tuple(r) for r in warehouse.frame("t").collect())
+    days = [(d, v) for d in (0, 1, 3, 4) for v in (0, 1)]
+    assert got == sorted([*days, (2, 100), (9, 9), (9, 10), (7, 101), (7, 2)])
