@@ -10,12 +10,13 @@ an offset is an index lookup in the other direction:
 * the inverse adds back the holidays passed on the way and turns the weekday number
   into a date.
 
-No Python runs per row. Holiday counts come from a small literal table, one array read
-per row however long the holiday list is.
+No Python runs per row. Holidays are bits of a literal table, so a count is two array reads
+and the bits of one word, however long the holiday list is.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable
 from datetime import date, datetime
 
@@ -69,44 +70,42 @@ def as_date(value: DateLike) -> Column:
     return value.cast("date")
 
 
-def _literal_ints(values: list[int]) -> Column:
+def _literal_ints(values: list[int], kind: str = "int") -> Column:
     # Folded by the optimizer into one array literal.
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _count_at_most(values: list[int], bound: Column) -> Column:
     """How many of the sorted ``values`` are <= ``bound``.
 
-    Two lookups, whatever the list: the values before the bound's block of days, and, in the
-    blocks that hold values, those up to the day. Blocks without values take one entry each,
-    so a stray date far from the others costs little.
+    A bitmap with one 64-bit word per block of days, and the number of bits before each word: the
+    count is that number and the bits of the word up to the bound. Blocks outside the list are an
+    empty word at either end, so nothing is conditional and Spark computes what is shared once,
+    however often the expression is pasted into another.
     """
     if not values:
         return F.lit(0)
-    low = values[0]
-    blocks = (values[-1] - low) // _BLOCK + 1
-    before, start, inside, position = [], [], [], 0
-    for block in range(blocks):
-        first = low + block * _BLOCK
-        before.append(position)
-        if position == len(values) or values[position] >= first + _BLOCK:
-            start.append(-1)
-            continue
-        start.append(len(inside))
-        here = position
-        for day in range(first, first + _BLOCK):
-            while here < len(values) and values[here] <= day:
-                here += 1
-            inside.append(here - position)
-        position = here
-    before.append(len(values))
-    start.append(-1)
-    place = bound - low
-    block = F.least(F.floor(place / _BLOCK), F.lit(blocks)).cast("int")
-    table = F.get(_literal_ints(start), block)
-    within = F.get(_literal_ints(inside), (table + F.pmod(place, F.lit(_BLOCK))).cast("int"))
-    counted = F.get(_literal_ints(before), block) + F.when(table >= 0, within).otherwise(0)
-    return F.when(place < 0, 0).otherwise(counted)
+    different = sorted(set(values))
+    low = different[0] // _BLOCK
+    words = [0] * (different[-1] // _BLOCK - low + 3)
+    for value in different:
+        block, bit = divmod(value, _BLOCK)
+        words[block - low + 1] |= 1 << bit
+    before = [0]
+    for word in words[:-1]:
+        before.append(before[-1] + word.bit_count())
+    signed = [word - (1 << 64) if word >> 63 else word for word in words]
+    block = F.floor(bound / _BLOCK) - (low - 1)
+    place = F.greatest(F.lit(0), F.least(F.lit(len(words) - 1), block)).cast("int")
+    after = F.lit(_BLOCK - 1) - F.pmod(bound, F.lit(_BLOCK)).cast("int")
+    upto = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), after)
+    found = F.bit_count(F.get(_literal_ints(signed, "bigint"), place).bitwiseAND(upto))
+    rank = F.get(_literal_ints(before), place) + found
+    if len(different) == len(values):
+        return rank
+    # Equal values are one bit each; how many there are up to it stands in a second table.
+    upto_bit = [0, *(bisect_right(values, value) for value in different)]
+    return F.get(_literal_ints(upto_bit), rank)
 
 
 class BusinessCalendar:
@@ -185,7 +184,9 @@ class BusinessCalendar:
             return self._day_at(here + days - forward)
         # The start is day one, on a closed day too, so every move is one shorter.
         moved = self._day_at(here + days + 1 - 3 * forward)
-        return F.when(F.abs(days) <= 1, start).otherwise(moved)
+        # Not a choice of one or the other, which would keep what is shared from being shared.
+        way = F.datediff(moved, start) * (F.abs(days) > 1).cast("int")
+        return F.date_add(start, way)
 
     def next_business_day(self, day: DateLike) -> Column:
         """The day itself when it is a business day, else the next one."""
