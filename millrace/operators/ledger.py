@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.joins import one_row_per_key
 from millrace.operators.preview import top_k
+from millrace.session import local_frame
 from millrace.sources.tables import Warehouse
 
 
@@ -239,29 +240,62 @@ def generation_check(tables: Tables) -> DataFrame:
     return named.agg(count.alias("generations"), (count <= 1).alias("is_consistent"))
 
 
+MARKER = "generation"
+
+
+def _marked(warehouse: Warehouse, prefix: str) -> list[str]:
+    """The generation in use and the one before, newest first."""
+    if not warehouse.exists(f"{prefix}.{MARKER}"):
+        return []
+    rows = warehouse.frame(f"{prefix}.{MARKER}").orderBy("place").limit(2).collect()
+    return [row[GENERATION] for row in rows]
+
+
 def checkpoint_tables(
     warehouse: Warehouse, tables: Tables, prefix: str = "ledger", generation: str | None = None
 ) -> str:
-    """Store the four tables under one generation id, which is returned."""
+    """Store the four tables under one generation id, which is returned.
+
+    A generation has tables of its own. A small marker table names the one in use; it is
+    written last, so until then, and after a crash at any point before, the one before is in
+    use. The generation before stays for frames that still read it; older ones, and what a
+    crashed checkpoint left, go once the marker is written.
+    """
     generation = generation or uuid.uuid4().hex
+    before = _marked(warehouse, prefix)
+    if generation in before:
+        raise ValueError(f"Generation {generation!r} exists already.")
 
     def store(name: str) -> str:
         return warehouse.write(
-            f"{prefix}.{name}", tables[name].withColumn(GENERATION, F.lit(generation))
+            f"{prefix}.{generation}.{name}", tables[name].withColumn(GENERATION, F.lit(generation))
         )
 
     # Four independent jobs that share the cluster.
     with ThreadPoolExecutor(len(SCHEMAS)) as pool:
         list(pool.map(store, SCHEMAS))
+    kept = [generation, *before[:1]]
+    marker = local_frame(warehouse.spark, {"place": list(range(len(kept))), GENERATION: kept})
+    warehouse.write(f"{prefix}.{MARKER}", marker)
+    warehouse.vacuum(f"{prefix}.{MARKER}")
+    for name in warehouse.folder.children(f"{warehouse.folder.path}/{'/'.join(prefix.split('.'))}"):
+        if name not in kept and name != MARKER:
+            warehouse.folder.delete(f"{warehouse.folder.path}/{'/'.join(prefix.split('.'))}/{name}")
     return generation
 
 
 def restore_tables(warehouse: Warehouse, prefix: str = "ledger") -> Tables | None:
-    """The stored tables, or ``None`` where they come from different generations."""
+    """The tables of the last complete generation, empty ones where there never was any.
+
+    ``None`` where what is stored does not belong together.
+    """
+    marked = _marked(warehouse, prefix)
     stored = {}
     for name, schema in SCHEMAS.items():
-        if warehouse.exists(f"{prefix}.{name}"):
-            stored[name] = warehouse.frame(f"{prefix}.{name}")
+        if marked:
+            if not warehouse.exists(f"{prefix}.{marked[0]}.{name}"):
+                return None
+            stored[name] = warehouse.frame(f"{prefix}.{marked[0]}.{name}")
         else:
             empty = warehouse.spark.createDataFrame([], schema)
             stored[name] = empty.withColumn(GENERATION, F.lit(None).cast("string"))

@@ -212,11 +212,25 @@ def ledger_tables(t: Tables) -> ledger.Tables:
     }
 
 
+#: What tells the rows of a table apart, and what an operator may change in them.
+TELLING = {
+    "runs": ["run_id", "status"],
+    "step_runs": ["id", "run_id", "step_label"],
+    "logs": ["id", "message"],
+    "file_state": ["last_success_run_id"],
+}
+
+
 def counted(tables: ledger.Tables) -> DataFrame:
-    """Row count per table, and how many file states still point to a run."""
+    """Row count per table, a digest of its rows, and how many file states point to a run."""
+
+    def digest(name: str) -> Column:
+        line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in TELLING[name]])
+        return F.sum(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")).alias("digest")
+
     parts = [
         frame.agg(
-            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"),
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"), digest(name),
             (F.count("last_success_run_id") if name == "file_state" else F.lit(0).cast("bigint"))
             .alias("pointers"),
         )
@@ -229,8 +243,12 @@ def counted(tables: ledger.Tables) -> DataFrame:
 
 
 def counted_sql(**names: str) -> str:
+    def line(name: str) -> str:
+        return "concat_ws('|', " + ", ".join(f"coalesce({c}::VARCHAR, '-')" for c in TELLING[name]) + ")"
+
     return " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count, "
+        f"sum(('0x' || substr(md5({line(name)}), 1, 8))::BIGINT)::BIGINT AS digest, "
         + ("count(last_success_run_id)" if name == "file_state" else "0::BIGINT")
         + f" AS pointers FROM {source}"
         for name, source in names.items()

@@ -711,6 +711,25 @@ def _(t: Tables):
     return per_source.map_batch(rows, words, "doc_id bigint, source string, words bigint", key="source")
 
 
+@query(
+    "map_items",
+    """
+    SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS position, doc_id AS item,
+           length(text) AS letters, length(text) - length(replace(text, ' ', '')) AS gaps
+    FROM documents
+    """,
+)
+def _(t: Tables):
+    def measure(context, item):
+        text = item["text"]
+        return {"item": item["doc_id"], "letters": len(text), "gaps": text.count(context["gap"])}
+
+    return per_source.map_items(
+        t.documents.select("doc_id", "text", "n_chars"), measure, "item bigint, letters bigint, gaps bigint",
+        order_by=["n_chars", "doc_id"], descending=[True, False], size="n_chars", context={"gap": " "},
+    )
+
+
 @query(
     "run_sources",
     """

@@ -106,7 +106,33 @@ def test_checkpoint_and_restore(warehouse, tables):
     restored = lg.restore_tables(warehouse)
     assert {name: restored[name].count() for name in restored} == {"runs": 4, "step_runs": 4, "logs": 4, "file_state": 2}
     assert restored["runs"].schema.names == lg.SCHEMAS["runs"].names
-    # A writer that stopped half way leaves two generations.
-    warehouse.write("ledger.logs", tables["logs"].withColumn(lg.GENERATION, F.lit(generation + "x")))
+    # Tables of another generation do not fit in.
+    warehouse.write(f"ledger.{generation}.logs", tables["logs"].withColumn(lg.GENERATION, F.lit(generation + "x")))
     assert lg.restore_tables(warehouse) is None
     assert lg.restore_tables(warehouse, "never_written")["runs"].count() == 0
+
+
+@pytest.mark.parametrize("fails_at", [*lg.SCHEMAS, lg.MARKER])
+def test_a_crash_leaves_the_last_good_generation(warehouse, tables, monkeypatch, fails_at):
+    lg.checkpoint_tables(warehouse, tables, generation="one")
+    fewer = {name: table.limit(1) for name, table in tables.items()}
+    write = warehouse.write
+
+    def crash(table, df, **options):
+        if table.endswith("." + fails_at):
+            raise OSError("disk full")
+        return write(table, df, **options)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(warehouse, "write", crash)
+        with pytest.raises(OSError):
+            lg.checkpoint_tables(warehouse, fewer, generation="two")
+    assert lg.restore_tables(warehouse)["runs"].count() == 4
+    old = lg.restore_tables(warehouse)["logs"]
+    lg.checkpoint_tables(warehouse, fewer, generation="three")
+    assert {name: table.count() for name, table in lg.restore_tables(warehouse).items()} == dict.fromkeys(lg.SCHEMAS, 1)
+    # Frames of the generation before can still be read; what the crash left is gone.
+    assert old.count() == 4
+    assert warehouse.folder.children(f"{warehouse.folder.path}/ledger") == ["generation", "one", "three"]
+    with pytest.raises(ValueError):
+        lg.checkpoint_tables(warehouse, fewer, generation="three")

@@ -48,14 +48,44 @@ def test_map_batch_sees_one_source_at_a_time(spark):
 
 
 def test_map_items(spark):
-    items = spark.createDataFrame([("a.csv", 3), ("b.csv", 4)], "name string, size_bytes bigint")
+    items = spark.createDataFrame([("b.csv", 4), ("a.csv", 3)], "name string, size_bytes bigint")
     done = per_source.map_items(
         items, lambda item: {"name": item["name"], "double": item["size_bytes"] * 2}, "name string, double bigint",
         partitions=2,
     )
-    assert sorted(map(tuple, done.collect())) == [("a.csv", 6), ("b.csv", 8)]
+    assert sorted(map(tuple, done.collect())) == [(0, "a.csv", 6), (1, "b.csv", 8)]
     with pytest.raises(ValueError):
         per_source.map_items(items.limit(0), dict, "x int")
+    with pytest.raises(ValueError):
+        per_source.map_items(items, lambda a, b, c: {}, "x int")
+    with pytest.raises(ValueError):
+        per_source.map_items(items.withColumn("position", F.lit(1)), dict, "x int")
+
+
+def test_map_items_whole_in_order_and_packed_by_size(spark, tmp_path):
+    """Every file is read whole by one call; a large one has its task nearly to itself."""
+    sizes = [40_000, *[100 + i for i in range(60)]]
+    for i, size in enumerate(sizes):
+        (tmp_path / f"f{i:02d}").write_text("x" * size)
+    items = spark.createDataFrame([(f"f{i:02d}", size) for i, size in enumerate(sizes)], "name string, size bigint")
+
+    def read(context, item):
+        from pyspark import TaskContext
+
+        with open(f"{context}/{item['name']}") as file:
+            return {"name": item["name"], "letters": len(file.read()), "task": TaskContext.get().partitionId()}
+
+    done = per_source.map_items(
+        items, read, "name string, letters bigint, task int",
+        order_by="name", descending=True, size="size", context=str(tmp_path), partitions=4,
+    ).collect()
+    assert sorted((r.position, r.name, r.letters) for r in done) == [
+        (k, f"f{60 - k:02d}", sizes[60 - k]) for k in range(61)
+    ]
+    load = {}
+    for r in done:
+        load[r.task] = load.get(r.task, 0) + 1
+    assert len(load) == 4 and max(load.values()) - min(load.values()) <= 1
 
 
 def test_run_sources(spark):
