@@ -52,8 +52,6 @@ def test_combined_filters(names):
     )
     assert ids(names, both) == [3]
     assert ids(names, both, flt.NumberFilter("id", (("4", ""),))) == []
-    assert isinstance(flt.filter_component(both, flt.DistinctFilter), flt.DistinctFilter)
-    assert flt.filter_component(both, flt.DateFilter) is None
     with pytest.raises(TypeError):
         flt.AllFilter("name", ("x",)).expression()
 
@@ -111,12 +109,6 @@ def test_booleans(spark):
         flt.BooleanFilter("b", "maybe").expression()
 
 
-def test_filter_kinds():
-    assert flt.filter_kinds(T.LongType()) == ["distinct", "number"]
-    assert flt.filter_kinds(T.DateType()) == ["distinct", "date"]
-    assert flt.filter_kinds(T.ArrayType(T.LongType())) == ["distinct"]
-
-
 def test_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).selectExpr("id", "cast(id AS string) AS s", "timestamp_seconds(id * 100000) AS t").write.parquet(path)
