@@ -6,11 +6,18 @@ queries every shard: from the top layer down, a beam of the best vectors found s
 expanded until none of it is left to expand. What a query finds is verified by cosine in
 double precision, and links are united into components.
 
-The beam is not fixed. After a shard is built it is audited: copies of some of its vectors,
-turned until their cosine is just the threshold, must lead back to them, and the beam doubles
-until enough do. Where a beam as wide as the shard still does not find enough, as parts of the
-graph cannot be reached, queries are compared with every vector of that shard instead. A query whose whole beam is above the
-threshold is asked again with a beam twice as wide, so large groups come out whole.
+A group of near copies has as many links as pairs, so links do not leave the task that found
+them. It hands on, for each query, how many rows it linked with and one of them, and where
+links joined parts of the shard that were apart, one pair for each time: never more rows than
+queries and vectors, with the same components.
+
+The beam is not fixed. After a shard is built it is audited. Copies of some of its vectors,
+turned until their cosine is just the threshold, must lead back to them, and the links of these
+vectors must be those that a comparison with every vector of the shard gives; the beam doubles
+until enough are found. Where a beam as wide as the shard still does not find enough, as parts
+of the graph cannot be reached, queries are compared with every vector of that shard instead.
+A query whose whole beam is above the threshold is asked again with a beam twice as wide, so
+large groups come out whole.
 
 Equal vectors are one from the start, with the number of rows they stand for. A shard has at
 most ``SHARD`` vectors and a task at most ``QUERIES`` queries against one shard, however many
@@ -43,7 +50,7 @@ QUERIES = 16_384
 NEIGHBOURS = 16
 BUILD_BEAM = 48
 FIRST_BEAM = 32
-#: The audit: turned copies asked for, and the share that must be found.
+#: The audit: vectors asked for, and the share of turned copies and of links that must be found.
 AUDIT = 256
 AUDIT_RECALL = 0.99
 #: The beam of a shard whose graph fails its audit: every vector is compared.
@@ -51,6 +58,8 @@ EVERY = 0
 #: Queries and expansions that one step looks at together.
 TOGETHER = 256
 AT_ONCE = 4
+#: Numbers that a step of the verification holds for each side.
+AT_A_TIME = 1 << 23
 #: Single precision finds candidates a little below the threshold; double precision decides.
 MARGIN = 1e-4
 
@@ -228,16 +237,17 @@ class Graph:
             entry = np.broadcast_to(np.arange(first), (len(queries), first))
         return _layer_beam(self.vectors, self.layers[-1][1], queries, entry, beam)
 
-    def within(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """``(query, vector)`` of all found above the threshold; beams widen while they are full."""
-        out_q, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def within(self, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(query, vector)`` of all found above the threshold, a few queries at a time.
+
+        Beams widen while they are full. What a query finds comes together.
+        """
         beam, asked = self.beam, np.arange(len(queries))
         if beam == EVERY:
             for start in range(0, len(asked), TOGETHER):
                 q, v = np.nonzero(queries[start : start + TOGETHER] @ self.vectors.T >= threshold)
-                out_q.append(start + q)
-                out_v.append(v)
-            return np.concatenate(out_q), np.concatenate(out_v)
+                yield start + q, v
+            return
         while len(asked):
             again = []
             for start in range(0, len(asked), TOGETHER):
@@ -248,15 +258,14 @@ class Graph:
                 full &= beam < len(self.vectors)
                 again.append(part[full])
                 q, i = np.nonzero(above & ~full[:, None])
-                out_q.append(part[q])
-                out_v.append(found[q, i])
+                yield part[q], found[q, i]
             asked, beam = np.concatenate(again), beam * 2
-        return np.concatenate(out_q), np.concatenate(out_v)
 
     def audit(self, threshold: float) -> float:
-        """Widen the beam until copies turned to the threshold lead back; the recall reached.
+        """Widen the beam until turned copies lead back and links are found; the recall reached.
 
-        Where no beam is wide enough, every vector will be compared, which finds all.
+        It is the lesser of both shares. Where no beam is wide enough, every vector will be
+        compared, which finds all.
         """
         n, d = self.vectors.shape
         if not n:
@@ -270,9 +279,14 @@ class Graph:
         noise = np.divide(noise, length, out=np.zeros_like(noise), where=length > 1e-9)
         turned = threshold * own + np.sqrt(1 - threshold**2) * noise
         turned = (turned / np.linalg.norm(turned, axis=1, keepdims=True)).astype(np.float32)
+        links = self.vectors[asked] @ self.vectors.T >= threshold
+        links[np.arange(len(asked)), asked] = False
         while True:
             found, _ = self.search(turned, self.beam)
             recall = float((found == asked[:, None]).any(1).mean())
+            if links.any():
+                met = sum(int(links[q, v].sum()) for q, v in self.within(self.vectors[asked], threshold - MARGIN))
+                recall = min(recall, met / int(links.sum()))
             if recall >= AUDIT_RECALL:
                 return recall
             if self.beam >= n:
@@ -284,7 +298,8 @@ class Graph:
 # -- tasks ----------------------------------------------------------------------------------
 
 _GRAPH = (
-    "dims int, shard int, beam int, recall double, keys binary, exact binary, sizes binary, edges binary"
+    "dims int, shard int, beam int, recall double, keys binary, counts binary, exact binary, sizes binary, "
+    "edges binary"
 )
 
 
@@ -300,10 +315,10 @@ def _units(exact: np.ndarray) -> np.ndarray:
 
 
 def _build(threshold: float):
-    """Rows ``(dims, shard, key, vector)``, sorted by shard, to one graph a shard."""
+    """Rows ``(dims, shard, key, many, vector)``, sorted by shard, to one graph a shard."""
 
-    def close(at, keys, exact):
-        keys, units = np.concatenate(keys), _units(np.concatenate(exact))
+    def close(at, keys, many, exact):
+        keys, many, units = np.concatenate(keys), np.concatenate(many), _units(np.concatenate(exact))
         graph = Graph.build(units.astype(np.float32), keys)
         recall = graph.audit(threshold)
         values = [
@@ -312,6 +327,7 @@ def _build(threshold: float):
             pa.array([graph.beam], pa.int32()),
             pa.array([recall]),
             pa.array([keys[graph.order].tobytes()], pa.binary()),
+            pa.array([many[graph.order].tobytes()], pa.binary()),
             pa.array([units[graph.order].tobytes()], pa.binary()),
             pa.array([np.array([e.shape for _, e in graph.layers], "<i4").tobytes()], pa.binary()),
             pa.array([b"".join(e.tobytes() for _, e in graph.layers)], pa.binary()),
@@ -320,7 +336,12 @@ def _build(threshold: float):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, parts in _grouped(batches, ["dims", "shard"]):
-            yield close(at, [p.column("key").to_numpy() for p in parts], [_matrix(p.column("vector")) for p in parts])
+            yield close(
+                at,
+                [p.column("key").to_numpy() for p in parts],
+                [p.column("many").to_numpy() for p in parts],
+                [_matrix(p.column("vector")) for p in parts],
+            )
 
     return run
 
@@ -344,37 +365,87 @@ def _grouped(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tu
         yield at, held
 
 
-def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
+def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     keys = np.frombuffer(row["keys"], "<i8")
     exact = np.frombuffer(row["exact"], "<f8").reshape(len(keys), -1)
     layers, data, place = [], np.frombuffer(row["edges"], "<i4"), 0
     for n, degree in np.frombuffer(row["sizes"], "<i4").reshape(-1, 2).tolist():
         layers.append((np.arange(n), data[place : place + n * degree].reshape(n, degree)))
         place += n * degree
-    return Graph(exact.astype(np.float32), layers, row["beam"]), keys, exact
+    return Graph(exact.astype(np.float32), layers, row["beam"]), keys, np.frombuffer(row["counts"], "<i8"), exact
+
+
+class Forest:
+    """Which of ``n`` vectors are known to be linked, directly or not."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take links in; pairs that join the same parts, one for each part that was a root."""
+        tops, below = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return np.concatenate(tops), np.concatenate(below)
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            parent = np.arange(len(self.root))
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            hung = np.flatnonzero(parent != np.arange(len(parent)))
+            tops.append(hung)
+            below.append(parent[hung])
+            while not np.array_equal(parent, parent[parent]):
+                parent = parent[parent]
+            self.root = parent[self.root]
+
+
+def _verified(left: np.ndarray, right: np.ndarray, q: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosines of the pairs ``(q, v)`` reach the threshold, in double precision."""
+    step = max(1, AT_A_TIME // left.shape[1])
+    cuts = range(0, len(q), step)
+    dots = [np.einsum("ij,ij->i", left[q[i : i + step]], right[v[i : i + step]]) for i in cuts]
+    return np.concatenate([np.zeros(0), *dots]) >= threshold
 
 
 def _ask(threshold: float):
-    """A shard's graph, then queries, sorted so, to links ``(a, b)`` with ``a < b``."""
+    """A shard's graph, then queries, sorted so, to ``(a, b, others)``.
+
+    A query ``a`` that links with ``others`` rows of the shard, one of them ``b``; or two
+    vectors that links join, and ``others`` is 0.
+    """
+    names = ["a", "b", "others"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, graph, keys, exact = None, None, None, None
+        at, graph, keys, counts, exact, forest = None, None, None, None, None, None
         for here, parts in _grouped(batches, ["dims", "shard", "block", "kind"]):
             if here[3] == 0:
-                row = {n: parts[0].column(n)[0].as_py() for n in ("beam", "keys", "exact", "sizes", "edges")}
-                at, (graph, keys, exact) = here[:3], _load(row)
+                row = {n: parts[0].column(n)[0].as_py() for n in ("beam", "keys", "counts", "exact", "sizes", "edges")}
+                at, (graph, keys, counts, exact) = here[:3], _load(row)
+                forest = Forest(len(keys))
                 continue
             if here[:3] != at:
                 continue
             for part in parts:
                 units = _units(_matrix(part.column("vector")))
                 own = part.column("key").to_numpy()
-                q, v = graph.within(units.astype(np.float32), threshold - MARGIN)
-                good = (own[q] != keys[v]) & (np.einsum("ij,ij->i", units[q], exact[v]) >= threshold)
-                a, b = own[q[good]], keys[v[good]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-                )
+                for q, v in graph.within(units.astype(np.float32), threshold - MARGIN):
+                    other = own[q] != keys[v]
+                    q, v = q[other], v[other]
+                    good = _verified(units, exact, q, v, threshold)
+                    q, v = q[good], v[good]
+                    asked, first, of = np.unique(q, return_index=True, return_inverse=True)
+                    others = np.zeros(len(asked), np.int64)
+                    np.add.at(others, of, counts[v])
+                    top, below = forest.join(v, v[first][of])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([own[asked], keys[top]])),
+                            pa.array(np.concatenate([keys[v[first]], keys[below]])),
+                            pa.array(np.concatenate([others, np.zeros(len(top), np.int64)])),
+                        ],
+                        names=names,
+                    )
 
     return run
 
@@ -408,7 +479,11 @@ def near_duplicates(
     shards = max(SHARDS, -(-total * 5 // (4 * SHARD)))
     blocks = max(1, -(-total // QUERIES))
     placed = classes.select(
-        "dims", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).cast("int").alias("shard"), "key", "vector"
+        "dims",
+        F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).cast("int").alias("shard"),
+        "key",
+        "many",
+        "vector",
     )
     graphs = stored(
         placed.repartition(max(places, shards), "dims", "shard")
@@ -417,7 +492,7 @@ def near_duplicates(
         "graphs",
     )
     nothing = {"key": "bigint", "vector": "array<double>", "beam": "int"}
-    nothing |= {c: "binary" for c in ("keys", "exact", "sizes", "edges")}
+    nothing |= {c: "binary" for c in ("keys", "counts", "exact", "sizes", "edges")}
     order = ["dims", "shard", "block", "kind", *nothing]
 
     def row_of(df: DataFrame, kind: int) -> DataFrame:
@@ -431,23 +506,17 @@ def near_duplicates(
     asked = classes.select("dims", "key", "vector", block.alias("block")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
-    links = (
+    found = (
         row_of(served, 0)
         .unionByName(row_of(asked, 1))
         .repartition(max(places, shards * blocks), "dims", "shard", "block")
         .sortWithinPartitions("dims", "shard", "block", "kind")
-        .mapInArrow(_ask(threshold), "a long, b long")
+        .mapInArrow(_ask(threshold), "a long, b long, others long")
     )
-    links = stored(links.distinct(), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = stored(found, "found")
     sizes = classes.select("key", "least", "many")
-    degree = (
-        both.join(sizes.select(F.col("key").alias("b"), "many"), "b")
-        .groupBy("a")
-        .agg(F.sum("many").alias("others"))
-        .withColumnRenamed("a", "key")
-    )
-    group = components(links, "groups").withColumnsRenamed({"id": "key", "component_id": "root"})
+    degree = found.filter("others > 0").groupBy(F.col("a").alias("key")).agg(F.sum("others").alias("others"))
+    group = components(found.select("a", "b"), "groups").withColumnsRenamed({"id": "key", "component_id": "root"})
     named = sizes.join(group, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = stored(named, "named")
     roots = named.groupBy(F.struct("root").alias("k")).agg(F.min("least").alias("component_id"))

@@ -279,7 +279,7 @@ def test_graph_recall_with_groups_wider_than_the_beam():
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     graph = embedding_dedup.Graph.build(points.astype(np.float32), rng.integers(-(2**60), 2**60, 3000))
     assert graph.audit(0.9) >= 0.99
-    q, v = graph.within(graph.vectors, 0.9)
+    q, v = (np.concatenate(part) for part in zip(*graph.within(graph.vectors, 0.9), strict=True))
     expected = set(zip(*np.nonzero(graph.vectors @ graph.vectors.T >= 0.9), strict=True))
     assert len(expected & set(zip(q, v, strict=True))) >= 0.99 * len(expected)
 
@@ -294,5 +294,51 @@ def test_graph_with_parts_out_of_reach():
     members, edges = graph.layers[-1]
     graph.layers[-1] = (members, np.where(edges >= 250, -1, edges))
     assert graph.audit(0.9) >= embedding_dedup.AUDIT_RECALL
-    found = set(zip(*graph.within(graph.vectors, 0.9), strict=True))
+    found = {pair for part in graph.within(graph.vectors, 0.9) for pair in zip(*part, strict=True)}
     assert found == set(zip(*np.nonzero(graph.vectors @ graph.vectors.T >= 0.9), strict=True))
+
+
+def test_links_reduced_to_a_forest_keep_the_components():
+    rng = np.random.default_rng(8)
+    forest, pairs, kept = embedding_dedup.Forest(400), [], []
+    for _ in range(6):
+        a, b = rng.integers(0, 400, (2, 45))
+        pairs += zip(a.tolist(), b.tolist(), strict=True)
+        kept += zip(*(part.tolist() for part in forest.join(a, b)), strict=True)
+
+    def smallest(links):
+        name = list(range(400))
+        for _ in range(400):
+            for a, b in links:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    assert smallest(kept) == smallest(pairs) == forest.root.tolist()
+    assert len(kept) == 400 - len(set(forest.root.tolist()))
+
+
+def test_a_large_group_hands_on_counts_and_not_its_pairs(spark, monkeypatch):
+    """600 near copies have 179,700 links; counts and components are those of all of them."""
+    rng = np.random.default_rng(9)
+    points = rng.standard_normal((900, 24))
+    points[:600] = points[0] + 0.2 * rng.standard_normal((600, 24))
+    points[850:] = points[600:650]  # equal vectors count as often as they occur
+    exact = points / np.linalg.norm(points, axis=1, keepdims=True)
+    links = exact @ exact.T >= 0.9
+    np.fill_diagonal(links, False)
+    written = {}
+    real = embedding_dedup.stored
+    monkeypatch.setattr(embedding_dedup, "stored", lambda df, label: written.setdefault(label, real(df, label)))
+    frame = spark.createDataFrame([(i, row) for i, row in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    rows = {r.id: r for r in embedding_dedup.near_duplicates(frame).collect()}
+    n_links = links.sum(1)
+    assert sum(rows[i].n_links for i in range(900)) >= 0.999 * n_links.sum()
+    assert all(rows[i].n_links <= n_links[i] for i in range(900))
+    component = np.arange(900)
+    for _ in range(900):
+        lower = np.minimum(component, np.where(links, component, 900).min(1))
+        if (lower == component).all():
+            break
+        component = lower
+    assert [rows[i].component_id for i in range(900)] == component.tolist()
+    assert written["found"].count() <= 2 * 8 * 850
