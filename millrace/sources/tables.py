@@ -33,6 +33,7 @@ from millrace.operators.joins import (
     null_safe_join,
     one_row_per_key,
 )
+from millrace.operators.preview import head
 from millrace.operators.schema import non_null_counts
 from millrace.session import local_frame, materialise
 
@@ -255,7 +256,7 @@ class Warehouse:
         if where is not None and where.strip():
             rows = rows.where(where)
         rows = rows.select(*_columns(wanted))
-        return rows if limit is None else rows.limit(int(limit))
+        return rows if limit is None else head(rows, int(limit))
 
     def read_sql(self, sql: str) -> DataFrame:
         """Run one query over the tables, known by their names with ``_`` for the dots."""

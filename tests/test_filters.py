@@ -169,3 +169,74 @@ def test_a_sort_on_a_hot_value_uses_many_tasks(spark):
         assert parts > 1 and sum(r["count"] for r in sizes) == 6000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def sizes_of_tasks(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+@pytest.mark.parametrize("columns", [[("s", True)], [("s", False), ("n", True)], [("n", False)], [("x", True)]])
+@pytest.mark.parametrize("k", [1, 7, 400, 1500, 5000])
+def test_top_k_by_any_way_has_the_same_rows(spark, monkeypatch, tmp_path, columns, k):
+    """Keys first, or in a distributed sort: the rows of a plain sort, copies and nulls included."""
+    df = spark.range(3000, numPartitions=6).selectExpr(
+        "id % 1100 AS n", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 > 0 THEN string(id % 20) END AS s",
+        "CASE WHEN id % 5 = 0 THEN double('NaN') WHEN id % 11 > 0 THEN id % 50 / 10.0D END AS x", "'wide' AS w"
+    )
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plain = [str(tuple(r)) for r in preview.multi_sort(df, columns).collect()[:k]]
+    assert [str(tuple(r)) for r in preview.top_k(df, columns, k, keys_first=True).collect()] == plain
+    monkeypatch.setattr(preview, "TOP_K_IN_ONE_TASK", 5)
+    assert [str(tuple(r)) for r in preview.top_k(df, columns, k).collect()] == plain
+
+
+def test_copies_at_the_limit_of_a_large_top_k(spark, monkeypatch):
+    monkeypatch.setattr(preview, "TOP_K_IN_ONE_TASK", 50)
+    df = spark.range(900, numPartitions=6).selectExpr("id % 3 AS n", "'same' AS s")
+    assert sorted(r.n for r in preview.top_k(df, [("n", True)], 450).collect()) == [1] * 150 + [2] * 300
+    assert preview.top_k(df.limit(0), [("n", True)], 450).count() == 0
+
+
+def test_a_preview_sorts_keys_before_it_reads_wide_columns(spark, tmp_path):
+    spark.range(100).selectExpr("id AS n", "id % 9 AS m", "repeat('x', 99) AS wide").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    shown = preview.filtered_preview(df, [flt.NumberFilter("m", (("1", ""),))], [("n", True)], limit=4).rows
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    outer, inner = plan.split("Subquery", 1)
+    assert "GreaterThanOrEqual(n,ScalarSubquery" in plan
+    assert "ReadSchema: struct<n:bigint,m:bigint>" in inner and "wide" not in inner.split("ReadSchema: struct<n:bigint,m:bigint>")[0].split("FileScan")[-1]
+    assert [r.n for r in shown.collect()] == [98, 97, 96, 95]
+
+
+def test_a_large_head_takes_whole_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(preview, "TOP_K_IN_ONE_TASK", 50)
+    spark.range(1000, numPartitions=10).selectExpr("id AS n", "id % 2 AS odd").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for frame, n, most in [(df, 730, 730), (df, 5000, 1000), (df.where("odd = 1"), 333, 333), (df, 300, 300)]:
+        rows = preview.head(frame, n)
+        assert rows.count() == most == rows.distinct().count() and rows.exceptAll(frame).count() == 0
+    assert preview.head(spark.range(400).groupBy("id").count(), 120).count() == 120
+
+
+def test_a_large_head_meets_in_no_task(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(preview, "TOP_K_IN_ONE_TASK", 50)
+    monkeypatch.setattr(preview, "materialise", lambda *_: pytest.fail("stored"))
+    spark.range(1000, numPartitions=10).write.parquet(str(tmp_path / "t"))
+    settings = {"spark.sql.files.openCostInBytes": "134217728"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        sizes = sizes_of_tasks(preview.head(spark.read.parquet(str(tmp_path / "t")), 730))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 730 and max(sizes) == 100
+
+
+def test_distinct_values_without_a_direction(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "s string")
+    found = preview.search_distinct(df, "s", limit=2)
+    assert ([r.label for r in found.values.collect()], found.truncated) == (["(blank)", "a"], True)
+    assert not preview.search_distinct(df, "s", limit=3).truncated
