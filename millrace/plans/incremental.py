@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +25,83 @@ def _plain(path):
     return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
 
 
+_SCHEME = r"^[a-z0-9]+:(//[^/]*)?(?=/)"
+
+
 def _without_scheme(path):
     # Roots and listed paths differ in their scheme prefix (file:/x, file:///x, /x).
-    return F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    return F.regexp_replace(path, _SCHEME, "")
+
+
+# Classes of SQL states that a file's content can cause: data exceptions, errors of a data
+# source, errors raised by an author's function, and analysis of a frame that ``read`` makes.
+_OF_DATA = ("22", "39", "42", "KD", "P0")
+
+
+def _causes(error: Exception) -> Iterator:
+    """The Java exceptions behind a failed job, outermost first."""
+    found = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while found is not None:
+        yield found
+        found = found.getCause()
+
+
+def _condition(java) -> tuple[str, str]:
+    """The error condition and SQL state of a Java exception, empty where it has none."""
+    if not java.getClass().getName().startswith("org.apache.spark."):
+        return "", ""
+    if not hasattr(java, "getCondition"):
+        return "", ""
+    return java.getCondition() or "", java.getSqlState() or ""
+
+
+def _of_data(error: Exception) -> bool:
+    """Whether a file's content may be the reason; a full disk or a lost executor is none."""
+    causes = list(_causes(error))
+    if not causes:
+        return True  # raised by ``read`` or ``transform`` themselves
+    python = any(c.getClass().getName().endswith("PythonException") for c in causes)
+    return python or any(_condition(c)[1].startswith(_OF_DATA) for c in causes)
+
+
+def _message(error: Exception) -> str:
+    causes = [c.getMessage() or c.getClass().getName() for c in _causes(error)]
+    return "; ".join(dict.fromkeys(causes)) if causes else str(error)
+
+
+def _named(error: Exception, chosen: list[str]) -> list[str]:
+    """The file that Spark says it could not read, if it is one of those chosen."""
+    for java in _causes(error):
+        if _condition(java)[0].startswith("FAILED_READ_FILE"):
+            path = unquote(java.getMessageParameters().get("path"))
+            plain = re.sub(_SCHEME, "", path)
+            return [c for c in chosen if re.sub(_SCHEME, "", c) == plain]
+    return []
+
+
+def _failing(error: Exception, chosen: list[str], evaluate: Callable[[list[str]], None]) -> dict[str, str]:
+    """The files behind a failure and why; a failure of something else is raised again.
+
+    A file that Spark names costs nothing. Where it names none, as an author's function failed,
+    halves are evaluated, but not written, until the files are known.
+    """
+    if not _of_data(error):
+        raise error
+    named = _named(error, chosen)
+    if named or len(chosen) == 1:
+        return dict.fromkeys(named or chosen, _message(error))
+    failing = {}
+    for half in (chosen[: len(chosen) // 2], chosen[len(chosen) // 2 :]):
+        while half:
+            try:
+                evaluate(half)
+                break
+            except Exception as inner:
+                failing |= _failing(inner, half, evaluate)
+                half = [path for path in half if path not in failing]
+    if not failing:
+        raise error
+    return failing
 
 
 def refresh_sources(
@@ -42,11 +118,11 @@ def refresh_sources(
     """Read the new and changed files below ``root`` and replace their slices of ``table``.
 
     ``read`` opens a list of files as one frame and ``transform`` shapes its rows; every row
-    carries its ``file_key``, which ``transform`` has to keep. All files go through one job; if
-    it fails, halves of them are tried, so that a file that cannot be read is recorded as failed
-    with its error and the others are finished. The ledger of file states is written last, so an
-    interrupted refresh is simply done again. Returns the signatures of the files that were
-    processed.
+    carries its ``file_key``, which ``transform`` has to keep. All files go through one job. If
+    it fails because of files, they are recorded as failed with the error, and the others go
+    through one job without them; a failure for another reason is the caller's. The ledger of
+    file states is written last, so an interrupted refresh is simply done again. Returns the
+    signatures of the files that were processed.
     """
     spark = warehouse.spark
     listing = files.candidate_files(spark, root, extensions=extensions)
@@ -67,26 +143,30 @@ def refresh_sources(
     paths = [row["source_path"] for row in stale.select("source_path").collect()]
     failed: dict[str, str] = {}
 
-    def process(chosen: list[str]) -> None:
+    def shaped(chosen: list[str]) -> DataFrame:
         # The key is a function of the path, so rows need no lookup to get theirs.
         path = _without_scheme(_plain(F.col("_metadata.file_path")))
         below = F.substring(path, F.length(base) + 2, F.length(path))
-        rows = read(chosen).withColumn(FILE_KEY, source_key(below))
-        keys = stale.where(F.col("source_path").isin(chosen)) if len(chosen) < len(paths) else stale
+        return transform(read(chosen).withColumn(FILE_KEY, source_key(below)))
+
+    def evaluate(chosen: list[str]) -> None:
+        shaped(chosen).write.format("noop").mode("overwrite").save()
+
+    base = _without_scheme(F.lit(root.rstrip("/")))
+    good = paths
+    while good:
+        keys = stale
+        if failed:
+            lost = local_frame(spark, {"source_path": pa.array(list(failed), pa.string())})
+            keys = stale.join(lost, "source_path", "left_anti")
         try:
-            warehouse.replace_files(table, transform(rows), keys.select(FILE_KEY), file_hash_column=FILE_KEY)
+            warehouse.replace_files(table, shaped(good), keys.select(FILE_KEY), file_hash_column=FILE_KEY)
+            break
         except ConcurrentChange:
             raise
         except Exception as error:
-            if len(chosen) == 1:
-                failed[chosen[0]] = str(error)
-                return
-            process(chosen[: len(chosen) // 2])
-            process(chosen[len(chosen) // 2 :])
-
-    base = _without_scheme(F.lit(root.rstrip("/")))
-    if paths:
-        process(paths)
+            failed |= _failing(error, good, evaluate)
+            good = [path for path in good if path not in failed]
     # One entry for each file that failed.
     errors = local_frame(
         spark,

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -669,13 +670,18 @@ class Warehouse:
         missing = [name for name in names if name not in known]
         if missing:
             raise ValueError(f"Tables do not exist: {missing}")
-        report = []
-        for name in names:
-            frame, state = self.frame(name), self._known(name)
-            dropped = []
-            if len(frame.columns) > 1:
-                counts = non_null_counts(frame).first().asDict()
-                dropped = [c for c in frame.columns if counts[c] == 0]
+        report, frames = [], {name: self.frame(name) for name in names}
+        # The columns of all tables are counted in one job.
+        counted = [
+            non_null_counts(frame).select(F.lit(name).alias("name"), F.array(*map(quoted, frame.columns)).alias("counts"))
+            for name, frame in frames.items()
+            if len(frame.columns) > 1
+        ]
+        found = {row["name"]: row["counts"] for row in reduce(DataFrame.unionAll, counted).collect()} if counted else {}
+        for name, frame in frames.items():
+            state, dropped = self._known(name), []
+            if name in found:
+                dropped = [c for c, n in zip(frame.columns, found[name], strict=True) if n == 0]
                 if len(dropped) == len(frame.columns):
                     dropped = dropped[1:]
             if dropped or compact_files:

@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import MirrorPaths, is_temporary_file, normalised_extensions
@@ -193,6 +194,57 @@ def test_a_file_that_cannot_be_read_is_recorded_and_the_others_are_done(spark, w
     assert warehouse.frame("fact").count() == 3
 
 
+def test_an_unreadable_file_costs_one_more_job_and_only_itself(spark, warehouse, tmp_path):
+    folder, reads = tmp_path / "many files", []
+    spark.range(60).repartition(12).write.parquet(str(folder))
+    (folder / "broken + 1.parquet").write_bytes(b"no parquet file, but long enough to look like one")
+
+    def read(paths):
+        reads.append(len(paths))
+        return spark.read.schema("id bigint").parquet(*paths)
+
+    refresh_sources(warehouse, str(folder), "fact", flow_name="f", read=read, extensions="parquet")
+    assert reads == [13, 12]
+    states = {r.source_path.rsplit("/", 1)[1]: r for r in warehouse.frame("ledger.file_state").collect()}
+    assert [n for n, r in states.items() if r.last_status == "failed"] == ["broken + 1.parquet"]
+    assert "not a Parquet file" in states["broken + 1.parquet"].last_error_text
+    assert warehouse.frame("fact").count() == 60
+
+
+def test_several_files_that_an_author_function_fails_on(spark, warehouse, folder):
+    written = []
+    real = warehouse.replace_files
+
+    def replace(*args, **options):
+        written.append(1)
+        return real(*args, **options)
+
+    warehouse.replace_files = replace
+
+    def read(paths):
+        return spark.read.schema("id bigint").csv(paths, header=True)
+
+    def shape(rows):
+        bad = F.col("_metadata.file_name").isin("e.csv", "a.csv")
+        return rows.withColumn("id", F.when(bad, F.raise_error(F.lit("broken file"))).otherwise(F.col("id")))
+
+    refresh_sources(warehouse, folder, "fact", flow_name="f", read=read, extensions="csv", transform=shape)
+    states = warehouse.frame("ledger.file_state").collect()
+    assert sorted(r.source_path.rsplit("/", 1)[1] for r in states if r.last_status == "failed") == ["a.csv", "e.csv"]
+    assert warehouse.frame("fact").count() == 2 and len(written) == 2
+
+
+def test_a_failure_that_is_no_file_s_is_raised(spark, warehouse, folder):
+    def replace(*args, **options):
+        raise Py4JJavaError("written", spark._jvm.java.io.IOException("No space left on device"))
+
+    warehouse.replace_files = replace
+    with pytest.raises(Py4JJavaError):
+        refresh_sources(warehouse, folder, "fact", flow_name="f", extensions="csv",
+                        read=lambda paths: spark.read.schema("id bigint").csv(paths, header=True))
+    assert not warehouse.exists("ledger.file_state")
+
+
 def test_queue(spark):
     jobs = spark.createDataFrame(
         [(1, "f", "a", None, None, None), (2, "f", None, "x", 1, 1), (3, "f", "a", None, None, None),
