@@ -3,9 +3,10 @@
 A document is normalised (A-Z lowered, everything but letters and digits of ASCII a separator)
 and looked at as a whole, by paragraphs and by lines. Each such unit's distinct word
 bigrams meet those of the templates in an equi-join, and the coefficient is twice the number
-shared over the sum of both numbers. A template that none of these units reaches is looked for
-in every run of consecutive words of a fitting length, so a text in several paragraphs before
-code, or a notice inside a sentence, is found as well. Three bounds come first: a document that
+shared over the sum of both numbers. Unless such a unit is the template itself, the template is
+looked for in every run of consecutive words of a fitting length as well, so a text in several
+paragraphs before code, a notice inside a sentence, or one that shares its line with other
+words, counts for what it is wherever lines break. Three bounds come first: a document that
 does not hold the share of a template's bigrams that the threshold takes is not looked at, a unit
 whose number of bigrams cannot reach the threshold with any template is not taken apart, and a
 bigram only meets templates of a size that fits its unit's.
@@ -22,7 +23,7 @@ rows. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from pathlib import Path
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ from millrace.session import local_frame
 
 THRESHOLD = 0.8
 
-#: License texts and notices, as published, without names and years.
+#: License texts and notices without names and years, typed and not compared with
+#: a published copy.
 TEMPLATES = {
     "0BSD": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
@@ -112,8 +114,11 @@ NOTICES = {
 
 def full_texts() -> dict[str, str]:
     """The texts kept beside this module, by names such as ``BSD-3-Clause text``."""
-    folder = Path(__file__).parent / "license_texts"
-    return {f"{p.stem} text": p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+    found = [p for p in (resources.files(__package__) / "license_texts").iterdir() if p.name.endswith(".txt")]
+    if not found:
+        raise FileNotFoundError("The package has no license texts.")
+    texts = {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in found}
+    return {f"{name} text": texts[name] for name in sorted(texts)}
 
 
 #: What a scan looks for: notices and full texts, 33 of some 35,000 words. The first sentence of
@@ -274,8 +279,9 @@ def scan_licenses(
 ) -> DataFrame:
     """``(id, license, dice, n_matches)``: the best template of each document, or null.
 
-    ``n_matches`` counts the pairs of a unit and a template that reach the threshold; a template
-    that only a run of words reaches counts once.
+    ``dice`` is the best of all units and runs of words. ``n_matches`` counts the pairs of a unit
+    and a template that reach the threshold; a template that only a run of words reaches counts
+    once.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(
@@ -329,14 +335,18 @@ def scan_licenses(
     dice = 2.0 * F.col("both") / (F.col("n") + F.col("size"))
     hits = counted.withColumn("dice", dice).filter(F.col("dice") >= threshold).select("row", "license", "dice")
     hits = stored(hits, "hits")
-    # Templates that no unit of a document reaches may stand in a run of its words.
-    open_pairs = stored(able.join(hits, ["row", "license"], "left_anti"), "open")
+    # A template may stand better in a run of words, unless a unit is the template itself.
+    of_units = hits.groupBy("row", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("units"))
+    of_units = stored(of_units, "units")
+    open_pairs = stored(able.join(of_units.filter("dice = 1"), ["row", "license"], "left_anti"), "open")
     within = likely.join(open_pairs.select("row").distinct(), "row", "left_semi")
     runs = runs_of(within, known, threshold).join(open_pairs, ["row", "license"], "left_semi")
-    best = hits.unionByName(runs).groupBy(F.struct("row").alias("k")).agg(
+    both = of_units.unionByName(runs.withColumn("units", F.lit(0).cast("bigint")))
+    both = both.groupBy("row", "license").agg(F.max("dice").alias("dice"), F.greatest(F.sum("units"), F.lit(1)).alias("n"))
+    best = both.groupBy(F.struct("row").alias("k")).agg(
         F.min_by("license", F.struct((-F.col("dice")).alias("d"), "license")).alias("license"),
         F.max("dice").alias("dice"),
-        F.count(F.lit(1)).alias("n_matches"),
+        F.sum("n").alias("n_matches"),
     )
     return rows.select("id", "row").join(best.select("k.row", "license", "dice", "n_matches"), "row", "left").select(
         "id", "license", "dice", F.coalesce("n_matches", F.lit(0)).cast("bigint").alias("n_matches")

@@ -167,6 +167,32 @@ def test_licenses_inside_longer_texts(spark, frame_of):
     assert [found[k]["n_matches"] for k in range(6)] == [1, 1, 2, 1, 0, 0]
 
 
+def test_best_stretch_for_every_template(spark, frame_of):
+    """All templates against all stretches of words, wherever lines break."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choices("alpha beta gamma delta software license the of".split(), k=n))
+    mit = licenses.TEMPLATES["MIT text"]
+    rows = [
+        (0, mit + " " + words(35)),
+        (1, mit + "\n\n" + words(35)),
+        (2, words(20) + " " + mit.replace("THE SOFTWARE IS PROVIDED", words(9) + "\nTHE SOFTWARE IS PROVIDED")),
+    ]
+    short = {**licenses.TEMPLATES, **licenses.NOTICES}
+    for name in sorted(short):
+        text = short[name].split(" ")
+        text[len(text) // 2 : len(text) // 2] = words(rng.randrange(3)).split()
+        rows.append((len(rows), words(4) + " " + " ".join(text[: 2 * len(text) // 3]) + "\n" + " ".join(text[2 * len(text) // 3 :]) + ". " + words(6)))
+    found = {r["id"]: r for r in licenses.scan_licenses(frame_of(rows)).collect()}
+    for k, text in rows:
+        # Twice the words of a text bound what it shares with a template.
+        able = {n: t for n, t in licenses.LICENSES.items() if 2 * len(text.split()) >= 0.6 * len(t.split())}
+        best = {n: dice_by_hand(text, t) for n, t in able.items()}
+        reached = {n: d for n, d in best.items() if d >= 0.8}
+        assert (found[k]["dice"] or 0.0) == max(reached.values(), default=0.0), k
+        assert found[k]["license"] == min(reached, key=lambda n: (-reached[n], n), default=None), k
+    assert found[0]["dice"] == found[1]["dice"] == 1.0 and found[0]["license"] == "MIT text"
+
+
 def test_full_license_texts(spark, frame_of):
     """Whole texts with a word changed here and there, in front of code, under their own names."""
     texts = licenses.full_texts()
