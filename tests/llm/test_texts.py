@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe, fingerprints, katz, licenses, mixing, toxicity, urls
+from millrace.llm.common import prepare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -384,6 +385,22 @@ def test_toxicity_on_odd_rows(spark, frame_of, odd_texts):
     assert toxicity.keep_acceptable(frame.limit(0), model).collect() == []
 
 
+def test_toxicity_reads_its_sample_once(spark):
+    # The sample's shuffle must outlive the action that starts the iterator over it.
+    prepare(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "id long, text string, label int"
+    sample = spark.range(0, 400, 1, 8).selectExpr("id", "concat('word', id % 7) AS text", "int(id % 2) AS label")
+    toxicity.train(sample.mapInArrow(counted, schema))
+    assert seen.value == 400
+
+
 # -- BPE ------------------------------------------------------------------------------------
 
 
