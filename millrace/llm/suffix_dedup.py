@@ -45,14 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
-from millrace.llm.common import _BYTE, discard, free_prefix, mix64, prepare, span_hashes, steps, stored, texts
+from millrace.llm.common import _BYTE, discard, free_prefix, mix64, prepare, span_prefix, spans_of, steps, stored, texts
 
 LENGTH = 50
 #: Bytes of the sampled rank, and starts of it in a string of ``LENGTH``.
 SEED = 24
 REACH = LENGTH - SEED + 1
-#: Bytes of a piece of a long text, entries that a task sorts at a time, bytes of a bucket.
-PIECE = 4 << 20
+#: Bytes of a piece of texts, whose arrays stay in a core's cache, entries that a task sorts at a
+#: time, bytes of a bucket.
+PIECE = 64 << 10
 ENTRIES_PER_SORT = 1 << 20
 BYTES_PER_BUCKET = 4 << 20
 
@@ -78,8 +79,8 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(text, key, first, last, place)``: each anchor's text, rank, first and last string start,
-    and where it is.
+    """``(text, key, first, last, place, hash)``: each anchor's text, rank, first and last string
+    start, where it is, and a hash of all bytes of its strings.
 
     Starts are places in ``data``. The strings that begin at ``first`` to ``last`` have it as
     their anchor.
@@ -89,36 +90,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         base, end = int(limits[0, 0]), int(limits[-1, 1])
         if end - base < LENGTH:
             continue
-        part = data[base:end]
-        count = len(part) - SEED + 1
-        at = np.arange(count)
-        hashes = span_hashes(_BYTE[part], at, at + SEED)
+        prefix, inverses = span_prefix(_BYTE[data[base:end]])
         # The smallest of the ranks' upper halves, the leftmost of equal ones.
-        lowest = (hashes & _U64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        lowest = prefix[SEED:] - prefix[:-SEED]
+        lowest *= inverses[: len(lowest)]
+        lowest += _U64(SEED)
+        lowest = mix64(lowest)
+        lowest &= _U64(0xFFFFFFFF00000000)
+        lowest |= np.arange(len(lowest), dtype=np.uint64)
         width = 1
         while width < REACH:
             step = min(width, REACH - width)
             lowest = np.minimum(lowest[: len(lowest) - step], lowest[step:])
             width += step
-        valid = np.zeros(len(lowest) + 1, np.int32)
         starts = limits[:, 0] - base
         stops = limits[:, 1] - base - LENGTH + 1
-        long = stops > starts
-        np.add.at(valid, starts[long], 1)
-        np.add.at(valid, stops[long], -1)
-        places = np.flatnonzero(np.cumsum(valid[:-1]))
-        if not len(places):
+        change = np.empty(len(lowest), bool)
+        np.not_equal(lowest[1:], lowest[:-1], out=change[1:])
+        change[starts[starts < len(lowest)]] = True
+        change[stops[(stops > starts) & (stops < len(lowest))]] = True
+        first = np.flatnonzero(change)
+        last = np.append(first[1:], len(lowest)) - 1
+        text = np.searchsorted(starts, first, side="right") - 1
+        whole = first < stops[text]
+        text, first, last = owner[text[whole]], first[whole], last[whole]
+        if not len(first):
             continue
-        anchor = (lowest[places] & _U64(0xFFFFFFFF)).astype(np.int64)
-        change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (places[1:] != places[:-1] + 1))
-        first = places[np.concatenate([[0], change + 1])]
-        last = places[np.concatenate([change, [len(places) - 1]])]
-        text = owner[np.searchsorted(limits[:, 1] - base, first, side="right")] if len(owner) > 1 else np.full(len(first), owner[0])
-        place = anchor[np.concatenate([[0], change + 1])]
-        out.append((text, mix64(hashes[place]), first + base, last + base, place + base))
+        place = (lowest[first] & _U64(0xFFFFFFFF)).astype(np.int64)
+        key = mix64(spans_of(prefix, inverses, place, place + SEED))
+        out.append((text, key, first + base, last + base, place + base, spans_of(prefix, inverses, first, last + LENGTH)))
     if not out:
-        return tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64, np.int64))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.uint64))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(6))
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +129,24 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.append(cut[1:], len(sorted_values))
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a rank, by its upper half: buckets are in the order of ranks."""
+    return ((key >> _U64(32)) * _U64(buckets)) >> _U64(32)
+
+
+def _in_order(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs in the order of ``key`` and ``owner``."""
+    order = np.argsort(key)
+    ranked = key[order]
+    same = ranked[1:] == ranked[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    some = order[tied]
+    order[tied] = some[np.lexsort((owner[some], key[some]))]
+    owner = owner[order]
+    new = np.append(True, ~same | (owner[1:] != owner[:-1]))[: len(key)]
+    return ranked[new], owner[new]
+
+
 # -- first round: which anchors are shared --------------------------------------------------
 
 
@@ -134,30 +155,25 @@ def _requests(buckets: int):
     known to be shared already and goes on once, without a text. Texts go by their hash."""
 
     def flush(keys: list, ids: list) -> Iterator[pa.RecordBatch]:
-        key, owner = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-        key, owner = key[new], owner[new]
+        key, owner = _in_order(np.concatenate(keys), np.concatenate(ids))
         start, end = _runs(key)
         several = np.repeat(end - start > 1, end - start)
         first = np.zeros(len(key), bool)
         first[start] = True
-        bucket = ((key >> _U64(32)) % _U64(buckets)).astype(np.int64)
+        bucket = _bucket(key, buckets)
         short = (key & _U64(0xFFFFFFFF)).astype("<u4")
-        order = np.argsort(bucket, kind="stable")
+        owner = owner.astype("<i8")
         rows = []
-        for a, b in zip(*_runs(bucket[order]), strict=True):
-            here = order[a:b]
-            lone, known, shared = here[~several[here]], here[several[here] & first[here]], here[several[here]]
+        for a, b in zip(*_runs(bucket), strict=True):
+            ranks, owners, shared = short[a:b], owner[a:b], several[a:b]
             rows.append(
                 (
-                    int(bucket[here[0]]),
-                    short[lone].tobytes(),
-                    owner[lone].astype("<i8").tobytes(),
-                    short[known].tobytes(),
-                    short[shared].tobytes(),
-                    owner[shared].astype("<i8").tobytes(),
+                    int(bucket[a]),
+                    ranks[~shared].tobytes(),
+                    owners[~shared].tobytes(),
+                    ranks[shared & first[a:b]].tobytes(),
+                    ranks[shared].tobytes(),
+                    owners[shared].tobytes(),
                 )
             )
         kinds = (pa.int32(), *[pa.binary()] * 5)
@@ -171,7 +187,7 @@ def _requests(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
         for batch, data, offsets in steps(batches):
-            text, key, _, _, _ = anchors(data, offsets)
+            text, key, *_ = anchors(data, offsets)
             keys.append(key)
             ids.append(batch.column("sign").to_numpy()[text])
             held += len(key)
@@ -192,14 +208,9 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(key)], names=["sign", "key"])
 
     def close(bucket, lone, known):
-        short = np.concatenate([k for k, _ in lone])
-        owner = np.concatenate([o for _, o in lone])
-        order = np.lexsort((owner, short))
-        short, owner = short[order], owner[order]
+        short, owner = _in_order(np.concatenate([k for k, _ in lone]), np.concatenate([o for _, o in lone]))
         if not len(short):
             return
-        new = np.concatenate([[True], (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])])
-        short, owner = short[new], owner[new]
         start, end = _runs(short)
         shared = np.repeat(end - start > 1, end - start)
         if known:
@@ -217,7 +228,8 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lone.append((np.frombuffer(keys, "<u4"), np.frombuffer(ids, "<i8")))
             if len(sure):
                 known.append(np.frombuffer(sure, "<u4"))
-            yield from answer(bucket, np.frombuffer(shared_keys, "<u4"), np.frombuffer(shared_ids, "<i8"))
+            if len(shared_ids):
+                yield from answer(bucket, np.frombuffer(shared_keys, "<u4"), np.frombuffer(shared_ids, "<i8"))
     if lone:
         yield from close(at, lone, known)
 
@@ -281,26 +293,24 @@ def _surroundings(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, held = [], 0
         for batch, data, offsets in steps(batches):
-            text, key, first, last, place = anchors(data, offsets)
+            text, key, first, last, place, alike = anchors(data, offsets)
             if not len(text):
                 continue
             keys = batch.column("keys")
             wanted = keys.flatten().to_numpy().astype(np.uint64)
             owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(keys).to_numpy())
             # Ranks are compared as they were sent: bucket of the first round and lower half.
-            short = (((key >> _U64(32)) % _U64(buckets)) << _U64(32)) | (key & _U64(0xFFFFFFFF))
+            short = (_bucket(key, buckets) << _U64(32)) | (key & _U64(0xFFFFFFFF))
             pick = np.isin(
                 mix64(short) ^ mix64(text.astype(np.uint64)), mix64(wanted) ^ mix64(owner.astype(np.uint64))
             )
-            text, key, first, last, place = text[pick], key[pick], first[pick], last[pick], place[pick]
+            text, key, first, last, place, alike = (c[pick] for c in (text, key, first, last, place, alike))
             if not len(text):
                 continue
             entry = np.empty(len(text), _MARK)
             entry["id"] = batch.column("id").to_numpy()[text]
             entry["sign"] = batch.column("sign").to_numpy()[text]
-            begin = int(first.min())
-            window = data[begin : int(last.max()) + LENGTH]
-            entry["hash"] = span_hashes(_BYTE[window], first - begin, last + LENGTH - begin)
+            entry["hash"] = alike
             entry["first"] = first - offsets[text]
             entry["key"] = (key & _U64(0xFFFFFFFF)).astype(np.uint32)
             entry["starts"] = last - first + 1
@@ -385,12 +395,12 @@ def _cells(columns: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> pa.Re
     end = core + LENGTH + 1 - (cell_high - cell_low)
     # Cores of different cells are told apart by the cell.
     salt = mix64((cell_low * 64 + cell_high).astype(np.uint64))
-    codes = _BYTE[data]
+    codes = span_prefix(_BYTE[data])
     # Two cells are alike on the whole if their strings and the places of these are.
-    whole = span_hashes(codes, start, start + length) ^ mix64((low * 64 + high).astype(np.uint64))
+    whole = spans_of(*codes, start, start + length) ^ mix64((low * 64 + high).astype(np.uint64))
     ranks = [
-        mix64(span_hashes(codes, core, end) ^ salt),
-        mix64(span_hashes(_OTHER[data], core, end) ^ salt),
+        mix64(spans_of(*codes, core, end) ^ salt),
+        mix64(spans_of(*span_prefix(_OTHER[data]), core, end) ^ salt),
         mix64(whole ^ salt),
     ]
     begin = np.cumsum(length) - length
@@ -409,7 +419,7 @@ def _cells(columns: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> pa.Re
 
 def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The open anchors of documents as cells."""
-    for batch, data, offsets in steps(batches):
+    for batch, data, offsets in steps(batches, 4 * PIECE):
         count = pc.list_value_length(batch.column("firsts")).to_numpy()
         text = np.repeat(np.arange(batch.num_rows), count)
         first, last, place = (batch.column(c).flatten().to_numpy() for c in ("firsts", "lasts", "places"))
@@ -450,15 +460,15 @@ def _told_apart(cells: DataFrame) -> DataFrame:
         before, cells = cells, cells.filter("bytes IS NOT NULL")
         # The smallest id of a rank; those of a hot one are combined before the shuffle.
         least = cells.groupBy(F.struct("core", "second").alias("k")).agg(
-            F.min(F.struct("id", "whole")).alias("least"), F.max("id").alias("most")
+            F.min("id").alias("least"), F.min_by("whole", "id").alias("alike"), F.max("id").alias("most")
         )
-        least = least.filter("least.id < most").select("k.core", "k.second", "least")
+        least = least.filter("least < most").select("k.core", "k.second", "least", "alike")
         if width == 1:
-            cells = cells.drop("bytes").join(least, ["core", "second"]).filter("id > least.id").select(spans)
+            cells = cells.drop("bytes").join(least, ["core", "second"]).filter("id > least").select(spans)
             for frame in ended:
                 cells = cells.unionByName(frame)
             return cells
-        done = (F.col("id") > F.col("least.id")) & (F.col("whole") == F.col("least.whole"))
+        done = (F.col("id") > F.col("least")) & (F.col("whole") == F.col("alike"))
         cells = (
             cells.join(least, ["core", "second"])
             .select(*_CELL_NAMES[:7], "bytes", done.alias("done"))

@@ -1,8 +1,10 @@
 """Near-duplicate operators against brute force."""
 
+import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -182,6 +184,40 @@ def test_repeats_in_an_empty_table(frame_of):
     assert suffix_dedup.repeated_bytes(frame_of([])).collect() == []
 
 
+def test_anchors_cover_every_string_in_small_pieces(monkeypatch):
+    rng = random.Random(3)
+    phrases = ["".join(rng.choices("abcde ", k=rng.randint(1, 90))) for _ in range(40)]
+    parts = ["".join(rng.choices(phrases, k=rng.randint(0, 60))) for _ in range(400)] + ["x" * 500, "", "ab" * 400, ""]
+    data = np.frombuffer("".join(parts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, parts)])
+    starts = [p for a, b in itertools.pairwise(offsets) for p in range(a, b - suffix_dedup.LENGTH + 1)]
+    seen = []
+    for piece in (700, suffix_dedup.PIECE):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        text, key, first, last, place, alike = suffix_dedup.anchors(data, offsets)
+        assert ((first <= place) & (last + suffix_dedup.LENGTH >= place + suffix_dedup.SEED)).all()
+        assert (alike == common.span_hashes(common._BYTE[data], first, last + suffix_dedup.LENGTH)).all()
+        assert (offsets[text] <= first).all() and (last + suffix_dedup.LENGTH <= offsets[text + 1]).all()
+        assert [p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)] == starts
+        which = np.repeat(np.arange(len(first)), last - first + 1)
+        seen.append(list(zip(key[which].tolist(), (place[which] - starts).tolist(), strict=True)))
+    assert seen[0] == seen[1]
+    anchor_of = {}
+    for p, anchor in zip(starts, seen[0], strict=True):
+        assert anchor_of.setdefault(data[p : p + suffix_dedup.LENGTH].tobytes(), anchor) == anchor
+
+
+def test_anchors_work_in_little_memory():
+    # The arrays of a step of texts are a piece's, whatever the step's size.
+    data = np.random.default_rng(1).integers(97, 123, 1 << 20, dtype=np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2048)
+    tracemalloc.start()
+    suffix_dedup.anchors(data, offsets)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 20 * len(data)
+
+
 def test_rounds_with_phrases_in_every_document(spark, frame_of):
     """Phrases shorter than a string, of many lengths, in other surroundings each time."""
     rng = random.Random(9)
