@@ -18,6 +18,10 @@ counted in the bucket of its first word; a first word with many occurrences is d
 several buckets by the second. Backoff weights are an aggregation over the pairs' buckets and go
 back to the chunks that need them. Shuffles carry each distinct pair of a chunk once.
 
+Of a chunk, a task holds numbers of four bytes a token and few arrays of eight at a time: words are
+numbered piece by piece, what goes by word is looked up by word, and nothing of a chunk or bucket
+is kept while the next one comes.
+
 The driver sees counts of counts, of which there are ``LARGE + 1`` an order, and totals.
 
 Defined cases: a null or empty text is its end token alone; a null id's checksum is that of the
@@ -29,6 +33,7 @@ columns are read. A text longer than a chunk is a chunk of its own.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, starmap
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +53,8 @@ BASE = 0.1
 TOKENS_PER_CHUNK = 2_000_000
 ENTRIES_PER_BUCKET = 500_000
 OCCURRENCES_PER_BUCKET = 1_000_000
+#: Bytes of text whose words are hashed and numbered at once, unless a single text is longer.
+BYTES_PER_PIECE = 256 << 10
 
 _U64 = np.uint64
 _END = mix64(np.array([0x0E0D], np.uint64))[0]
@@ -67,17 +74,20 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     number = 0
 
-    def close(hashes, ids, sizes, train):
-        tokens = np.concatenate(hashes)
+    def close(pieces, ids, sizes, train):
         ids, sizes, train = np.concatenate(ids), np.concatenate(sizes), np.concatenate(train)
-        vocabulary, local = np.unique(tokens, return_inverse=True)
+        vocabulary = np.unique(np.concatenate([words for words, *_ in pieces]))
+        found, counts = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+        at = [np.searchsorted(vocabulary, words) for words, *_ in pieces]
+        for here, (_, _, often, learnt) in zip(at, pieces, strict=True):
+            found[here] += often
+            counts[here] += learnt
         # Frequent words first: their places have small numbers, which compress well.
-        order = np.argsort(-np.bincount(local, minlength=len(vocabulary)), kind="stable")
+        order = np.argsort(-found, kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        vocabulary, local = vocabulary[order], place[local]
-        learnt = np.repeat(train, sizes)
-        counts = np.bincount(local[learnt], minlength=len(vocabulary))
+        vocabulary, counts = vocabulary[order], counts[order]
+        local = np.concatenate([place[here][numbers] for here, (_, numbers, *_) in zip(at, pieces, strict=True)])
         values = [
             [(part << 24) | number],
             [ids.astype("<i8").tobytes()],
@@ -89,19 +99,27 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [len(vocabulary)],
             [int(counts.sum())],
             [int(train.sum())],
-            [len(tokens)],
+            [len(local)],
         ]
         kinds = [pa.int64(), *[pa.binary()] * 6, *[pa.int64()] * 4]
         names = [c.split()[0] for c in _CHUNK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     held, parts = 0, ([], [], [], [])
-    for batch, data, offsets in steps(batches):
+    for batch, data, offsets in steps(batches, BYTES_PER_PIECE):
         words = Words(data, offsets)
         # Every text's words and its end.
         sizes = np.diff(words.first) + 1
+        train = batch.column("train").to_numpy(zero_copy_only=False)
         stream = np.insert(words.hashes, words.first[1:], _END)
-        for held_part, new in zip(parts, (stream, batch.column("id").to_numpy(zero_copy_only=False), sizes, batch.column("train").to_numpy(zero_copy_only=False)), strict=True):
+        distinct, numbers = np.unique(stream, return_inverse=True)
+        piece = (
+            distinct,
+            numbers.astype(np.uint32),
+            np.bincount(numbers, minlength=len(distinct)),
+            np.bincount(numbers[np.repeat(train, sizes)], minlength=len(distinct)),
+        )
+        for held_part, new in zip(parts, (piece, batch.column("id").to_numpy(zero_copy_only=False), sizes, train), strict=True):
             held_part.append(new)
         held += len(stream)
         if held >= TOKENS_PER_CHUNK:
@@ -119,7 +137,7 @@ class Chunk:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
         self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
-        self.tokens = _counts(row["places"])
+        self.tokens = _counts(row["places"], "<u4")
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
         self.first = np.cumsum(self.sizes) - self.sizes
 
@@ -133,21 +151,38 @@ class Chunk:
 
     def add_pairs(self, buckets: int) -> None:
         """The distinct pairs of predecessor and word, in the order in which they are asked."""
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[self.first] = len(self.vocabulary)
         width = len(self.vocabulary) + 1
-        self.pairs, self.pair_of = np.unique(before * width + self.tokens, return_inverse=True)
-        self.h, self.w = self.pairs // width, self.pairs % width
-        hashes = np.append(self.vocabulary, _START)
-        self.h_hash, self.w_hash = hashes[self.h], hashes[self.w]
-        shards = (np.maximum(self.counts[self.h] - 1, 0) // OCCURRENCES_PER_BUCKET + 1).astype(np.uint64)
-        shard = mix64(self.w_hash.copy()) % shards
-        bucket = (mix64(self.h_hash + shard * _U64(0x9E3779B97F4A7C15)) % _U64(buckets)).astype(np.int64)
-        self.pair_order = np.argsort(bucket, kind="stable")
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = self.tokens[:-1]
+        key[self.first] = len(self.vocabulary)
+        key *= width
+        key += self.tokens
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        self.pair_of = np.empty(len(key), np.uint32)
+        self.pair_of[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        del order
+        key = key[new]
+        self.h, self.w = (key // width).astype(np.uint32), (key % width).astype(np.uint32)
+        del key, new
+        self.hashes = np.append(self.vocabulary, _START)
+        shards = (np.maximum(self.counts - 1, 0) // OCCURRENCES_PER_BUCKET + 1).astype(np.uint64)
+        # Unsigned numbers of two bytes, if they are enough, are sorted by their digits.
+        kind = np.min_scalar_type(buckets)
+        bucket = _pair_buckets(self.hashes, _U64(0), buckets).astype(kind)[self.h]
+        # The pairs whose first word is dealt over several buckets.
+        dealt = np.flatnonzero((shards > 1)[self.h])
+        shard = mix64(self.hashes[self.w[dealt]]) % shards[self.h[dealt]]
+        bucket[dealt] = _pair_buckets(self.hashes[self.h[dealt]], shard, buckets)
+        self.pair_order = np.argsort(bucket, kind="stable").astype(np.uint32)
         self.pair_bucket = bucket[self.pair_order]
 
 
+def _pair_buckets(heads: np.ndarray, shard: np.ndarray, buckets: int) -> np.ndarray:
+    return mix64(heads + shard * _U64(0x9E3779B97F4A7C15)) % _U64(buckets)
+
+
 def word_order(vocabulary: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     bucket = (mix64(vocabulary ^ _U64(0x5555)) % _U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -157,15 +192,15 @@ def word_order(vocabulary: np.ndarray, buckets: int) -> tuple[np.ndarray, np.nda
 def _planes(values: np.ndarray) -> bytes:
     """Numbers from 0 on, lowest bytes first: all lowest bytes, then all second ones, packed."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    parts = values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + zstandard.compress(np.ascontiguousarray(parts.T).tobytes())
+    parts = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :width]
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(parts.T).ravel())
 
 
-def _counts(data: bytes) -> np.ndarray:
-    parts = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    wide = np.zeros((parts.shape[1], 8), np.uint8)
-    wide[:, : data[0]] = parts.T
-    return wide.view("<i8")[:, 0]
+def _counts(data: bytes, kind: str = "<i8") -> np.ndarray:
+    parts = np.frombuffer(zstandard.decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    values = np.zeros(parts.shape[1], kind)
+    values.view(np.uint8).reshape(-1, values.itemsize)[:, : data[0]] = parts.T
+    return values
 
 
 def _short(hashes: np.ndarray) -> bytes:
@@ -191,10 +226,14 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows with one value in the first column, together. They come sorted by it."""
+
+    def plain(value):
+        return value.values.to_numpy() if value.is_valid and pa.types.is_list(value.type) else value.as_py()
+
     at, rows = None, []
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
+            row = {name: plain(column[i]) for name, column in zip(batch.schema.names, batch.columns, strict=True)}
             key = row[batch.schema.names[0]]
             if key != at and rows:
                 yield at, rows
@@ -240,13 +279,16 @@ def _statistics(counts: np.ndarray) -> list[int]:
 
 def _answer_words(batches):
     """A row of statistics for each bucket, and the answers to the chunks."""
-    for bucket, rows in _by_bucket(batches):
+
+    def answer(bucket, rows):
         words = [np.frombuffer(r["vocabulary"], "<u8") for r in rows]
         counts = np.concatenate([_counts(r["counts"]) for r in rows])
         distinct, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, counts, len(distinct)).astype(np.int64)
         seen = total[total > 0]
-        yield _answers_batch(bucket, [r["chunk"] for r in rows], [len(w) for w in words], total[place], len(seen), _statistics(seen))
+        return _answers_batch(bucket, [r["chunk"] for r in rows], [len(w) for w in words], total[place], len(seen), _statistics(seen))
+
+    return starmap(answer, _by_bucket(batches))
 
 
 def _answers_batch(bucket, chunks, sizes, answers, types, statistics) -> pa.RecordBatch:
@@ -319,6 +361,7 @@ def _by_chunk(batches: Iterable[pa.RecordBatch], buckets: int, documents: int) -
         chunk.add_counts([(r["bucket"], r["answer"]) for r in rows if r["kind"] == 1], buckets, documents)
         pairs = [(r["bucket"], r["answer"]) for r in rows if r["kind"] == 2]
         weights = next((r for r in rows if r["kind"] == 3), None)
+        rows.clear()
         return chunk, pairs, weights
 
     for _, rows in _by_bucket(batches):
@@ -326,35 +369,36 @@ def _by_chunk(batches: Iterable[pa.RecordBatch], buckets: int, documents: int) -
 
 
 def _ask_pairs(word_buckets: int, buckets: int, documents: int):
-    def run(batches):
-        for chunk, _, _ in _by_chunk(batches, word_buckets, documents):
-            chunk.add_pairs(buckets)
-            learnt = np.bincount(
-                chunk.pair_of[np.repeat(chunk.train, chunk.sizes)], minlength=len(chunk.pairs)
-            )
-            for a, b in _runs(chunk.pair_bucket):
-                o = chunk.pair_order[a:b]
-                # Pairs are in the order of their first word: it is sent once.
-                lengths = [y - x for x, y in _runs(chunk.h[o])]
-                heads = o[np.cumsum([0, *lengths[:-1]])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(chunk.pair_bucket[a])], pa.int32()),
-                        pa.array([chunk.number], pa.int64()),
-                        *[
-                            pa.array([x], pa.binary())
-                            for x in (
-                                chunk.h_hash[heads].tobytes(),
-                                _planes(chunk.counts[chunk.h[heads]]),
-                                _planes(np.array(lengths, np.int64)),
-                                _short(chunk.w_hash[o]),
-                                _planes(chunk.counts[chunk.w[o]]),
-                                _planes(learnt[o]),
-                            )
-                        ],
+    def ask(chunk, *_):
+        chunk.add_pairs(buckets)
+        learnt = np.bincount(chunk.pair_of[np.repeat(chunk.train, chunk.sizes)], minlength=len(chunk.w))
+        for a, b in _runs(chunk.pair_bucket):
+            o = chunk.pair_order[a:b]
+            # Pairs are in the order of their first word: it is sent once.
+            lengths = [y - x for x, y in _runs(chunk.h[o])]
+            heads = chunk.h[o[np.cumsum([0, *lengths[:-1]])]]
+            words = chunk.w[o]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(chunk.pair_bucket[a])], pa.int32()),
+                    pa.array([chunk.number], pa.int64()),
+                    *[
+                        pa.array([x], pa.binary())
+                        for x in (
+                            chunk.hashes[heads].tobytes(),
+                            _planes(chunk.counts[heads]),
+                            _planes(np.array(lengths, np.int64)),
+                            _short(chunk.hashes[words]),
+                            _planes(chunk.counts[words]),
+                            _planes(learnt[o]),
+                        )
                     ],
-                    names=["bucket", "chunk", "h", "h_count", "lengths", "w", "w_count", "counts"],
-                )
+                ],
+                names=["bucket", "chunk", "h", "h_count", "lengths", "w", "w_count", "counts"],
+            )
+
+    def run(batches):
+        return chain.from_iterable(starmap(ask, _by_chunk(batches, word_buckets, documents)))
 
     return run
 
@@ -370,47 +414,51 @@ def _answer_pairs(one_word: OneWord):
     after ``h``.
     """
 
+    def answer(bucket, rows):
+        lengths = [_counts(r["lengths"]) for r in rows]
+        h = np.concatenate([np.repeat(np.frombuffer(r["h"], "<u8"), n) for r, n in zip(rows, lengths, strict=True)])
+        h_count = np.concatenate([np.repeat(_counts(r["h_count"]), n) for r, n in zip(rows, lengths, strict=True)])
+        w = np.concatenate([_words(r["w"]) for r in rows])
+        w_count = np.concatenate([_counts(r["w_count"]) for r in rows])
+        counts = np.concatenate([_counts(r["counts"]) for r in rows])
+        order = np.lexsort((w, h))
+        new = np.concatenate([[True], np.diff(h[order]) != 0])
+        new[1:] |= np.diff(w[order]) != 0
+        group = np.cumsum(new) - 1
+        total = np.bincount(group, counts[order]).astype(np.int64)
+        often = np.empty(len(h), np.int64)
+        often[order] = total[group]
+        first = order[new]
+        del w, counts, order, group, new
+        sizes = [int(n.sum()) for n in lengths]
+        seen = total[total > 0]
+        batch = _answers_batch(bucket, [r["chunk"] for r in rows], sizes, often, len(seen), _statistics(seen))
+        pad = [pa.nulls(batch.num_rows, pa.int64())] * (len(_CONTEXT) - 1) + [pa.nulls(batch.num_rows, pa.float64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *pad], names=[*batch.schema.names, *_CONTEXT])
+
+        # What the first words have been followed by, for those that a chunk needs.
+        heads = h[first]
+        missed = often == 0
+        chunk_of = np.repeat(np.arange(len(rows)), sizes)
+        needed = np.unique(h[missed & (h_count > 0)])
+        known = (total > 0) & ((h_count[first] > OCCURRENCES_PER_BUCKET) | np.isin(heads, needed))
+        if known.any():
+            names, place = np.unique(heads[known], return_inverse=True)
+            level = np.minimum(total[known], LARGE + 1)
+            table = np.zeros((len(names), LARGE + 2), np.int64)
+            np.add.at(table, (place, level), 1)
+            mass = np.bincount(place, one_word(w_count[first][known]), len(names))
+            h_counts = np.zeros(len(names), np.int64)
+            h_counts[place] = h_count[first][known]
+            yield _context_batch(names, [h_counts, *table[:, 1:].T], mass, None)
+        if len(needed):
+            pick = missed & (h_count > 0)
+            asked = np.unique(np.stack([h[pick].view(np.int64), chunk_of[pick]], 1), axis=0)
+            numbers = np.array([r["chunk"] for r in rows])[asked[:, 1]]
+            yield _context_batch(asked[:, 0].view(np.uint64), None, None, numbers)
+
     def run(batches):
-        for bucket, rows in _by_bucket(batches):
-            lengths = [_counts(r["lengths"]) for r in rows]
-            h = np.concatenate([np.repeat(np.frombuffer(r["h"], "<u8"), n) for r, n in zip(rows, lengths, strict=True)])
-            h_count = np.concatenate([np.repeat(_counts(r["h_count"]), n) for r, n in zip(rows, lengths, strict=True)])
-            w = np.concatenate([_words(r["w"]) for r in rows])
-            w_count = np.concatenate([_counts(r["w_count"]) for r in rows])
-            counts = np.concatenate([_counts(r["counts"]) for r in rows])
-            order = np.lexsort((w, h))
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
-            group = np.cumsum(new) - 1
-            total = np.bincount(group, counts[order]).astype(np.int64)
-            answer = np.empty(len(h), np.int64)
-            answer[order] = total[group]
-            sizes = [int(n.sum()) for n in lengths]
-            seen = total[total > 0]
-            batch = _answers_batch(bucket, [r["chunk"] for r in rows], sizes, answer, len(seen), _statistics(seen))
-            pad = [pa.nulls(batch.num_rows, pa.int64())] * (len(_CONTEXT) - 1) + [pa.nulls(batch.num_rows, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *pad], names=[*batch.schema.names, *_CONTEXT])
-
-            # What the first words have been followed by, for those that a chunk needs.
-            first = order[new]
-            heads = h[first]
-            missed = answer == 0
-            chunk_of = np.repeat(np.arange(len(rows)), sizes)
-            needed = np.unique(h[missed & (h_count > 0)])
-            known = (total > 0) & ((h_count[first] > OCCURRENCES_PER_BUCKET) | np.isin(heads, needed))
-            if known.any():
-                names, place = np.unique(heads[known], return_inverse=True)
-                level = np.minimum(total[known], LARGE + 1)
-                table = np.zeros((len(names), LARGE + 2), np.int64)
-                np.add.at(table, (place, level), 1)
-                mass = np.bincount(place, one_word(w_count[first][known]), len(names))
-                h_counts = np.zeros(len(names), np.int64)
-                h_counts[place] = h_count[first][known]
-                yield _context_batch(names, [h_counts, *table[:, 1:].T], mass, None)
-            if len(needed):
-                pick = missed & (h_count > 0)
-                asked = np.unique(np.stack([h[pick].view(np.int64), chunk_of[pick]], 1), axis=0)
-                numbers = np.array([r["chunk"] for r in rows])[asked[:, 1]]
-                yield _context_batch(asked[:, 0].view(np.uint64), None, None, numbers)
+        return chain.from_iterable(starmap(answer, _by_bucket(batches)))
 
     return run
 
@@ -433,39 +481,44 @@ _PAIR_ANSWER = _ANSWER + ", " + ", ".join(f"{c} {'double' if c == 'mass' else 'l
 
 
 def _score(word_buckets: int, buckets: int, documents: int, one_word: OneWord, pair: Discounts):
+    n, v = one_word.tokens, one_word.types
+
+    def score(chunk, answers, weights):
+        chunk.add_pairs(buckets)
+        seen = np.empty(len(chunk.w), np.int64)
+        seen[chunk.pair_order] = _joined(answers)
+        # By word: one-word probability, base score and, for words seen in training, backoff weight.
+        lower = one_word(chunk.counts)
+        base = np.log10((chunk.counts + BASE) / (n + BASE * (v + 1)))
+        alpha = np.ones(len(chunk.hashes))
+        if weights is not None:
+            order = np.argsort(weights["heads"])
+            heads = weights["heads"][order]
+            at = np.searchsorted(heads, chunk.hashes.view(np.int64))
+            at[at == len(heads)] = 0
+            hit = (heads[at] == chunk.hashes.view(np.int64)) & (chunk.counts > 0)
+            alpha[hit] = weights["weights"][order][at][hit]
+        logs = alpha[chunk.h]
+        logs *= lower[chunk.w]
+        hit = seen > 0
+        logs[hit] = pair(seen[hit]) / chunk.counts[chunk.h[hit]]
+        del seen, hit
+        np.log10(logs, out=logs)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(chunk.ids),
+                pa.array(~chunk.train),
+                pa.array(chunk.sizes),
+                pa.array(np.add.reduceat((chunk.counts > 0)[chunk.tokens], chunk.first, dtype=np.int64)),
+                pa.array(np.full(len(chunk.ids), n, np.int64)),
+                pa.array(np.add.reduceat(base[chunk.tokens], chunk.first)),
+                pa.array(np.add.reduceat(logs[chunk.pair_of], chunk.first)),
+            ],
+            names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
     def run(batches):
-        for chunk, answers, weights in _by_chunk(batches, word_buckets, documents):
-            chunk.add_pairs(buckets)
-            seen = np.empty(len(chunk.pairs), np.int64)
-            seen[chunk.pair_order] = _joined(answers)
-            word = chunk.counts[chunk.w]
-            before = chunk.counts[chunk.h]
-            lower = one_word(word)
-            alpha = np.ones(len(chunk.pairs))
-            if weights is not None:
-                h = np.array(weights["heads"], np.int64)
-                order = np.argsort(h)
-                at = np.searchsorted(h[order], chunk.h_hash.view(np.int64))
-                at[at == len(h)] = 0
-                hit = h[order][at] == chunk.h_hash.view(np.int64)
-                alpha[hit] = np.array(weights["weights"])[order][at][hit]
-            probability = np.where(seen > 0, pair(seen) / np.maximum(before, 1), np.where(before > 0, alpha, 1.0) * lower)
-            logs = np.log10(probability)[chunk.pair_of]
-            counts = chunk.counts[chunk.tokens]
-            n, v = one_word.tokens, one_word.types
-            base = np.log10((counts + BASE) / (n + BASE * (v + 1)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(chunk.ids),
-                    pa.array(~chunk.train),
-                    pa.array(chunk.sizes),
-                    pa.array(np.add.reduceat((counts > 0).astype(np.int64), chunk.first)),
-                    pa.array(np.full(len(chunk.ids), n, np.int64)),
-                    pa.array(np.add.reduceat(base, chunk.first)),
-                    pa.array(np.add.reduceat(logs, chunk.first)),
-                ],
-                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+        return starmap(score, _by_chunk(batches, word_buckets, documents))
 
     return run
 

@@ -5,10 +5,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -340,6 +343,51 @@ def test_katz_without_training(frame_of):
     assert katz.katz_scores(frame.limit(0), F.lit(True)).collect() == []
 
 
+def test_katz_holds_little_of_a_chunk(monkeypatch):
+    # The tasks' functions on two chunks, one after the other: bytes of arrays for each token.
+    monkeypatch.setattr(katz, "TOKENS_PER_CHUNK", 400_000)
+    monkeypatch.setattr(katz, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.zipf(1.3, 999) % 50_000)) for _ in range(1600)]
+    batch = pa.RecordBatch.from_pydict({"id": range(len(texts)), "train": [k % 10 != 0 for k in range(len(texts))], "text": texts})
+
+    chunks = pa.Table.from_batches(katz._chunks([batch])).to_pylist()
+    size = max(c["length"] for c in chunks)
+    assert len(chunks) > 1 and size < 800_000
+
+    def held(function, batches):
+        for _ in function(iter(batches)):  # what stays for good, like tables of powers, is there now
+            pass
+        tracemalloc.start()
+        for _ in function(iter(batches)):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / size
+
+    rows = [
+        {"chunk": c["chunk"], "kind": kind, "bucket": 0} | ({"answer": c["counts"]} if kind else {k: c[k] for k in ("ids", "sizes", "train", "places", "vocabulary")})
+        for c in chunks
+        for kind in (0, 1)
+    ]
+    kinds = {"chunk": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "heads": pa.list_(pa.int64()), "weights": pa.list_(pa.float64())}
+    schema = pa.schema([(c, kinds.get(c, pa.binary())) for c in katz._ROW])
+
+    def batches(rows):
+        rows = sorted(rows, key=lambda r: (r["chunk"], r["kind"]))
+        return [pa.RecordBatch.from_pylist([r], schema) for r in rows]
+
+    ask = katz._ask_pairs(1, 1, 1440)
+    asked = pa.Table.from_batches(ask(iter(batches(rows)))).to_pylist()
+    answers = [{"chunk": a["chunk"], "kind": 2, "bucket": 0, "answer": a["counts"]} for a in asked]
+    one_word = katz.OneWord(size, 1000, [500, 200, 100, 50, 20, 10])
+    score = katz._score(1, 1, 1440, one_word, katz.Discounts([500, 200, 100, 50, 20, 10]))
+    scored = pa.Table.from_batches(score(iter(batches(rows + answers))))
+    assert scored.num_rows == len(texts)
+    most = [held(katz._chunks, [batch]), held(ask, batches(rows)), held(score, batches(rows + answers))]
+    assert max(most) < 50, most
+
+
 # -- toxicity -------------------------------------------------------------------------------
 
 
