@@ -20,8 +20,11 @@ A query whose whole beam is above the threshold is asked again with a beam twice
 large groups come out whole.
 
 Equal vectors are one from the start, with the number of rows they stand for. A shard has at
-most ``SHARD`` vectors and a task at most ``QUERIES`` queries against one shard, however many
-vectors there are; the work of querying every shard grows with both.
+most ``SHARD`` vectors and a block at most ``QUERIES`` queries, however many vectors there are;
+the work of querying every shard grows with both. Every block meets every shard in a product
+of two stored tables, so neither graphs nor queries are copied on disk. Graphs travel in pieces
+of ``PIECE`` bytes, and a task holds one graph and one block in arrays; what a step of a search
+holds is bounded by ``WIDE`` numbers, however wide the beam and however large the groups are.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing; so do vectors of different lengths; rows may share an id and are vectors of their
@@ -39,13 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.sortkeys import quoted
-from millrace.llm.common import components, mix64, prepare, stored
+from millrace.llm.common import components, discard, mix64, prepare, stored
 
 THRESHOLD = 0.9
-#: The least number of shards, the most vectors of one, the most queries of a task.
+#: The least number of shards, the most vectors and numbers of one, the most of a block of queries.
 SHARDS = 8
 SHARD = 32_768
+SHARD_NUMBERS = 1 << 23
 QUERIES = 16_384
+BLOCK_NUMBERS = 1 << 20
+#: Bytes of a graph in one row.
+PIECE = 1 << 20
 #: Neighbours in upper layers (twice as many in the lowest), beam while building, first beam.
 NEIGHBOURS = 16
 BUILD_BEAM = 48
@@ -58,8 +65,11 @@ EVERY = 0
 #: Queries and expansions that one step looks at together.
 TOGETHER = 256
 AT_ONCE = 4
-#: Numbers that a step of the verification holds for each side.
-AT_A_TIME = 1 << 23
+#: Numbers that a step holds of vectors, and of what it has found for its queries.
+AT_A_TIME = 1 << 21
+WIDE = 1 << 21
+#: Bytes that a step holds to know what it has seen.
+SEEN = 1 << 25
 #: Single precision finds candidates a little below the threshold; double precision decides.
 MARGIN = 1e-4
 
@@ -111,18 +121,19 @@ def _layer_beam(
 
 
 def _scored(vectors, queries, nodes, seen, row) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes not seen before with their cosine; the others become -1."""
-    nodes = np.where(seen[row, nodes], -1, nodes)
-    seen[row, nodes] = True
-    q, i = np.nonzero(nodes >= 0)
-    near = np.full(nodes.shape, -np.inf, np.float32)
-    if len(q):
-        near[q, i] = np.einsum("ij,ij->i", vectors[nodes[q, i]], queries[q])
+    """Nodes not seen before with their cosine, -1 where a query has fewer."""
+    flat, wide = seen.reshape(-1), seen.shape[1]
+    place = row * wide + np.where(nodes < 0, wide - 1, nodes)
+    fresh = ~np.take(flat, place)
+    flat[place] = True
     # Most places are empty: the filled ones move to the front.
-    fill = np.bincount(q, minlength=len(nodes)).max(initial=1)
-    order = np.argsort(nodes < 0, axis=1, kind="stable")[:, :fill]
-    at = np.arange(len(nodes))[:, None]
-    return nodes[at, order], near[at, order]
+    q, i = np.nonzero(fresh)
+    count = np.bincount(q, minlength=len(nodes))
+    new = np.full((len(nodes), count.max(initial=1)), -1, nodes.dtype)
+    new[q, np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count)] = nodes[q, i]
+    near = np.matmul(np.take(vectors, new, axis=0, mode="wrap"), queries[:, :, None])[:, :, 0]
+    near[new < 0] = -np.inf
+    return new, near
 
 
 def _best(found, near, done, beam):
@@ -167,9 +178,9 @@ class Graph:
         self.layers.append((np.arange(size), edges))
 
     def _connect(self, edges, sims, old, batch, degree) -> None:
-        vectors, new = self.vectors, []
-        for start in range(0, len(batch), TOGETHER):
-            part = batch[start : start + TOGETHER]
+        vectors, new, step = self.vectors, [], self._together(BUILD_BEAM)
+        for start in range(0, len(batch), step):
+            part = batch[start : start + step]
             own = vectors[part] @ vectors[batch].T
             own[np.arange(len(part)), part - batch[0]] = -np.inf
             found = np.broadcast_to(batch, own.shape).astype(np.int32)
@@ -202,22 +213,36 @@ class Graph:
         touched, place = np.unique(source, return_inverse=True)
         count = np.bincount(place)
         degree = edges.shape[1]
-        wide = np.full((len(touched), degree + count.max(initial=0)), -1, np.int32)
-        strong = np.full(wide.shape, -np.inf, np.float32)
-        wide[:, :degree], strong[:, :degree] = edges[touched], sims[touched]
-        order = np.argsort(place, kind="stable")
-        step = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
-        wide[place[order], degree + step] = target[order]
-        strong[place[order], degree + step] = value[order]
-        # An edge may come twice.
-        order = np.argsort(wide, axis=1, kind="stable")
-        at = np.arange(len(touched))[:, None]
-        wide, strong = wide[at, order], strong[at, order]
-        strong[:, 1:][wide[:, 1:] == wide[:, :-1]] = -np.inf
-        keep = np.argsort(-strong, axis=1, kind="stable")[:, :degree]
-        wide, strong = wide[at, keep], strong[at, keep]
-        edges[touched] = np.where(np.isfinite(strong), wide, -1)
-        sims[touched] = strong
+        by_place = np.argsort(place, kind="stable")
+        first = np.cumsum(count) - count
+        # Rows that get about as many, a few at a time: one may get an edge from each of a batch.
+        size = np.ceil(np.log2(count)).astype(int)
+        for k in np.unique(size).tolist():
+            rows, step = np.flatnonzero(size == k), max(1, WIDE // (degree + (1 << k)))
+            for start in range(0, len(rows), step):
+                some = rows[start : start + step]
+                many, at = count[some], touched[some]
+                wide = np.full((len(some), degree + (1 << k)), -1, np.int32)
+                strong = np.full(wide.shape, -np.inf, np.float32)
+                wide[:, :degree], strong[:, :degree] = edges[at], sims[at]
+                row = np.repeat(np.arange(len(some)), many)
+                step_in = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                link = by_place[first[some][row] + step_in]
+                wide[row, degree + step_in], strong[row, degree + step_in] = target[link], value[link]
+                # An edge may come twice.
+                order = np.argsort(wide, axis=1, kind="stable")
+                wide, strong = np.take_along_axis(wide, order, 1), np.take_along_axis(strong, order, 1)
+                strong[:, 1:][wide[:, 1:] == wide[:, :-1]] = -np.inf
+                keep = np.argsort(-strong, axis=1, kind="stable")[:, :degree]
+                wide, strong = np.take_along_axis(wide, keep, 1), np.take_along_axis(strong, keep, 1)
+                edges[at] = np.where(np.isfinite(strong), wide, -1)
+                sims[at] = strong
+
+    def _together(self, beam: int) -> int:
+        """How many queries a step looks at: what it holds for them is bounded."""
+        n, d = self.vectors.shape
+        gathered = 2 * NEIGHBOURS * AT_ONCE * d
+        return max(1, min(TOGETHER, WIDE // max(beam, 1), SEEN // max(n, 1), AT_A_TIME // max(gathered, 1)))
 
     def _descend(self, queries: np.ndarray, below: int) -> np.ndarray | None:
         """Entry points for the layer of ``below`` vectors, through the layers above it."""
@@ -244,14 +269,15 @@ class Graph:
         """
         beam, asked = self.beam, np.arange(len(queries))
         if beam == EVERY:
-            for start in range(0, len(asked), TOGETHER):
-                q, v = np.nonzero(queries[start : start + TOGETHER] @ self.vectors.T >= threshold)
+            step = self._together(len(self.vectors))
+            for start in range(0, len(asked), step):
+                q, v = np.nonzero(queries[start : start + step] @ self.vectors.T >= threshold)
                 yield start + q, v
             return
         while len(asked):
-            again = []
-            for start in range(0, len(asked), TOGETHER):
-                part = asked[start : start + TOGETHER]
+            again, step = [], self._together(beam)
+            for start in range(0, len(asked), step):
+                part = asked[start : start + step]
                 found, near = self.search(queries[part], beam)
                 above = (near >= threshold) & (found >= 0)
                 full = above.sum(1) >= min(beam, len(self.vectors)) - 1
@@ -279,11 +305,17 @@ class Graph:
         noise = np.divide(noise, length, out=np.zeros_like(noise), where=length > 1e-9)
         turned = threshold * own + np.sqrt(1 - threshold**2) * noise
         turned = (turned / np.linalg.norm(turned, axis=1, keepdims=True)).astype(np.float32)
-        links = self.vectors[asked] @ self.vectors.T >= threshold
+        links = np.zeros((len(asked), n), bool)
+        step = self._together(n)
+        for start in range(0, len(asked), step):
+            links[start : start + step] = self.vectors[asked[start : start + step]] @ self.vectors.T >= threshold
         links[np.arange(len(asked)), asked] = False
         while True:
-            found, _ = self.search(turned, self.beam)
-            recall = float((found == asked[:, None]).any(1).mean())
+            back, step = 0, self._together(self.beam)
+            for start in range(0, len(asked), step):
+                found, _ = self.search(turned[start : start + step], self.beam)
+                back += int((found == asked[start : start + step, None]).any(1).sum())
+            recall = back / len(asked)
             if links.any():
                 met = sum(int(links[q, v].sum()) for q, v in self.within(self.vectors[asked], threshold - MARGIN))
                 recall = min(recall, met / int(links.sum()))
@@ -298,9 +330,10 @@ class Graph:
 # -- tasks ----------------------------------------------------------------------------------
 
 _GRAPH = (
-    "dims int, shard int, beam int, recall double, keys binary, counts binary, exact binary, sizes binary, "
-    "edges binary"
+    "dims int, shard int, beam int, recall double, n int, double boolean, sizes binary, "
+    "total bigint, start bigint, data binary"
 )
+_QUERIES = "asked int, block bigint, wide boolean, keys binary, vectors binary"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -314,34 +347,88 @@ def _units(exact: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _narrow(exact: np.ndarray) -> np.ndarray:
+    """In single precision where that is the same."""
+    with np.errstate(over="ignore", under="ignore"):
+        narrow = exact.astype(np.float32)
+    return narrow if np.array_equal(narrow, exact) else exact
+
+
+def _singles(exact: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision."""
+    out, step = np.empty(exact.shape, np.float32), max(1, AT_A_TIME // exact.shape[1])
+    for start in range(0, len(exact), step):
+        out[start : start + step] = _units(exact[start : start + step].astype(np.float64))
+    return out
+
+
 def _build(threshold: float):
-    """Rows ``(dims, shard, key, many, vector)``, sorted by shard, to one graph a shard."""
+    """Rows ``(dims, shard, key, many, vector)``, sorted by shard, to the pieces of a graph a shard."""
 
     def close(at, keys, many, exact):
-        keys, many, units = np.concatenate(keys), np.concatenate(many), _units(np.concatenate(exact))
-        graph = Graph.build(units.astype(np.float32), keys)
-        recall = graph.audit(threshold)
-        values = [
-            pa.array([at[0]], pa.int32()),
-            pa.array([at[1]], pa.int32()),
-            pa.array([graph.beam], pa.int32()),
-            pa.array([recall]),
-            pa.array([keys[graph.order].tobytes()], pa.binary()),
-            pa.array([many[graph.order].tobytes()], pa.binary()),
-            pa.array([units[graph.order].tobytes()], pa.binary()),
-            pa.array([np.array([e.shape for _, e in graph.layers], "<i4").tobytes()], pa.binary()),
-            pa.array([b"".join(e.tobytes() for _, e in graph.layers)], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(values, names=[c.split()[0] for c in _GRAPH.split(", ")])
+        graph = Graph.build(_singles(exact), keys)
+        recall, order = graph.audit(threshold), graph.order
+        arrays = [keys[order], many[order], exact[order], *(e for _, e in graph.layers)]
+        sizes, double = np.array([e.shape for _, e in graph.layers], "<i4").tobytes(), exact.dtype == np.float64
+        total, begin = sum(a.nbytes for a in arrays), 0
+        for array in arrays:
+            data = np.ascontiguousarray(array).reshape(-1).view(np.uint8)
+            for start in range(0, len(data), PIECE):
+                piece = data[start : start + PIECE].tobytes()
+                row = [*at, graph.beam, recall, len(keys), bool(double), sizes, total, begin + start, piece]
+                yield _one(row, _GRAPH)
+            begin += len(data)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, parts in _grouped(batches, ["dims", "shard"]):
-            yield close(
-                at,
-                [p.column("key").to_numpy() for p in parts],
-                [p.column("many").to_numpy() for p in parts],
-                [_matrix(p.column("vector")) for p in parts],
-            )
+            keys, many, exact = [], [], []
+            while parts:
+                part = parts.pop(0)
+                keys.append(part.column("key").to_numpy())
+                many.append(part.column("many").to_numpy())
+                exact.append(_narrow(_matrix(part.column("vector"))))
+            yield from close(at, np.concatenate(keys), np.concatenate(many), np.concatenate(exact))
+
+    return run
+
+
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _one(row: list, schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    values = [pa.array([value], _TYPES[kind]) for value, (_, kind) in zip(row, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(values, names=[name for name, _ in fields])
+
+
+def _pack(queries: int):
+    """Rows ``(dims, key, vector)``, sorted so, to blocks of so many queries at most."""
+
+    def close(keys, exact):
+        keys, exact = np.concatenate(keys), np.concatenate(exact)
+        double = exact.dtype == np.float64
+        return _one([exact.shape[1], int(keys[0]), bool(double), keys.tobytes(), exact.tobytes()], _QUERIES)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims, keys, exact, have = None, [], [], 0
+        for batch in batches:
+            for at, parts in _grouped([batch], ["dims"]):
+                if at != dims and have:
+                    yield close(keys, exact)
+                    keys, exact, have = [], [], 0
+                dims, most = at, max(1, min(queries, BLOCK_NUMBERS // at[0]))
+                own, vectors = parts[0].column("key").to_numpy(), _matrix(parts[0].column("vector"))
+                while len(own):
+                    take = most - have
+                    keys.append(own[:take])
+                    exact.append(_narrow(vectors[:take]))
+                    have += len(keys[-1])
+                    own, vectors = own[take:], vectors[take:]
+                    if have == most:
+                        yield close(keys, exact)
+                        keys, exact, have = [], [], 0
+        if have:
+            yield close(keys, exact)
 
     return run
 
@@ -365,14 +452,20 @@ def _grouped(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tu
         yield at, held
 
 
-def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(row["keys"], "<i8")
-    exact = np.frombuffer(row["exact"], "<f8").reshape(len(keys), -1)
-    layers, data, place = [], np.frombuffer(row["edges"], "<i4"), 0
-    for n, degree in np.frombuffer(row["sizes"], "<i4").reshape(-1, 2).tolist():
-        layers.append((np.arange(n), data[place : place + n * degree].reshape(n, degree)))
-        place += n * degree
-    return Graph(exact.astype(np.float32), layers, row["beam"]), keys, np.frombuffer(row["counts"], "<i8"), exact
+def _load(row: dict, data: np.ndarray) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """A graph, its keys, how many rows these stand for, and its vectors as they were."""
+    n, dims, place = row["n"], row["dims"], 0
+
+    def array(kind: str, *shape: int) -> np.ndarray:
+        nonlocal place
+        out = np.frombuffer(data, kind, int(np.prod(shape)), place).reshape(shape)
+        place += out.nbytes
+        return out
+
+    keys, counts = array("<i8", n), array("<i8", n)
+    exact = array("<f8" if row["double"] else "<f4", n, dims)
+    layers = [(np.arange(k), array("<i4", k, degree)) for k, degree in np.frombuffer(row["sizes"], "<i4").reshape(-1, 2).tolist()]
+    return Graph(_singles(exact), layers, row["beam"]), keys, counts, exact
 
 
 class Forest:
@@ -402,50 +495,63 @@ class Forest:
 
 def _verified(left: np.ndarray, right: np.ndarray, q: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the cosines of the pairs ``(q, v)`` reach the threshold, in double precision."""
-    step = max(1, AT_A_TIME // left.shape[1])
-    cuts = range(0, len(q), step)
-    dots = [np.einsum("ij,ij->i", left[q[i : i + step]], right[v[i : i + step]]) for i in cuts]
-    return np.concatenate([np.zeros(0), *dots]) >= threshold
+    step, good = max(1, AT_A_TIME // left.shape[1]), np.zeros(len(q), bool)
+    for start in range(0, len(q), step):
+        some = slice(start, start + step)
+        rows, at = np.unique(v[some], return_inverse=True)
+        units = _units(right[rows].astype(np.float64))
+        good[some] = np.einsum("ij,ij->i", left[q[some]], units[at]) >= threshold
+    return good
 
 
 def _ask(threshold: float):
-    """A shard's graph, then queries, sorted so, to ``(a, b, others)``.
+    """The pieces of a shard's graph, with a block of queries beside one, to ``(a, b, others)``.
 
     A query ``a`` that links with ``others`` rows of the shard, one of them ``b``; or two
     vectors that links join, and ``others`` is 0.
     """
-    names = ["a", "b", "others"]
+
+    def answer(row: dict, data: np.ndarray, block: dict) -> Iterator[pa.RecordBatch]:
+        graph, keys, counts, exact = _load(row, data)
+        forest = Forest(len(keys))
+        own = np.frombuffer(block["keys"], "<i8")
+        units = np.frombuffer(block["vectors"], "<f8" if block["wide"] else "<f4").reshape(len(own), -1)
+        units = _units(units.astype(np.float64))
+        for q, v in graph.within(units.astype(np.float32), threshold - MARGIN):
+            other = own[q] != keys[v]
+            q, v = q[other], v[other]
+            good = _verified(units, exact, q, v, threshold)
+            q, v = q[good], v[good]
+            asked, first, of = np.unique(q, return_index=True, return_inverse=True)
+            others = np.zeros(len(asked), np.int64)
+            np.add.at(others, of, counts[v])
+            top, below = forest.join(v, v[first][of])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([own[asked], keys[top]])),
+                    pa.array(np.concatenate([keys[v[first]], keys[below]])),
+                    pa.array(np.concatenate([others, np.zeros(len(top), np.int64)])),
+                ],
+                names=["a", "b", "others"],
+            )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, graph, keys, counts, exact, forest = None, None, None, None, None, None
-        for here, parts in _grouped(batches, ["dims", "shard", "block", "kind"]):
-            if here[3] == 0:
-                row = {n: parts[0].column(n)[0].as_py() for n in ("beam", "keys", "counts", "exact", "sizes", "edges")}
-                at, (graph, keys, counts, exact) = here[:3], _load(row)
-                forest = Forest(len(keys))
-                continue
-            if here[:3] != at:
-                continue
-            for part in parts:
-                units = _units(_matrix(part.column("vector")))
-                own = part.column("key").to_numpy()
-                for q, v in graph.within(units.astype(np.float32), threshold - MARGIN):
-                    other = own[q] != keys[v]
-                    q, v = q[other], v[other]
-                    good = _verified(units, exact, q, v, threshold)
-                    q, v = q[good], v[good]
-                    asked, first, of = np.unique(q, return_index=True, return_inverse=True)
-                    others = np.zeros(len(asked), np.int64)
-                    np.add.at(others, of, counts[v])
-                    top, below = forest.join(v, v[first][of])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([own[asked], keys[top]])),
-                            pa.array(np.concatenate([keys[v[first]], keys[below]])),
-                            pa.array(np.concatenate([others, np.zeros(len(top), np.int64)])),
-                        ],
-                        names=names,
-                    )
+        held = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                at, piece = (row["dims"], row["shard"], row["block"]), row.pop("data")
+                if at not in held:
+                    held[at] = [np.empty(row["total"], np.uint8), 0, None]
+                held[at][0][row["start"] : row["start"] + len(piece)] = np.frombuffer(piece, np.uint8)
+                held[at][1] += len(piece)
+                if row["vectors"] is not None:
+                    held[at][2] = row
+                if held[at][1] == row["total"]:
+                    data, _, block = held.pop(at)
+                    yield from answer(row, data, block)
+        if held:
+            raise RuntimeError(f"pieces of {len(held)} graphs are missing")
 
     return run
 
@@ -457,8 +563,7 @@ def near_duplicates(
     vector_column: str = "embedding",
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` of every row."""
-    spark = prepare(table.sparkSession)
-    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepare(table.sparkSession)
     rows = table.select(
         F.col(quoted(id_column)).cast("bigint").alias("id"),
         F.col(quoted(vector_column)).cast("array<double>").alias("vector"),
@@ -475,9 +580,8 @@ def near_duplicates(
         .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("vector").alias("vector"))
     )
     classes = stored(classes.withColumn("dims", F.size("vector")), "classes")
-    total = classes.count()
-    shards = max(SHARDS, -(-total * 5 // (4 * SHARD)))
-    blocks = max(1, -(-total // QUERIES))
+    total, numbers = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("dims"), F.lit(0))).first()
+    shards = max(SHARDS, -(-total * 5 // (4 * SHARD)), -(-numbers * 5 // (4 * SHARD_NUMBERS)))
     placed = classes.select(
         "dims",
         F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).cast("int").alias("shard"),
@@ -486,34 +590,24 @@ def near_duplicates(
         "vector",
     )
     graphs = stored(
-        placed.repartition(max(places, shards), "dims", "shard")
+        placed.repartitionById(shards, "shard")
         .sortWithinPartitions("dims", "shard", "key")
         .mapInArrow(_build(threshold), _GRAPH),
         "graphs",
     )
-    nothing = {"key": "bigint", "vector": "array<double>", "beam": "int"}
-    nothing |= {c: "binary" for c in ("keys", "counts", "exact", "sizes", "edges")}
-    order = ["dims", "shard", "block", "kind", *nothing]
-
-    def row_of(df: DataFrame, kind: int) -> DataFrame:
-        have = set(df.columns)
-        return df.withColumn("kind", F.lit(kind)).select(
-            *[F.col(c) if c in have or c == "kind" else F.lit(None).cast(nothing[c]).alias(c) for c in order]
-        )
-
-    served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = F.pmod(F.xxhash64(F.lit(4), "key"), F.lit(blocks)).cast("int")
-    asked = classes.select("dims", "key", "vector", block.alias("block")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    queries = stored(
+        classes.select("dims", "key", "vector").sortWithinPartitions("dims").mapInArrow(_pack(QUERIES), _QUERIES), "queries"
     )
+    # A block meets all pieces of a shard in one task; its queries go with the first.
+    with_first = [F.when(F.col("start") == 0, F.col(c)).alias(c) for c in ("keys", "vectors")]
     found = (
-        row_of(served, 0)
-        .unionByName(row_of(asked, 1))
-        .repartition(max(places, shards * blocks), "dims", "shard", "block")
-        .sortWithinPartitions("dims", "shard", "block", "kind")
+        queries.hint("shuffle_replicate_nl")
+        .join(graphs.repartitionById(shards, "shard"), F.col("asked") == F.col("dims"))
+        .select(*[c.split()[0] for c in _GRAPH.split(", ")], "block", "wide", *with_first)
         .mapInArrow(_ask(threshold), "a long, b long, others long")
     )
     found = stored(found, "found")
+    discard(graphs, queries)
     sizes = classes.select("key", "least", "many")
     degree = found.filter("others > 0").groupBy(F.col("a").alias("key")).agg(F.sum("others").alias("others"))
     group = components(found.select("a", "b"), "groups").withColumnsRenamed({"id": "key", "component_id": "root"})

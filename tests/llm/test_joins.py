@@ -7,6 +7,8 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import common, embedding_dedup, ngram_join, suffix_dedup
@@ -378,3 +380,95 @@ def test_a_large_group_hands_on_counts_and_not_its_pairs(spark, monkeypatch):
         component = lower
     assert [rows[i].component_id for i in range(900)] == component.tolist()
     assert written["found"].count() <= 2 * 8 * 850
+
+
+def test_graphs_travel_in_pieces_and_are_not_copied(spark, monkeypatch):
+    """A row stays small however large a shard is, and no exchange is fed with copies of graphs."""
+    rng = np.random.default_rng(10)
+    points = rng.standard_normal((3000, 64))
+    points[1500:1520] = points[:20] + 0.02 * rng.standard_normal((20, 64))
+    monkeypatch.setattr(embedding_dedup, "SHARDS", 1)
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 250)
+    widest, plans = [], {}
+    real = embedding_dedup.stored
+
+    def spied(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        out = real(df, label)
+        wide = [F.coalesce(F.length(f.name), F.lit(0)) for f in out.schema if f.dataType.typeName() == "binary"]
+        if wide:
+            widest.append(out.agg(F.max(sum(wide, F.lit(0)))).first()[0])
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "stored", spied)
+    frame = spark.createDataFrame([(i, row) for i, row in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    rows = {r.id: r for r in embedding_dedup.near_duplicates(frame).collect()}
+    # Before, the graph of 3,000 vectors was a row of 1.9 MB, which a Generate copied for each block.
+    assert max(widest) < 1_100_000
+    assert "Generate" not in plans["found"]
+    exact = points / np.linalg.norm(points, axis=1, keepdims=True)
+    links = exact @ exact.T >= 0.9
+    np.fill_diagonal(links, False)
+    assert [rows[i].n_links for i in range(3000)] == links.sum(1).tolist()
+    assert [rows[i].component_id for i in range(1500, 1520)] == list(range(20))
+
+
+def test_pieces_in_any_order_give_the_same_answers():
+    """Single precision where nothing is lost by it, double where something would be."""
+    rng = np.random.default_rng(12)
+    points = rng.standard_normal((400, 16))
+    points[200:] = points[:200] + 0.1 * rng.standard_normal((200, 16))
+    keys = np.arange(400, dtype=np.int64)
+    exact = points / np.linalg.norm(points, axis=1, keepdims=True)
+    links = exact @ exact.T >= 0.9
+    np.fill_diagonal(links, False)
+    for vectors, double in ((points, True), (points.astype(np.float32).astype(np.float64), False)):
+        table = pa.record_batch(
+            {
+                "dims": pa.array([16] * 400, pa.int32()),
+                "shard": pa.array([0] * 400, pa.int32()),
+                "key": keys,
+                "many": np.ones(400, np.int64),
+                "vector": pa.array(vectors.tolist(), pa.list_(pa.float64())),
+            }
+        )
+        pieces = [p.to_pylist()[0] for p in embedding_dedup._build(0.9)(iter([table]))]
+        blocks = [p.to_pylist()[0] for p in embedding_dedup._pack(150)(iter([table.select(["dims", "key", "vector"])]))]
+        assert {p["double"] for p in pieces} == {b["wide"] for b in blocks} == {double}
+        met = [
+            {**p, **{c: b[c] if p["start"] == 0 or c in ("block", "wide") else None for c in ("block", "wide", "keys", "vectors")}}
+            for b in blocks
+            for p in pieces
+        ]
+        rng.shuffle(met)
+        schema = pa.schema({c: pa.int64() for c in ("dims", "shard", "beam", "n", "total", "start", "block")}
+                           | {c: pa.binary() for c in ("sizes", "data", "keys", "vectors")}
+                           | {c: pa.bool_() for c in ("double", "wide")})
+        batch = pa.RecordBatch.from_pylist([{c: m[c] for c in schema.names} for m in met], schema)
+        found = np.zeros(400, int)
+        for out in embedding_dedup._ask(0.9)(iter([batch])):
+            np.add.at(found, out.column("a").to_numpy(), out.column("others").to_numpy())
+        assert found.tolist() == links.sum(1).tolist()
+        with pytest.raises(RuntimeError):
+            list(embedding_dedup._ask(0.9)(iter([batch.slice(1)])))
+
+
+def test_a_hub_is_linked_in_little_memory():
+    """One vector that a whole batch is joined with does not widen the rows of all others."""
+    rng = np.random.default_rng(13)
+    edges, sims = np.full((20_000, 32), -1, np.int32), np.full((20_000, 32), -np.inf, np.float32)
+    a = np.repeat(np.arange(1024), 16).astype(np.int32)
+    b = np.where(np.arange(len(a)) % 16 == 0, 19_999, 1024 + rng.integers(0, 18_000, len(a))).astype(np.int32)
+    value = rng.random(len(a)).astype(np.float32)
+    tracemalloc.start()
+    embedding_dedup.Graph._link(edges, sims, a, b, value)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    hub = value[b == 19_999]
+    assert np.allclose(sims[19_999], np.sort(hub)[::-1][:32])
+    for row in (0, 500, 1023):
+        near = {}
+        for target, v in zip(b[a == row].tolist(), value[a == row].tolist(), strict=True):
+            near[target] = v
+        assert set(edges[row][edges[row] >= 0].tolist()) == set(near)
